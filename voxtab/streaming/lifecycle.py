@@ -3,7 +3,7 @@
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -65,17 +65,17 @@ class LifecycleProcessor(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("job", STATE)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues):
         old = dict(zip(STATE.names, self.state.get() or NEW_JOB, strict=True))
         job = dict(old)
-        for batch in rows:
-            self._merge(job, batch.reset_index(drop=True))
+        for row in rows:
+            self._merge(job, row.seq, row.ms, row.outcome)
         out = self._settle(job)
         job["version"], job["status"] = job["version"] + 1, out["status"]
         self.state.update(tuple(job[name] for name in STATE.names))
         if out["completed_ms"] is not None and old["status"] != out["status"]:
             self.handle.registerTimer(job["created_ms"] + self.retention_ms)
-        yield self._row(key, job["version"], old["status"], expired=False, **out)
+        yield self._row(key, job["version"], old["status"], out, expired=False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         job = self.state.get()
@@ -87,33 +87,24 @@ class LifecycleProcessor(StatefulProcessor):
         due = job["created_ms"] + self.retention_ms
         if out["completed_ms"] is not None and expiredTimerInfo.getExpiryTimeInMs() >= due:
             self.state.clear()
-            yield self._row(key, job["version"] + 1, job["status"], expired=True, **out)
+            yield self._row(key, job["version"] + 1, job["status"], out, expired=True)
 
     def close(self) -> None:
         pass
 
-    def _merge(self, job: dict, batch: pd.DataFrame) -> None:
-        batch = decisive_rows(batch, self.cap)
-        ms = batch["ts"].astype("datetime64[ms]").astype("int64")
-        events = [
-            (int(s), int(m), o) for s, m, o in zip(batch["seq"], ms, batch["outcome"], strict=True)
-        ]
-        created = [m for _, m, _ in events]
-        if job["created_ms"] is not None:
-            created.append(job["created_ms"])
-        job["created_ms"] = min(created)
-
-        garbage = list(zip(job["garbage_seq"], job["garbage_ms"], strict=True))
-        garbage = sorted(garbage + [(s, m) for s, m, o in events if o == GARBAGE])[: self.cap]
-        job["garbage_seq"] = [s for s, _ in garbage]
-        job["garbage_ms"] = [m for _, m in garbage]
-
-        for seq, time, outcome in events:
-            if outcome in FINAL_OUTCOMES and (job["final_seq"] is None or seq < job["final_seq"]):
-                job["final_seq"], job["final_ms"] = seq, time
-                job["succeeded"] = outcome == C.COMPLETED
-            if job["max_seq"] is None or seq > job["max_seq"]:
-                job["max_seq"], job["running"] = seq, outcome == STARTED
+    def _merge(self, job: dict, seq: int, ms: int, outcome: str) -> None:
+        if job["created_ms"] is None or ms < job["created_ms"]:
+            job["created_ms"] = ms
+        if outcome == GARBAGE:
+            known = list(zip(job["garbage_seq"], job["garbage_ms"], strict=True))
+            first = sorted([*known, (seq, ms)])[: self.cap]
+            job["garbage_seq"] = [s for s, _ in first]
+            job["garbage_ms"] = [m for _, m in first]
+        elif outcome in FINAL_OUTCOMES and (job["final_seq"] is None or seq < job["final_seq"]):
+            job["final_seq"], job["final_ms"] = seq, ms
+            job["succeeded"] = outcome == C.COMPLETED
+        if job["max_seq"] is None or seq > job["max_seq"]:
+            job["max_seq"], job["running"] = seq, outcome == STARTED
 
     def _settle(self, job: dict) -> dict:
         """State as of now, by the rule of the batch fold."""
@@ -134,10 +125,17 @@ class LifecycleProcessor(StatefulProcessor):
             "completed_ms": end_ms,
         }
 
-    def _row(self, key, version: int, old_status: str | None, **values) -> pd.DataFrame:
-        row = {"guid": key[0], "version": version, "was_pending": old_status == C.PENDING, **values}
-        frame = pd.DataFrame([row], columns=UPDATES.names)
-        return frame.astype({"completed_ms": "Int64"})
+    def _row(self, key, version: int, old_status: str | None, out: dict, expired: bool) -> Row:
+        return Row(
+            guid=key[0],
+            version=version,
+            status=out["status"],
+            attempt_count=out["attempt_count"],
+            last_seq=out["last_seq"],
+            completed_ms=out["completed_ms"],
+            was_pending=old_status == C.PENDING,
+            expired=expired,
+        )
 
 
 def lifecycle_stream(
@@ -163,8 +161,9 @@ def lifecycle_stream(
     slim = events.select(*JOB_EVENTS.names).mapInPandas(combine, JOB_EVENTS)
     updates = (
         slim.withWatermark("ts", lateness)
+        .withColumn("ms", F.unix_millis("ts"))
         .groupBy("guid")
-        .transformWithStateInPandas(
+        .transformWithState(
             LifecycleProcessor(cap, retention_seconds * 1000),
             outputStructType=UPDATES,
             outputMode="Append",
