@@ -1,0 +1,30 @@
+"""Each query of the catalogue against DuckDB on the benchmark tables."""
+
+import pytest
+from compare import duck, mismatch
+
+from voxtab.catalogue import QUERIES
+from voxtab.oracles import SQL
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def con():
+    return duck(SF)
+
+
+def test_every_oracle_has_a_query():
+    assert set(SQL) <= set(QUERIES)
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_same_rows_as_duckdb(spark, con, name):
+    assert mismatch(QUERIES[name](spark, SF), con, SQL[name]) is None
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
+def test_queries_without_sql_give_rows(spark, name):
+    rows = QUERIES[name](spark, SF).collect()
+    assert rows
+    assert any(v is not None for row in rows for v in row)

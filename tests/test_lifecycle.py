@@ -1,0 +1,149 @@
+import datetime as dt
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from voxtab.operators import lifecycle as L
+from voxtab.operators import queue as Q
+from voxtab.sources.jobs import conform_jobs
+
+T0 = dt.datetime(2026, 1, 1)
+EVENTS = "guid string, seq bigint, ts timestamp, outcome string"
+OUTCOMES = ["submitted", "started", "garbage", "recovered", "completed", "error"]
+
+
+def events(spark, rows):
+    data = [(g, s, T0 + dt.timedelta(seconds=s), o) for g, s, o in rows]
+    return spark.createDataFrame(data, EVENTS)
+
+
+def walk(rows, cap, start):
+    """One job's events, one after another."""
+    status, attempts, last, ended, cleared, garbage = "pending", start, None, None, False, 0
+    for seq, outcome in sorted(rows):
+        last = seq
+        if outcome == "garbage":
+            attempts += 1
+            garbage += 1
+            if attempts >= cap:
+                status, ended = "quarantined", seq
+                break
+            status, cleared = "pending", True
+        elif outcome in ("completed", "error"):
+            status, ended = outcome, seq
+            break
+        else:
+            status = "processing" if outcome == "started" else "pending"
+    if status == "completed":
+        attempts, cleared = 0, False
+    return status, attempts, last, ended, garbage, cleared
+
+
+def folded(df):
+    return {
+        r.guid: (
+            r.status, r.attempt_count, r.last_seq,
+            None if r.completed_at is None else int((r.completed_at - T0).total_seconds()),
+            r.garbage_results, r.cleared,
+        )
+        for r in df.collect()
+    }
+
+
+@pytest.mark.parametrize("cap", [1, 2, 3, 5])
+def test_fold_equals_a_walk(spark, cap):
+    rng = random.Random(cap)
+    rows = [(f"g{rng.randint(0, 250)}", s, rng.choices(OUTCOMES, [3, 3, 6, 2, 1, 1])[0]) for s in range(2500)]
+    starts = {f"g{k}": rng.randint(0, cap + 1) for k in range(0, 250, 2)}
+    initial = spark.createDataFrame(list(starts.items()), "guid string, attempt_count int")
+    by_guid = {}
+    for g, s, o in rows:
+        by_guid.setdefault(g, []).append((s, o))
+    df = events(spark, rows)
+    assert folded(L.fold_lifecycle(df, cap)) == {g: walk(r, cap, 0) for g, r in by_guid.items()}
+    want = {g: walk(r, cap, starts.get(g, 0)) for g, r in by_guid.items()}
+    assert folded(L.fold_lifecycle(df, cap, initial)) == want
+
+
+def test_garbage_is_limited_before_the_shuffle(spark):
+    plan = L.fold_lifecycle(events(spark, [("a", 1, "garbage")]))._jdf.queryExecution().toString()
+    physical = plan[plan.index("== Physical Plan ==") :]
+    assert "Partial" in physical and physical.count("WindowGroupLimit") >= 2
+
+
+def test_one_guid_with_most_events(spark):
+    rows = [("hot", s, "garbage" if s % 1000 == 7 else "started") for s in range(6000)]
+    rows += [(f"g{s}", s, "submitted") for s in range(100)]
+    got = folded(L.fold_lifecycle(events(spark, rows)))
+    assert got["hot"] == ("quarantined", 3, 2007, 2007, 3, True)
+    assert len(got) == 101
+
+
+def job_table(spark, *rows):
+    """(guid, status, attempts)"""
+    data = [(g, "sermon.mp3", s, T0, 50, a) for g, s, a in rows]
+    df = spark.createDataFrame(
+        data,
+        "guid string, filename string, status string, created_at timestamp, processing_time_est bigint, attempt_count int",
+    )
+    return conform_jobs(df)
+
+
+def test_quarantine_after_three_and_queue_advances(spark):
+    jobs = job_table(spark, ("bad", "pending", 0), ("good", "pending", 0))
+    jobs = jobs.withColumn("created_at", F.when(F.col("guid") == "bad", F.lit(T0)).otherwise(F.lit(T0 + dt.timedelta(minutes=5))))
+    seen = []
+    for n in range(1, 4):
+        assert Q.next_pending(jobs).collect()[0].guid == "bad"
+        outcome = L.fold_lifecycle(events(spark, [("bad", n, "garbage")]), initial=jobs)
+        jobs = spark.createDataFrame(L.apply_outcomes(jobs, outcome).collect(), jobs.schema)
+        row = {r.guid: r for r in jobs.collect()}["bad"]
+        seen.append((row.status, row.attempt_count, row.completed_at is not None))
+    assert seen == [("pending", 1, False), ("pending", 2, False), ("quarantined", 3, True)]
+    assert Q.next_pending(jobs).collect()[0].guid == "good"
+
+
+def test_cap_of_one(spark):
+    got = folded(L.fold_lifecycle(events(spark, [("a", 1, "garbage")]), cap=1))
+    assert got["a"][:2] == ("quarantined", 1)
+
+
+def test_write_back_rules(spark):
+    jobs = job_table(spark, *[(g, "processing", 2) for g in "cqpeu"])
+    jobs = jobs.withColumn("transcription", F.lit("old")).withColumn(
+        "timings", F.expr("array(named_struct('start', 0D, 'end', 2.5D, 'text', 'hello world'))")
+    )
+    outcomes = spark.createDataFrame(
+        [
+            ("c", "completed", 0, T0, False, "new"), ("q", "quarantined", 3, T0, False, None),
+            ("p", "pending", 1, None, True, None), ("e", "error", 2, T0, False, None),
+        ],
+        "guid string, status string, attempt_count int, completed_at timestamp, cleared boolean, transcription string",
+    )
+    got = {r.guid: r for r in L.apply_outcomes(jobs, outcomes).collect()}
+    assert (got["c"].status, got["c"].transcription, got["c"].attempt_count) == ("completed", "new", 0)
+    assert (got["q"].transcription, len(got["q"].timings), got["q"].completed_at) == ("old", 1, T0)
+    assert (got["p"].transcription, got["p"].timings, got["p"].completed_at) == (None, None, None)
+    assert (got["e"].transcription, got["e"].completed_at, got["e"].attempt_count) == ("old", T0, 2)
+    assert (got["u"].status, got["u"].transcription, got["u"].attempt_count) == ("processing", "old", 2)
+
+
+def test_recovery(spark):
+    jobs = job_table(spark, ("a", "processing", 2), ("b", "processing", 0), ("c", "pending", 0), ("d", "completed", 0))
+    assert L.stuck_count(jobs).collect()[0].recovered == 2
+    got = {r.guid: (r.status, r.attempt_count) for r in L.recover_stuck(jobs).collect()}
+    assert got == {"a": ("pending", 2), "b": ("pending", 0), "c": ("pending", 0), "d": ("completed", 0)}
+    assert L.stuck_count(L.recover_stuck(jobs)).collect()[0].recovered == 0
+
+
+def test_retention(spark):
+    now = T0 + dt.timedelta(days=1)
+    jobs = job_table(spark, ("c", "completed", 0), ("q", "quarantined", 0), ("l", "processed", 0), ("p", "pending", 0), ("n", "error", 0), ("u", None, 0))
+    late = F.when(F.col("guid") == "n", F.lit(T0 + dt.timedelta(seconds=1))).otherwise(F.col("created_at"))
+    gone, kept = L.expire(jobs.withColumn("created_at", late), now)
+    assert {r.guid for r in gone.collect()} == {"c", "q"}
+    assert {r.guid for r in kept.collect()} == {"l", "p", "n", "u"}
+    plan = {(r.guid, r.path) for r in L.expired_artifacts(gone).collect()}
+    assert {p for g, p in plan if g == "c"} == {"c.mp3", "c_processed.mp3", "c.txt", "c_aligned", "c_corpus", "c_mfa_input"}
+    assert L.expired_artifacts(gone, limit=1).count() == 6
