@@ -33,7 +33,7 @@ NEW_JOB = (0, None, None, None, None, [], [], None, None, None)
 UPDATES = T.StructType(
     [
         T.StructField("guid", T.StringType()),
-        # Counts the updates of a guid: its highest version is its latest state.
+        # Grows with each update of a guid: its highest version is its latest state.
         T.StructField("version", T.LongType()),
         T.StructField("status", T.StringType()),
         T.StructField("attempt_count", T.IntegerType()),
@@ -68,6 +68,10 @@ class LifecycleProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[Row], timerValues):
         old = dict(zip(STATE.names, self.state.get() or NEW_JOB, strict=True))
         job = dict(old)
+        if job["max_seq"] is None:
+            # A guid may return once its job has left. The watermark is then over a
+            # day further on, so versions keep growing.
+            job["version"] = max(0, timerValues.getCurrentWatermarkInMs())
         for row in rows:
             self._merge(job, row.seq, row.ms, row.outcome)
         out = self._settle(job)
