@@ -118,9 +118,10 @@ def test_speakers_and_gate(spark):
         "guid string, speaker string, seg_start double, seg_end double",
     )
     diarized = spark.createDataFrame([("a", True), ("b", True), ("c", True), ("d", False)], "guid string, diarized boolean")
-    counts = AL.speaker_counts(jobs, turns, diarized)
-    got = {r.guid: (r.n_speakers, r.refine) for r in AL.gate_alignment(jobs, counts).collect()}
+    gated = AL.gate_alignment(jobs, turns, diarized)
+    got = {r.guid: (r.n_speakers, r.refine) for r in gated.collect()}
     assert got == {"a": (2, False), "b": (1, True), "c": (0, True), "d": (1, True), "e": (1, True)}
+    assert AL.speaker_counts(jobs, turns, diarized).columns == ["guid", "n_speakers"]
     aligned = spark.createDataFrame([("a",), ("a",)], "guid string")
     assert {r.guid for r in AL.needs_alignment(jobs, aligned).collect()} == set("bcde")
 

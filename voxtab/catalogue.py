@@ -25,7 +25,7 @@ from voxtab.operators import scoring as S
 from voxtab.operators.ordered import collect_in_order
 from voxtab.plans import selection
 from voxtab.plans.batch import process_jobs
-from voxtab.session import configure
+from voxtab.session import configure, spread
 from voxtab.sources.alignment import parse_alignment
 from voxtab.sources.jobs import append_jobs, conform_jobs, evolve_schema
 from voxtab.streaming import lifecycle as stream_lifecycle
@@ -230,19 +230,19 @@ def assemble_transcript(i):
 
 @query
 def garbage_flags(i):
-    return i.table("documents").select("doc_id", is_garbage(F.col("text")).alias("garbage"))
+    return spread(i.table("documents")).select("doc_id", is_garbage(F.col("text")).alias("garbage"))
 
 
 @query
 def boundary_duplicates(i):
-    return i.table("documents").select(
+    return spread(i.table("documents")).select(
         "doc_id", remove_boundary_duplicates(F.col("text")).alias("text")
     )
 
 
 @query
 def squash_repeated_words(i):
-    return i.table("documents").select("doc_id", squash_repeats(F.col("text")).alias("text"))
+    return spread(i.table("documents")).select("doc_id", squash_repeats(F.col("text")).alias("text"))
 
 
 @query
@@ -319,9 +319,8 @@ def speaker_counts(i):
 
 @query
 def alignment_gate(i):
-    jobs = i.view("jobs")
-    counts = AL.speaker_counts(jobs, i.view("turns"), i.view("diarized"))
-    return AL.gate_alignment(jobs, counts).select("guid", "n_speakers", "refine")
+    gated = AL.gate_alignment(i.view("jobs"), i.view("turns"), i.view("diarized"))
+    return gated.select("guid", "n_speakers", "refine")
 
 
 @query

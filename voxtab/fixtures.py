@@ -79,6 +79,17 @@ from segments s cross join (values (0), (1), (2), (3), (4)) as p(pass_index)
 where (s.seg_index + p.pass_index) % 6 <> 0""",
 }
 
+# The same in Spark, without a join: the numbers come from a sequence.
+SPARK_VIEWS = {
+    name: VIEWS[name].replace(
+        f"cross join {source}", f"lateral view explode(sequence(0, {last})) {alias} as {column}"
+    )
+    for name, source, alias, column, last in (
+        ("aligned_words", "nation n", "n", "n_nationkey", 24),
+        ("pass_segments", "(values (0), (1), (2), (3), (4)) as p(pass_index)", "p", "pass_index", 4),
+    )
+}
+
 USES = {
     "aligned_words": ("segments",),
     "turns": ("segments",),
@@ -87,7 +98,7 @@ USES = {
 }
 
 
-def with_views(sql: str, *names: str) -> str:
+def with_views(sql: str, *names: str, views: dict[str, str] = VIEWS) -> str:
     """`sql` below the definitions of the views it names, for any engine that has the
     benchmark tables."""
     ordered: list[str] = []
@@ -95,7 +106,7 @@ def with_views(sql: str, *names: str) -> str:
         for needed in (*USES.get(name, ()), name):
             if needed not in ordered:
                 ordered.append(needed)
-    parts = [f"{name} as ({VIEWS[name].strip()})" for name in ordered]
+    parts = [f"{name} as ({views[name].strip()})" for name in ordered]
     return f"with {', '.join(parts)} {sql.strip()}" if parts else sql.strip()
 
 
@@ -120,7 +131,7 @@ class Inputs:
         return self._over(name, {t: self.stream(t) for t in self._tables(name)})
 
     def _tables(self, name: str) -> list[str]:
-        words = set(re.findall(r"\w+", with_views("", name)))
+        words = set(re.findall(r"\w+", with_views("", name, views=VIEWS | SPARK_VIEWS)))
         return [t for t in TABLES if t in words]
 
     def _over(self, name: str, tables: dict[str, DataFrame]) -> DataFrame:
@@ -130,7 +141,8 @@ class Inputs:
         for table, df in tables.items():
             df.createOrReplaceTempView(f"{prefix}_{table}")
             binds.append(f"{table} as (select * from {prefix}_{table})")
-        views = with_views(f"select * from {name}", name).removeprefix("with ")
+        views = with_views(f"select * from {name}", name, views=VIEWS | SPARK_VIEWS)
+        views = views.removeprefix("with ")
         df = self.spark.sql(f"with {', '.join(binds)}, {views}")
         for table in tables:
             self.spark.catalog.dropTempView(f"{prefix}_{table}")

@@ -26,9 +26,10 @@ REPEATED_WORD = (
 )
 
 # A phrase of two to five words that is said again at once. The first
-# form is for Java, the second for Python.
+# form is for Java, the second for Python. Words and spaces hold no common character,
+# so a word with a space after it, and a space, need not be matched in shorter forms.
 REPEATED_PHRASE = (
-    rf"(?iu)(?<![{WORD}])([{WORD}]+[{WS}]+[{WORD}]+(?:[{WS}]+[{WORD}]+){{0,3}})"
+    rf"(?iu)(?<![{WORD}])([{WORD}]++[{WS}]++[{WORD}]+(?:[{WS}]++[{WORD}]+){{0,3}})"
     rf"[.,;!?{WS}]*\1(?![{WORD}])"
 )
 REPEATED_PHRASE_PY = re.compile(

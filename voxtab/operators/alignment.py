@@ -24,28 +24,27 @@ def _up(cell: Column, level: int) -> Column:
     return F.shiftright(cell, RADIX_BITS * level)
 
 
-def speaker_counts(jobs: DataFrame, turns: DataFrame, diarized: DataFrame) -> DataFrame:
-    """Distinct speakers per job. Without a successful diarization one speaker is
-    assumed; a successful one without turns gives 0."""
+def with_speakers(jobs: DataFrame, turns: DataFrame, diarized: DataFrame) -> DataFrame:
+    """Jobs with `n_speakers`. Without a successful diarization one speaker is assumed;
+    a successful one without turns gives 0."""
     heard = turns.groupBy("guid").agg(F.countDistinct("speaker").alias("n"))
     ran = diarized.where(F.col("diarized")).select("guid", F.lit(True).alias("ran")).distinct()
     n = F.when(F.col("ran"), F.coalesce("n", F.lit(0))).otherwise(1)
     return (
-        jobs.select("guid")
-        .join(ran, "guid", "left")
+        jobs.join(ran, "guid", "left")
         .join(heard, "guid", "left")
-        .select("guid", n.cast("bigint").alias("n_speakers"))
+        .withColumn("n_speakers", n.cast("bigint"))
+        .drop("ran", "n")
     )
 
 
-def gate_alignment(jobs: DataFrame, counts: DataFrame) -> DataFrame:
+def speaker_counts(jobs: DataFrame, turns: DataFrame, diarized: DataFrame) -> DataFrame:
+    return with_speakers(jobs.select("guid"), turns, diarized)
+
+
+def gate_alignment(jobs: DataFrame, turns: DataFrame, diarized: DataFrame) -> DataFrame:
     """Jobs with `n_speakers` and `refine`: false where more than one speaker talks."""
-    n = F.coalesce("n_speakers", F.lit(1)).cast("bigint")
-    return (
-        jobs.join(counts.select("guid", "n_speakers"), "guid", "left")
-        .withColumn("n_speakers", n)
-        .withColumn("refine", F.col("n_speakers") <= 1)
-    )
+    return with_speakers(jobs, turns, diarized).withColumn("refine", F.col("n_speakers") <= 1)
 
 
 def needs_alignment(jobs: DataFrame, aligned: DataFrame) -> DataFrame:

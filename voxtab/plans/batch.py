@@ -5,17 +5,13 @@ from pyspark.sql import functions as F
 
 from voxtab import constants as C
 from voxtab.functions.text import is_garbage
-from voxtab.operators.alignment import (
-    gate_alignment,
-    is_corrupt,
-    refine_segments,
-    speaker_counts,
-)
+from voxtab.operators.alignment import gate_alignment, is_corrupt, refine_segments
 from voxtab.operators.audio import resolve_audio
 from voxtab.operators.lifecycle import apply_outcomes, garbage_verdict
 from voxtab.operators.queue import pending
 from voxtab.plans.selection import best_segments, transcripts_of
 from voxtab.schemas import TIMINGS
+from voxtab.session import materialize
 
 
 def job_outcomes(
@@ -37,12 +33,16 @@ def job_outcomes(
     No audio, or a guid in `failed` (the recogniser gave up): error. Garbage text,
     before or after alignment: one attempt more, requeued or quarantined. Else
     completed, with timings refined where a single speaker talks.
+
+    The gate and the winning segments are each written once, since two later steps
+    read them; the gate holds a few numbers per job, the segments a fifth of the text.
     """
     todo = resolve_audio(pending(jobs), listing).select("guid", "attempt_count", "audio_found")
-    gated = gate_alignment(todo, speaker_counts(todo, turns, diarized))
+    gated = materialize(gate_alignment(todo, turns, diarized), "gate")
 
     best = best_segments(segments, words, durations)
     best = best.select("guid", "seg_index", "seg_start", "seg_end", "text")
+    best = materialize(best, "best")
     single = gated.where(F.col("refine")).select("guid")
     refined = refine_segments(best, aligned.join(single, "guid", "left_semi"))
     texts = transcripts_of(refined, deduplicate, ("refined_start", "refined_end"))

@@ -63,6 +63,13 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Dat
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table read in fewer partitions than there are cores, spread over the cores
+    before work that is heavy per row. Larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 @contextmanager
 def stream_session(spark: SparkSession):
     """Settings for starting a stateful stream. A stream keeps the number of state
