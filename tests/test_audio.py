@@ -29,10 +29,16 @@ def folder(tmp_path):
     peaks[::400] = -30000
     write_wav(tmp_path / "peaks.wav", peaks)
     write_wav(tmp_path / "bytes.wav", (128 + t % 90).astype(np.uint8), width=1)
+    write_wav(tmp_path / "wide.wav", t24(t), width=3)
     (tmp_path / "note.txt").write_text("no audio")
     return tmp_path
 
 
+def t24(t):
+    values = (t - 10000) * 700
+    return np.stack([values & 255, (values >> 8) & 255, (values >> 16) & 255], axis=1).astype(np.uint8)
+
+
 def pcm(folder):
     t = np.arange(20000)
     return {
@@ -41,6 +47,7 @@ def pcm(folder):
         "silence": np.zeros(9000),
         "peaks": np.where(np.arange(16000) % 400 == 0, -30000.0, 100.0),
         "bytes": (t % 90) * 256.0,
+        "wide": (((t - 10000) * 700).astype(np.int32) / 256).astype(np.float32),
     }
 
 
@@ -55,6 +62,17 @@ def test_wav_frames(spark, folder):
     assert {r.guid for r in rows} == set(want)
 
 
+def test_unreadable_files(spark, folder):
+    (folder / "broken.wav").write_bytes(b"RIFF....")
+    (folder / "empty.wav").write_bytes(b"")
+    rows = read_wav(spark, str(folder), mode="PERMISSIVE")
+    assert {r.guid for r in rows.where("error is not null").collect()} == {"broken"}
+    assert rows.where("error is null").select("guid").distinct().count() == len(pcm(folder))
+    assert AU.loudness(rows).count() == len(pcm(folder))
+    with pytest.raises(Exception, match="broken|wave|RIFF|EOF|Error"):
+        read_wav(spark, str(folder)).count()
+
+
 def test_loudness_and_noise(spark, folder):
     frames = read_wav(spark, str(folder))
     got = {r.guid: r for r in AU.needs_denoise(AU.noise_energy(frames)).collect()}

@@ -45,8 +45,8 @@ def recogniser():
 @pytest.fixture
 def world(spark):
     guids = ["good", "again", "talk", "bad", "worse", "gone", "boom"]
-    jobs = [(g, "sermon.mp3", "pending", NOW, 50, 2 if g in ("again", "worse") else 0) for g in guids]
-    jobs.append(("done", "sermon.mp3", "completed", NOW, 50, 0))
+    jobs = [(g, "talk.mp3", "pending", NOW, 50, 2 if g in ("again", "worse") else 0) for g in guids]
+    jobs.append(("done", "talk.mp3", "completed", NOW, 50, 0))
     jobs = conform_jobs(spark.createDataFrame(jobs, JOB))
     listing = spark.createDataFrame([(g, "original") for g in guids if g != "gone"], "guid string, kind string")
     audio = jobs.select("guid", F.concat("guid", F.lit(".mp3")).alias("audio_path"))

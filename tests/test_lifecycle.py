@@ -82,7 +82,7 @@ def test_one_guid_with_most_events(spark):
 
 def job_table(spark, *rows):
     """(guid, status, attempts)"""
-    data = [(g, "sermon.mp3", s, T0, 50, a) for g, s, a in rows]
+    data = [(g, "talk.mp3", s, T0, 50, a) for g, s, a in rows]
     df = spark.createDataFrame(
         data,
         "guid string, filename string, status string, created_at timestamp, processing_time_est bigint, attempt_count int",

@@ -21,7 +21,7 @@ def at(seconds):
 
 def jobs(spark, *rows):
     """(guid, status, seconds after T0, estimate)"""
-    data = [(g, "sermon.mp3", s, at(t), e, 0) for g, s, t, e in rows]
+    data = [(g, "talk.mp3", s, at(t), e, 0) for g, s, t, e in rows]
     return spark.createDataFrame(data, JOB)
 
 

@@ -55,10 +55,14 @@ def test_garbage_against_character_counts(spark):
     assert apply(spark, X.is_garbage, texts) == [rule(t) for t in texts]
 
 
+# The repeated phrase and the repeated word, as Python patterns.
+PHRASE = re.compile(r"\b(\w+\s+\w+(?:\s+\w+){0,3})[.,;!?\s]*(\1)\b", re.I)
+FOUR_WORDS = re.compile(r"\b(\w+)\s+\1\s+\1\s+\1+")
+
+
 def phrase_rule(text):
     """Second copy of the leftmost repeated phrase goes, until none is left."""
-    pattern = re.compile(r"\b(\w+\s+\w+(?:\s+\w+){0,3})[.,;!?\s]*(\1)\b", re.I)
-    while hit := pattern.search(text):
+    while hit := PHRASE.search(text):
         text = text[: hit.start(2)] + text[hit.end(2) :]
     return text
 
@@ -88,10 +92,9 @@ def test_repeated_phrases_over_long_runs(spark):
 
 
 def test_squash(spark):
-    rule = re.compile(r"\b(\w+)\s+\1\s+\1\s+\1+")
     texts = random_texts(4, 5000, ["a", "a ", " ", "ab", "b ", "A", "."], 25)
     texts += ["a a a abc", "no no no no", "No no no no", "no no no nono no"]
-    want = [rule.sub(r"\1", t) for t in texts]
+    want = [FOUR_WORDS.sub(r"\1", t) for t in texts]
     assert apply(spark, X.squash_repeats, texts) == want
     assert want[-4:-2] == ["abc", "no"]
 

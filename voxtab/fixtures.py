@@ -2,7 +2,8 @@
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
@@ -79,17 +80,6 @@ from segments s cross join (values (0), (1), (2), (3), (4)) as p(pass_index)
 where (s.seg_index + p.pass_index) % 6 <> 0""",
 }
 
-# The same in Spark, without a join: the numbers come from a sequence.
-SPARK_VIEWS = {
-    name: VIEWS[name].replace(
-        f"cross join {source}", f"lateral view explode(sequence(0, {last})) {alias} as {column}"
-    )
-    for name, source, alias, column, last in (
-        ("aligned_words", "nation n", "n", "n_nationkey", 24),
-        ("pass_segments", "(values (0), (1), (2), (3), (4)) as p(pass_index)", "p", "pass_index", 4),
-    )
-}
-
 USES = {
     "aligned_words": ("segments",),
     "turns": ("segments",),
@@ -98,7 +88,7 @@ USES = {
 }
 
 
-def with_views(sql: str, *names: str, views: dict[str, str] = VIEWS) -> str:
+def with_views(sql: str, *names: str) -> str:
     """`sql` below the definitions of the views it names, for any engine that has the
     benchmark tables."""
     ordered: list[str] = []
@@ -106,10 +96,86 @@ def with_views(sql: str, *names: str, views: dict[str, str] = VIEWS) -> str:
         for needed in (*USES.get(name, ()), name):
             if needed not in ordered:
                 ordered.append(needed)
-    parts = [f"{name} as ({views[name].strip()})" for name in ordered]
+    parts = [f"{name} as ({VIEWS[name].strip()})" for name in ordered]
     return f"with {', '.join(parts)} {sql.strip()}" if parts else sql.strip()
 
 
+# Three of the views number or add up the rows of a conversation. Spark builds these
+# from chunks of it, since one conversation may hold a large part of all rows.
+
+CHUNK_BITS = 12
+
+
+def _sum_before(df: DataFrame, group: str, order: str, value: Column, out: str) -> DataFrame:
+    """Adds the sum of `value` over the rows of the group with a smaller `order`."""
+    rows = df.withColumn("chunk", F.shiftright(order, CHUNK_BITS)).withColumn("value", value)
+    by_chunk = Window.partitionBy(group).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    in_chunk = Window.partitionBy(group, "chunk").orderBy(order)
+    in_chunk = in_chunk.rowsBetween(Window.unboundedPreceding, -1)
+    chunks = rows.groupBy(group, "chunk").agg(F.sum("value").alias("total"))
+    chunks = chunks.select(
+        group, "chunk", F.coalesce(F.sum("total").over(by_chunk), F.lit(0)).alias("earlier")
+    )
+    before = F.coalesce(F.sum("value").over(in_chunk), F.lit(0))
+    return (
+        rows.withColumn("before", before)
+        .join(chunks, [group, "chunk"])
+        .withColumn(out, F.col("earlier") + F.col("before"))
+        .drop("chunk", "value", "before", "earlier")
+    )
+
+
+def _segments(i: "Inputs") -> DataFrame:
+    turns = _sum_before(i.table("conversations"), "conv_id", "turn", F.length("text"), "chars")
+    return turns.select(
+        F.lpad(F.col("conv_id").cast("string"), 32, "0").alias("guid"),
+        F.col("turn").cast("int").alias("seg_index"),
+        F.col("role").alias("speaker"),
+        "text",
+        (F.col("chars") * 0.0625).alias("seg_start"),
+        ((F.col("chars") + F.length("text")) * 0.0625).alias("seg_end"),
+    )
+
+
+def _aligned_words(i: "Inputs") -> DataFrame:
+    numbers = F.filter(
+        F.sequence(F.lit(0), F.lit(24)), lambda n: (F.col("seg_index") + n) % 3 != 0
+    )
+    spoken = i.view("segments").select("guid", "seg_index", "seg_start")
+    spoken = spoken.where(F.col("seg_index") % 4 != 3)
+    spoken = _sum_before(spoken, "guid", "seg_index", F.size(numbers), "words_before")
+    start = F.col("seg_start") + F.col("n") * 0.75
+    return spoken.select("*", F.posexplode(numbers).alias("pos", "n")).select(
+        "guid",
+        (F.col("words_before") + F.col("pos") + 1).cast("int").alias("word_index"),
+        start.alias("word_start"),
+        (start + 0.5).alias("word_end"),
+        F.concat(F.lit("w"), F.col("n").cast("string")).alias("word"),
+    )
+
+
+def _turns(i: "Inputs") -> DataFrame:
+    heard = (F.col("speaker") == "user") | ~F.col("guid").like("%3")
+    segments = i.view("segments").where((F.col("seg_index") % 5 != 4) & heard)
+    return segments.select("guid", "speaker", "seg_start", "seg_end")
+
+
+def _pass_segments(i: "Inputs") -> DataFrame:
+    passes = F.explode(F.sequence(F.lit(0), F.lit(4))).alias("pass_index")
+    rows = i.view("segments").select("*", passes)
+    return rows.where((F.col("seg_index") + F.col("pass_index")) % 6 != 0).select(
+        "guid", "pass_index", "seg_index", "seg_start", "seg_end", "text"
+    )
+
+
+SPARK_VIEWS = {
+    "segments": _segments,
+    "aligned_words": _aligned_words,
+    "turns": _turns,
+    "pass_segments": _pass_segments,
+}
+
+
 class Inputs:
     """The benchmark tables of a folder and the views over them, as DataFrames."""
 
@@ -125,13 +191,15 @@ class Inputs:
         return reader.option("pathGlobFilter", f"{name}.parquet").parquet(self.folder)
 
     def view(self, name: str) -> DataFrame:
+        if name in SPARK_VIEWS:
+            return SPARK_VIEWS[name](self)
         return self._over(name, {t: self.table(t) for t in self._tables(name)})
 
     def stream_view(self, name: str) -> DataFrame:
         return self._over(name, {t: self.stream(t) for t in self._tables(name)})
 
     def _tables(self, name: str) -> list[str]:
-        words = set(re.findall(r"\w+", with_views("", name, views=VIEWS | SPARK_VIEWS)))
+        words = set(re.findall(r"\w+", with_views("", name)))
         return [t for t in TABLES if t in words]
 
     def _over(self, name: str, tables: dict[str, DataFrame]) -> DataFrame:
@@ -141,7 +209,7 @@ class Inputs:
         for table, df in tables.items():
             df.createOrReplaceTempView(f"{prefix}_{table}")
             binds.append(f"{table} as (select * from {prefix}_{table})")
-        views = with_views(f"select * from {name}", name, views=VIEWS | SPARK_VIEWS)
+        views = with_views(f"select * from {name}", name)
         views = views.removeprefix("with ")
         df = self.spark.sql(f"with {', '.join(binds)}, {views}")
         for table in tables:

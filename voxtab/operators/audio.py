@@ -16,7 +16,7 @@ def frame_stats(frames: DataFrame) -> DataFrame:
     """A few numbers per frame, so that shuffles need not carry samples."""
     channels = F.col("channels") if "channels" in frames.columns else F.lit(1)
     peak = F.greatest(F.array_max("samples"), -F.array_min("samples")).cast("double")
-    return frames.select(
+    return frames.where(F.col("samples").isNotNull()).select(
         "guid",
         "seq",
         "sample_rate",

@@ -70,5 +70,7 @@ FRAMES = T.StructType(
         T.StructField("sample_rate", T.IntegerType()),
         T.StructField("channels", T.IntegerType()),
         T.StructField("samples", T.ArrayType(T.FloatType())),
+        # Set on the single row of a file that could not be read, null elsewhere.
+        T.StructField("error", T.StringType()),
     ]
 )

@@ -21,9 +21,11 @@ def _samples(raw: bytes, width: int) -> np.ndarray:
         return (np.frombuffer(raw, np.uint8).astype(np.float32) - 128) * 256
     if width == 2:
         return np.frombuffer(raw, "<i2").astype(np.float32)
-    if width == 4:
-        return (np.frombuffer(raw, "<i4") / 65536).astype(np.float32)
-    raise ValueError(f"unsupported sample width {width}")
+    if width == 3:
+        low = np.frombuffer(raw, np.uint8).reshape(-1, 3)
+        padded = np.pad(low, ((0, 0), (1, 0))).reshape(-1)
+        return (np.frombuffer(padded.tobytes(), "<i4") / 65536).astype(np.float32)
+    return (np.frombuffer(raw, "<i4") / 65536).astype(np.float32)
 
 
 def _frames(guid: str, content: bytes, seconds: float) -> Iterator[dict]:
@@ -38,20 +40,39 @@ def _frames(guid: str, content: bytes, seconds: float) -> Iterator[dict]:
                 "sample_rate": rate,
                 "channels": channels,
                 "samples": _samples(raw, width),
+                "error": None,
             }
             seq += 1
 
 
-def read_wav(spark: SparkSession, path: str, frame_seconds: float = FRAME_SECONDS) -> DataFrame:
+def read_wav(
+    spark: SparkSession,
+    path: str,
+    frame_seconds: float = FRAME_SECONDS,
+    mode: str = "FAILFAST",
+) -> DataFrame:
     """Frames of all WAV files at a path or glob; the guid is the file name without its
     extension. Samples are in 16-bit units, channels interleaved. A file goes to one
-    task and leaves it as frames of a second each."""
+    task and leaves it as frames of a second each.
+
+    With mode PERMISSIVE a file that is no PCM WAV becomes one row with `error` set
+    instead of failing the job. Empty files give no rows in either mode.
+    """
+    if mode not in ("FAILFAST", "PERMISSIVE"):
+        raise ValueError(f"unknown mode {mode!r}")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for guid, content in zip(batch["guid"], batch["content"], strict=True):
-                for frames in batched(_frames(guid, content, frame_seconds), 60):
-                    yield pd.DataFrame(frames)
+                try:
+                    for frames in batched(_frames(guid, content, frame_seconds), 60):
+                        yield pd.DataFrame(frames)
+                except (wave.Error, EOFError, ValueError) as problem:
+                    if mode == "FAILFAST":
+                        raise
+                    row = dict.fromkeys(FRAMES.names)
+                    row |= {"guid": guid, "error": str(problem) or type(problem).__name__}
+                    yield pd.DataFrame([row], dtype=object)
 
     guid = F.regexp_extract(F.col("_metadata.file_name"), r"(?s)\A(.*?)(?:\.[^.]*)?\z", 1)
     files = (
