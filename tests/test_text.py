@@ -29,6 +29,10 @@ def test_whitespace_is_pythons(spark):
     assert apply(spark, X.word_count, texts) == [len(t.split()) for t in texts]
 
 
+def test_whitespace_list_is_complete():
+    assert set(X.WS_CHARS) == {chr(c) for c in range(0x110000) if chr(c).isspace()}
+
+
 def test_garbage_thresholds(spark):
     cases = {
         "": True,

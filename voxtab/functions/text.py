@@ -16,6 +16,11 @@ from voxtab.constants import (
 # Character classes, written out so that Java, RE2 and Python agree.
 # Whitespace is what Python's str.isspace accepts, alphanumeric what str.isalnum does.
 WS = r"\t-\r\x1c-\x20\x85\p{Z}"
+WS_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 ALNUM = r"\p{L}\p{N}"
 WORD = r"\p{L}\p{N}_"
 
@@ -41,7 +46,7 @@ EXTENSION = r"(?s)(?:^|/)\.*[^./][^/]*?(\.[^./]*)\z"
 
 
 def strip_text(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A[{WS}]+|[{WS}]+\z", "")
+    return F.btrim(text, F.lit(WS_CHARS))
 
 
 def word_count(text: Column) -> Column:
