@@ -5,25 +5,30 @@ from pyspark.sql import functions as F
 
 from voxtab.functions.text import is_garbage
 
-# Time cells for interval matching. A cell of level n is as long as 64^n of level 0.
-# Times beyond the limit share the outermost cells, so a stray bound cannot make an
-# interval cover more than some thousand cells; results stay exact, because each match
-# in an outermost or edge cell is tested on the times themselves.
+# Time cells for interval matching. A cell of level 0 lasts four seconds, one of each
+# further level 64 times as long as one of the level before. Times beyond the limit
+# (four years) share the outermost cells, so a stray bound cannot make an interval cover
+# more than some thousand cells. Results stay exact: wherever a cell may lie partly
+# outside an interval, the times themselves are compared.
+CELL_SECONDS = 4.0
 RADIX_BITS = 6
-LEVELS = 4
-CELL_LIMIT = float(1 << 27)
-MATCH_CELL_SECONDS = 16.0
+LEVELS = 3
+CELL_LIMIT = float(1 << 25)
 
 
-def _cell(time: Column, width: float = 1.0) -> Column:
+def _cell(time: Column) -> Column:
     low, high = F.lit(-CELL_LIMIT), F.lit(CELL_LIMIT)
-    return F.floor(F.least(F.greatest(time / width, low), high)).cast("bigint")
+    return F.floor(F.least(F.greatest(time / CELL_SECONDS, low), high)).cast("bigint")
 
 
 def _up(cell: Column, level: int) -> Column:
     return F.shiftright(cell, RADIX_BITS * level)
 
 
+def _code(cell: Column, level: int) -> Column:
+    return cell * LEVELS + level
+
+
 def with_speakers(jobs: DataFrame, turns: DataFrame, diarized: DataFrame) -> DataFrame:
     """Jobs with `n_speakers`. Without a successful diarization one speaker is assumed;
     a successful one without turns gives 0."""
@@ -61,33 +66,29 @@ def align_words(segments: DataFrame, words: DataFrame) -> DataFrame:
     most 65 cells, a word is in one cell of every level. So one recording spreads over
     many tasks, and a segment of any length makes a bounded number of rows.
     """
-    width = MATCH_CELL_SECONDS
-    lo, hi = _cell(F.col("seg_start"), width), _cell(F.col("seg_end"), width)
-    span = 1 << RADIX_BITS
-    level = F.lit(LEVELS - 1)
+    lo, hi = F.col("lo"), F.col("hi")
+    bounds = segments.select(
+        "guid",
+        "seg_index",
+        "seg_start",
+        "seg_end",
+        _cell(F.col("seg_start")).alias("lo"),
+        _cell(F.col("seg_end")).alias("hi"),
+    ).where(lo <= hi)
+    codes = _run(_up(lo, LEVELS - 1), _up(hi, LEVELS - 1), LEVELS - 1)
     for n in reversed(range(LEVELS - 1)):
-        level = F.when(_up(hi, n) - _up(lo, n) <= span, n).otherwise(level)
-    bounds = segments.select("guid", "seg_index", "seg_start", "seg_end", lo.alias("lo"), hi.alias("hi"))
-    bounds = bounds.where(F.col("lo") <= F.col("hi")).withColumn("level", level)
-    ranges = F.lit(None)
-    for n in range(LEVELS):
-        cells = F.sequence(_up(F.col("lo"), n), _up(F.col("hi"), n))
-        ranges = F.when(F.col("level") == n, cells).otherwise(ranges)
-    pieces = bounds.withColumn("cell", F.explode(ranges)).drop("lo", "hi")
-
-    cell = _cell(F.col("word_start"), width)
-    grid = F.array(
-        *[
-            F.struct(F.lit(n).alias("level"), _up(cell, n).alias("cell"))
-            for n in range(LEVELS)
-        ]
-    )
-    placed = _timed(words).withColumn("at", F.explode(grid)).select("*", "at.*").drop("at")
+        fits = _up(hi, n) - _up(lo, n) <= 1 << RADIX_BITS
+        codes = F.when(fits, _run(_up(lo, n), _up(hi, n), n)).otherwise(codes)
+    pieces = bounds.withColumn("code", F.explode(codes)).drop("lo", "hi")
+
+    cell = _cell(F.col("word_start"))
+    grid = F.array(*[_code(_up(cell, n), n) for n in range(LEVELS)])
+    placed = _timed(words).withColumn("code", F.explode(grid))
     inside = F.col("word_start").between(F.col("seg_start"), F.col("seg_end"))
     pairs = (
-        pieces.join(placed, ["guid", "level", "cell"])
+        pieces.join(placed, ["guid", "code"])
         .where(inside)
-        .drop("level", "cell", "seg_start", "seg_end")
+        .drop("code", "seg_start", "seg_end")
     )
     return segments.join(pairs, ["guid", "seg_index"], "left")
 
@@ -97,40 +98,30 @@ def _timed(words: DataFrame) -> DataFrame:
     return words.where(start.isNotNull() & ~F.isnan(start))
 
 
-def _code(cell: Column, level: int) -> Column:
-    return cell * 8 + level
+def _run(first: Column, last: Column, level: int) -> Column:
+    codes = F.sequence(_code(first, level), _code(last, level), F.lit(LEVELS).cast("bigint"))
+    return F.when(first <= last, codes).otherwise(F.array().cast("array<bigint>"))
+
+
+def _inner(lo: Column, hi: Column, level: int) -> tuple[Column, Column]:
+    """First and last cell of a level that lie wholly between the cells lo and hi."""
+    size = 1 << (RADIX_BITS * level)
+    return _up(lo + size, level), _up(hi, level) - 1
 
 
 def _cover(lo: Column, hi: Column) -> Column:
-    """Cells of all levels that tile the level-0 cells lo..hi, at most 63 on each side
-    per level."""
-    parts = []
-    for n in range(LEVELS):
-        first, last = _inner(lo, hi, n)
-        if n == LEVELS - 1:
-            parts.append(_run(first, last, n))
-            continue
+    """Cells of all levels that tile the level-0 cells lo..hi. Those of higher levels
+    touch neither lo nor hi; each level adds at most 65 on either side, the highest
+    what is left."""
+    parts, first, last = [], lo, hi
+    for n in range(LEVELS - 1):
         up_first, up_last = _inner(lo, hi, n + 1)
         split = up_first <= up_last
         left = F.when(split, F.shiftleft(up_first, RADIX_BITS) - 1).otherwise(last)
         right = F.when(split, F.shiftleft(up_last + 1, RADIX_BITS)).otherwise(last + 1)
         parts += [_run(first, left, n), _run(right, last, n)]
-    return F.concat(*parts)
-
-
-def _inner(lo: Column, hi: Column, level: int) -> tuple[Column, Column]:
-    """First and last cell of a level that lie wholly inside lo..hi."""
-    size = 1 << (RADIX_BITS * level)
-    return _up(lo + (size - 1), level), _up(hi + 1, level) - 1
-
-
-def _run(first: Column, last: Column, level: int) -> Column:
-    codes = F.sequence(_code(first, level), _code(last, level), F.lit(8).cast("bigint"))
-    return F.when(first <= last, codes).otherwise(F.array().cast("array<bigint>"))
-
-
-# Code of a level-0 cell that lists its words by start time instead of as a whole.
-EDGE = 7
+        first, last = up_first, up_last
+    return F.concat(*parts, _run(first, last, LEVELS - 1))
 
 
 def refine_segments(segments: DataFrame, words: DataFrame) -> DataFrame:
@@ -138,15 +129,13 @@ def refine_segments(segments: DataFrame, words: DataFrame) -> DataFrame:
     end of the last matching word in file order, or the segment's own bounds if no
     word starts inside it.
 
-    Only the first and last word of a stretch of time matter, so no word-segment pairs
-    are made. Words are summed up per cell and level; a segment reads the few cells
-    that tile its inside, and the start times within its two edge cells.
+    Only the first and last word of a stretch of time matter, so a segment is not
+    paired with all words inside it. Words are summed up per cell of each higher level
+    and, in cells of level 0, per start time; a segment reads the cells that tile it.
     """
     cell = _cell(F.col("word_start"))
-    codes = F.array(
-        *[_code(_up(cell, n), n) for n in range(LEVELS)], _code(cell, EDGE)
-    )
-    at = F.when(F.pmod("code", F.lit(8)) == EDGE, F.col("word_start"))
+    codes = F.array(*[_code(_up(cell, n), n) for n in range(LEVELS)])
+    at = F.when(F.pmod("code", F.lit(LEVELS)) == 0, F.col("word_start"))
     cells = (
         _timed(words)
         .select("guid", "word_index", "word_start", "word_end", F.explode(codes).alias("code"))
@@ -161,11 +150,8 @@ def refine_segments(segments: DataFrame, words: DataFrame) -> DataFrame:
     )
 
     lo, hi = _cell(F.col("seg_start")), _cell(F.col("seg_end"))
-    edges = F.array_distinct(F.array(_code(lo, EDGE), _code(hi, EDGE)))
-    reads = F.concat(edges, _cover(lo + 1, hi - 1))
-    bounded = segments.where(F.col("seg_start") <= F.col("seg_end"))
-    pieces = bounded.select(
-        "guid", "seg_index", "seg_start", "seg_end", F.explode(reads).alias("code")
+    pieces = segments.where(F.col("seg_start") <= F.col("seg_end")).select(
+        "guid", "seg_index", "seg_start", "seg_end", F.explode(_cover(lo, hi)).alias("code")
     )
     inside = F.col("at").isNull() | F.col("at").between(F.col("seg_start"), F.col("seg_end"))
     found = (
