@@ -25,7 +25,7 @@ from voxtab.operators import scoring as S
 from voxtab.operators.ordered import collect_in_order
 from voxtab.plans import selection
 from voxtab.plans.batch import process_jobs
-from voxtab.session import configure, spread
+from voxtab.session import configure, materialize, spread
 from voxtab.sources.alignment import parse_alignment
 from voxtab.sources.jobs import append_jobs, conform_jobs, evolve_schema
 from voxtab.streaming import lifecycle as stream_lifecycle
@@ -142,8 +142,9 @@ def guid_validity(i):
 
 
 def admitted(i: Inputs) -> DataFrame:
+    """The admitted submissions, written once: later steps read them several times."""
     checked = A.admit(i.view("submissions"), i.view("jobs"))
-    return checked.where(F.col("reason") == C.ADMITTED)
+    return materialize(checked.where(F.col("reason") == C.ADMITTED), "admitted")
 
 
 @query

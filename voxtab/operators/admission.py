@@ -30,11 +30,14 @@ def admit(submissions: DataFrame, jobs: DataFrame) -> DataFrame:
     checked = submissions.withColumn("reason", own_reason)
     refused = checked.where(F.col("reason").isNotNull())
     valid = checked.where(F.col("reason").isNull()).drop("reason")
+    # Never null here; saying so keeps both uses of `firsts` one plan, run once.
+    valid = valid.withColumn("guid", F.coalesce("guid", F.lit("")))
 
-    # One row per guid, combined on the map side, decides for all its submissions.
+    # One row per guid, combined on the map side, decides for all its submissions. The
+    # job table only meets these rows: a small batch goes to the jobs, not the reverse.
     firsts = valid.groupBy("guid").agg(F.min("arrival").alias("first_arrival"))
-    known = jobs.join(firsts, "guid", "left_semi").select("guid").distinct()
-    fresh = firsts.join(known, "guid", "left_anti")
+    known = jobs.select("guid").join(firsts, "guid")
+    fresh = firsts.join(known, ["guid", "first_arrival"], "left_anti")
     wins = F.col("arrival") == F.col("first_arrival")
     reason = F.when(wins, C.ADMITTED).otherwise(C.REJECT_KNOWN_GUID)
     decided = (
@@ -42,7 +45,7 @@ def admit(submissions: DataFrame, jobs: DataFrame) -> DataFrame:
         .withColumn("reason", reason)
         .drop("first_arrival")
     )
-    return decided.unionByName(refused)
+    return decided.select(*checked.columns).unionByName(refused)
 
 
 def admission_eta(admitted: DataFrame, jobs: DataFrame, now) -> DataFrame:

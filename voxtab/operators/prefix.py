@@ -23,9 +23,11 @@ def preceding_sums(df: DataFrame, key: Column, value: Column) -> DataFrame:
     blocks of one zone. The last window sees zones only: timestamps of all years from
     1 to 9999 make under 300 thousand of them, however many rows there are.
     """
+    # Spark must know that keys are not null. Else it adds a null test of its own for
+    # each join below, the three uses of `points` differ, and it sums them three times.
     points = (
-        df.select(key.alias("key"), value.alias("value"))
-        .where(F.col("key").isNotNull())
+        df.where(key.isNotNull())
+        .select(F.coalesce(key, F.lit(0)).alias("key"), value.alias("value"))
         .groupBy("key")
         .agg(F.coalesce(F.sum("value"), F.lit(0)).alias("own"))
         .withColumn("block", F.shiftright("key", BLOCK_BITS))
