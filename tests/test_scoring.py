@@ -79,6 +79,18 @@ def test_scores_and_first_best(spark):
     assert best == {"a": 1, "zero": 0, "short": 4}
 
 
+def test_a_pass_that_heard_nothing_scores_zero(spark):
+    rows = [
+        ("later", 2, 0.5, 9, 0.0), ("later", 1, 0.4, 9, 0.0),  # pass 0 is silent and first
+        ("first", 0, 0.5, 9, 0.0), ("first", 3, 0.9, 9, 0.0),
+        ("heard", 4, 0.1, 90, 9.0),
+        ("below", 0, -0.1, 90, 9.0), ("below", 1, -0.2, 90, 9.0),
+    ]
+    scored = S.score_passes(spark.createDataFrame(rows, SCORE))
+    best = {r.guid: (r.pass_index, r.confidence) for r in S.best_pass(scored).collect()}
+    assert best == {"later": (0, 0.0), "first": (0, 0.5), "heard": (4, 0.1), "below": (2, 0.0)}
+
+
 def test_fan_out(spark):
     df = spark.createDataFrame([("a",), ("b",)], "guid string")
     rows = S.fan_out_passes(df).orderBy("guid", "pass_index").collect()

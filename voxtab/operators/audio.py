@@ -131,7 +131,9 @@ def resolve_audio(jobs: DataFrame, listing: DataFrame) -> DataFrame:
     )
     own_ext = file_ext(F.col("filename"))
     found = F.coalesce(
-        F.col("has_original") & (F.col("ext").isNull() | (F.col("ext") == own_ext)),
+        F.col("has_original")
+        & F.col("filename").isNotNull()
+        & (F.col("ext").isNull() | (F.col("ext") == own_ext)),
         F.lit(False),
     )
     suffix = dict(C.ARTIFACT_SUFFIXES)[C.ARTIFACT_PROCESSED]

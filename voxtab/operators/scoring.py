@@ -122,15 +122,25 @@ def score_passes(scores: DataFrame) -> DataFrame:
     )
 
 
-def best_pass(scores: DataFrame) -> DataFrame:
-    """Per guid the pass of highest adjusted confidence, the first one of equals."""
+def best_pass(scores: DataFrame, passes=C.PASSES) -> DataFrame:
+    """Per guid the pass of highest adjusted confidence, the first one of equals. A pass
+    without a row heard nothing and scores 0; it wins where it comes first and no pass
+    scores more."""
     order = F.struct(F.col("adjusted"), (-F.col("pass_index")).alias("first"))
     best = F.max(F.struct(order.alias("order"), "pass_index", "confidence")).alias("b")
-    return scores.groupBy("guid").agg(best).select(
+    indexes = F.array(*[F.lit(row[0]) for row in passes])
+    silent = F.array_min(F.array_except(indexes, F.collect_set("pass_index")))
+    top = scores.groupBy("guid").agg(best, silent.alias("silent"))
+
+    adjusted, own = F.col("b.order.adjusted"), F.col("b.pass_index")
+    silent_wins = (adjusted < 0) | ((adjusted == 0) & (F.col("silent") < own))
+    silent_wins = F.coalesce(silent_wins & F.col("silent").isNotNull(), F.lit(False))
+    zero = F.lit(0.0)
+    return top.select(
         "guid",
-        F.col("b.pass_index").alias("pass_index"),
-        F.col("b.confidence").alias("confidence"),
-        F.col("b.order.adjusted").alias("adjusted"),
+        F.when(silent_wins, F.col("silent")).otherwise(own).alias("pass_index"),
+        F.when(silent_wins, zero).otherwise(F.col("b.confidence")).alias("confidence"),
+        F.when(silent_wins, zero).otherwise(adjusted).alias("adjusted"),
     )
 
 

@@ -123,9 +123,12 @@ scored as (
   select *, case when wps < 1.4e0 then confidence * (wps / 1.4e0) else confidence end as adjusted,
     duration_sec > 5 and word_count < floor(duration_sec / 4) as suspiciously_short
   from rated),
-best as (
-  select * from (select *, row_number() over (partition by guid order by adjusted desc, pass_index) as rank_no from scored)
-  where rank_no = 1)"""
+ranked as (
+  select g.guid, p.pass_index, coalesce(s.confidence, 0e0) as confidence, coalesce(s.adjusted, 0e0) as adjusted,
+    row_number() over (partition by g.guid order by coalesce(s.adjusted, 0e0) desc, p.pass_index) as rank_no
+  from (select distinct guid from scored) g cross join (values (0), (1), (2), (3), (4)) p(pass_index)
+  left join scored s on g.guid = s.guid and p.pass_index = s.pass_index),
+best as (select * from ranked where rank_no = 1)"""
 
 WORD_SCORES = f"""{CONFIDENCE},
 scores as (
