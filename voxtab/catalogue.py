@@ -456,9 +456,9 @@ def dedupe_stream(i):
 
 @query
 def monitor_stream(i):
-    running, folder = monitor.queue_monitor_stream(
-        i.stream_view("job_events"), i.view("jobs"), every=None
-    )
+    estimates = i.view("jobs").select("guid", "processing_time_est")
+    events = i.stream_view("job_events").join(estimates, "guid", "left")
+    running, folder = monitor.queue_monitor_stream(events, every=None)
     running.awaitTermination()
     history = monitor.queue_history(i.spark, folder)
     return history.orderBy(F.desc("batch_id")).limit(1).drop("batch_id")

@@ -9,15 +9,20 @@ from pyspark.sql import functions as F
 from voxtab import constants as C
 from voxtab.operators.scoring import fan_out_passes
 from voxtab.schemas import RECOGNISED
+from voxtab.session import spread
 
 
 def transcribe_batch(
     audio: DataFrame,
     make_recogniser: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]],
     passes=C.PASSES,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Run a recogniser over (guid, audio_path), once per pass.
 
+    A list of paths is small and would be read in a few partitions, while each row of it
+    is long work: it is spread over `tasks` tasks, or at least over all cores.
+
     `make_recogniser` is called once per task and returns a function, so a model is
     loaded once for all batches of the task. The function gets a batch of guid,
     audio_path and the pass parameters and returns rows of `schemas.RECOGNISED`:
@@ -30,6 +35,7 @@ def transcribe_batch(
             yield recognise(batch)
 
     requests = fan_out_passes(audio.select("guid", "audio_path"), passes)
+    requests = requests.repartition(tasks) if tasks else spread(requests)
     return requests.mapInPandas(run, RECOGNISED)
 
 

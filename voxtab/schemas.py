@@ -60,6 +60,8 @@ JOB_EVENTS = T.StructType(
         T.StructField("seq", T.LongType()),
         T.StructField("ts", T.TimestampType()),
         T.StructField("outcome", T.StringType()),
+        # The job's estimate, on any of its events, for the queue monitor.
+        T.StructField("processing_time_est", T.LongType()),
     ]
 )
 

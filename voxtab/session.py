@@ -19,6 +19,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Long texts and whole audio files go to Python in bounded batches.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
 }
 
 STREAM_SETTINGS = {
@@ -36,9 +38,12 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is named."""
+    """The folder that the cluster names for checkpoints. In local mode, where one machine
+    does all work, a temporary one stands in."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="voxtab-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

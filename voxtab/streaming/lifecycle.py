@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from voxtab import constants as C
 from voxtab.operators.lifecycle import FINAL_OUTCOMES, GARBAGE, STARTED
 from voxtab.schemas import JOB_EVENTS
+from voxtab.sources.jobs import evolve_schema
 
 # What decides a guid's state, whatever the order in which its events arrive: the
 # first completed or error event, the first `cap` garbage events and the last event.
@@ -25,10 +26,11 @@ STATE = T.StructType(
         T.StructField("garbage_ms", T.ArrayType(T.LongType())),
         T.StructField("max_seq", T.LongType()),
         T.StructField("running", T.BooleanType()),
+        T.StructField("estimate", T.LongType()),
         T.StructField("status", T.StringType()),
     ]
 )
-NEW_JOB = (0, None, None, None, None, [], [], None, None, None)
+NEW_JOB = (0, None, None, None, None, [], [], None, None, 0, None)
 
 UPDATES = T.StructType(
     [
@@ -39,8 +41,10 @@ UPDATES = T.StructType(
         T.StructField("attempt_count", T.IntegerType()),
         T.StructField("last_seq", T.LongType()),
         T.StructField("completed_ms", T.LongType()),
-        T.StructField("was_pending", T.BooleanType()),
         T.StructField("expired", T.BooleanType()),
+        # What the update changes in the queue.
+        T.StructField("pending_delta", T.LongType()),
+        T.StructField("wait_delta", T.LongType()),
     ]
 )
 
@@ -52,7 +56,11 @@ def decisive_rows(events: pd.DataFrame, cap: int) -> pd.DataFrame:
     final = events[events["outcome"].isin(FINAL_OUTCOMES)].groupby("guid").head(1)
     last = events.groupby("guid").tail(1)
     first = events.sort_values("ts", kind="stable").groupby("guid").head(1)
-    keep = garbage.index.union(final.index).union(last.index).union(first.index)
+    estimated = events.dropna(subset="processing_time_est")
+    estimated = estimated.sort_values("processing_time_est", kind="stable").groupby("guid").tail(1)
+    keep = garbage.index
+    for part in (final, last, first, estimated):
+        keep = keep.union(part.index)
     return events.loc[keep]
 
 
@@ -74,12 +82,13 @@ class LifecycleProcessor(StatefulProcessor):
             job["version"] = max(0, timerValues.getCurrentWatermarkInMs())
         for row in rows:
             self._merge(job, row.seq, row.ms, row.outcome)
+            job["estimate"] = max(job["estimate"], row.processing_time_est or 0)
         out = self._settle(job)
         job["version"], job["status"] = job["version"] + 1, out["status"]
         self.state.update(tuple(job[name] for name in STATE.names))
         if out["completed_ms"] is not None and old["status"] != out["status"]:
             self.handle.registerTimer(job["created_ms"] + self.retention_ms)
-        yield self._row(key, job["version"], old["status"], out, expired=False)
+        yield self._row(key, old, job, out, expired=False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         job = self.state.get()
@@ -91,7 +100,8 @@ class LifecycleProcessor(StatefulProcessor):
         due = job["created_ms"] + self.retention_ms
         if out["completed_ms"] is not None and expiredTimerInfo.getExpiryTimeInMs() >= due:
             self.state.clear()
-            yield self._row(key, job["version"] + 1, job["status"], out, expired=True)
+            left = job | {"version": job["version"] + 1}
+            yield self._row(key, job, left, out, expired=True)
 
     def close(self) -> None:
         pass
@@ -129,16 +139,18 @@ class LifecycleProcessor(StatefulProcessor):
             "completed_ms": end_ms,
         }
 
-    def _row(self, key, version: int, old_status: str | None, out: dict, expired: bool) -> Row:
+    def _row(self, key, old: dict, job: dict, out: dict, expired: bool) -> Row:
+        before, now = old["status"] == C.PENDING, job["status"] == C.PENDING
         return Row(
             guid=key[0],
-            version=version,
+            version=job["version"],
             status=out["status"],
             attempt_count=out["attempt_count"],
             last_seq=out["last_seq"],
             completed_ms=out["completed_ms"],
-            was_pending=old_status == C.PENDING,
             expired=expired,
+            pending_delta=int(now) - int(before),
+            wait_delta=now * job["estimate"] - before * old["estimate"],
         )
 
 
@@ -154,7 +166,7 @@ def lifecycle_stream(
     job goes a day after its first event, with a last row marked `expired`; a later
     event of that guid starts a new job.
 
-    Each Arrow batch is first cut down to the rows that can matter, at most cap + 3 per
+    Each Arrow batch is first cut down to the rows that can matter, at most cap + 4 per
     guid, so a guid with a large part of all events sends little through the shuffle.
     """
 
@@ -162,6 +174,7 @@ def lifecycle_stream(
         for batch in batches:
             yield decisive_rows(batch, cap)
 
+    events = evolve_schema(events, {"processing_time_est": (None, "bigint")})
     slim = events.select(*JOB_EVENTS.names).mapInPandas(combine, JOB_EVENTS)
     updates = (
         slim.withWatermark("ts", lateness)
@@ -185,5 +198,5 @@ def latest_states(updates: DataFrame) -> DataFrame:
     newest = F.max_by(F.struct(*names), F.col("version")).alias("s")
     return (
         updates.groupBy("guid").agg(newest).select("guid", "s.*").where(~F.col("expired"))
-        .drop("expired", "was_pending")
+        .drop("expired", "pending_delta", "wait_delta")
     )

@@ -11,40 +11,32 @@ from voxtab.streaming.lifecycle import lifecycle_stream
 DELTAS = "batch_id bigint, pending_delta bigint, wait_delta bigint"
 
 
-def queue_deltas(updates: DataFrame, estimates: DataFrame) -> DataFrame:
+def queue_deltas(updates: DataFrame) -> DataFrame:
     """How much one batch of job states changes the pending count and the wait."""
-    pending = (F.col("status") == C.PENDING) & ~F.col("expired")
-    change = pending.cast("bigint") - F.col("was_pending").cast("bigint")
-    est = F.coalesce("processing_time_est", F.lit(0)).cast("bigint")
-    return (
-        updates.select("guid", change.alias("change"))
-        .where(F.col("change") != 0)
-        .join(estimates.select("guid", "processing_time_est"), "guid", "left")
-        .agg(
-            F.coalesce(F.sum("change"), F.lit(0)).alias("pending_delta"),
-            F.coalesce(F.sum(F.col("change") * est), F.lit(0)).alias("wait_delta"),
-        )
+    return updates.agg(
+        F.coalesce(F.sum("pending_delta"), F.lit(0)).alias("pending_delta"),
+        F.coalesce(F.sum("wait_delta"), F.lit(0)).alias("wait_delta"),
     )
 
 
 def queue_monitor_stream(
     events: DataFrame,
-    estimates: DataFrame,
     folder: str | None = None,
     cap: int = C.GARBAGE_CAP,
     every: str | None = "30 seconds",
     **lifecycle,
 ):
-    """Start the monitor: (query, folder). Each batch of states adds one row to the
-    folder, so a batch costs what it changes and not what is stored; a batch that is
-    run again overwrites its own row. With `every=None` the stream runs over what is
-    there and ends."""
+    """Start the monitor over events that carry `processing_time_est`: (query, folder).
+
+    Each batch of states adds one row to the folder, so a batch costs what it changes and
+    not what is stored; a batch that is run again overwrites its own row. With
+    `every=None` the stream runs over what is there and ends."""
     spark = events.sparkSession
     folder = folder or run_folder(spark, "monitor")
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        rows = queue_deltas(batch, estimates).withColumn("batch_id", F.lit(batch_id))
-        rows.coalesce(1).write.mode("overwrite").parquet(f"{folder}/deltas/run={batch_id}")
+        rows = queue_deltas(batch).withColumn("batch_id", F.lit(batch_id))
+        rows.write.mode("overwrite").parquet(f"{folder}/deltas/run={batch_id}")
 
     trigger = {"processingTime": every} if every else {"availableNow": True}
     with stream_session(spark):
