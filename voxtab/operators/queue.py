@@ -111,16 +111,16 @@ def wait_ahead(jobs: DataFrame) -> DataFrame:
 def status_report(jobs: DataFrame) -> DataFrame:
     """Every job as its client sees it.
 
-    Only in-flight jobs need the queue ahead of them; all others, with their
-    transcripts, pass through without a shuffle.
+    Only in-flight jobs need the queue ahead of them, and nothing but their own few
+    columns for it; all others, with their transcripts, pass through without a shuffle.
     """
     status = F.col("status")
-    live = wait_ahead(jobs)
+    live = wait_ahead(jobs.select("guid", "status", "created_at", "processing_time_est"))
     eta = status_eta(F.col("created_at"), F.col("ahead_sec"), F.col("processing_time_est"))
     live = live.withColumn("eta", eta)
     rest = jobs.where(status.isNull() | ~status.isin(*C.IN_FLIGHT_STATUSES))
     rest = rest.withColumn("eta", F.lit(None).cast("string"))
-    rows = live.drop("ahead_sec").unionByName(rest)
+    rows = rest.unionByName(live.drop("ahead_sec"), allowMissingColumns=True)
 
     done = status.isin(*C.DONE_STATUSES)
     failed = status.isin(*C.FAILED_STATUSES)

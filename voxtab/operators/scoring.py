@@ -146,4 +146,4 @@ def best_pass(scores: DataFrame, passes=C.PASSES) -> DataFrame:
 
 def select_best(segments: DataFrame, best: DataFrame) -> DataFrame:
     """Only the segments of the winning pass."""
-    return segments.join(best.select("guid", "pass_index"), ["guid", "pass_index"], "left_semi")
+    return segments.join(best, ["guid", "pass_index"], "left_semi")

@@ -83,5 +83,7 @@ def job_outcomes(
 
 def process_jobs(jobs: DataFrame, *inputs: DataFrame, now, **options) -> DataFrame:
     """The job table after every pending job has been processed once; arguments as in
-    `job_outcomes`."""
-    return apply_outcomes(jobs, job_outcomes(jobs, *inputs, now=now, **options))
+    `job_outcomes`. Jobs that are not pending pass through without a shuffle."""
+    outcomes = job_outcomes(jobs, *inputs, now=now, **options)
+    others = jobs.where(F.col("status").isNull() | (F.col("status") != C.PENDING))
+    return apply_outcomes(pending(jobs), outcomes).unionByName(others)
