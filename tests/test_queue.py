@@ -45,6 +45,18 @@ def test_wait_counts_only_strictly_earlier_jobs(spark):
     assert got == {"a": 0, "b": 0, "c": 110, "e": 180}
 
 
+def test_wait_reads_the_jobs_once_for_its_sums(spark, tmp_path):
+    path = str(tmp_path / "jobs")
+    write_jobs(jobs(spark, *[(f"g{k}", "pending", k % 7, 10) for k in range(50)]), path)
+    df = Q.wait_ahead(read_jobs(spark, path)).select("guid", "ahead_sec")
+    assert df.count() == 50
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("ReusedExchange") == 2 and plan.count("FileScan") == 2
+    assert plan.count("Exchange SinglePartition") == 1
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
 def test_status_report(spark):
     df = conform_jobs(
         jobs(
