@@ -1,5 +1,7 @@
 """SQL for DuckDB that gives the rows of the queries, where SQL can say it."""
 
+from voxtab.llm import secret_scan
+
 SQL = {
     "op1_url_filter": r"""
 with parts as (
@@ -36,3 +38,35 @@ select query_id, cast(rank as integer) as rank, vec_id, score
 from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored)
 where rank <= 10""",
 }
+
+
+def _spans_sql(kind: secret_scan.Kind, place: int) -> str:
+    p = kind.pattern.replace("'", "''")
+    least = f"and length(regexp_extract(m[i], '{p}', {kind.group})) >= {kind.least}" if kind.least else ""
+    return f"""
+select doc_id, {place} as place, '{kind.name}' as kind, '{kind.part}' as part,
+  cast(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) as bigint) as s,
+  length(m[i]) as n
+from (select doc_id, m, g, unnest(range(1, len(m) + 1)) as i
+  from (select doc_id, regexp_extract_all(t, '{p}') as m, string_split_regex(t, '{p}') as g from docs))
+where length(m[i]) > 0 {least}"""
+
+
+SQL["op2_secrets"] = f"""
+with docs as (select doc_id, coalesce(text, '') as t from documents),
+parts as materialized ({" union all ".join(_spans_sql(k, i) for i, k in enumerate(secret_scan.KINDS))}),
+spans as (
+  select * from parts p
+  where place < {len(secret_scan.STRONG)} or exists (
+    select 1 from parts o where o.doc_id = p.doc_id and o.part <> p.part
+      and o.s - (p.s + p.n) <= {secret_scan.REACH} and p.s - (o.s + o.n) <= {secret_scan.REACH})),
+named as (select doc_id, place, kind, s, kind || ':' || s || ':' || (s + n) as span from spans),
+lists as (
+  select doc_id, count(*) filter (where place = 0) as n_assign, count(*) filter (where place = 1) as n_access,
+    count(*) filter (where place = 2) as n_hex,
+    string_agg(span, ',' order by s, place) filter (where place < 3) as base,
+    string_agg(span, ',' order by s, place) as spans
+  from named group by doc_id)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access,
+  coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from docs left join lists using (doc_id)"""

@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxtab.llm import packing, topk, url_filter
+from voxtab.llm import packing, secret_scan, topk, url_filter
 from voxtab.llm.common import table
 from voxtab.llm.oracles import SQL  # noqa: F401
 
@@ -23,6 +23,23 @@ def op1_url_filter(spark, sf_dir):
     return url_filter.filter_urls(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
+@query
+def op2_secrets(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secret_scan.scan(docs)
+    strong = [k.name for k in secret_scan.STRONG]
+    base = F.filter("secret_spans", lambda s: s.kind.isin(strong))
+    counts = [
+        F.expr(f"cast(size(filter(secret_spans, s -> s.kind = '{n}')) as bigint)").alias(f"n_{n}")
+        for n in strong
+    ]
+    return found.select(
+        "doc_id", *counts,
+        F.sha2(secret_scan.listed(base), 256).alias("base_sha256"),
+        secret_scan.listed(F.col("secret_spans")).alias("spans"),
+    )
+
+
 @query
 def op9_packing(spark, sf_dir):
     import public_tokenizers
