@@ -19,7 +19,7 @@ WINDOWS = 64
 # Tokens that a window is left short of, so that near-equal ones fit.
 SLACK = 16
 # Words whose ids a worker remembers, and bytes of the longest that it does.
-KNOWN_WORDS = 1 << 20
+KNOWN_WORDS = 1 << 19
 KNOWN_BYTES = 64
 # Bytes of text that are encoded together: the more, the fewer words to look up.
 TEXT_BYTES = 12 << 20

@@ -5,8 +5,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxtab.llm import packing, secret_scan, topk, url_filter
+from voxtab.llm import packing, quality_classifier, secret_scan, topk, toxicity, url_filter
 from voxtab.llm.common import table
+from voxtab.llm.labelled import fold
 from voxtab.llm.oracles import SQL  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +41,28 @@ def op2_secrets(spark, sf_dir):
     )
 
 
+def scored(df: DataFrame, held_out) -> DataFrame:
+    return df.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
+@query
+def op6_toxicity(spark, sf_dir):
+    docs, labels = (table(spark, sf_dir, name) for name in ("documents", "labels"))
+    held_out = fold(F.col("doc_id"), 4) == 2
+    model = toxicity.fit(docs, labels, ~held_out)
+    return scored(toxicity.score(docs.select("doc_id", "text"), model), held_out)
+
+
+@query
+def op8_quality(spark, sf_dir):
+    docs, labels = (table(spark, sf_dir, name) for name in ("documents", "labels"))
+    held_out = fold(F.col("doc_id"), 5) == 0
+    model = quality_classifier.fit(docs, labels, ~held_out)
+    return scored(quality_classifier.score(docs.select("doc_id", "text"), model), held_out)
+
+
 @query
 def op9_packing(spark, sf_dir):
     import public_tokenizers
