@@ -10,6 +10,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from voxtab.llm.common import in_chunks, split_words, text_bytes
 from voxtab.llm.labelled import labelled_sample
@@ -178,7 +179,7 @@ def score(docs: DataFrame, fitted: Fitted, text: str = "text") -> DataFrame:
     empty one has only the indicator of its length. Repeated rows score alike; a column of the
     input named score gives way. Every row is scored where it is read."""
     kept = docs.drop("score")
-    schema = kept.schema.add("score", "double")
+    schema = StructType([*kept.schema.fields, StructField("score", DoubleType())])
     place = kept.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

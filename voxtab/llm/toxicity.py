@@ -12,6 +12,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from voxtab.llm.common import in_chunks, split_words, text_bytes
 from voxtab.llm.labelled import labelled_sample
@@ -248,7 +249,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     one is scored as padding alone. Repeated rows score alike; a column of the input named
     score gives way. Every row is scored where it is read."""
     kept = docs.drop("score")
-    schema = kept.schema.add("score", "double")
+    schema = StructType([*kept.schema.fields, StructField("score", DoubleType())])
     place = kept.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
