@@ -70,3 +70,41 @@ lists as (
 select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access,
   coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
 from docs left join lists using (doc_id)"""
+
+_WORDS = r"[^\x20\x09-\x0D]+"
+SQL["op7_quality_rules"] = f"""
+with docs as (select doc_id, coalesce(source, '') as host, coalesce(text, '') as t from documents),
+words as materialized (select doc_id, host, t, regexp_extract_all(t, '{_WORDS}') as w from docs),
+lines as materialized (
+  select doc_id, host, t, line, len(regexp_extract_all(line, '{_WORDS}')) as n,
+    regexp_replace(translate(array_to_string(regexp_extract_all(line, '{_WORDS}'), ' '),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g') as norm
+  from (select doc_id, host, t, unnest(string_split(t, chr(10))) as line from docs)
+  where regexp_matches(line, '{_WORDS}')),
+repeats as (
+  select doc_id, sum(k - 1) as n_dup_lines
+  from (select doc_id, line, count(*) as k from lines group by all) group by doc_id),
+windows as (
+  select doc_id, i, w[i] as a, w[i + 1] as b, w[i + 2] as c
+  from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from words)),
+twice as (select doc_id, a, b, c from windows group by all having count(*) > 1),
+covered as (
+  select doc_id, count(distinct i + d) as n_repeat_words
+  from windows join twice using (doc_id, a, b, c), (values (0), (1), (2)) shift(d) group by doc_id),
+counts as (
+  select host, norm, count(distinct t) as texts, arg_min(t, doc_id) as first from lines group by all),
+hosts as (select host, count(distinct t) as host_texts from docs group by host),
+gone as (
+  select l.doc_id, sum(l.n) as n_removed_words
+  from lines l join counts c on l.host = c.host and l.norm = c.norm join hosts h on h.host = l.host
+  where c.texts > 20 and 100 * c.texts > host_texts and l.t <> c.first group by l.doc_id),
+stats as (
+  select doc_id, cast(len(w) as bigint) as n_words,
+    cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as bigint) as word_chars,
+    cast(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
+    cast(coalesce(n_dup_lines, 0) as bigint) as n_dup_lines,
+    cast(coalesce(n_repeat_words, 0) as bigint) as n_repeat_words,
+    cast(coalesce(n_removed_words, 0) as bigint) as n_removed_words
+  from words left join repeats using (doc_id) left join covered using (doc_id) left join gone using (doc_id)),
+failed as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from stats)
+select *, not base_failed and 100 * n_removed_words <= 50 * n_words as kept from failed"""

@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxtab.llm import packing, quality_classifier, secret_scan, topk, toxicity, url_filter
+from voxtab.llm import packing, quality_classifier, quality_rules, secret_scan, topk, toxicity, url_filter
 from voxtab.llm.common import table
 from voxtab.llm.labelled import fold
 from voxtab.llm.oracles import SQL  # noqa: F401
@@ -55,6 +55,15 @@ def op6_toxicity(spark, sf_dir):
     return scored(toxicity.score(docs.select("doc_id", "text"), model), held_out)
 
 
+@query
+def op7_quality_rules(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return quality_rules.judge(docs).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "n_removed_words", "base_failed", "kept",
+    )
+
+
 @query
 def op8_quality(spark, sf_dir):
     docs, labels = (table(spark, sf_dir, name) for name in ("documents", "labels"))
