@@ -108,3 +108,22 @@ stats as (
   from words left join repeats using (doc_id) left join covered using (doc_id) left join gone using (doc_id)),
 failed as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from stats)
 select *, not base_failed and 100 * n_removed_words <= 50 * n_words as kept from failed"""
+
+SQL["op3_ngram_join"] = f"""
+with recursive words as materialized (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '{_WORDS}') as w from documents),
+sets as materialized (
+  select distinct doc_id, array_to_string(w[i:i + 4], ' ') as s
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) as i from words)),
+sizes as materialized (select doc_id, count(*) as n from sets group by doc_id),
+common as (
+  select x.doc_id as a, y.doc_id as b, count(*) as k from sets x join sets y using (s)
+  where x.doc_id <> y.doc_id group by all),
+links as materialized (
+  select a, b from common join sizes p on p.doc_id = a join sizes q on q.doc_id = b
+  where 100 * k >= 75 * (p.n + q.n - k)),
+reach(doc_id, other) as (
+  select doc_id, doc_id from documents union select r.doc_id, l.b from reach r join links l on l.a = r.other)
+select doc_id, coalesce(n, 0) as n_shingles, least_id as component_id
+from (select doc_id, min(other) as least_id from reach group by doc_id) left join sizes using (doc_id)"""
