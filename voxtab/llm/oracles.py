@@ -127,3 +127,28 @@ reach(doc_id, other) as (
   select doc_id, doc_id from documents union select r.doc_id, l.b from reach r join links l on l.a = r.other)
 select doc_id, coalesce(n, 0) as n_shingles, least_id as component_id
 from (select doc_id, min(other) as least_id from reach group by doc_id) left join sizes using (doc_id)"""
+
+SQL["op5_suffix_dedup"] = """
+with docs as materialized (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+windows as materialized (
+  select doc_id, i, sha256(substr(h, 2 * i + 1, 100)) as w
+  from (select doc_id, h, unnest(range(0, greatest(length(h) // 2 - 49, 0))) as i from docs)),
+firsts as (select w, min(doc_id) as least_id from windows group by w),
+repeats as (select doc_id, i from windows join firsts using (w) where doc_id > least_id),
+steps as (
+  select doc_id, i, case when i <= lag(i) over (partition by doc_id order by i) + 50 then 0 else 1 end as new
+  from repeats),
+spans as (
+  select doc_id, min(i) as a, max(i) + 50 as b
+  from (select doc_id, i, sum(new) over (partition by doc_id order by i) as k from steps)
+  group by doc_id, k),
+edges as (
+  select doc_id, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) as before from spans),
+cuts as (
+  select doc_id, count(*) as n_spans, sum(b - a) as n_removed, max(b) as last,
+    string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' order by a) as kept
+  from edges join docs using (doc_id) group by doc_id)
+select doc_id, length(h) // 2 as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed,
+  coalesce(n_spans, 0) as n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) as kept_sha256
+from docs left join cuts using (doc_id)"""

@@ -185,8 +185,8 @@ def clean(docs: DataFrame, judged: DataFrame, host: str = "source") -> DataFrame
     found = judged.where("kept").select(
         F.col("host").alias("__host"), F.col("key").alias("__key"), "removed_lines"
     ).dropDuplicates(["__host", "__key"])
-    schema = docs.schema
-    place = docs.columns.index("text")
+    schema, names = docs.schema, docs.columns
+    place = names.index("text")
 
     def hashed(batches):
         for batch in batches:
@@ -199,15 +199,15 @@ def clean(docs: DataFrame, judged: DataFrame, host: str = "source") -> DataFrame
         for batch in batches:
             texts = []
             for text, gone in zip(
-                batch.column(place).to_pylist(), batch.column(len(schema)).to_pylist(), strict=True
+                batch.column(place).to_pylist(), batch.column(len(names)).to_pylist(), strict=True
             ):
                 drop = set(gone or ())
                 if drop and text:
                     text = "\n".join(x for x in text.split("\n") if line_hash(x.encode()) not in drop)
                 texts.append(text)
-            columns = list(batch.columns[: len(schema)])
+            columns = list(batch.columns[: len(names)])
             columns[place] = pa.array(texts, columns[place].type)
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     keyed = docs.mapInArrow(hashed, StructType([*schema.fields, StructField("__own", LongType())]))
     same = (F.col("__own") == F.col("__key")) & (
