@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxtab.llm import ngram_join, packing, quality_classifier, quality_rules, secret_scan, suffix_dedup, topk, toxicity, url_filter
+from voxtab.llm import mixing, ngram_join, packing, quality_classifier, quality_rules, secret_scan, suffix_dedup, topk, toxicity, url_filter
 from voxtab.llm.common import table
 from voxtab.llm.labelled import fold
 from voxtab.llm.oracles import SQL  # noqa: F401
@@ -46,6 +46,12 @@ def op3_ngram_join(spark, sf_dir):
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query
+def op4_mixing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return mixing.mix(docs).drop("text")
+
+
 @query
 def op5_suffix_dedup(spark, sf_dir):
     cut = suffix_dedup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
