@@ -409,7 +409,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     )
     whole = marks.select("doc_id", "whole")
     flags = whole.join(parts, "doc_id", "full").select(
-        F.col("doc_id").alias("__id"), "whole", "around", "places"
+        F.col("doc_id").alias("__id"), *[F.col(n).alias(f"__{n}") for n in ("whole", "around", "places")]
     )
     joined = packed(docs).join(flags, F.col("doc_id") == F.col("__id"), "left").drop("__id")
     others = [f for f in docs.schema.fields if f.name != "text"]
@@ -424,7 +424,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             texts = unpacked(batch.column(batch.schema.names.index("text")))
-            lists = [batch.column(batch.schema.names.index(n)).to_pylist() for n in ("whole", "around", "places")]
+            lists = [batch.column(batch.schema.names.index(n)).to_pylist() for n in ("__whole", "__around", "__places")]
             ids = batch.column(batch.schema.names.index("doc_id")).to_pylist()
             for a, b in in_chunks(texts, CHUNK):
                 some = [t if i is not None else b"" for t, i in zip(texts[a:b], ids[a:b], strict=True)]
