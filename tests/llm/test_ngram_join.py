@@ -79,9 +79,9 @@ def test_first_elements_meet():
     levels = rng.integers(0, 4, N.TABLE).astype(np.uint8)
     for _ in range(300):
         n = int(rng.integers(1, 60))
-        a = np.unique(rng.integers(0, 1 << 48, n))
+        a = np.unique(rng.integers(0, 1 << 40, n))
         b = a[rng.random(len(a)) > 0.12]
-        extra = rng.integers(0, 1 << 48, int(rng.integers(0, n // 8 + 1)))
+        extra = rng.integers(0, 1 << 40, int(rng.integers(0, n // 8 + 1)))
         b = np.unique(np.concatenate([b, extra]))
         common = len(np.intersect1d(a, b))
         if common and 100 * common >= 75 * (len(a) + len(b) - common):
@@ -99,12 +99,12 @@ def test_boundary_by_cost():
 def test_sketches_never_lose_a_pair():
     rng = np.random.default_rng(1)
     for _ in range(100):
-        a = np.unique(rng.integers(0, 1 << 48, 300))
-        b = np.unique(np.concatenate([a[: rng.integers(200, 300)], rng.integers(0, 1 << 48, 20)]))
+        a = np.unique(rng.integers(0, 1 << 40, 300))
+        b = np.unique(np.concatenate([a[: rng.integers(200, 300)], rng.integers(0, 1 << 40, 20)]))
         apart = len(np.setxor1d(a, b))
         bits = np.frombuffer(N.sketch_of(a), np.uint8) ^ np.frombuffer(N.sketch_of(b), np.uint8)
         assert np.bitwise_count(bits).sum() <= apart
-        assert (N.unpack_elements(N.pack_elements(a.astype(np.uint64) << np.uint64(16))) == a).all()
+        assert (N.unpack_elements(N.pack_elements(a.astype(np.uint64) << np.uint64(24))) == a).all()
 
 
 def test_shingles():

@@ -24,11 +24,15 @@ from voxtab.llm.components import components
 from voxtab.llm.shingles import mixed, shingle_sets
 
 WIDTH, PERCENT = 5, 75
+# Bytes of a shingle's hash that are kept.
+ELEMENT_BYTES = 5
 # Bits of a set's parity sketch, and elements by which the first round lists a set.
 SKETCH_BITS = 1024
 LISTED = 6
 # Members of a list that each is compared with in the first round.
 NEIGHBOURS = 3
+# Elements before a frequent one that its list entries name.
+EARLIER = 4
 # Largest size that can count as small; buckets of the tables of fixed size that tasks get.
 SMALLEST_LARGE = 64
 TABLE = 1 << 22
@@ -39,13 +43,14 @@ SETS = "doc_id long, n int, id long, low array<long>, sketch binary, elements bi
 
 
 def pack_elements(values: np.ndarray) -> bytes:
-    """Sorted hashes, the upper 48 bits of each."""
-    return (values >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    """Sorted hashes, the upper bits of each."""
+    upper = (values >> np.uint64(64 - 8 * ELEMENT_BYTES)).astype("<u8")
+    return upper.view(np.uint8).reshape(-1, 8)[:, :ELEMENT_BYTES].tobytes()
 
 
 def unpack_elements(data: bytes) -> np.ndarray:
-    wide = np.zeros((len(data) // 6, 8), np.uint8)
-    wide[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    wide = np.zeros((len(data) // ELEMENT_BYTES, 8), np.uint8)
+    wide[:, :ELEMENT_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, ELEMENT_BYTES)
     return wide.view("<i8").ravel()
 
 
@@ -137,7 +142,7 @@ def frequency_levels(sets: DataFrame) -> tuple[np.ndarray, int]:
             parts = [np.zeros(0, np.int64)]
             for data in batch.column(0).to_pylist():
                 own = unpack_elements(data)
-                parts.append(own[: prefix_length(len(own)) + len(own) // 16 + 4])
+                parts.append(own[: prefix_length(len(own)) + len(own) // 32 + 2])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts))], names=["element"])
 
     counts = (
@@ -204,48 +209,69 @@ def size_costs(sets: DataFrame, levels: np.ndarray, start: int) -> list[tuple[in
 
 
 def postings(sets: DataFrame, levels: np.ndarray, boundary: int) -> DataFrame:
-    """Keys under which sets (id, n, part, elements) are listed: key, id, n, part. Pairs of first elements for small sets;
-    single ones for large sets and those small ones that may be like a large one."""
-
-    def keys_of(elements: np.ndarray) -> np.ndarray:
+    """Keys under which sets (id, n, part, elements, sketch) are listed: key, id, part, n, place,
+    hint. Pairs of first elements for small sets; single ones for large sets and those small
+    ones that may be like a large one. place: of the key's first element in the set's order.
+    hint, for frequent elements only: the set's sketch, then the EARLIER elements before it."""
+    bits = 8 * ELEMENT_BYTES
+    mask = np.uint64((1 << bits) - 1)
+
+    def keys_of(elements: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n = len(elements)
         first = first_elements(elements, levels, 1).astype(np.uint64)
-        found = []
-        if n <= boundary and len(first) > 1:
-            i, j = np.triu_indices(len(first), 1)
+        level = levels[(first % np.uint64(TABLE)).astype(np.int64)]
+        keys, places, frequent = [], [], []
+        if n <= boundary:
+            i, j = np.triu_indices(len(first), 1) if n > 1 else (np.zeros(1, int), np.zeros(1, int))
             low, high = np.minimum(first[i], first[j]), np.maximum(first[i], first[j])
-            found.append(mixed(mixed(low + np.uint64(1)) + high))
-        if n <= boundary and len(first) == 1:
-            found.append(mixed(first))
+            keys.append((mixed(mixed(low + np.uint64(1)) + high) & mask) + np.uint64(1 << bits))
+            places.append(i)
+            frequent.append(np.zeros(len(i), bool))
         if n > boundary or 100 * n >= PERCENT * (boundary + 1):
-            found.append(mixed(first[: prefix_length(n)] + np.uint64(1 << 60)))
-        return np.concatenate(found).astype(np.int64)
+            p = prefix_length(n)
+            keys.append(first[:p])
+            places.append(np.arange(p))
+            frequent.append(level[:p] > 0)
+        return np.concatenate(keys).astype(np.int64), np.concatenate(places), np.concatenate(frequent)
+
+    def hints_of(keys, places, frequent, sketch: bytes) -> list[bytes | None]:
+        single = keys[keys < 1 << bits]
+        offset = len(keys) - len(single)
+        before = np.concatenate([np.full(EARLIER, -1, np.int64), single])
+        return [
+            sketch + before[k - offset : k - offset + EARLIER].astype("<i8").tobytes() if f else None
+            for k, f in enumerate(frequent)
+        ]
 
     def run(batches):
         for batch in batches:
             found = [keys_of(unpack_elements(d)) for d in batch.column(3).to_pylist()]
-            counts = [len(f) for f in found]
+            hints = [
+                h for f, s in zip(found, batch.column(4).to_pylist(), strict=True) for h in hints_of(*f, s)
+            ]
+            counts = [len(f[0]) for f in found]
+            which = pa.array(np.repeat(np.arange(batch.num_rows), counts))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate([np.zeros(0, np.int64), *found])),
-                    pa.array(np.repeat(batch.column(0).to_numpy(), counts), pa.int64()),
-                    pa.array(np.repeat(batch.column(1).to_numpy(), counts), pa.int32()),
-                    pa.array(np.repeat(batch.column(2).to_numpy(), counts), pa.int64()),
+                    pa.array(np.concatenate([np.zeros(0, np.int64), *(f[0] for f in found)])),
+                    *(batch.column(k).take(which) for k in (0, 2, 1)),
+                    pa.array(np.concatenate([np.zeros(0, int), *(f[1] for f in found)]).astype(np.int32)),
+                    pa.array(hints, pa.binary()),
                 ],
-                names=["key", "id", "n", "part"],
+                names=["key", "id", "part", "n", "place", "hint"],
             )
 
-    return sets.mapInArrow(run, "key long, id long, n int, part long")
+    return sets.mapInArrow(run, "key long, id long, part long, n int, place int, hint binary")
 
 
 def sizes_fit(n, m):
     return (100 * F.least(n, m)) >= PERCENT * F.greatest(n, m)
 
 
-def first_round(small: DataFrame) -> DataFrame:
+def first_round(sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of sets next to each other in lists of single elements: each list in an
     order of its own, so that members of a large family meet others each time."""
-    listed = small.where(F.col("low").isNotNull()).select("id", "n", F.explode("low").alias("element"))
+    listed = sets.where(F.col("low").isNotNull()).select("id", "n", F.explode("low").alias("element"))
     window = Window.partitionBy("element").orderBy(F.xxhash64("element", "id"), "id")
     before = F.array(*[F.lag(F.struct("id", "n"), d).over(window) for d in range(1, NEIGHBOURS + 1)])
     listed = listed.withColumn("before", before)
@@ -256,70 +282,120 @@ def first_round(small: DataFrame) -> DataFrame:
     return pairs.where("a <> b").distinct()
 
 
+def may_be_like(n, m, place, other):
+    """Whether sets of these sizes may still be alike if the elements at these places are the
+    first that they share: enough must follow in both. True at least where they are the first."""
+    fit = 100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)
+    most = np.minimum(n - place, m - other)
+    return fit & ((100 + PERCENT) * most >= PERCENT * (n + m))
+
+
+def sketches_fit(apart, both):
+    """Whether sets with sizes that add up to `both` may be alike if they differ in at least
+    `apart` elements."""
+    return 100 * (both - apart) * (100 + PERCENT) >= 200 * PERCENT * both
+
+
+def pairs_of_list(own, group, size, at, hints) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of members of different components that may be alike. Hints, where a list has
+    them, drop pairs whose sketches are too far apart, and those that share one of the elements
+    just before this: these met there already."""
+    values, counts = np.unique(group, return_counts=True)
+    minor = group != values[counts.argmax()]
+    after = np.arange(len(own))
+    sketch = earlier = None
+    if all(h is not None for h in hints):
+        data = np.frombuffer(b"".join(hints), np.uint8).reshape(len(own), -1)
+        sketch = data[:, : SKETCH_BITS // 8]
+        earlier = np.ascontiguousarray(data[:, SKETCH_BITS // 8 :]).view("<i8")
+    for i in np.flatnonzero(minor):
+        fit = may_be_like(size, size[i], at, at[i]) & (group != group[i]) & (~minor | (after > i))
+        which = np.flatnonzero(fit)
+        if sketch is not None and len(which):
+            apart = np.bitwise_count(sketch[which] ^ sketch[i]).sum(axis=1, dtype=np.int64)
+            which = which[sketches_fit(apart, size[which] + size[i])]
+            mine = earlier[i][earlier[i] >= 0]
+            which = which[~np.isin(earlier[which], mine).any(axis=1)]
+        if len(which):
+            yield np.minimum(own[which], own[i]), np.maximum(own[which], own[i])
+
+
 def list_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of sets of different components from rows (key, id, n, part) in order of their keys.
-
-    Of each list, the largest component's members are not compared with each other."""
-    rest = [np.zeros(0, np.int64)] * 4
-
-    def pairs(key, ids, n, part):
-        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else []
-        ends = np.append(starts[1:], len(key)) if len(key) else []
-        for s, e in zip(starts, ends, strict=True):
-            if e - s > 1 and (part[s:e] != part[s]).any():
-                own, size, group = ids[s:e], n[s:e], part[s:e]
-                values, counts = np.unique(group, return_counts=True)
-                minor = np.flatnonzero(group != values[counts.argmax()])
-                for i in minor:
-                    fit = 100 * np.minimum(size, size[i]) >= PERCENT * np.maximum(size, size[i])
-                    fit &= (group != group[i]) & (own != own[i])
-                    others = own[fit]
-                    if len(others):
-                        yield np.minimum(others, own[i]), np.maximum(others, own[i])
-
-    def emit(key, ids, n, part):
-        held = 0
-        found = []
-        for a, b in pairs(key, ids, n, part):
-            found.append((a, b))
-            held += len(a)
-            if held > 100_000:
-                yield unique(found)
-                found, held = [], 0
+    """Pairs of sets of different components from rows of `postings` in order of their keys. Of
+    each list, the largest component's members are not compared with each other."""
+
+    def emit(rows: pa.RecordBatch):
+        key, ids, n, place = (rows.column(k).to_numpy().astype(np.int64) for k in (0, 1, 3, 4))
+        part = rows.column(2).fill_null(0).to_numpy()
+        part = np.where(rows.column(2).is_null().to_numpy(zero_copy_only=False), ids, part)
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, int)
+        sizes = np.diff(np.append(starts, len(key)))
+        several = (
+            np.logical_or.reduceat(part != np.repeat(part[starts], sizes), starts) if len(key) else sizes > 1
+        )
+        held, found = 0, []
+        for s, m in zip(starts[several].tolist(), sizes[several].tolist(), strict=True):
+            columns = (c[s : s + m] for c in (ids, part, n, place))
+            for a, b in pairs_of_list(*columns, rows.column(5).slice(s, m).to_pylist()):
+                found.append((a, b))
+                held += len(a)
+                if held > 1_000_000:
+                    yield unique(found)
+                    held, found = 0, []
         if found:
             yield unique(found)
 
     def unique(found):
         both = np.stack([np.concatenate(c) for c in zip(*found, strict=True)], axis=1)
-        both = np.unique(both, axis=0)
+        both = both[np.lexsort((both[:, 1], both[:, 0]))]
+        both = both[np.append(True, (both[1:] != both[:-1]).any(axis=1))]
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
+    rest: list[pa.RecordBatch] = []
     for batch in batches:
-        columns = [
-            np.concatenate([r, batch.column(k).to_numpy().astype(np.int64)]) for k, r in enumerate(rest)
-        ]
-        open_from = int(np.searchsorted(columns[0], columns[0][-1])) if len(columns[0]) else 0
-        yield from emit(*(c[:open_from] for c in columns))
-        rest = [c[open_from:] for c in columns]
-    yield from emit(*rest)
+        for whole in pa.Table.from_batches([*rest, batch]).combine_chunks().to_batches():
+            key = whole.column(0).to_numpy()
+            last = int(np.searchsorted(key, key[-1]))
+            yield from emit(whole.slice(0, last))
+            rest = [whole.slice(last)]
+    for whole in rest:
+        yield from emit(whole)
+
+
+def marked(ids: DataFrame) -> np.ndarray:
+    """A table of fixed size that marks the buckets of ids."""
+    return fixed_table(ids.select(F.pmod("id", F.lit(TABLE)).alias("bucket"), F.lit(1).alias("value")))
+
+
+def among(rows: DataFrame, marks: np.ndarray, wanted: bool) -> DataFrame:
+    """Rows (id first) whose bucket is marked, or those whose is not, before any shuffle."""
+
+    def run(batches):
+        for batch in batches:
+            hit = marks[batch.column(0).to_numpy() % TABLE] > 0
+            yield batch.filter(pa.array(hit if wanted else ~hit))
+
+    return rows.mapInArrow(run, rows.schema)
 
 
 def exact_round(sets: DataFrame, parts: DataFrame, levels: np.ndarray, boundary: int) -> DataFrame:
-    """Pairs (a, b) that share a key, may be alike by size and are not connected yet. parts: the
-    component (root) of sets that have one."""
-    known = parts.select(F.col("node").alias("id"), "root")
-    chosen = sets.where(F.col("elements").isNotNull()).join(known, "id", "left")
-    chosen = chosen.select("id", "n", F.coalesce("root", "id").alias("part"), "elements")
-    rows = postings(chosen, levels, boundary)
+    """Pairs (a, b) that share a key, may be alike and are not connected yet. parts: the component
+    (root) of sets that have one; a set without is its own, and is not shuffled to learn that."""
+    known = parts.select(F.col("node").alias("id"), F.col("root").alias("part"))
+    marks = marked(known)
+    chosen = sets.where(F.col("elements").isNotNull()).select("id", "n", "elements", "sketch")
+    columns = ["id", "n", "part", "elements", "sketch"]
+    alone = among(chosen, marks, False).withColumn("part", F.lit(None).cast("long")).select(columns)
+    together = among(chosen, marks, True).join(known, "id", "left").select(columns)
+    rows = postings(alone.unionByName(together), levels, boundary)
     listed = rows.repartition("key").sortWithinPartitions("key")
-    found = listed.mapInArrow(list_pairs, "a long, b long")
-    return found.distinct()
+    return listed.mapInArrow(list_pairs, "a long, b long").distinct()
 
 
-def alike(sets: DataFrame, small: DataFrame, pairs: DataFrame) -> DataFrame:
+def alike(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs whose sets are alike. Sketches bound the overlap of most others well enough to
     drop them; the rest are compared element by element."""
-    known = small.where(F.col("sketch").isNotNull()).groupBy("id").agg(
+    known = sets.where(F.col("sketch").isNotNull()).groupBy("id").agg(
         F.first("n").alias("n"), F.first("sketch").alias("sketch")
     )
     sides = pairs.join(known.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a")), "a")
@@ -333,21 +409,13 @@ def alike(sets: DataFrame, small: DataFrame, pairs: DataFrame) -> DataFrame:
             ]
             apart = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1).astype(np.int64)
             both = batch.column(2).to_numpy().astype(np.int64) + batch.column(4).to_numpy()
-            fit = 100 * (both - apart) * (100 + PERCENT) >= 200 * PERCENT * both
-            yield batch.filter(pa.array(fit)).select(["a", "b"])
+            yield batch.filter(pa.array(sketches_fit(apart, both))).select(["a", "b"])
 
     sides = sides.select("a", "b", "n_a", "s_a", "n_b", "s_b")
     close = cut(sides.mapInArrow(bounded, "a long, b long"))
     ids = close.select(F.col("a").alias("id")).unionByName(close.select(F.col("b").alias("id")))
-    wanted = fixed_table(ids.select(F.pmod("id", F.lit(TABLE)).alias("bucket"), F.lit(1).alias("value")))
-
-    def chosen(batches):
-        for batch in batches:
-            keep = wanted[batch.column(0).to_numpy() % TABLE] > 0
-            yield batch.filter(pa.array(keep))
-
     full = sets.where(F.col("elements").isNotNull()).select("id", "elements")
-    full = full.mapInArrow(chosen, "id long, elements binary")
+    full = among(full, marked(ids), True)
     full = full.groupBy("id").agg(F.first("elements").alias("elements"))
     left = close.join(full.select(F.col("id").alias("a"), F.col("elements").alias("e_a")), "a")
     both = left.join(full.select(F.col("id").alias("b"), F.col("elements").alias("e_b")), "b")
@@ -374,18 +442,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     equal sets are one class from the start. Rows without an id take part and get the smallest
     id of their component, null if it has none. Columns needed: doc_id, text.
 
-    Shingles are 64-bit hashes, of which comparisons use 48 bits.
+    Shingles are 64-bit hashes; sizes come from these, comparisons use 40 of their bits.
     """
     sets = cut(shingle_table(docs))
-    small = cut(sets.drop("elements"))
     levels, start = frequency_levels(sets)
     boundary = choose_boundary(size_costs(sets, levels, start))
-    first = cut(alike(sets, small, first_round(small)))
+    first = cut(alike(sets, first_round(sets)))
     roots = components(first)
-    second = alike(sets, small, exact_round(sets, roots, levels, boundary))
+    second = alike(sets, exact_round(sets, roots, levels, boundary))
     merged = components(cut(first.unionByName(second)))
     nodes = merged.select(F.col("node").alias("id"), "root")
-    known = small.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "id").join(nodes, "id", "left")
+    known = sets.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "id").join(nodes, "id", "left")
     known = known.withColumn("root", F.coalesce("root", "id"))
     lowest = known.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("lowest"))
     return known.join(lowest, "root", "left").select(
