@@ -25,7 +25,7 @@ from voxtab.operators import scoring as S
 from voxtab.operators.ordered import collect_in_order
 from voxtab.plans import selection
 from voxtab.plans.batch import process_jobs
-from voxtab.session import configure, materialize, spread
+from voxtab.session import configure, cut
 from voxtab.sources.alignment import parse_alignment
 from voxtab.sources.jobs import append_jobs, conform_jobs, evolve_schema
 from voxtab.streaming import lifecycle as stream_lifecycle
@@ -142,14 +142,13 @@ def guid_validity(i):
 
 
 def admitted(i: Inputs) -> DataFrame:
-    """The admitted submissions, written once: later steps read them several times."""
     checked = A.admit(i.view("submissions"), i.view("jobs"))
-    return materialize(checked.where(F.col("reason") == C.ADMITTED), "admitted")
+    return checked.where(F.col("reason") == C.ADMITTED)
 
 
 @query
 def admission_eta(i):
-    eta = A.admission_eta(admitted(i), i.view("jobs"), now())
+    eta = A.admission_eta(cut(admitted(i)), i.view("jobs"), now())
     return eta.select(
         "arrival", "guid", "processing_time_est", "ahead_sec", "estimated_completion_utc"
     )
@@ -231,19 +230,19 @@ def assemble_transcript(i):
 
 @query
 def garbage_flags(i):
-    return spread(i.table("documents")).select("doc_id", is_garbage(F.col("text")).alias("garbage"))
+    return i.table("documents").select("doc_id", is_garbage(F.col("text")).alias("garbage"))
 
 
 @query
 def boundary_duplicates(i):
-    return spread(i.table("documents")).select(
+    return i.table("documents").select(
         "doc_id", remove_boundary_duplicates(F.col("text")).alias("text")
     )
 
 
 @query
 def squash_repeated_words(i):
-    return spread(i.table("documents")).select("doc_id", squash_repeats(F.col("text")).alias("text"))
+    return i.table("documents").select("doc_id", squash_repeats(F.col("text")).alias("text"))
 
 
 @query

@@ -187,7 +187,12 @@ class Inputs:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def stream(self, name: str) -> DataFrame:
-        reader = self.spark.readStream.schema(self.table(name).schema)
+        """A table as a stream: of its part files where it is a folder, else of the one file."""
+        table = self.table(name)
+        reader = self.spark.readStream.schema(table.schema)
+        path = f"{self.folder}/{name}.parquet"
+        if any(not f.rstrip("/").endswith(f"/{name}.parquet") for f in table.inputFiles()):
+            return reader.parquet(path)
         return reader.option("pathGlobFilter", f"{name}.parquet").parquet(self.folder)
 
     def view(self, name: str) -> DataFrame:

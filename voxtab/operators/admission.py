@@ -17,8 +17,9 @@ def admit(submissions: DataFrame, jobs: DataFrame) -> DataFrame:
     """Submissions with `reason`: `admitted`, or the first check that failed.
 
     Checks in order: file, file name, guid present, guid valid, guid unused. Of valid
-    submissions with one new guid the first to arrive is admitted. Those that fail a
-    check on their own columns skip the joins.
+    submissions with one new guid the first to arrive is admitted, exactly one: those
+    without an arrival come last, and equal arrivals are told apart by their other
+    columns. Those that fail a check on their own columns skip the joins.
     """
     guid = F.col("guid")
     own_reason = (
@@ -35,17 +36,22 @@ def admit(submissions: DataFrame, jobs: DataFrame) -> DataFrame:
 
     # One row per guid, combined on the map side, decides for all its submissions. The
     # job table only meets these rows: a small batch goes to the jobs, not the reverse.
-    firsts = valid.groupBy("guid").agg(F.min("arrival").alias("first_arrival"))
-    known = jobs.select("guid").join(firsts, "guid")
-    fresh = firsts.join(known, ["guid", "first_arrival"], "left_anti")
-    wins = F.col("arrival") == F.col("first_arrival")
-    reason = F.when(wins, C.ADMITTED).otherwise(C.REJECT_KNOWN_GUID)
-    decided = (
-        valid.join(fresh, "guid", "left")
-        .withColumn("reason", reason)
-        .drop("first_arrival")
-    )
-    return decided.select(*checked.columns).unionByName(refused)
+    others = sorted(set(submissions.columns) - {"arrival", "guid"})
+    order = F.struct(F.col("arrival").isNull().alias("late"), "arrival", *others)
+    valid = valid.withColumn("order", order)
+    firsts = valid.groupBy("guid").agg(F.min("order").alias("first"))
+    known = jobs.select("guid").join(firsts, "guid", "left_semi")
+    fresh = firsts.join(known, "guid", "left_anti")
+    decided = valid.join(fresh, "guid", "left")
+    wins = F.col("first").isNotNull() & F.col("order").eqNullSafe(F.col("first"))
+    lost = decided.where(~wins).withColumn("reason", F.lit(C.REJECT_KNOWN_GUID))
+    # Rows alike in every column tie: they are counted, and one of them wins.
+    alike = decided.where(wins).groupBy(*submissions.columns).agg(F.count("*").alias("n"))
+    ranked = alike.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    reason = F.when(F.col("i") == 1, C.ADMITTED).otherwise(C.REJECT_KNOWN_GUID)
+    won = ranked.withColumn("reason", reason)
+    names = checked.columns
+    return won.select(*names).unionByName(lost.select(*names)).unionByName(refused)
 
 
 def admission_eta(admitted: DataFrame, jobs: DataFrame, now) -> DataFrame:

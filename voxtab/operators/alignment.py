@@ -6,21 +6,35 @@ from pyspark.sql import functions as F
 from voxtab.functions.text import is_garbage
 
 # Time cells for interval matching. A cell of level 0 lasts four seconds, one of each
-# further level 64 times as long as one of the level before. Times beyond the limit
-# (four years) share the outermost cells, so a stray bound cannot make an interval cover
-# more than some thousand cells. Results stay exact: wherever a cell may lie partly
+# further level 64 times as long as one of the level before: the highest lasts more than
+# a hundred years. Segments are cut to the span of their recording's words, so bounds
+# without end cover no more than that. Results are exact: wherever a cell may lie partly
 # outside an interval, the times themselves are compared.
 CELL_SECONDS = 4.0
 RADIX_BITS = 6
-LEVELS = 3
-CELL_LIMIT = float(1 << 25)
+LEVELS = 6
+# Doubles beyond this are no longer whole seconds apart.
+LAST_CELL = float(1 << 51)
 
 
 def _cell(time: Column) -> Column:
-    low, high = F.lit(-CELL_LIMIT), F.lit(CELL_LIMIT)
+    low, high = F.lit(-LAST_CELL), F.lit(LAST_CELL)
     return F.floor(F.least(F.greatest(time / CELL_SECONDS, low), high)).cast("bigint")
 
 
+def _within(segments: DataFrame, words: DataFrame) -> DataFrame:
+    """Segments that may have words, with `lo` and `hi`: the first and last cell that both
+    they and the words of their recording reach."""
+    spans = _timed(words).groupBy("guid").agg(
+        F.min("word_start").alias("w_first"), F.max("word_start").alias("w_last")
+    )
+    lo = _cell(F.greatest("seg_start", "w_first"))
+    hi = _cell(F.least("seg_end", "w_last"))
+    placed = segments.where(F.col("seg_start") <= F.col("seg_end")).join(spans, "guid")
+    placed = placed.withColumn("lo", lo).withColumn("hi", hi).drop("w_first", "w_last")
+    return placed.where(F.col("lo") <= F.col("hi"))
+
+
 def _up(cell: Column, level: int) -> Column:
     return F.shiftright(cell, RADIX_BITS * level)
 
@@ -64,17 +78,11 @@ def align_words(segments: DataFrame, words: DataFrame) -> DataFrame:
 
     An equi-join on time cells: a segment takes the finest level at which it spans at
     most 65 cells, a word is in one cell of every level. So one recording spreads over
-    many tasks, and a segment of any length makes a bounded number of rows.
+    many tasks, and a segment of any length makes a bounded number of rows. Segments
+    without words are added, so a segment with most of the words is no key of a join.
     """
     lo, hi = F.col("lo"), F.col("hi")
-    bounds = segments.select(
-        "guid",
-        "seg_index",
-        "seg_start",
-        "seg_end",
-        _cell(F.col("seg_start")).alias("lo"),
-        _cell(F.col("seg_end")).alias("hi"),
-    ).where(lo <= hi)
+    bounds = _within(segments, words)
     codes = _run(_up(lo, LEVELS - 1), _up(hi, LEVELS - 1), LEVELS - 1)
     for n in reversed(range(LEVELS - 1)):
         fits = _up(hi, n) - _up(lo, n) <= 1 << RADIX_BITS
@@ -88,9 +96,11 @@ def align_words(segments: DataFrame, words: DataFrame) -> DataFrame:
     pairs = (
         pieces.join(placed, ["guid", "code"])
         .where(inside)
-        .drop("code", "seg_start", "seg_end")
+        .drop("code")
     )
-    return segments.join(pairs, ["guid", "seg_index"], "left")
+    matched = pairs.select("guid", "seg_index").distinct()
+    silent = segments.join(matched, ["guid", "seg_index"], "left_anti")
+    return pairs.unionByName(silent, allowMissingColumns=True)
 
 
 def _timed(words: DataFrame) -> DataFrame:
@@ -149,9 +159,9 @@ def refine_segments(segments: DataFrame, words: DataFrame) -> DataFrame:
         )
     )
 
-    lo, hi = _cell(F.col("seg_start")), _cell(F.col("seg_end"))
-    pieces = segments.where(F.col("seg_start") <= F.col("seg_end")).select(
-        "guid", "seg_index", "seg_start", "seg_end", F.explode(_cover(lo, hi)).alias("code")
+    pieces = _within(segments.select("guid", "seg_index", "seg_start", "seg_end"), words).select(
+        "guid", "seg_index", "seg_start", "seg_end",
+        F.explode(_cover(F.col("lo"), F.col("hi"))).alias("code"),
     )
     inside = F.col("at").isNull() | F.col("at").between(F.col("seg_start"), F.col("seg_end"))
     found = (

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from voxtab import constants as C
 from voxtab.functions.text import file_ext
-from voxtab.session import broadcast_if_small, materialize
+from voxtab.session import cut
 
 
 def _frame_sum(term) -> Column:
@@ -74,8 +74,7 @@ def normalize_gain(frames: DataFrame, loud: DataFrame, full_scale=C.PCM16_FULL_S
     """Frames with samples scaled by the factor of their guid in `loud` and clipped to
     full scale."""
     samples = F.transform("samples", _scaled(full_scale)).cast("array<float>")
-    side = broadcast_if_small(materialize(loud.select("guid", "factor"), "gain"))
-    return frames.join(side, "guid").withColumn("samples", samples).drop("factor")
+    return frames.join(loud.select("guid", "factor"), "guid").withColumn("samples", samples).drop("factor")
 
 
 def noise_energy(
@@ -87,27 +86,28 @@ def noise_energy(
     is after the gain.
 
     The gain only scales a recording's sum of absolute samples, unless its peak clips.
-    Recordings that clip are read a second time, sample by sample. The loudness table
-    is written once, so their number is known before that: none means no second read,
-    and a small table goes to the frames instead of shuffling samples.
+    Recordings that clip are read a second time, sample by sample. The loudness table, one
+    short row a recording, is kept behind a checkpoint for that.
     """
-    loud = materialize(loudness(frames, full_scale, target_dbfs), "loudness")
+    loud = cut(loudness(frames, full_scale, target_dbfs))
     clipping = loud.where(F.col("peak") * F.col("factor") > full_scale)
-    level = F.col("sum_abs") * F.col("factor")
-    if not clipping.isEmpty():
-        scaled = _scaled(full_scale)
-        total = F.aggregate("samples", F.lit(0.0), lambda t, x: t + F.abs(scaled(x)))
-        side = broadcast_if_small(clipping.select("guid", "factor"))
-        clipped = (
-            frames.join(side, "guid")
-            .select("guid", total.alias("level"))
-            .groupBy("guid")
-            .agg(F.sum("level").alias("clipped_level"))
-        )
-        loud = loud.join(clipped, "guid", "left")
-        level = F.coalesce("clipped_level", level)
+    scaled = _scaled(full_scale)
+    total = F.aggregate("samples", F.lit(0.0), lambda t, x: t + F.abs(scaled(x)))
+    clipped = (
+        frames.join(clipping.select("guid", "factor"), "guid")
+        .select("guid", total.alias("level"))
+        .groupBy("guid")
+        .agg(F.sum("level").alias("clipped_level"))
+    )
+    level = F.coalesce("clipped_level", F.col("sum_abs") * F.col("factor"))
     energy = level / F.col("n_samples") / full_scale
-    return loud.withColumn("noise_energy", energy).drop("clipped_level")
+    joined = loud.join(clipped, "guid", "left").withColumn("noise_energy", energy)
+    return joined.drop("clipped_level")
+
+
+def unreadable(frames: DataFrame) -> DataFrame:
+    """Recordings that could not be read, as (guid, error): they have no loudness."""
+    return frames.where(F.col("error").isNotNull()).select("guid", "error")
 
 
 def needs_denoise(stats: DataFrame, threshold: float = C.NOISE_THRESHOLD) -> DataFrame:
@@ -123,18 +123,18 @@ def resolve_audio(jobs: DataFrame, listing: DataFrame) -> DataFrame:
     """
     kind = F.col("kind")
     original = kind == C.ARTIFACT_ORIGINAL
-    ext = file_ext(F.col("path")) if "path" in listing.columns else F.lit(None).cast("string")
+    path = F.col("path") if "path" in listing.columns else F.lit(None).cast("string")
     have = listing.groupBy("guid").agg(
-        F.max(original).alias("has_original"),
+        F.max(original & path.isNull()).alias("has_original"),
         F.max(kind == C.ARTIFACT_PROCESSED).alias("has_processed"),
-        F.max(F.when(original, ext)).alias("ext"),
+    )
+    named = listing.where(original & path.isNotNull()).select(
+        "guid", file_ext(path).alias("own_ext"), F.lit(True).alias("has_own")
     )
     own_ext = file_ext(F.col("filename"))
-    found = F.coalesce(
-        F.col("has_original")
-        & F.col("filename").isNotNull()
-        & (F.col("ext").isNull() | (F.col("ext") == own_ext)),
-        F.lit(False),
+    jobs = jobs.withColumn("own_ext", own_ext).join(named.distinct(), ["guid", "own_ext"], "left")
+    found = F.col("filename").isNotNull() & (
+        F.coalesce("has_original", F.lit(False)) | F.coalesce("has_own", F.lit(False))
     )
     suffix = dict(C.ARTIFACT_SUFFIXES)[C.ARTIFACT_PROCESSED]
     path = F.when(F.col("has_processed"), F.concat("guid", F.lit(suffix))).otherwise(
@@ -142,7 +142,7 @@ def resolve_audio(jobs: DataFrame, listing: DataFrame) -> DataFrame:
     )
     joined = jobs.join(have, "guid", "left").withColumn("audio_found", found)
     return joined.withColumn("audio_path", F.when(F.col("audio_found"), path)).drop(
-        "has_original", "has_processed", "ext"
+        "has_original", "has_processed", "own_ext", "has_own"
     )
 
 

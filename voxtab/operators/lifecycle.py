@@ -36,7 +36,8 @@ def fold_lifecycle(
 
     Events count in order of `seq` up to the first terminal one: completed, error, or
     the garbage result that brings the attempt counter to `cap`. `initial` holds
-    (guid, attempt_count) to start from, 0 where it has no row.
+    (guid, attempt_count) to start from, 0 where it has no row; if it has `status` too,
+    events of jobs that are neither pending nor processing change nothing and give no row.
 
     Nothing here walks through a guid's events: the first completed or error event and
     the last event are plain aggregates, and which garbage event is terminal depends
@@ -57,8 +58,11 @@ def fold_lifecycle(
     if initial is None:
         folded = folded.withColumn("before", F.lit(0))
     else:
-        start = initial.select("guid", F.col("attempt_count").alias("before"))
+        status = F.col("status") if "status" in initial.columns else F.lit(C.PENDING)
+        start = initial.select("guid", F.col("attempt_count").alias("before"), status.alias("was"))
         folded = folded.join(start, "guid", "left")
+        live = F.coalesce("was", F.lit(C.PENDING)).isin(C.PENDING, C.PROCESSING)
+        folded = folded.where(live).drop("was")
 
     before = F.coalesce("before", F.lit(0))
     nth_fatal = F.greatest(F.lit(cap) - before, F.lit(1))

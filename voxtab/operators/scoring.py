@@ -57,17 +57,18 @@ def _weighted(by: list[str], words: DataFrame) -> DataFrame:
     """Per segment: sums of duration and of duration times probability.
 
     A word without both bounds lasts an equal share of its segment; the share counts
-    all words of the segment, also those without probability.
+    all words of the segment, also those without probability. Addends are decimals, so
+    that sums do not depend on their order and equal passes have equal scores.
     """
     p = F.when(F.col("probability") > 0, F.col("probability"))
     length = F.col("word_end") - F.col("word_start")
     unbounded = length.isNull()
     sums = words.groupBy(*by).agg(
         F.count("*").alias("n_words"),
-        F.sum(F.when(p.isNotNull(), length)).alias("known_len"),
-        F.sum(length * p).alias("known_score"),
+        _exact_sum(F.when(p.isNotNull(), length)).alias("known_len"),
+        _exact_sum(length * p).alias("known_score"),
         F.count(F.when(unbounded, p)).alias("shared_n"),
-        F.sum(F.when(unbounded, p)).alias("shared_p"),
+        _exact_sum(F.when(unbounded, p)).alias("shared_p"),
         F.max(F.col("seg_end") - F.col("seg_start")).alias("seg_len"),
     )
     share = F.col("seg_len") / F.col("n_words")
@@ -78,6 +79,10 @@ def _weighted(by: list[str], words: DataFrame) -> DataFrame:
     )
 
 
+def _exact_sum(value: Column) -> Column:
+    return F.sum(value.cast("decimal(28,12)")).cast("double")
+
+
 def _sum_of(*parts: Column) -> Column:
     total = F.lit(0.0)
     for part in parts:
@@ -97,7 +102,8 @@ def weighted_confidence(
     sums = _weighted(segment, words)
     if list(by) != segment:
         sums = sums.groupBy(*by).agg(
-            F.sum("total_len").alias("total_len"), F.sum("total_score").alias("total_score")
+            _exact_sum(F.col("total_len")).alias("total_len"),
+            _exact_sum(F.col("total_score")).alias("total_score"),
         )
     score = F.when(F.col("total_len") > 0, F.col("total_score") / F.col("total_len"))
     return sums.select(*by, F.coalesce(score, F.lit(0.0)).alias("confidence"))

@@ -242,7 +242,7 @@ oracle("apply_outcomes", "jobs job_events", fold(
     "coalesce((select j.attempt_count from jobs j where j.guid = e.guid), 0)"), """
 select j.guid, coalesce(f.status, j.status) as status, coalesce(f.attempt_count, j.attempt_count) as attempt_count,
   f.completed_at, cast(null as varchar) as transcription
-from jobs j left join folded f on j.guid = f.guid""")
+from jobs j left join folded f on j.guid = f.guid and j.status in ('pending', 'processing')""")
 oracle("recover_stuck", "jobs", "", """
 select guid, case when status = 'processing' then 'pending' else status end as status, attempt_count from jobs""")
 oracle("stuck_count", "jobs", "", "select count(*) as recovered from jobs where status = 'processing'")
@@ -364,7 +364,7 @@ states as (
   select f.* from folded f join ends e on f.guid = e.guid cross join mark
   where f.completed_at is null or e.due > mark.upto)"""
 oracle("lifecycle_stream", "job_events", LIVE_STATES, """
-select guid, status, attempt_count, last_seq, date_trunc('milliseconds', completed_at) as completed_at from states""")
+select guid, status, attempt_count, last_seq, completed_at from states""")
 oracle("dedupe_stream", "submissions", "", f"select distinct guid from submissions where {VALID_GUID}")
 oracle("monitor_stream", "jobs job_events", fold() + """,
 totals as (

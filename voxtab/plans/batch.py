@@ -11,7 +11,7 @@ from voxtab.operators.lifecycle import apply_outcomes, garbage_verdict
 from voxtab.operators.queue import pending
 from voxtab.plans.selection import best_segments, transcripts_of
 from voxtab.schemas import TIMINGS
-from voxtab.session import materialize
+from voxtab.session import cut
 
 
 def job_outcomes(
@@ -34,15 +34,20 @@ def job_outcomes(
     before or after alignment: one attempt more, requeued or quarantined. Else
     completed, with timings refined where a single speaker talks.
 
-    The gate and the winning segments are each written once, since two later steps
-    read them; the gate holds a few numbers per job, the segments a fifth of the text.
+    Segments and words of recordings that are not pending, have no audio or failed leave
+    before anything is scored, so a batch costs what is in it and not what was ever
+    recognised. The gate and the winning segments are each kept behind a checkpoint, since
+    two later steps read them.
     """
     todo = resolve_audio(pending(jobs), listing).select("guid", "attempt_count", "audio_found")
-    gated = materialize(gate_alignment(todo, turns, diarized), "gate")
+    gated = cut(gate_alignment(todo, turns, diarized))
+    wanted = gated.where(F.col("audio_found")).select("guid")
+    if failed is not None:
+        wanted = wanted.join(failed.select("guid"), "guid", "left_anti")
 
-    best = best_segments(segments, words, durations)
-    best = best.select("guid", "seg_index", "seg_start", "seg_end", "text")
-    best = materialize(best, "best")
+    heard = [df.join(wanted, "guid", "left_semi") for df in (segments, words, durations)]
+    best = best_segments(*heard)
+    best = cut(best.select("guid", "seg_index", "seg_start", "seg_end", "text"))
     single = gated.where(F.col("refine")).select("guid")
     refined = refine_segments(best, aligned.join(single, "guid", "left_semi"))
     texts = transcripts_of(refined, deduplicate, ("refined_start", "refined_end"))

@@ -13,7 +13,6 @@ from voxtab.operators.scoring import (
     select_best,
     weighted_confidence,
 )
-from voxtab.session import broadcast_if_small, materialize
 
 
 def pass_scores(segments: DataFrame, words: DataFrame, durations: DataFrame) -> DataFrame:
@@ -38,13 +37,12 @@ def pass_scores(segments: DataFrame, words: DataFrame, durations: DataFrame) ->
 def best_segments(segments: DataFrame, words: DataFrame, durations: DataFrame) -> DataFrame:
     """Cleaned segments of each recording's best pass.
 
-    Passes are scored on counts and sums. The winners, one short row per recording, are
-    written once and counted: few enough of them go to the segments, so that no text is
-    shuffled to drop the other passes; more of them meet the segments in a shuffle.
+    Passes are scored on counts and sums. The winners, one short row per recording, go to
+    the segments in a join that Spark plans by their size.
     """
     cleaned = clean_segments(segments)
     best = best_pass(pass_scores(cleaned, words, durations)).select("guid", "pass_index")
-    return select_best(cleaned, broadcast_if_small(materialize(best, "winners")))
+    return select_best(cleaned, best)
 
 
 def transcripts_of(

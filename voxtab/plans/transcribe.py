@@ -7,9 +7,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxtab import constants as C
+from voxtab.operators.audio import unreadable
 from voxtab.operators.scoring import fan_out_passes
-from voxtab.schemas import RECOGNISED
-from voxtab.session import spread
+from voxtab.schemas import ATTEMPTS
+from voxtab.session import cut
 
 
 def transcribe_batch(
@@ -20,30 +21,62 @@ def transcribe_batch(
 ) -> DataFrame:
     """Run a recogniser over (guid, audio_path), once per pass.
 
-    A list of paths is small and would be read in a few partitions, while each row of it
-    is long work: it is spread over `tasks` tasks, or at least over all cores.
+    A list of paths is small, while each row of it is long work: it is dealt over `tasks`
+    tasks, or as many as the session shuffles to.
 
     `make_recogniser` is called once per task and returns a function, so a model is
     loaded once for all batches of the task. The function gets a batch of guid,
     audio_path and the pass parameters and returns rows of `schemas.RECOGNISED`:
-    segments, each with its words.
+    segments, each with its words. If it raises, the requests of the batch are tried one
+    by one; one that fails again gives a row with `error` set and no segment.
+
+    The result is kept behind a checkpoint: segments, words and failures are read from the
+    same run of the model.
     """
 
+    def failure(request: pd.DataFrame, problem: Exception) -> pd.DataFrame:
+        row = dict.fromkeys(ATTEMPTS.names)
+        row |= {name: request[name].iloc[0] for name in ("guid", "pass_index")}
+        row["error"] = str(problem) or type(problem).__name__
+        return pd.DataFrame([row], dtype=object)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         recognise = make_recogniser()
         for batch in batches:
-            yield recognise(batch)
+            try:
+                yield recognise(batch).assign(error=None)
+                continue
+            except Exception as problem:  # noqa: BLE001  a user's model may raise anything
+                if len(batch) == 1:
+                    yield failure(batch, problem)
+                    continue
+            for k in range(len(batch)):
+                request = batch.iloc[k : k + 1]
+                try:
+                    yield recognise(request).assign(error=None)
+                except Exception as problem:  # noqa: BLE001
+                    yield failure(request, problem)
 
     requests = fan_out_passes(audio.select("guid", "audio_path"), passes)
-    requests = requests.repartition(tasks) if tasks else spread(requests)
-    return requests.mapInPandas(run, RECOGNISED)
+    requests = requests.repartition(tasks) if tasks else requests.repartition("guid", "pass_index")
+    return cut(requests.mapInPandas(run, ATTEMPTS))
 
 
 def segments_of(recognised: DataFrame) -> DataFrame:
-    return recognised.drop("words")
+    return recognised.where(F.col("error").isNull()).drop("words", "error")
 
 
 def words_of(recognised: DataFrame) -> DataFrame:
-    return recognised.select(
+    heard = recognised.where(F.col("error").isNull())
+    return heard.select(
         "guid", "pass_index", "seg_index", "seg_start", "seg_end", F.explode("words").alias("w")
     ).select("guid", "pass_index", "seg_index", "seg_start", "seg_end", "w.*")
+
+
+def failed_of(recognised: DataFrame, frames: DataFrame | None = None) -> DataFrame:
+    """Guids with a failed request, and those of recordings in `frames` that could not be
+    read: the `failed` of `plans.batch`."""
+    failed = recognised.where(F.col("error").isNotNull()).select("guid")
+    if frames is not None:
+        failed = failed.unionByName(unreadable(frames).select("guid"))
+    return failed.distinct()

@@ -54,6 +54,9 @@ RECOGNISED = T.StructType(
     SEGMENTS.fields + [T.StructField("words", T.ArrayType(RECOGNISED_WORD))]
 )
 
+# The same as rows of a stage: `error` is set on the one row of a request that failed.
+ATTEMPTS = T.StructType(RECOGNISED.fields + [T.StructField("error", T.StringType())])
+
 JOB_EVENTS = T.StructType(
     [
         T.StructField("guid", T.StringType()),

@@ -5,11 +5,6 @@ import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Rows up to which a table of a few short columns is sent to all executors: some
-# hundred bytes a row in memory.
-BROADCAST_MAX_ROWS = 1_000_000
 
 # Settings that results or plans rely on. Everything sized by the cluster
 # (shuffle partitions, memory, cores) is left to the cluster.
@@ -54,35 +49,22 @@ def run_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/voxtab/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """The table, written to the shared folder and read back: its lineage ends there,
-    and Spark knows its size."""
-    folder = run_folder(df.sparkSession, name)
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """A materialized table, marked for broadcast if it has few enough rows; beyond
-    that the join shuffles as usual."""
-    return F.broadcast(df) if df.count() <= max_rows else df
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """A table read in fewer partitions than there are cores, spread over the cores
-    before work that is heavy per row. Larger tables stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def cut(df: DataFrame) -> DataFrame:
+    """The table behind a checkpoint in the shared folder: its lineage ends there, executors
+    may be lost, and Spark removes the files when the table is no longer used."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
 
 
 @contextmanager
-def stream_session(spark: SparkSession):
+def stream_session(spark: SparkSession, state_partitions: int | None = None):
     """Settings for starting a stateful stream. A stream keeps the number of state
-    partitions it starts with, so it follows the cores at hand."""
+    partitions it starts with: `state_partitions`, or what the session is set to."""
     settings = dict(STREAM_SETTINGS)
-    cores = spark.sparkContext.defaultParallelism
-    wanted = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * cores)
-    settings["spark.sql.shuffle.partitions"] = str(wanted)
+    if state_partitions:
+        settings["spark.sql.shuffle.partitions"] = str(state_partitions)
     before = {key: spark.conf.get(key, None) for key in settings}
     for key, value in settings.items():
         spark.conf.set(key, value)

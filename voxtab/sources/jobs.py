@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxtab.constants import PENDING
+from voxtab.functions.encoding import decode_timings, encode_timings
 from voxtab.schemas import JOB_DEFAULTS, JOBS
 
 
@@ -23,10 +24,13 @@ def conform_jobs(df: DataFrame) -> DataFrame:
     """Any table with some of the job columns as a full job table.
 
     A numeric column that only some files hold is null for the others and takes its
-    default. The other columns stay bare, so filters on them reach the files.
+    default. Timings stored as JSON text are decoded. The other columns stay bare, so
+    filters on them reach the files.
     """
     wanted = {f.name: (JOB_DEFAULTS.get(f.name), f.dataType) for f in JOBS.fields}
     df = evolve_schema(df, wanted)
+    if isinstance(df.schema["timings"].dataType, T.StringType):
+        df = df.withColumn("timings", decode_timings(F.col("timings")))
     columns = []
     for field in JOBS.fields:
         column = F.col(field.name).cast(field.dataType)
@@ -37,9 +41,12 @@ def conform_jobs(df: DataFrame) -> DataFrame:
     return df.select(*columns)
 
 
-def read_jobs(spark: SparkSession, path: str) -> DataFrame:
-    """Job files of any age, with the columns they lack filled in."""
-    return conform_jobs(spark.read.schema(JOBS).parquet(path))
+def read_jobs(spark: SparkSession, path: str, json_timings: bool = False) -> DataFrame:
+    """Job files of any age, with the columns they lack filled in. With `json_timings` the
+    files hold timings as JSON text."""
+    kinds = {"timings": T.StringType()} if json_timings else {}
+    fields = [T.StructField(f.name, kinds.get(f.name, f.dataType)) for f in JOBS.fields]
+    return conform_jobs(spark.read.schema(T.StructType(fields)).parquet(path))
 
 
 def append_jobs(jobs: DataFrame, admitted: DataFrame, now) -> DataFrame:
@@ -55,5 +62,9 @@ def append_jobs(jobs: DataFrame, admitted: DataFrame, now) -> DataFrame:
     return jobs.unionByName(new, allowMissingColumns=True)
 
 
-def write_jobs(jobs: DataFrame, path: str, mode: str = "append") -> None:
+def write_jobs(
+    jobs: DataFrame, path: str, mode: str = "append", json_timings: bool = False
+) -> None:
+    if json_timings:
+        jobs = jobs.withColumn("timings", encode_timings(F.col("timings")))
     jobs.write.mode(mode).parquet(path)

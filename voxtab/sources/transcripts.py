@@ -3,14 +3,19 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+TEXT_COLUMNS = ("transcript", "transcription", "text")
+
 
 def write_transcripts(
     transcripts: DataFrame, path: str, layout: str = "parquet", mode: str = "errorifexists"
 ) -> None:
-    """One transcript per guid. `parquet` suits any number of guids; `text` makes a
+    """One text per guid: the column transcript, transcription or text, whichever comes first,
+    written as `transcript`. `parquet` suits any number of guids; `text` makes a
     folder with one single-line text per guid, for small sets that other tools read."""
+    name = next(n for n in TEXT_COLUMNS if n in transcripts.columns)
+    transcripts = transcripts.select("guid", F.col(name).alias("transcript"))
     if layout == "parquet":
-        transcripts.select("guid", "transcript").write.mode(mode).parquet(path)
+        transcripts.write.mode(mode).parquet(path)
     elif layout == "text":
         lines = transcripts.select("guid", F.col("transcript").alias("value"))
         lines.write.mode(mode).partitionBy("guid").text(path)

@@ -18,12 +18,12 @@ from voxtab.sources.jobs import evolve_schema
 STATE = T.StructType(
     [
         T.StructField("version", T.LongType()),
-        T.StructField("created_ms", T.LongType()),
+        T.StructField("created_us", T.LongType()),
         T.StructField("final_seq", T.LongType()),
-        T.StructField("final_ms", T.LongType()),
+        T.StructField("final_us", T.LongType()),
         T.StructField("succeeded", T.BooleanType()),
         T.StructField("garbage_seq", T.ArrayType(T.LongType())),
-        T.StructField("garbage_ms", T.ArrayType(T.LongType())),
+        T.StructField("garbage_us", T.ArrayType(T.LongType())),
         T.StructField("max_seq", T.LongType()),
         T.StructField("running", T.BooleanType()),
         T.StructField("estimate", T.LongType()),
@@ -40,7 +40,7 @@ UPDATES = T.StructType(
         T.StructField("status", T.StringType()),
         T.StructField("attempt_count", T.IntegerType()),
         T.StructField("last_seq", T.LongType()),
-        T.StructField("completed_ms", T.LongType()),
+        T.StructField("completed_us", T.LongType()),
         T.StructField("expired", T.BooleanType()),
         # What the update changes in the queue.
         T.StructField("pending_delta", T.LongType()),
@@ -81,13 +81,13 @@ class LifecycleProcessor(StatefulProcessor):
             # day further on, so versions keep growing.
             job["version"] = max(0, timerValues.getCurrentWatermarkInMs())
         for row in rows:
-            self._merge(job, row.seq, row.ms, row.outcome)
+            self._merge(job, row.seq, row.us, row.outcome)
             job["estimate"] = max(job["estimate"], row.processing_time_est or 0)
         out = self._settle(job)
         job["version"], job["status"] = job["version"] + 1, out["status"]
         self.state.update(tuple(job[name] for name in STATE.names))
-        if out["completed_ms"] is not None and old["status"] != out["status"]:
-            self.handle.registerTimer(job["created_ms"] + self.retention_ms)
+        if out["completed_us"] is not None and old["status"] != out["status"]:
+            self.handle.registerTimer(self._due(job))
         yield self._row(key, old, job, out, expired=False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
@@ -97,8 +97,8 @@ class LifecycleProcessor(StatefulProcessor):
         job = dict(zip(STATE.names, job, strict=True))
         out = self._settle(job)
         # A timer of an earlier job under this guid must not end the present one.
-        due = job["created_ms"] + self.retention_ms
-        if out["completed_ms"] is not None and expiredTimerInfo.getExpiryTimeInMs() >= due:
+        due = self._due(job)
+        if out["completed_us"] is not None and expiredTimerInfo.getExpiryTimeInMs() >= due:
             self.state.clear()
             left = job | {"version": job["version"] + 1}
             yield self._row(key, job, left, out, expired=True)
@@ -106,28 +106,32 @@ class LifecycleProcessor(StatefulProcessor):
     def close(self) -> None:
         pass
 
-    def _merge(self, job: dict, seq: int, ms: int, outcome: str) -> None:
-        if job["created_ms"] is None or ms < job["created_ms"]:
-            job["created_ms"] = ms
+    def _due(self, job: dict) -> int:
+        """Timers know milliseconds; states keep microseconds."""
+        return job["created_us"] // 1000 + self.retention_ms
+
+    def _merge(self, job: dict, seq: int, us: int, outcome: str) -> None:
+        if job["created_us"] is None or us < job["created_us"]:
+            job["created_us"] = us
         if outcome == GARBAGE:
-            known = list(zip(job["garbage_seq"], job["garbage_ms"], strict=True))
-            first = sorted([*known, (seq, ms)])[: self.cap]
+            known = list(zip(job["garbage_seq"], job["garbage_us"], strict=True))
+            first = sorted([*known, (seq, us)])[: self.cap]
             job["garbage_seq"] = [s for s, _ in first]
-            job["garbage_ms"] = [m for _, m in first]
+            job["garbage_us"] = [u for _, u in first]
         elif outcome in FINAL_OUTCOMES and (job["final_seq"] is None or seq < job["final_seq"]):
-            job["final_seq"], job["final_ms"] = seq, ms
+            job["final_seq"], job["final_us"] = seq, us
             job["succeeded"] = outcome == C.COMPLETED
         if job["max_seq"] is None or seq > job["max_seq"]:
             job["max_seq"], job["running"] = seq, outcome == STARTED
 
     def _settle(self, job: dict) -> dict:
         """State as of now, by the rule of the batch fold."""
-        end, end_ms = job["final_seq"], job["final_ms"]
+        end, end_us = job["final_seq"], job["final_us"]
         status = C.COMPLETED if job["succeeded"] else C.ERROR
         if len(job["garbage_seq"]) >= self.cap:
             fatal = job["garbage_seq"][self.cap - 1]
             if end is None or fatal < end:
-                end, end_ms, status = fatal, job["garbage_ms"][self.cap - 1], C.QUARANTINED
+                end, end_us, status = fatal, job["garbage_us"][self.cap - 1], C.QUARANTINED
         if end is None:
             status = C.PROCESSING if job["running"] else C.PENDING
         last = job["max_seq"] if end is None else end
@@ -136,7 +140,7 @@ class LifecycleProcessor(StatefulProcessor):
             "status": status,
             "attempt_count": 0 if status == C.COMPLETED else attempts,
             "last_seq": last,
-            "completed_ms": end_ms,
+            "completed_us": end_us,
         }
 
     def _row(self, key, old: dict, job: dict, out: dict, expired: bool) -> Row:
@@ -147,7 +151,7 @@ class LifecycleProcessor(StatefulProcessor):
             status=out["status"],
             attempt_count=out["attempt_count"],
             last_seq=out["last_seq"],
-            completed_ms=out["completed_ms"],
+            completed_us=out["completed_us"],
             expired=expired,
             pending_delta=int(now) - int(before),
             wait_delta=now * job["estimate"] - before * old["estimate"],
@@ -178,7 +182,7 @@ def lifecycle_stream(
     slim = events.select(*JOB_EVENTS.names).mapInPandas(combine, JOB_EVENTS)
     updates = (
         slim.withWatermark("ts", lateness)
-        .withColumn("ms", F.unix_millis("ts"))
+        .withColumn("us", F.unix_micros("ts"))
         .groupBy("guid")
         .transformWithState(
             LifecycleProcessor(cap, retention_seconds * 1000),
@@ -187,8 +191,8 @@ def lifecycle_stream(
             timeMode="eventTime",
         )
     )
-    return updates.withColumn("completed_at", F.timestamp_millis("completed_ms")).drop(
-        "completed_ms"
+    return updates.withColumn("completed_at", F.timestamp_micros("completed_us")).drop(
+        "completed_us"
     )
 
 
