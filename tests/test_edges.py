@@ -159,3 +159,48 @@ def test_streams_over_folders(spark, tmp_path, name):
     assert Inputs(spark, str(tmp_path)).stream("events").isStreaming
     rows = [sorted(map(str, QUERIES[name](spark, folder).collect())) for folder in (one, str(tmp_path))]
     assert rows[0] == rows[1] and rows[0]
+
+
+def plain_phrases(text):
+    """The rule as it stands: from the start, again and again."""
+    from voxtab.functions.text import REPEATED_PHRASE_PY
+
+    while match := REPEATED_PHRASE_PY.search(text):
+        start, end = match.span(3)
+        text = text[:start] + text[end:]
+    return text
+
+
+def test_text_rules_over_whole_documents(spark):
+    """SQL has no back-references: the three text queries against the plain rules."""
+    import re
+
+    folder = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    said = re.compile(r"(?<!\w)(\w+)\s+\1\s+\1\s+(?:\1)+")
+    squashed = {r.doc_id: r.text for r in QUERIES["squash_repeated_words"](spark, folder).collect()}
+    assert squashed == {i: t and said.sub(r"\1", t) for i, t in texts.items()}
+    phrases = {r.doc_id: r.text for r in QUERIES["boundary_duplicates"](spark, folder).collect()}
+    assert phrases == {i: t and plain_phrases(t) for i, t in texts.items()}
+
+    kept = {}
+    for r in Inputs(spark, folder).view("segments").collect():
+        text = (r.text or "").strip()
+        if text:
+            kept.setdefault(r.guid, []).append((r.seg_index, text))
+    want = {g: said.sub(r"\1", " ".join(t for _, t in sorted(rows))) for g, rows in kept.items()}
+    assert {r.guid: r.text for r in QUERIES["alignment_text"](spark, folder).collect()} == want
+
+
+def test_selected_transcripts_over_whole_tables(spark):
+    """The deduplicating queries are the plain ones with the phrase rule applied."""
+    folder = "/root/testdata/sf0.001"
+    texts = {}
+    for r in QUERIES["best_segments"](spark, folder).collect():
+        texts.setdefault(r.guid, []).append((r.seg_index, r.text))
+    want = {g: plain_phrases(" ".join(t for _, t in sorted(rows))) for g, rows in texts.items()}
+    assert {r.guid: r.transcription for r in QUERIES["select_transcript"](spark, folder).collect()} == want
+    plain = {r.guid: r.transcription for r in QUERIES["job_batch"](spark, folder).collect()}
+    done = {r.guid: r.transcription for r in QUERIES["job_batch_deduplicated"](spark, folder).collect()}
+    assert done.keys() == plain.keys()
+    assert all(done[g] is None or done[g] == plain_phrases(plain[g] or "") for g in done)
