@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxtab.session import configure, shared_folder
+from voxtab.session import configure, cut  # noqa: F401
 
 # Bytes of text that a Python task handles at once. Longer single texts are handled whole.
 CHUNK_BYTES = 4 << 20
@@ -22,16 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The table behind a checkpoint in the shared folder: its lineage ends there, executors
-    may be lost, and Spark removes the files when the table is no longer used."""
-    folder = shared_folder(df.sparkSession)
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def digest(*columns: Column) -> Column:
     """A 64-bit hash of the columns that also tells null from empty."""
     return F.xxhash64(*[part for c in columns for part in (c, c.isNull())])

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from voxtab.llm.common import cut, in_chunks, text_bytes
+from voxtab.llm.common import in_chunks, text_bytes
 from voxtab.llm.ngram_join import TABLE, fixed_table
 
 WINDOW = 50
@@ -42,6 +42,11 @@ FREQUENT = 12
 # Neighbourhoods that are compared at once.
 TOGETHER = 1 << 14
 
+# Bits of the first and second digits' hashes that are dropped. Rows are shuffled in packs by
+# the first digit; there are so many packs for each partition of a shuffle.
+DIGIT_SHIFT, AROUND_SHIFT = np.uint64(24), np.uint64(16)
+PACKS = 4
+
 K1, K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -103,7 +108,7 @@ class Anchors:
         self.right = np.minimum(self.end[self.owner] - DIGIT - self.places, REACH)
         around = run_hash(self.words, self.places - REACH, AROUND)
         edges = (self.left * (REACH + 1) + self.right).astype(np.uint64)
-        self.around = stir((around + edges) * K1)
+        self.around = stir((around + edges) * K1) >> AROUND_SHIFT
 
     def _strip(self, low: int, high: int, a: int, b: int, valid: np.ndarray) -> np.ndarray:
         """Anchors from a to b. Of each window the places with the smallest hash count."""
@@ -164,14 +169,19 @@ def frequent_digits(docs: DataFrame) -> np.ndarray:
 
     def run(batches):
         for ids, found in chunks(batches):
-            pairs = np.unique(np.stack([found.digit, ids[found.owner].astype(np.uint64)], axis=1), axis=0)
-            digits, counts = np.unique(pairs[:, 0], return_counts=True)
+            _, one = np.unique(stir((found.digit + found.owner.astype(np.uint64)) * K1), return_index=True)
+            digits, counts = np.unique(found.digit[one], return_counts=True)
             buckets = np.unique(digits[counts >= FREQUENT] % np.uint64(TABLE)).astype(np.int64)
             yield record(schema, buckets, np.ones(len(buckets), np.int32))
 
     return fixed_table(docs.mapInArrow(run, schema))
 
 
+def window_mark(window: np.ndarray) -> np.ndarray:
+    """What stands for a window where it has its own row."""
+    return stir(window * K1) >> AROUND_SHIFT
+
+
 def keyed(found: Anchors, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First digit, second digit and text of the suffixes of a chunk. The windows of frequent
     anchors have one digit in place of two."""
@@ -182,25 +192,59 @@ def keyed(found: Anchors, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     window = run_hash(found.words, starts, WINDOW)
     return (
         np.concatenate([found.digit[cold], window]),
-        np.concatenate([found.around[cold], window]),
+        np.concatenate([found.around[cold], window_mark(window)]),
         np.concatenate([found.owner[cold], found.owner[anchor[place]]]),
     )
 
 
-SUFFIX = "digit long, around long, doc_id long"
+SUFFIX = "bucket int, pack binary"
 MARK = "doc_id long, around long, open boolean"
 
 
-def suffixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """Of each chunk and second digit, the row of the smallest document."""
+def packed_rows(digit: np.ndarray, around: np.ndarray, owner: np.ndarray, ids: np.ndarray) -> bytes:
+    """Suffixes of one chunk and bucket, by digit: the bytes of each column together, for they
+    compress better so."""
+    order = np.argsort(digit, kind="stable")
+    columns = [
+        (values[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].T, size)
+        for values, size in ((digit >> DIGIT_SHIFT, 5), (around, 6), (owner, 4))
+    ]
+    data = b"".join(np.ascontiguousarray(c).tobytes() for c, _ in columns)
+    sizes = np.array([len(digit), len(ids)], "<i8").tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(sizes + ids.astype("<i8").tobytes() + data)
+
+
+def unpacked_rows(pack: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Digit, around and doc_id of a pack."""
+    data = zstandard.ZstdDecompressor().decompress(pack)
+    n, m = np.frombuffer(data, "<i8", 2).tolist()
+    ids = np.frombuffer(data, "<i8", m, 16)
+    at, columns = 16 + 8 * m, []
+    for size in (5, 6, 4):
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, :size] = np.frombuffer(data, np.uint8, n * size, at).reshape(size, n).T
+        columns.append(wide.view("<i8").ravel())
+        at += n * size
+    return columns[0], columns[1], ids[columns[2]]
+
+
+def suffixes(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
+    """Of each chunk and second digit, the row of the smallest document, packed by buckets of
+    the first digit."""
 
     def run(batches):
         for ids, found in chunks(batches):
             digit, around, owner = keyed(found, frequent)
             first, _ = firsts(around, ids[owner])
-            yield record(
-                SUFFIX, digit[first].astype(np.int64), around[first].astype(np.int64), ids[owner[first]]
-            )
+            digit, around, owner = digit[first], around[first], owner[first]
+            bucket = (digit % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            for k in np.flatnonzero(np.diff(edges)).tolist():
+                which = order[edges[k] : edges[k + 1]]
+                docs_here, place = np.unique(owner[which], return_inverse=True)
+                pack = packed_rows(digit[which], around[which], place, ids[docs_here])
+                yield record(SUFFIX, np.array([k], np.int32), [pack])
 
     return docs.mapInArrow(run, SUFFIX)
 
@@ -218,7 +262,7 @@ def repeats_in_chunks(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
 
 
 def sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From suffixes in order: those repeated from a smaller document, and the first of each
+    """From packs in order of their buckets: the suffixes repeated from a smaller document, and the first of each
     neighbourhood whose anchor has several (open)."""
 
     def marks(digit, around, doc):
@@ -233,13 +277,21 @@ def sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         which = np.flatnonzero(again | is_open)
         yield record(MARK, doc[which], around[which], is_open[which])
 
-    rest = [np.zeros(0, np.int64)] * 3
+    def whole(packs):
+        digit, around, doc = (np.concatenate(c) for c in zip(*map(unpacked_rows, packs), strict=True))
+        order = np.lexsort((doc, around, digit))
+        yield from marks(digit[order], around[order], doc[order])
+
+    bucket, held = None, []
     for batch in batches:
-        columns = [np.concatenate([r, batch.column(k).to_numpy()]) for k, r in enumerate(rest)]
-        last = int(np.flatnonzero(columns[0] == columns[0][-1])[0]) if len(columns[0]) else 0
-        yield from marks(*(c[:last] for c in columns))
-        rest = [c[last:] for c in columns]
-    yield from marks(*rest)
+        for k, pack in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if k != bucket and held:
+                yield from whole(held)
+                held = []
+            bucket = k
+            held.append(pack)
+    if held:
+        yield from whole(held)
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -266,6 +318,11 @@ AROUNDS = "digit long, around long, doc_id long, left int, right int, bytes bina
 FLAGS = "doc_id long, around long, places long"
 
 
+def of_text(around: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Marks of one text told from those of others."""
+    return stir((around + (owner.astype(np.uint64) << np.uint64(48))) * K1)
+
+
 def neighbourhoods(texts: DataFrame, marks: DataFrame) -> DataFrame:
     """The bytes around the open anchors of each document."""
 
@@ -275,19 +332,15 @@ def neighbourhoods(texts: DataFrame, marks: DataFrame) -> DataFrame:
             for a, b in in_chunks(expanded, CHUNK):
                 found = Anchors(expanded[a:b])
                 wanted = batch.column(2).slice(a, b - a)
-                keep = np.zeros(len(found.places), bool)
-                for i in range(b - a):
-                    mine = slice(*np.searchsorted(found.owner, [i, i + 1]))
-                    keep[mine] = np.isin(
-                        found.around[mine].astype(np.int64), wanted[i].values.to_numpy(zero_copy_only=False)
-                    )
+                owner = np.repeat(np.arange(b - a), wanted.value_lengths().to_numpy())
+                marked = wanted.flatten()
+                is_open = marked.field(1).to_numpy(zero_copy_only=False)
+                own = marked.field(0).to_numpy().astype(np.uint64)
+                keep = np.isin(of_text(found.around, found.owner), of_text(own[is_open], owner[is_open]))
                 which = np.flatnonzero(keep)
                 ids = batch.column(0).slice(a, b - a).to_numpy()
                 # One row for each neighbourhood of a document is enough.
-                _, one = np.unique(
-                    np.stack([found.around[which], found.owner[which].astype(np.uint64)], axis=1), axis=0,
-                    return_index=True,
-                )
+                _, one = np.unique(of_text(found.around[which], found.owner[which]), return_index=True)
                 which = which[one]
                 near = found.data[found.places[which, None] + np.arange(-REACH, DIGIT + REACH)]
                 yield record(
@@ -296,10 +349,8 @@ def neighbourhoods(texts: DataFrame, marks: DataFrame) -> DataFrame:
                     found.right[which].astype(np.int32), [r.tobytes() for r in near],
                 )
 
-    joined = texts.select("doc_id", "text").join(
-        marks.where(F.size("open") > 0).select("doc_id", "open"), "doc_id"
-    )
-    return joined.select("doc_id", "text", "open").mapInArrow(run, AROUNDS)
+    joined = texts.join(marks, F.col("doc_id") == F.col("__id"))
+    return joined.select("doc_id", "text", "__marks").mapInArrow(run, AROUNDS)
 
 
 def compare_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,35 +400,34 @@ def compare_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield from flags(whole)
 
 
-def repeated_bytes(found: Anchors, frequent: np.ndarray, around: list[np.ndarray], places: list[np.ndarray]):
-    """Of each text, which bytes windows cover that a smaller document has."""
-    marked = np.zeros(len(found.data) + 1, np.int32)
+def repeated_bytes(found: Anchors, frequent: np.ndarray, owner, around, places) -> np.ndarray:
+    """Which bytes windows cover that a smaller document has. owner, around, places: of the
+    flags of all texts."""
+    start = np.zeros(len(found.data) + 1, bool)
     hot = frequent[(found.digit % np.uint64(TABLE)).astype(np.int64)] > 0
-    starts, anchor = found.windows(np.flatnonzero(hot))
-    window = run_hash(found.words, starts, WINDOW).astype(np.int64)
-    for i, (mine, bits) in enumerate(zip(around, places, strict=True)):
-        if not len(mine):
-            continue
-        order = np.argsort(mine, kind="stable")
-        mine, bits = mine[order], bits[order]
-        own = slice(*np.searchsorted(found.owner, [i, i + 1]))
-        value = found.around[own].astype(np.int64)
+    flag = of_text(around.astype(np.uint64), owner)
+    order = np.argsort(flag, kind="stable")
+    flag, places = flag[order], places[order]
+    if len(flag):
+        cold = np.flatnonzero(~hot)
+        mine = of_text(found.around[cold], found.owner[cold])
         for side in ("left", "right"):
             # A neighbourhood may be flagged in whole and, by another copy, in part.
-            place = np.searchsorted(mine, value, side=side) - (side == "right")
-            place = np.clip(place, 0, len(mine) - 1)
-            hit = np.flatnonzero((mine[place] == value) & ~hot[own])
-            flags = bits[place[hit]]
+            at = np.clip(np.searchsorted(flag, mine, side=side) - (side == "right"), 0, len(flag) - 1)
+            hit = np.flatnonzero(flag[at] == mine)
+            bits, place, text = places[at[hit]], found.places[cold[hit]], found.owner[cold[hit]]
             for l in range(PLACES):
-                at = found.places[own][hit[(flags >> l) & 1 == 1]] - l
-                at = at[(at >= found.begin[i]) & (at + WINDOW <= found.end[i])]
-                np.add.at(marked, at, 1)
-                np.add.at(marked, at + WINDOW, -1)
-        rows = slice(*np.searchsorted(found.owner[anchor], [i, i + 1]))
-        at = starts[rows][np.isin(window[rows], mine)]
-        np.add.at(marked, at, 1)
-        np.add.at(marked, at + WINDOW, -1)
-    return np.cumsum(marked[:-1]) > 0
+                some = (bits >> l) & 1 == 1
+                first = place[some] - l
+                fits = (first >= found.begin[text[some]]) & (first + WINDOW <= found.end[text[some]])
+                start[first[fits]] = True
+        starts, anchor = found.windows(np.flatnonzero(hot))
+        marks = window_mark(run_hash(found.words, starts, WINDOW))
+        start[starts[np.isin(of_text(marks, found.owner[anchor]), flag)]] = True
+    total = np.cumsum(start[:-1], dtype=np.int32)
+    covered = total.copy()
+    covered[WINDOW:] -= total[:-WINDOW]
+    return covered > 0
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
@@ -393,25 +443,29 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     open anchors and to cut. Memory: a chunk of texts, one anchor's rows of all chunks.
     """
     docs = docs.drop("removed", "kept", "n_bytes").withColumn("doc_id", F.col("doc_id").cast("long"))
-    named = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    known = docs.where(F.col("doc_id").isNotNull())
+    named = known.select("doc_id", F.col("text").cast("string").alias("text"))
     frequent = frequent_digits(named)
-    ordered = suffixes(named, frequent).repartition("digit").sortWithinPartitions("digit", "around", "doc_id")
+    buckets = PACKS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = suffixes(named, frequent, buckets).repartition("bucket").sortWithinPartitions("bucket")
     marks = ordered.mapInArrow(sorted_groups, MARK).unionByName(repeats_in_chunks(named, frequent))
-    marks = cut(
-        marks.groupBy("doc_id").agg(
-            F.collect_list(F.when(F.col("open"), F.col("around"))).alias("open"),
-            F.collect_list(F.when(~F.col("open"), F.col("around"))).alias("whole"),
-        )
+    marks = marks.groupBy(F.col("doc_id").alias("__id")).agg(
+        F.collect_list(F.struct("around", "open")).alias("__marks")
+    )
+    # Texts and marks are shuffled once: both joins read the same exchanges.
+    texts = packed(known).where(F.col("doc_id").isNotNull())
+    near = neighbourhoods(texts.select("doc_id", "text") if len(docs.columns) > 2 else texts, marks)
+    parts = near.repartition("digit").sortWithinPartitions("digit").mapInArrow(compare_windows, FLAGS)
+    parts = parts.groupBy(F.col("doc_id").alias("__part")).agg(
+        F.collect_list(F.struct("around", "places")).alias("__parts")
     )
-    near = neighbourhoods(packed(named), marks).repartition("digit").sortWithinPartitions("digit")
-    parts = near.mapInArrow(compare_windows, FLAGS).groupBy("doc_id").agg(
-        F.collect_list("around").alias("around"), F.collect_list("places").alias("places")
+    joined = texts.join(marks, F.col("doc_id") == F.col("__id"), "left").join(
+        parts, F.col("doc_id") == F.col("__part"), "left"
     )
-    whole = marks.select("doc_id", "whole")
-    flags = whole.join(parts, "doc_id", "full").select(
-        F.col("doc_id").alias("__id"), *[F.col(n).alias(f"__{n}") for n in ("whole", "around", "places")]
+    alone = packed(docs.where(F.col("doc_id").isNull())).withColumns(
+        {n: F.lit(None).cast(joined.schema[n].dataType) for n in ("__marks", "__parts")}
     )
-    joined = packed(docs).join(flags, F.col("doc_id") == F.col("__id"), "left").drop("__id")
+    joined = joined.drop("__id", "__part").unionByName(alone)
     others = [f for f in docs.schema.fields if f.name != "text"]
     span = StructType([StructField("start", LongType()), StructField("end", LongType())])
     schema = StructType([
@@ -424,17 +478,23 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             texts = unpacked(batch.column(batch.schema.names.index("text")))
-            lists = [batch.column(batch.schema.names.index(n)).to_pylist() for n in ("__whole", "__around", "__places")]
-            ids = batch.column(batch.schema.names.index("doc_id")).to_pylist()
+            names_in = batch.schema.names
+            ids = batch.column(names_in.index("doc_id")).to_pylist()
             for a, b in in_chunks(texts, CHUNK):
                 some = [t if i is not None else b"" for t, i in zip(texts[a:b], ids[a:b], strict=True)]
                 found = Anchors(some)
-                around, places = [], []
-                for w, r, p in zip(*(x[a:b] for x in lists), strict=True):
-                    w, r, p = w or [], r or [], p or []
-                    around.append(np.array([*w, *r], np.int64))
-                    places.append(np.array([everything] * len(w) + p, np.int64))
-                gone = repeated_bytes(found, frequent, around, places)
+                flags = []
+                for name, second in (("__marks", everything), ("__parts", None)):
+                    lists = batch.column(names_in.index(name)).slice(a, b - a)
+                    sizes = lists.value_lengths().fill_null(0).to_numpy()
+                    rows = lists.flatten()
+                    around, other = (rows.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                    use = ~other if second else np.ones(len(rows), bool)
+                    places = np.full(len(rows), second) if second else other
+                    owner = np.repeat(np.arange(b - a), sizes)
+                    flags.append((owner[use], around[use], places[use].astype(np.int64)))
+                owner, around, places = (np.concatenate(c) for c in zip(*flags, strict=True))
+                gone = repeated_bytes(found, frequent, owner, around, places)
                 removed, kept = [], []
                 for i, text in enumerate(texts[a:b]):
                     if ids[a + i] is None:
