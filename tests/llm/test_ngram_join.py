@@ -123,3 +123,14 @@ def test_components_of_a_path(spark):
     assert {n: found.get(n, n) for n in names} == dict.fromkeys(names, 1000)
     assert found[6] == 5
     assert components(df.limit(0)).count() == 0
+
+
+def test_many_small_texts_of_common_lines(spark):
+    """Short texts made of the same few lines: many share pairs of elements, few are alike."""
+    rng = random.Random(12)
+    lines = [" ".join(f"l{i}x{j}" for j in range(rng.randint(6, 12))) for i in range(9)]
+    texts = [" ".join(rng.sample(lines, rng.randint(1, 4))) for _ in range(250)]
+    texts += [" ".join([*rng.sample(lines, 3), f"end{i}"]) for i in range(60)]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(str(tuple(r)) for r in N.near_duplicates(df).collect()) == brute(rows)

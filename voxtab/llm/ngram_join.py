@@ -31,6 +31,8 @@ SKETCH_BITS = 1024
 LISTED = 6
 # Members of a list that each is compared with in the first round.
 NEIGHBOURS = 3
+# Parts of a sketch that are put on top of each other for small sets.
+FOLDS = 4
 # Elements before a frequent one that its list entries name.
 EARLIER = 4
 # Largest size that can count as small; buckets of the tables of fixed size that tasks get.
@@ -131,26 +133,15 @@ def fixed_table(marks: DataFrame) -> np.ndarray:
     return table
 
 
-def frequency_levels(sets: DataFrame) -> tuple[np.ndarray, int]:
-    """How frequent the elements of each bucket are, 0 (seldom) to LEVELS, and the count at which
-    level 1 begins: the least power of FREQUENT that leaves most buckets at 0.
+def counted(n: int) -> int:
+    """Elements of a set, by hash, that are counted first."""
+    return prefix_length(n) + n // 32 + 2
 
-    Counted are the elements that may come first in a set, over all documents."""
 
-    def lowest(batches):
-        for batch in batches:
-            parts = [np.zeros(0, np.int64)]
-            for data in batch.column(0).to_pylist():
-                own = unpack_elements(data)
-                parts.append(own[: prefix_length(len(own)) + len(own) // 32 + 2])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts))], names=["element"])
-
-    counts = (
-        sets.where(F.col("elements").isNotNull()).select("elements")
-        .mapInArrow(lowest, "element long").groupBy("element").count()
-        .where(F.col("count") >= FREQUENT)
-    )
-    counts = cut(counts)
+def marks_of(counts: DataFrame) -> tuple[np.ndarray, int]:
+    """Levels by bucket from counts by element, and the count at which level 1 begins: the least
+    power of FREQUENT that leaves most buckets at 0."""
+    counts = cut(counts.groupBy("element").count().where(F.col("count") >= FREQUENT))
     by_size = counts.groupBy(F.floor(F.log2("count")).cast("int").alias("power")).count().collect()
     start = FREQUENT
     while sum(r["count"] for r in by_size if 2 ** (r["power"] + 1) > start) > TABLE // 8:
@@ -164,6 +155,34 @@ def frequency_levels(sets: DataFrame) -> tuple[np.ndarray, int]:
     return fixed_table(marks), start
 
 
+def frequency_levels(sets: DataFrame) -> tuple[np.ndarray, int]:
+    """How frequent the elements of each bucket are, 0 (seldom) to LEVELS, and a count at which
+    level 1 begins.
+
+    Counted are the elements that may come first in a set, over all documents: those with the
+    smallest hashes, and where so many of these are frequent that others move up, all others."""
+    chosen = sets.where(F.col("elements").isNotNull()).select("elements")
+
+    def elements(pick):
+        def run(batches):
+            for batch in batches:
+                parts = [pick(unpack_elements(data)) for data in batch.column(0).to_pylist()]
+                whole = np.concatenate([np.zeros(0, np.int64), *parts])
+                yield pa.RecordBatch.from_arrays([pa.array(whole)], names=["element"])
+
+        return chosen.mapInArrow(run, "element long")
+
+    levels, start = marks_of(elements(lambda own: own[: counted(len(own))]))
+
+    def moved_up(own):
+        n = counted(len(own))
+        seldom = int((levels[own[:n] % TABLE] == 0).sum())
+        return own[n:] if seldom < prefix_length(len(own)) else own[:0]
+
+    more, second = marks_of(elements(moved_up))
+    return np.maximum(levels, more), max(start, second)
+
+
 def level_counts(start: int) -> np.ndarray:
     """A typical count of elements of each level."""
     return np.array([1.0, *(start * STEP**k * np.sqrt(STEP) for k in range(LEVELS))])
@@ -212,7 +231,8 @@ def postings(sets: DataFrame, levels: np.ndarray, boundary: int) -> DataFrame:
     """Keys under which sets (id, n, part, elements, sketch) are listed: key, id, part, n, place,
     hint. Pairs of first elements for small sets; single ones for large sets and those small
     ones that may be like a large one. place: of the key's first element in the set's order.
-    hint, for frequent elements only: the set's sketch, then the EARLIER elements before it."""
+    hint, for frequent elements only: the set's sketch, folded for pairs, then the EARLIER
+    elements before the key's last one."""
     bits = 8 * ELEMENT_BYTES
     mask = np.uint64((1 << bits) - 1)
 
@@ -226,22 +246,31 @@ def postings(sets: DataFrame, levels: np.ndarray, boundary: int) -> DataFrame:
             low, high = np.minimum(first[i], first[j]), np.maximum(first[i], first[j])
             keys.append((mixed(mixed(low + np.uint64(1)) + high) & mask) + np.uint64(1 << bits))
             places.append(i)
-            frequent.append(np.zeros(len(i), bool))
+            frequent.append((level[i] > 0) & (level[j] > 0) & (n > 1))
         if n > boundary or 100 * n >= PERCENT * (boundary + 1):
             p = prefix_length(n)
             keys.append(first[:p])
             places.append(np.arange(p))
             frequent.append(level[:p] > 0)
-        return np.concatenate(keys).astype(np.int64), np.concatenate(places), np.concatenate(frequent)
-
-    def hints_of(keys, places, frequent, sketch: bytes) -> list[bytes | None]:
-        single = keys[keys < 1 << bits]
-        offset = len(keys) - len(single)
-        before = np.concatenate([np.full(EARLIER, -1, np.int64), single])
-        return [
-            sketch + before[k - offset : k - offset + EARLIER].astype("<i8").tobytes() if f else None
-            for k, f in enumerate(frequent)
-        ]
+        columns = np.concatenate(keys).astype(np.int64), np.concatenate(places), np.concatenate(frequent)
+        return *columns, first.astype(np.int64)
+
+    def hints_of(keys, places, frequent, first: np.ndarray, sketch: bytes) -> list[bytes | None]:
+        before = np.concatenate([np.full(EARLIER + 1, -1, np.int64), first])
+        folded = np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint8).reshape(FOLDS, -1)).tobytes()
+        n_pairs = int((keys >= 1 << bits).sum())
+        second = np.triu_indices(len(first), 1)[1] if n_pairs > 1 else np.zeros(1, int)
+        found: list[bytes | None] = [None] * len(keys)
+        for k in np.flatnonzero(frequent).tolist():
+            if k < n_pairs:
+                j = int(second[k])
+                near = before[j : j + EARLIER + 1]  # the five before the second element
+                near = near[near != first[places[k]]][-EARLIER:]
+                found[k] = folded + near.astype("<i8").tobytes()
+            else:
+                j = int(places[k])
+                found[k] = sketch + before[j + 1 : j + 1 + EARLIER].astype("<i8").tobytes()
+        return found
 
     def run(batches):
         for batch in batches:
@@ -299,15 +328,15 @@ def sketches_fit(apart, both):
 def pairs_of_list(own, group, size, at, hints) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of members of different components that may be alike. Hints, where a list has
     them, drop pairs whose sketches are too far apart, and those that share one of the elements
-    just before this: these met there already."""
+    just before the key's last: these met under an earlier key."""
     values, counts = np.unique(group, return_counts=True)
     minor = group != values[counts.argmax()]
     after = np.arange(len(own))
     sketch = earlier = None
     if all(h is not None for h in hints):
         data = np.frombuffer(b"".join(hints), np.uint8).reshape(len(own), -1)
-        sketch = data[:, : SKETCH_BITS // 8]
-        earlier = np.ascontiguousarray(data[:, SKETCH_BITS // 8 :]).view("<i8")
+        sketch, earlier = data[:, : -8 * EARLIER], data[:, -8 * EARLIER :]
+        earlier = np.ascontiguousarray(earlier).view("<i8")
     for i in np.flatnonzero(minor):
         fit = may_be_like(size, size[i], at, at[i]) & (group != group[i]) & (~minor | (after > i))
         which = np.flatnonzero(fit)
