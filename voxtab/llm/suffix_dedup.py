@@ -39,8 +39,6 @@ STRIP = 1 << 18
 # one such chunk that an anchor is in when it is frequent.
 CHUNK = 8 << 20
 FREQUENT = 12
-# Neighbourhoods that are compared at once.
-TOGETHER = 1 << 14
 
 # Bits of the first and second digits' hashes that are dropped. Rows are shuffled in packs by
 # the first digit; there are so many packs for each partition of a shuffle.
@@ -198,7 +196,8 @@ def keyed(found: Anchors, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 SUFFIX = "bucket int, pack binary"
-MARK = "doc_id long, around long, open boolean"
+# mark: twice the second digit, one more where it is open.
+MARK = "doc_id long, mark long"
 
 
 def packed_rows(digit: np.ndarray, around: np.ndarray, owner: np.ndarray, ids: np.ndarray) -> bytes:
@@ -256,7 +255,7 @@ def repeats_in_chunks(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
         for ids, found in chunks(batches):
             _, around, owner = keyed(found, frequent)
             _, later = firsts(around, ids[owner])
-            yield record(MARK, ids[owner[later]], around[later].astype(np.int64), np.zeros(len(later), bool))
+            yield record(MARK, ids[owner[later]], 2 * around[later].astype(np.int64))
 
     return docs.mapInArrow(run, MARK)
 
@@ -275,23 +274,15 @@ def sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         several = np.bincount(group[new]) > 1
         is_open = new & several[group]
         which = np.flatnonzero(again | is_open)
-        yield record(MARK, doc[which], around[which], is_open[which])
+        yield record(MARK, doc[which], 2 * around[which] + is_open[which])
 
     def whole(packs):
         digit, around, doc = (np.concatenate(c) for c in zip(*map(unpacked_rows, packs), strict=True))
         order = np.lexsort((doc, around, digit))
         yield from marks(digit[order], around[order], doc[order])
 
-    bucket, held = None, []
-    for batch in batches:
-        for k, pack in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if k != bucket and held:
-                yield from whole(held)
-                held = []
-            bucket = k
-            held.append(pack)
-    if held:
-        yield from whole(held)
+    for packs in by_bucket(batches):
+        yield from whole(packs)
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -314,7 +305,6 @@ def unpacked(column: pa.Array) -> list[bytes]:
     return [expand(z) for z in column.to_pylist()]
 
 
-AROUNDS = "digit long, around long, doc_id long, left int, right int, bytes binary"
 FLAGS = "doc_id long, around long, places long"
 
 
@@ -323,8 +313,8 @@ def of_text(around: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return stir((around + (owner.astype(np.uint64) << np.uint64(48))) * K1)
 
 
-def neighbourhoods(texts: DataFrame, marks: DataFrame) -> DataFrame:
-    """The bytes around the open anchors of each document."""
+def neighbourhoods(texts: DataFrame, marks: DataFrame, buckets: int) -> DataFrame:
+    """The bytes around the open anchors of each document, packed by buckets of the first digit."""
 
     def run(batches):
         for batch in batches:
@@ -333,9 +323,9 @@ def neighbourhoods(texts: DataFrame, marks: DataFrame) -> DataFrame:
                 found = Anchors(expanded[a:b])
                 wanted = batch.column(2).slice(a, b - a)
                 owner = np.repeat(np.arange(b - a), wanted.value_lengths().to_numpy())
-                marked = wanted.flatten()
-                is_open = marked.field(1).to_numpy(zero_copy_only=False)
-                own = marked.field(0).to_numpy().astype(np.uint64)
+                mark = wanted.flatten().to_numpy()
+                is_open = mark & 1 == 1
+                own = (mark >> 1).astype(np.uint64)
                 keep = np.isin(of_text(found.around, found.owner), of_text(own[is_open], owner[is_open]))
                 which = np.flatnonzero(keep)
                 ids = batch.column(0).slice(a, b - a).to_numpy()
@@ -343,30 +333,53 @@ def neighbourhoods(texts: DataFrame, marks: DataFrame) -> DataFrame:
                 _, one = np.unique(of_text(found.around[which], found.owner[which]), return_index=True)
                 which = which[one]
                 near = found.data[found.places[which, None] + np.arange(-REACH, DIGIT + REACH)]
-                yield record(
-                    AROUNDS, found.digit[which].astype(np.int64), found.around[which].astype(np.int64),
-                    ids[found.owner[which]], found.left[which].astype(np.int32),
-                    found.right[which].astype(np.int32), [r.tobytes() for r in near],
-                )
+                bucket = (found.digit[which] % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                for k in np.flatnonzero(np.diff(edges)).tolist():
+                    rows = order[edges[k] : edges[k + 1]]
+                    pick = which[rows]
+                    columns = [
+                        found.around[pick].astype("<i8"), ids[found.owner[pick]].astype("<i8"),
+                        found.left[pick].astype(np.int8), found.right[pick].astype(np.int8), near[rows],
+                    ]
+                    data = np.array([len(rows)], "<i8").tobytes() + b"".join(c.tobytes() for c in columns)
+                    yield record(SUFFIX, np.array([k], np.int32), [zstandard.ZstdCompressor(level=3).compress(data)])
 
     joined = texts.join(marks, F.col("doc_id") == F.col("__id"))
-    return joined.select("doc_id", "text", "__marks").mapInArrow(run, AROUNDS)
+    return joined.select("doc_id", "text", "__marks").mapInArrow(run, SUFFIX)
 
 
-def compare_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From neighbourhoods in order of their anchors: the windows of each that a smaller document
-    has too, as bits by the anchor's distance from the window's start."""
+def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
+    """The packs of each bucket, from rows in order of their buckets."""
+    bucket, held = None, []
+    for batch in batches:
+        for k, pack in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if k != bucket and held:
+                yield held
+                held = []
+            bucket = k
+            held.append(pack)
+    if held:
+        yield held
 
-    def flags(batch: pa.RecordBatch):
-        n = batch.num_rows
-        if not n:
-            return
-        around, doc = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-        left, right = batch.column(3).to_numpy(), batch.column(4).to_numpy()
-        data = np.frombuffer(b"".join(batch.column(5).to_pylist()) + b"\0" * 8, np.uint8)
-        words = words_at(data)
-        bits = np.zeros(n, np.int64)
-        base = np.arange(n) * AROUND + REACH
+
+def compare_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From packs of neighbourhoods in order of their buckets: the windows of each that a smaller
+    document has too, as bits by the anchor's distance from the window's start."""
+
+    def columns(pack: bytes):
+        data = zstandard.ZstdDecompressor().decompress(pack)
+        (n,) = np.frombuffer(data, "<i8", 1).tolist()
+        around, doc = np.frombuffer(data, "<i8", 2 * n, 8).reshape(2, n)
+        left, right = np.frombuffer(data, np.int8, 2 * n, 8 + 16 * n).reshape(2, n)
+        return around, doc, left, right, np.frombuffer(data, np.uint8, n * AROUND, 8 + 18 * n)
+
+    for packs in by_bucket(batches):
+        around, doc, left, right, data = (np.concatenate(c) for c in zip(*map(columns, packs), strict=True))
+        words = words_at(np.append(data, np.zeros(8, np.uint8)))
+        bits = np.zeros(len(doc), np.int64)
+        base = np.arange(len(doc)) * AROUND + REACH
         hashes, rows, places = [], [], []
         for l in range(PLACES):
             fit = np.flatnonzero((left >= l) & (right >= REACH - l))
@@ -376,29 +389,13 @@ def compare_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         hashes, rows, places = (np.concatenate(x) for x in (hashes, rows, places))
         order = np.lexsort((doc[rows], hashes))
         h, d = hashes[order], doc[rows][order]
-        new = np.append(True, h[1:] != h[:-1]) if len(h) else np.zeros(0, bool)
         if len(h):
+            new = np.append(True, h[1:] != h[:-1])
             again = order[d > d[new][np.cumsum(new) - 1]]
             np.bitwise_or.at(bits, rows[again], np.int64(1) << places[again])
         which = np.flatnonzero(bits)
         yield record(FLAGS, doc[which], around[which], bits[which])
 
-    rest: list[pa.RecordBatch] = []
-    held = 0
-    for batch in batches:
-        rest.append(batch)
-        held += batch.num_rows
-        if held < TOGETHER:
-            continue
-        whole = pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
-        digit = whole.column(0).to_numpy()
-        last = int(np.flatnonzero(digit == digit[-1])[0])
-        yield from flags(whole.slice(0, last))
-        rest, held = [whole.slice(last)], whole.num_rows - last
-    if rest:
-        for whole in pa.Table.from_batches(rest).combine_chunks().to_batches():
-            yield from flags(whole)
-
 
 def repeated_bytes(found: Anchors, frequent: np.ndarray, owner, around, places) -> np.ndarray:
     """Which bytes windows cover that a smaller document has. owner, around, places: of the
@@ -450,12 +447,12 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     ordered = suffixes(named, frequent, buckets).repartition("bucket").sortWithinPartitions("bucket")
     marks = ordered.mapInArrow(sorted_groups, MARK).unionByName(repeats_in_chunks(named, frequent))
     marks = marks.groupBy(F.col("doc_id").alias("__id")).agg(
-        F.collect_list(F.struct("around", "open")).alias("__marks")
+        F.collect_list("mark").alias("__marks")
     )
     # Texts and marks are shuffled once: both joins read the same exchanges.
     texts = packed(known).where(F.col("doc_id").isNotNull())
-    near = neighbourhoods(texts.select("doc_id", "text") if len(docs.columns) > 2 else texts, marks)
-    parts = near.repartition("digit").sortWithinPartitions("digit").mapInArrow(compare_windows, FLAGS)
+    near = neighbourhoods(texts.select("doc_id", "text") if len(docs.columns) > 2 else texts, marks, buckets)
+    parts = near.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(compare_windows, FLAGS)
     parts = parts.groupBy(F.col("doc_id").alias("__part")).agg(
         F.collect_list(F.struct("around", "places")).alias("__parts")
     )
@@ -488,9 +485,12 @@ def deduplicate(docs: DataFrame) -> DataFrame:
                     lists = batch.column(names_in.index(name)).slice(a, b - a)
                     sizes = lists.value_lengths().fill_null(0).to_numpy()
                     rows = lists.flatten()
-                    around, other = (rows.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-                    use = ~other if second else np.ones(len(rows), bool)
-                    places = np.full(len(rows), second) if second else other
+                    if second:
+                        mark = rows.to_numpy(zero_copy_only=False).astype(np.int64)
+                        around, use, places = mark >> 1, mark & 1 == 0, np.full(len(rows), second)
+                    else:
+                        around, places = (rows.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                        use = np.ones(len(rows), bool)
                     owner = np.repeat(np.arange(b - a), sizes)
                     flags.append((owner[use], around[use], places[use].astype(np.int64)))
                 owner, around, places = (np.concatenate(c) for c in zip(*flags, strict=True))
