@@ -62,9 +62,11 @@ def split_words(texts: list[bytes]) -> Words:
     if not len(data):
         return Words(np.zeros(0, np.int64), [], np.zeros(len(texts) + 1, np.int64))
     first = np.flatnonzero(gap[:-1] & ~gap[1:])
+    stops = np.flatnonzero(~gap[:-1] & gap[1:])
+    if not gap[-1]:
+        stops = np.append(stops, len(data) - 1)
+    offsets = np.concatenate([[0], np.cumsum(stops - first)]).astype(np.int64)
     letters = data[~gap]
-    before = np.cumsum(~gap) - 1
-    offsets = np.append(before[first + 1], len(letters)).astype(np.int64)
     words = pa.Array.from_buffers(
         pa.large_binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]
     ).dictionary_encode()

@@ -58,11 +58,15 @@ class Sequences(NamedTuple):
 def word_buckets(words: list[bytes]) -> np.ndarray:
     """Of words in lower case (A-Z) without marks at their ends. Bucket 0 is for padding."""
     marks = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-    plain = [w.lower().strip(marks) for w in words]
-    hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in plain], np.uint64)
-    stems = np.array([xxhash.xxh3_64_intdigest(w[:STEM]) for w in plain], np.uint64)
-    columns = [v % np.uint64(BUCKETS - 1) + np.uint64(1) for v in (hashes, hashes >> np.uint64(24), stems)]
-    return np.stack(columns, axis=1).astype(np.int64)
+    columns = np.empty((len(words), TABLES), np.int64)
+    for start in range(0, len(words), 1 << 15):
+        plain = [w.lower().strip(marks) for w in words[start : start + (1 << 15)]]
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, plain), np.uint64, len(plain))
+        stems = (xxhash.xxh3_64_intdigest(w[:STEM]) for w in plain)
+        stems = np.fromiter(stems, np.uint64, len(plain))
+        rows = np.stack([hashes, hashes >> np.uint64(24), stems], axis=1)
+        columns[start : start + len(plain)] = rows % np.uint64(BUCKETS - 1) + np.uint64(1)
+    return columns
 
 
 def sequences(texts: list[bytes]) -> Sequences:
@@ -78,6 +82,20 @@ def sequences(texts: list[bytes]) -> Sequences:
     return Sequences(words, starts, buckets)
 
 
+def keyed_texts(texts: list[bytes]) -> list[np.ndarray]:
+    """The words of each text, padding included, as one number each that holds its buckets."""
+    found = []
+    for a, b in in_chunks(texts):
+        words, starts, buckets = sequences(texts[a:b])
+        keys = sum(buckets[:, k] << (16 * k) for k in range(TABLES))[words]
+        found += [keys[i:j] for i, j in zip(starts[:-1], starts[1:], strict=True)]
+    return found
+
+
+def buckets_of(keys: np.ndarray) -> np.ndarray:
+    return np.stack([(keys >> (16 * k)) & 0xFFFF for k in range(TABLES)], axis=1)
+
+
 def answers(vectors: np.ndarray, filters, biases, words: np.ndarray, starts: np.ndarray):
     """Per width: the answer of each filter at each word, and the best in each text. vectors: of
     the words that `words` points to. Windows do not cross the padding between texts."""
@@ -112,17 +130,15 @@ def predict(model: Model, texts: list[bytes]) -> np.ndarray:
     return sigmoid(np.maximum(np.concatenate(best, axis=1), 0) @ model.weights + model.bias)
 
 
-def log_odds(texts: list[np.ndarray], buckets: np.ndarray, labels: np.ndarray) -> np.ndarray:
+def log_odds(texts: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     """Of each bucket of each table: how much more often texts of label 1 hold it, smoothed."""
     totals = np.bincount(labels, minlength=2)[:, None] + 1
-    found = np.zeros((TABLES, BUCKETS))
-    for k in range(TABLES):
-        counts = np.zeros((2, BUCKETS))
-        for text, label in zip(texts, labels, strict=True):
-            counts[label, np.unique(buckets[text, k])] += 1
-        rates = (counts + 3) / (totals + 6)
-        found[k] = np.log(rates[1] / rates[0])
-    return found
+    counts = np.zeros((2, TABLES, BUCKETS))
+    for text, label in zip(texts, labels, strict=True):
+        for k, column in enumerate(buckets_of(text).T):
+            counts[label, k, np.unique(column)] += 1
+    rates = (counts + 3) / (totals[:, :, None] + 6)
+    return np.log(rates[1] / rates[0])
 
 
 def constant(share: float) -> Model:
@@ -156,12 +172,11 @@ def train(texts: list[bytes], labels: np.ndarray, langs: list[str], epochs: int
     n_all = len(labels)
     if n_all == 0 or min(np.bincount(labels, minlength=2)) < 10:
         return constant((labels.sum() + 1) / (n_all + 2) if n_all else 0.5)
-    words, starts, buckets = sequences(texts)
-    own = [words[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)]
+    own = keyed_texts(texts)
     held = np.arange(n_all) % 5 == 4
     rows = np.flatnonzero(~held)
     embedding = rng.normal(0, 0.05, (TABLES, BUCKETS, DIM)).astype(np.float32)
-    odds = log_odds([own[i] for i in rows], buckets, labels[rows])
+    odds = log_odds([own[i] for i in rows], labels[rows])
     embedding[:, :, 0] = np.clip(odds, -3, 6) / 3
     embedding[:, 0] = 0
     filters = [rng.normal(0, 0.3, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
@@ -177,7 +192,8 @@ def train(texts: list[bytes], labels: np.ndarray, langs: list[str], epochs: int
         for chosen in np.array_split(rng.permutation(rows), max(1, len(rows) // 64)):
             at = np.concatenate([[0], np.cumsum([len(own[i]) for i in chosen])])
             seen, batch = np.unique(np.concatenate([own[i] for i in chosen]), return_inverse=True)
-            vectors = vectors_of(embedding, buckets[seen])
+            buckets = buckets_of(seen)
+            vectors = vectors_of(embedding, buckets)
             found = list(answers(vectors, filters, biases, batch, at))
             pooled = np.concatenate([b for _, b in found], axis=1)
             active = np.maximum(pooled, 0)
@@ -202,15 +218,17 @@ def train(texts: list[bytes], labels: np.ndarray, langs: list[str], epochs: int
                     np.add.at(change, near.ravel(), pull.reshape(-1, DIM))
                 learn.step(filters[k], slope)
                 learn.step(biases[k], part.sum(axis=0))
-            moved = np.flatnonzero(np.any(change, axis=1) & (buckets[seen, 0] > 0))
+            moved = np.flatnonzero(np.any(change, axis=1) & (buckets[:, 0] > 0))
             for k in range(TABLES):
-                places, which = np.unique(buckets[seen[moved], k], return_inverse=True)
+                places, which = np.unique(buckets[moved, k], return_inverse=True)
                 slopes = np.zeros((len(places), DIM), np.float32)
                 np.add.at(slopes, which, change[moved])
                 learn.step(tables[k], slopes, places)
     model = Model(embedding, tuple(filters), tuple(biases), weights, float(bias[0]), {})
     mine = np.flatnonzero(held)
-    scores = predict(model, [texts[i] for i in mine])
+    tested = [texts[i] for i in mine]
+    parts = [predict(model, tested[a:b]) for a, b in in_chunks(tested)]
+    scores = np.concatenate([np.zeros(0), *parts])
     return model._replace(thresholds=thresholds(scores, labels[held], [langs[i] for i in mine]))
 
 
