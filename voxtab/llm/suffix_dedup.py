@@ -37,8 +37,8 @@ AROUND = DIGIT + 2 * REACH
 STRIP = 1 << 18
 # Bytes of text within which equal suffixes are summed up before the shuffle, and documents of
 # one such chunk that an anchor is in when it is frequent.
-CHUNK = 8 << 20
-FREQUENT = 12
+CHUNK = 4 << 20
+FREQUENT = 8
 
 # Bits of the first and second digits' hashes that are dropped. Rows are shuffled in packs by
 # the first digit; there are so many packs for each partition of a shuffle.
