@@ -31,6 +31,8 @@ SKETCH_BITS = 1024
 LISTED = 6
 # Members of a list that each is compared with in the first round.
 NEIGHBOURS = 3
+# Sets whose list entries are made at once.
+TOGETHER = 512
 # Parts of a sketch that are put on top of each other for small sets.
 FOLDS = 4
 # Elements before a frequent one that its list entries name.
@@ -272,8 +274,13 @@ def postings(sets: DataFrame, levels: np.ndarray, boundary: int) -> DataFrame:
                 found[k] = sketch + before[j + 1 : j + 1 + EARLIER].astype("<i8").tobytes()
         return found
 
-    def run(batches):
+    def parts(batches):
         for batch in batches:
+            for start in range(0, batch.num_rows, TOGETHER):
+                yield batch.slice(start, TOGETHER)
+
+    def run(batches):
+        for batch in parts(batches):
             found = [keys_of(unpack_elements(d)) for d in batch.column(3).to_pylist()]
             hints = [
                 h for f, s in zip(found, batch.column(4).to_pylist(), strict=True) for h in hints_of(*f, s)
