@@ -92,3 +92,31 @@ def test_labelled_sample(spark):
     assert sum(r.label == 0 for r in found) == 10 and sum(r.label == 1 for r in found) == 10
     assert len({r.text for r in found}) == 20
     assert labelled_sample(docs.drop("lang"), labels.limit(0), "toxic", allowed, 10, 100).count() == 0
+
+
+def test_thresholds_cover_all_labelled_rows(spark, monkeypatch):
+    """A rare language and long texts, of which the training sample holds next to nothing."""
+    texts, labels = corpus(3000, 6)
+    lang = ["xx" if i % 50 < 2 else "en" for i in range(3000)]
+    rows = [(i, t.decode(), l) for i, (t, l) in enumerate(zip(texts, lang, strict=True))]
+    rows += [(3000 + i, "late words " * 3000 + ("scumbag vilewort" if i % 2 else ""), "yy") for i in range(60)]
+    given = [(i, int(v)) for i, v in enumerate(labels)] + [(3000 + i, i % 2) for i in range(60)]
+    docs = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string, lang string")
+    known = spark.createDataFrame(given, "doc_id long, toxic int")
+    counts = []
+    real = T.thresholds_of_counts
+    monkeypatch.setattr(T, "thresholds_of_counts", lambda rows: (counts.extend(rows), real(rows))[1])
+    model = T.fit(docs, known, F.lit(True), per_class=300)
+    assert set(model.thresholds) == {"", "en", "xx", "yy"}
+    n_learnt = 600 - 600 // 5
+    # Sampled ids of long texts are not learnt from, so at least these rows are left.
+    assert 3060 - n_learnt <= sum(n for *_, n in counts) <= 3060 - n_learnt + 60
+    assert sum(n for lang, _, _, n in counts if lang == "yy") == 60
+
+
+def test_thresholds_of_counts():
+    rows = [("en", 0, 100, 50), ("en", 1, 900, 50), ("de", 0, 500, 30), ("de", 1, 700, 30), ("fr", 1, 5, 39)]
+    found = T.thresholds_of_counts(rows)
+    assert set(found) == {"", "de", "en"}
+    assert 100 / 1024 < found["en"] <= 900 / 1024 and 500 / 1024 < found["de"] <= 700 / 1024
+    assert T.thresholds_of_counts([]) == {"": 0.5}

@@ -9,18 +9,24 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
+def known_labels(labels: DataFrame, label: str, allowed: Column) -> DataFrame:
+    """doc_id, label: one row for each labelled document. allowed: a condition on labels.doc_id."""
+    return labels.where(allowed & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
+        F.max(F.col(label)).cast("int").alias("label")
+    ).where(F.col("label").isin(0, 1))
+
+
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label: str, allowed: Column, per_class: int, longest: int
 ) -> DataFrame:
-    """At most `per_class` documents of each label 0 and 1 for training: label, lang, text.
+    """At most `per_class` documents of each label 0 and 1 for training: doc_id, label, lang,
+    text.
 
     allowed: a condition on labels.doc_id. Rows are taken in the order of a hash of the id;
     of repeated rows one counts. Texts beyond `longest` characters are not sampled, so that
     what the driver gathers is bounded by 2 * per_class * longest; null texts are empty.
     """
-    known = labels.where(allowed & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
-        F.max(F.col(label)).cast("int").alias("label")
-    )
+    known = known_labels(labels, label, allowed)
     ids = None
     for value in (0, 1):
         some = known.where(F.col("label") == value)
@@ -33,4 +39,4 @@ def labelled_sample(
     ).where(F.length("text") <= longest)
     # At most 2 * per_class rows of two numbers: small by construction.
     found = texts.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
-    return found.orderBy(F.xxhash64("doc_id"), "doc_id").select("label", "lang", "text")
+    return found.orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id", "label", "lang", "text")

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from voxtab.llm.common import in_chunks, split_words, text_bytes
-from voxtab.llm.labelled import labelled_sample
+from voxtab.llm.labelled import known_labels, labelled_sample
+from voxtab.llm.ngram_join import among, marked
 
 # Sizes of the model: tables of hashed words and their buckets, numbers a word, widths of
 # filters, filters a width.
@@ -30,6 +31,11 @@ FILTERS = 8
 PER_CLASS = 3000
 LONGEST = 20_000
 EPOCHS = 6
+# Rows of a class, below which nothing is learnt; rows of a language, from which it has a
+# threshold of its own.
+LEAST_ROWS, LEAST_OF_LANGUAGE = 10, 40
+# Steps of thresholds: a power of two, so that the edges of bins are exact.
+BINS = 1024
 # What a row of label 0 counts against one of label 1: false alarms cost more.
 CLEAN_WEIGHT = 3.0
 
@@ -163,6 +169,15 @@ class Adagrad:
         p[place] -= self.rate * slope / np.sqrt(s[place])
 
 
+def too_few(labels: np.ndarray) -> bool:
+    return len(labels) == 0 or min(np.bincount(labels, minlength=2)) < LEAST_ROWS
+
+
+def kept_from_fit(n: int) -> np.ndarray:
+    """Which of the n rows of a training sample are not learnt from."""
+    return np.arange(n) % 5 == 4
+
+
 def train(texts: list[bytes], labels: np.ndarray, langs: list[str], epochs: int = EPOCHS, seed: int = 7) -> Model:
     """Fits all parts of the model by Adagrad on four of five rows; the fifth sets thresholds.
 
@@ -170,10 +185,10 @@ def train(texts: list[bytes], labels: np.ndarray, langs: list[str], epochs: int
     ten rows of either label: a model that scores the share of label 1 everywhere."""
     rng = np.random.default_rng(seed)
     n_all = len(labels)
-    if n_all == 0 or min(np.bincount(labels, minlength=2)) < 10:
+    if too_few(labels):
         return constant((labels.sum() + 1) / (n_all + 2) if n_all else 0.5)
     own = keyed_texts(texts)
-    held = np.arange(n_all) % 5 == 4
+    held = kept_from_fit(n_all)
     rows = np.flatnonzero(~held)
     embedding = rng.normal(0, 0.05, (TABLES, BUCKETS, DIM)).astype(np.float32)
     odds = log_odds([own[i] for i in rows], labels[rows])
@@ -232,7 +247,7 @@ def train(texts: list[bytes], labels: np.ndarray, langs: list[str], epochs: int
     return model._replace(thresholds=thresholds(scores, labels[held], [langs[i] for i in mine]))
 
 
-def thresholds(scores: np.ndarray, labels: np.ndarray, langs: list[str], least: int = 40) -> dict[str, float]:
+def thresholds(scores: np.ndarray, labels: np.ndarray, langs: list[str], least: int = LEAST_OF_LANGUAGE) -> dict[str, float]:
     """By language, the score at which most rows are told right, in the middle of the gap;
     languages with fewer than `least` rows, or of one label only, use that of all rows."""
     found = {}
@@ -252,14 +267,54 @@ def thresholds(scores: np.ndarray, labels: np.ndarray, langs: list[str], least:
     return found
 
 
+def binned_counts(docs: DataFrame, known: DataFrame, model: Model) -> DataFrame:
+    """lang, label, bin, n: how many labelled documents have each score, over whole texts of any
+    length. known: doc_id, label. Rows that repeat id, language and score count once.
+
+    Only ids, languages and scores are shuffled."""
+    lang = F.col("lang") if "lang" in docs.columns else F.lit("")
+    wanted = marked(known.select(F.xxhash64("doc_id").alias("id")))
+    rows = docs.where(F.col("doc_id").isNotNull()).select(
+        F.xxhash64("doc_id").alias("__key"), "doc_id", F.coalesce(lang, F.lit("")).alias("lang"), "text"
+    )
+    scored = score(among(rows, wanted, True), model).select("doc_id", "lang", "score")
+    step = F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).cast("int")
+    found = scored.join(known, "doc_id").distinct()
+    return found.groupBy("lang", "label", step.alias("bin")).agg(F.count("*").alias("n"))
+
+
+def thresholds_of_counts(rows: list[tuple[str, int, int, int]], least: int = LEAST_OF_LANGUAGE) -> dict[str, float]:
+    """As `thresholds`, from rows (lang, label, bin, n) and at edges of bins."""
+    tables: dict[str, np.ndarray] = {"": np.zeros((2, BINS), np.int64)}
+    for lang, label, place, n in rows:
+        for name in {"", lang}:
+            tables.setdefault(name, np.zeros((2, BINS), np.int64))[label, place] += n
+    edges = np.arange(BINS + 1)
+    able = (edges >= 0.05 * BINS) & (edges <= 0.95 * BINS)
+    found = {"": 0.5}
+    for lang, (clean, toxic) in sorted(tables.items()):
+        if clean.sum() and toxic.sum() and (lang == "" or clean.sum() + toxic.sum() >= least):
+            right = np.append(0, clean.cumsum()) + toxic.sum() - np.append(0, toxic.cumsum())
+            good = edges[able & (right == right[able].max())]
+            found[lang] = float(good[len(good) // 2] / BINS)
+    return found
+
+
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column, per_class: int = PER_CLASS) -> Model:
-    """Trains on at most `per_class` labelled rows of each label, on the driver."""
+    """Trains on at most `per_class` labelled rows of each label, on the driver; thresholds come
+    from all labelled rows but those learnt from."""
     found = labelled_sample(docs, labels, "toxic", allowed, per_class, LONGEST).toArrow()
-    return train(
-        text_bytes(found["text"].combine_chunks()),
-        found["label"].to_numpy().astype(np.int64),
-        found["lang"].to_pylist(),
-    )
+    sampled = found["label"].to_numpy().astype(np.int64)
+    model = train(text_bytes(found["text"].combine_chunks()), sampled, found["lang"].to_pylist())
+    if too_few(sampled):
+        return model
+    # At most 2 * per_class ids: small by construction.
+    learnt = found.select(["doc_id"]).filter(pa.array(~kept_from_fit(len(sampled))))
+    learnt = F.broadcast(docs.sparkSession.createDataFrame(learnt))
+    known = known_labels(labels, "toxic", allowed).join(learnt, "doc_id", "left_anti")
+    # A row for each language, label and bin, however many documents there are.
+    counts = binned_counts(docs, known, model).collect()
+    return model._replace(thresholds=thresholds_of_counts([tuple(r) for r in counts]))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
