@@ -64,3 +64,17 @@ def test_odd_rows(spark):
 def test_plain_sources_without_language(spark):
     df = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     assert M.mix(df).count() == 1
+
+
+def test_large_unnamed_categories_get_the_rest(spark):
+    lang = ["en", "de", "de", "fr", "en", "en", "it", "en", "en", "en"]
+    data = [(i, f"w{i} " * 20, lang[i % 10], "a" if i % 3 else "b") for i in range(2000)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
+    for given in ({"en": 0.3, "(other)": 0.7}, {"en": 0.3}):
+        out = M.mix(df, {"lang": given}, budget=0.2).collect()
+        expected = {n: sum(r.tokens * r.probability for r in out if r.lang == n) for n in set(lang)}
+        whole = sum(expected.values())
+        assert expected["en"] / whole == pytest.approx(0.3, rel=1e-6)
+        # Within the rest, categories keep their proportions: de 2, fr 1, it 1.
+        assert expected["de"] / whole == pytest.approx(0.35, rel=1e-2)
+        assert expected["fr"] / whole == pytest.approx(0.175, rel=1e-2)

@@ -115,11 +115,17 @@ def scale_for(weights: np.ndarray, tokens: np.ndarray, budget: float) -> float:
     return float(k[fits[0]])
 
 
+def unnamed_share(given: dict[str, float]) -> float:
+    """What the named shares leave for the rest."""
+    return max(0.0, round(1 - sum(given.values()), 9))
+
+
 def fit(docs: DataFrame, targets: dict[str, dict[str, float]] | None, budget: float) -> Mixture:
     """docs: as `prepared`. Cells are counted in one aggregate; at most 201 * 51 * 51 reach the
     driver."""
     observed = {d: shares(docs, d) for d in DIMENSIONS}
-    names = {d: sorted(set(observed[d]) | set((targets or {}).get(d, {})) - {OTHER}) for d in DIMENSIONS}
+    # Where a dimension has targets they alone name its categories; all else is the rest.
+    names = {d: sorted(set((targets or {}).get(d) or observed[d]) - {OTHER}) for d in DIMENSIONS}
     groups = [group(d, names[d]).alias(d) for d in DIMENSIONS]
     rows = docs.groupBy(*groups).agg(F.sum("__tokens").alias("tokens")).collect()
     places = {d: {n: i for i, n in enumerate([*names[d], OTHER])} for d in DIMENSIONS}
@@ -130,7 +136,8 @@ def fit(docs: DataFrame, targets: dict[str, dict[str, float]] | None, budget: fl
         own = np.bincount(cells[:, DIMENSIONS.index(d)], tokens, len(places[d]))
         given = (targets or {}).get(d)
         if given:
-            wanted.append(np.array([given.get(n, 0.0) for n in places[d]]))
+            given = {OTHER: unnamed_share(given), **given}
+            wanted.append(np.array([given[n] for n in places[d]]))
         else:
             wanted.append((own / max(own.sum(), 1)) ** TEMPER * (own > 0))
     factors, reached_targets = rake(cells, tokens, wanted)
@@ -157,8 +164,8 @@ def mix(
 ) -> DataFrame:
     """The documents with `tokens`, `topic`, `weight`, `probability` and `sampled`.
 
-    targets: shares by dimension (source, lang, topic) and category, "(other)" for the rest;
-    dimensions without targets get their own shares, tempered. budget: the share of all tokens
+    targets: shares by dimension (source, lang, topic) and category, "(other)" for all categories
+    that are not named; without it these get what the named shares leave of one. Dimensions without targets get their own shares, tempered. budget: the share of all tokens
     to draw in expectation; weights beyond what a whole category holds are cut at probability
     one. Whether a document is drawn depends on a hash of its id and text, so runs repeat, and
     rows that repeat both are drawn or left together. Null sources, languages and texts are empty;
