@@ -78,3 +78,32 @@ def test_large_unnamed_categories_get_the_rest(spark):
         # Within the rest, categories keep their proportions: de 2, fr 1, it 1.
         assert expected["de"] / whole == pytest.approx(0.35, rel=1e-2)
         assert expected["fr"] / whole == pytest.approx(0.175, rel=1e-2)
+
+
+def test_small_categories_have_targets_of_their_own(spark, monkeypatch):
+    """600 sources of 0.05 % each beside a hot one, twenty small languages; on the driver and on
+    Spark."""
+    data = [
+        (i, f"w{i} " * (10 + i % 7), "en" if i // 600 % 2 else f"l{(i + i // 600) % 20}", f"s{i % 600}" if i % 3 else "hot")
+        for i in range(6000)
+    ]
+    # A cell without tokens of which each category has some elsewhere.
+    data += [(6000, "only words", "l1", "s1"), (6001, "", "en", "hot"), (6002, "", "en", "hot")]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
+    found = {}
+    for held in (M.HELD_CELLS, 0):
+        monkeypatch.setattr(M, "HELD_CELLS", held)
+        monkeypatch.setattr(M, "ROUNDS", 12)
+        monkeypatch.setattr(M.rake, "__defaults__", (12, M.TOLERANCE))
+        found[held] = sorted(M.mix(df, {"lang": {"en": 0.7}}, budget=0.05).collect(), key=lambda r: r.doc_id)
+    own, other = found.values()
+    assert all(a.weight == pytest.approx(b.weight, rel=1e-6) for a, b in zip(own, other, strict=True))
+    assert all(a.probability == pytest.approx(b.probability, rel=1e-6) for a, b in zip(own, other, strict=True))
+    assert all(r.probability > 0 for r in own)
+    tokens, expected = {}, {}
+    for r in own:
+        tokens[r.source] = tokens.get(r.source, 0) + r.tokens
+        expected[r.source] = expected.get(r.source, 0) + r.tokens * r.weight
+    powers = {n: v**M.TEMPER for n, v in tokens.items()}
+    for n in tokens:
+        assert expected[n] / sum(expected.values()) == pytest.approx(powers[n] / sum(powers.values()), rel=1e-2)
