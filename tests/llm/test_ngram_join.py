@@ -134,3 +134,23 @@ def test_many_small_texts_of_common_lines(spark):
     rows = list(enumerate(texts))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert sorted(str(tuple(r)) for r in N.near_duplicates(df).collect()) == brute(rows)
+
+
+def test_long_lists_meet_in_blocks(spark, monkeypatch):
+    """Frequent passages in texts that are not alike, and a large family beside them."""
+    seen = []
+    real = N.in_blocks
+
+    def counted(rows, heavy):
+        seen.append((heavy.where("parts > 1").count(), real(rows, heavy).groupBy("key", "i", "j").count().agg({"count": "max"}).first()[0]))
+        return real(rows, heavy)
+
+    monkeypatch.setattr(N, "BLOCK", 8)
+    monkeypatch.setattr(N, "in_blocks", counted)
+    rng = random.Random(4)
+    passages = [" ".join(f"p{k}x{i}" for i in range(30)) for k in range(12)]
+    rows = [(i, " ".join(rng.sample(passages, 4))) for i in range(150)] + corpus()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted(str(tuple(r)) for r in N.near_duplicates(df).collect())
+    assert found == brute(rows)
+    assert seen[0][0] > 0 and seen[0][1] <= 8 * 8

@@ -33,6 +33,8 @@ LISTED = 6
 NEIGHBOURS = 3
 # Sets whose list entries are made at once.
 TOGETHER = 512
+# Rows of a list that stand in a block; longer lists are compared block with block.
+BLOCK = 2048
 # Parts of a sketch that are put on top of each other for small sets.
 FOLDS = 4
 # Elements before a frequent one that its list entries name.
@@ -229,12 +231,9 @@ def size_costs(sets: DataFrame, levels: np.ndarray, start: int) -> list[tuple[in
     return [tuple(r) for r in rows]
 
 
-def postings(sets: DataFrame, levels: np.ndarray, boundary: int) -> DataFrame:
-    """Keys under which sets (id, n, part, elements, sketch) are listed: key, id, part, n, place,
-    hint. Pairs of first elements for small sets; single ones for large sets and those small
-    ones that may be like a large one. place: of the key's first element in the set's order.
-    hint, for frequent elements only: the set's sketch, folded for pairs, then the EARLIER
-    elements before the key's last one."""
+def keys_and_hints(levels: np.ndarray, boundary: int):
+    """Functions for `postings`: the keys of a set's elements, with places, levels and the first
+    elements; and the hints of keys."""
     bits = 8 * ELEMENT_BYTES
     mask = np.uint64((1 << bits) - 1)
 
@@ -248,12 +247,12 @@ def postings(sets: DataFrame, levels: np.ndarray, boundary: int) -> DataFrame:
             low, high = np.minimum(first[i], first[j]), np.maximum(first[i], first[j])
             keys.append((mixed(mixed(low + np.uint64(1)) + high) & mask) + np.uint64(1 << bits))
             places.append(i)
-            frequent.append((level[i] > 0) & (level[j] > 0) & (n > 1))
+            frequent.append(np.minimum(level[i], level[j]) * (n > 1))
         if n > boundary or 100 * n >= PERCENT * (boundary + 1):
             p = prefix_length(n)
             keys.append(first[:p])
             places.append(np.arange(p))
-            frequent.append(level[:p] > 0)
+            frequent.append(level[:p])
         columns = np.concatenate(keys).astype(np.int64), np.concatenate(places), np.concatenate(frequent)
         return *columns, first.astype(np.int64)
 
@@ -273,6 +272,47 @@ def postings(sets: DataFrame, levels: np.ndarray, boundary: int) -> DataFrame:
                 j = int(places[k])
                 found[k] = sketch + before[j + 1 : j + 1 + EARLIER].astype("<i8").tobytes()
         return found
+    return keys_of, hints_of
+
+
+def heavy_keys(sets: DataFrame, levels: np.ndarray, start: int, boundary: int) -> DataFrame:
+    """Keys with more than BLOCK entries: key, parts (how many components), top (the largest of
+    them), n_top and n_rest. Counted are the keys that may have so many by the levels of their
+    elements."""
+    keys_of, _ = keys_and_hints(levels, boundary)
+    least = next((k for k in range(1, LEVELS) if 2 * start * STEP**k > BLOCK), LEVELS)
+
+    def run(batches):
+        for batch in batches:
+            found = [keys_of(unpack_elements(d)) for d in batch.column(3).to_pylist()]
+            picked = [f[0][f[2] >= least] for f in found]
+            which = pa.array(np.repeat(np.arange(batch.num_rows), [len(p) for p in picked]))
+            keys = pa.array(np.concatenate([np.zeros(0, np.int64), *picked]))
+            yield pa.RecordBatch.from_arrays(
+                [keys, batch.column(0).take(which), batch.column(2).take(which)], names=["key", "id", "part"]
+            )
+
+    rows = sets.mapInArrow(run, "key long, id long, part long")
+    by_part = rows.groupBy("key", F.coalesce("part", "id").alias("part")).agg(F.count("*").alias("n"))
+    found = by_part.groupBy("key").agg(
+        F.sum("n").alias("total"), F.count("*").alias("parts"), F.max(F.struct("n", "part")).alias("most")
+    )
+    return found.where(F.col("total") > BLOCK).select(
+        "key", "parts", F.col("most.part").alias("top"), F.col("most.n").alias("n_top"),
+        (F.col("total") - F.col("most.n")).alias("n_rest"),
+    )
+
+
+def postings(
+    sets: DataFrame, levels: np.ndarray, boundary: int, marks: np.ndarray | None = None, wanted: bool = False
+) -> DataFrame:
+    """Keys under which sets (id, n, part, elements, sketch) are listed: key, id, part, n, place,
+    hint. Pairs of first elements for small sets; single ones for large sets and those small
+    ones that may be like a large one. place: of the key's first element in the set's order.
+    hint, for frequent elements only: the set's sketch, folded for pairs, then the EARLIER
+    elements before the key's last one. marks: take only keys whose bucket is marked (wanted), or
+    only others."""
+    keys_of, hints_of = keys_and_hints(levels, boundary)
 
     def parts(batches):
         for batch in batches:
@@ -282,9 +322,15 @@ def postings(sets: DataFrame, levels: np.ndarray, boundary: int) -> DataFrame:
     def run(batches):
         for batch in parts(batches):
             found = [keys_of(unpack_elements(d)) for d in batch.column(3).to_pylist()]
-            hints = [
-                h for f, s in zip(found, batch.column(4).to_pylist(), strict=True) for h in hints_of(*f, s)
-            ]
+            if marks is not None:
+                kept = [(marks[f[0] % TABLE] > 0) == wanted for f in found]
+            else:
+                kept = [np.ones(len(f[0]), bool) for f in found]
+            hints = []
+            for f, k, s in zip(found, kept, batch.column(4).to_pylist(), strict=True):
+                own = hints_of(f[0], f[1], f[2] * k, f[3], s)
+                hints += own if k.all() else [own[x] for x in np.flatnonzero(k)]
+            found = [(f[0][k], f[1][k]) for f, k in zip(found, kept, strict=True)]
             counts = [len(f[0]) for f in found]
             which = pa.array(np.repeat(np.arange(batch.num_rows), counts))
             yield pa.RecordBatch.from_arrays(
@@ -332,10 +378,11 @@ def sketches_fit(apart, both):
     return 100 * (both - apart) * (100 + PERCENT) >= 200 * PERCENT * both
 
 
-def pairs_of_list(own, group, size, at, hints) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def pairs_of_list(own, group, size, at, hints, block=None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of members of different components that may be alike. Hints, where a list has
     them, drop pairs whose sketches are too far apart, and those that share one of the elements
-    just before the key's last: these met under an earlier key."""
+    just before the key's last: these met under an earlier key. block: two values; members of one
+    are compared with those of the other only."""
     values, counts = np.unique(group, return_counts=True)
     minor = group != values[counts.argmax()]
     after = np.arange(len(own))
@@ -344,8 +391,9 @@ def pairs_of_list(own, group, size, at, hints) -> Iterator[tuple[np.ndarray, np.
         data = np.frombuffer(b"".join(hints), np.uint8).reshape(len(own), -1)
         sketch, earlier = data[:, : -8 * EARLIER], data[:, -8 * EARLIER :]
         earlier = np.ascontiguousarray(earlier).view("<i8")
-    for i in np.flatnonzero(minor):
-        fit = may_be_like(size, size[i], at, at[i]) & (group != group[i]) & (~minor | (after > i))
+    for i in np.flatnonzero(minor if block is None else block == block.min()):
+        other = ~minor | (after > i) if block is None else block != block[i]
+        fit = may_be_like(size, size[i], at, at[i]) & (group != group[i]) & other
         which = np.flatnonzero(fit)
         if sketch is not None and len(which):
             apart = np.bitwise_count(sketch[which] ^ sketch[i]).sum(axis=1, dtype=np.int64)
@@ -356,6 +404,13 @@ def pairs_of_list(own, group, size, at, hints) -> Iterator[tuple[np.ndarray, np.
             yield np.minimum(own[which], own[i]), np.maximum(own[which], own[i])
 
 
+def unique(found) -> pa.RecordBatch:
+    both = np.stack([np.concatenate(c) for c in zip(*found, strict=True)], axis=1)
+    both = both[np.lexsort((both[:, 1], both[:, 0]))]
+    both = both[np.append(True, (both[1:] != both[:-1]).any(axis=1))]
+    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+
 def list_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of sets of different components from rows of `postings` in order of their keys. Of
     each list, the largest component's members are not compared with each other."""
@@ -381,12 +436,6 @@ def list_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if found:
             yield unique(found)
 
-    def unique(found):
-        both = np.stack([np.concatenate(c) for c in zip(*found, strict=True)], axis=1)
-        both = both[np.lexsort((both[:, 1], both[:, 0]))]
-        both = both[np.append(True, (both[1:] != both[:-1]).any(axis=1))]
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
-
     rest: list[pa.RecordBatch] = []
     for batch in batches:
         for whole in pa.Table.from_batches([*rest, batch]).combine_chunks().to_batches():
@@ -398,6 +447,37 @@ def list_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from emit(whole)
 
 
+def block_pairs(rows: pa.Table) -> pa.Table:
+    """As `list_pairs`, for one pair of blocks of one key: rows of the first with the second, or
+    of one block with each other."""
+    own, part, n, place, block = (rows[c].to_numpy().astype(np.int64) for c in ("id", "part", "n", "place", "block"))
+    first, second = rows["i"][0].as_py(), rows["j"][0].as_py()
+    found = []
+    if first == second or len(np.unique(block)) == 2:
+        hints = rows["hint"].to_pylist()
+        found = list(pairs_of_list(own, part, n, place, hints, block if first < second else None))
+    empty = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    return pa.Table.from_batches([unique(found)]) if found else empty
+
+
+def in_blocks(rows: DataFrame, heavy: DataFrame) -> DataFrame:
+    """Rows of `postings` with the blocks that they meet in: key, i, j, block and the rest. Members of
+    a key's largest component meet the others only, and keys of one component none."""
+    rows = rows.withColumn("part", F.coalesce("part", "id")).dropDuplicates(["key", "id"])
+    known = rows.join(heavy, "key", "left").where("parts is null or parts > 1")
+    blocks = lambda n: F.ceil(F.coalesce(F.col(n), F.lit(0)) / BLOCK)
+    known = known.withColumns({"b_rest": F.greatest(blocks("n_rest"), F.lit(1)), "b_top": blocks("n_top")})
+    minor = F.col("parts").isNull() | (F.col("part") != F.col("top"))
+    hashed = lambda n: F.pmod(F.xxhash64("id", "key"), F.col(n))
+    known = known.withColumn("block", F.when(minor, hashed("b_rest")).otherwise(F.col("b_rest") + hashed("b_top")))
+    last = F.when(minor, F.col("b_rest") + F.col("b_top")).otherwise(F.col("b_rest")) - 1
+    known = known.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    return known.select(
+        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+        "block", "id", "part", "n", "place", "hint",
+    )
+
+
 def marked(ids: DataFrame) -> np.ndarray:
     """A table of fixed size that marks the buckets of ids."""
     return fixed_table(ids.select(F.pmod("id", F.lit(TABLE)).alias("bucket"), F.lit(1).alias("value")))
@@ -414,7 +494,7 @@ def among(rows: DataFrame, marks: np.ndarray, wanted: bool) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
-def exact_round(sets: DataFrame, parts: DataFrame, levels: np.ndarray, boundary: int) -> DataFrame:
+def exact_round(sets: DataFrame, parts: DataFrame, levels: np.ndarray, boundary: int, start: int) -> DataFrame:
     """Pairs (a, b) that share a key, may be alike and are not connected yet. parts: the component
     (root) of sets that have one; a set without is its own, and is not shuffled to learn that."""
     known = parts.select(F.col("node").alias("id"), F.col("root").alias("part"))
@@ -423,9 +503,16 @@ def exact_round(sets: DataFrame, parts: DataFrame, levels: np.ndarray, boundary:
     columns = ["id", "n", "part", "elements", "sketch"]
     alone = among(chosen, marks, False).withColumn("part", F.lit(None).cast("long")).select(columns)
     together = among(chosen, marks, True).join(known, "id", "left").select(columns)
-    rows = postings(alone.unionByName(together), levels, boundary)
+    whole = alone.unionByName(together)
+    heavy = cut(heavy_keys(whole, levels, start, boundary))
+    long_lists = marked(heavy.select(F.col("key").alias("id")))
+    rows = postings(whole, levels, boundary, long_lists, False)
     listed = rows.repartition("key").sortWithinPartitions("key")
-    return listed.mapInArrow(list_pairs, "a long, b long").distinct()
+    found = listed.mapInArrow(list_pairs, "a long, b long")
+    if long_lists.any():
+        rows = in_blocks(postings(whole, levels, boundary, long_lists, True), heavy)
+        found = found.unionByName(rows.groupBy("key", "i", "j").applyInArrow(block_pairs, "a long, b long"))
+    return found.distinct()
 
 
 def alike(sets: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -485,7 +572,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     boundary = choose_boundary(size_costs(sets, levels, start))
     first = cut(alike(sets, first_round(sets)))
     roots = components(first)
-    second = alike(sets, exact_round(sets, roots, levels, boundary))
+    second = alike(sets, exact_round(sets, roots, levels, boundary, start))
     merged = components(cut(first.unionByName(second)))
     nodes = merged.select(F.col("node").alias("id"), "root")
     known = sets.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "id").join(nodes, "id", "left")
