@@ -1,0 +1,154 @@
+import hashlib
+import random
+import re
+import zlib
+
+import pytest
+
+from voxtab.llm import conversation_repair as C
+from voxtab.llm.common import table
+from voxtab.llm.queries import QUERIES
+
+SPACES = " \t\n\x0b\x0c\r"
+# Role order by states: nothing yet, after system, after user, after assistant.
+STEPS = {(0, "s"): 1, (0, "u"): 2, (1, "u"): 2, (2, "a"): 3, (3, "u"): 2}
+
+
+def least(ways: dict, state: int, way: tuple) -> None:
+    if state not in ways or way[:2] < ways[state][:2]:
+        ways[state] = way
+
+
+def with_inserts(ways: dict) -> dict:
+    for _ in range(4):
+        for (state, initial), after in STEPS.items():
+            if state in ways and initial in "ua":
+                cost, edits, rows = ways[state]
+                least(ways, after, (cost + 3, edits + "I", (*rows, ({"u": "user", "a": "assistant"}[initial], ""))))
+    return ways
+
+
+def plain_ways(rows, entry=0) -> dict:
+    """A table over places and states, filled row by row. rows: (role, text, must go, truncated)."""
+    ways = with_inserts({entry: (0, "", ())})
+    for role, text, must_go, truncated in rows:
+        after = {}
+        for state, (cost, edits, out) in ways.items():
+            least(after, state, (cost + 4, edits + "D", out))
+            if must_go:
+                continue
+            stay = cost + 3 * truncated
+            if (state, role[:1]) in STEPS:
+                least(after, STEPS[state, role[:1]], (stay, edits + "K", (*out, (role, text))))
+            for name in ("user", "assistant"):
+                if (state, name[0]) in STEPS:
+                    least(after, STEPS[state, name[0]], (stay + 3, edits + "R", (*out, (name, text))))
+        ways = with_inserts(after)
+    return ways
+
+
+def plain_report(rows) -> dict:
+    """rows: (turn, role, text) of one conversation, in order."""
+    seen, listed, counts = set(), [], dict.fromkeys(("blank", "duplicate", "truncated"), 0)
+    for _, role, text in rows:
+        bare = text.strip(SPACES)
+        fault = (
+            "blank" if not bare else "duplicate" if (role, text) in seen
+            else "truncated" if bare[-1] not in ".!?" else None
+        )
+        seen.add((role, text))
+        if fault:
+            counts[fault] += 1
+        listed.append((role, text, fault in ("blank", "duplicate"), fault == "truncated"))
+    turns = [t for t, _, _ in rows if t is not None]
+    initials = [role[:1] for _, role, _ in rows]
+    ways = plain_ways(listed)
+    cost, audit, out = min((ways[s] for s in (0, 3) if s in ways), key=lambda w: w[:2])
+    return {
+        "gaps": max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0, **counts,
+        "illegal": sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:], strict=False)),
+        "cost": cost, "audit": audit,
+        "repaired_sha256": hashlib.sha256("\n".join(f"{r}:{t}" for r, t in out).encode()).hexdigest(),
+    }
+
+
+def in_order(rows):
+    return sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+
+
+def damaged(conv_id, turn, role, text):
+    one = lambda v: " " if v is None else str(v)
+    kind = zlib.crc32(f"{one(conv_id)}:{one(turn)}".encode()) % 20
+    role, text = one(role), one(text)
+    text = "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text
+    row = (turn, "user" if kind == 4 else role, text)
+    return [] if kind == 0 else [row, row] if kind == 3 else [row]
+
+
+def reported(df) -> dict:
+    return {r["conv_id"]: {k: v for k, v in r.asDict().items() if k != "conv_id"} for r in df.collect()}
+
+
+@pytest.mark.parametrize("entry", range(4))
+def test_search_is_the_table(entry):
+    rng = random.Random(entry)
+    names = {"s": "system", "u": "user", "a": "assistant", "x": "tool"}
+    for _ in range(500):
+        letters = "".join(rng.choice("suauauaxSUAX1234") for _ in range(rng.randint(0, C.PIECE)))
+        rows = [(names[C.PLAIN.get(k, k).lower()], "", k.isupper(), k in C.PLAIN) for k in letters]
+        expected = {s: way[:2] for s, way in plain_ways(rows, entry).items()}
+        assert C.search(letters, entry) == expected
+
+
+def test_pieces_and_blocks_string_together(spark):
+    rng = random.Random(8)
+    rows = []
+    for turn in range(3 * (1 << C.BLOCK_BITS) + 100):
+        text = rng.choice(["", "yes", f"say {turn}.", f"well {turn}!", "again."])
+        rows.append((7, turn, rng.choice(["user", "assistant", "assistant", "system", "tool"]), text))
+    rows += [(8, t, r, f"{t}.") for t, r in enumerate(["user", "assistant"])]
+    rng.shuffle(rows)
+    found = reported(C.repair_report(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
+    for conv_id in (7, 8):
+        assert found[conv_id] == plain_report(in_order([r[1:] for r in rows if r[0] == conv_id]))
+
+
+def test_query_against_the_plain_rule(spark):
+    sf = "/root/testdata/sf0.01"
+    kept: dict = {}
+    for row in table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").collect():
+        kept.setdefault(row[0], []).extend(damaged(*row))
+    found = reported(QUERIES["op13_conversation_repair"](spark, sf))
+    assert found == {c: plain_report(in_order(rows)) for c, rows in kept.items()}
+
+
+def test_odd_rows(spark):
+    rows = [
+        (None, None, None, None), (None, 3, "user", "Hi."), (1, 5, "", "x."), (1, None, "assistant", "y."),
+        (2, 1, "user", "a."), (2, 1, "user", "a."), (2, 1, "assistant", "b."), (3, 1, "system", "only."),
+        (4, -5, "user", "q" * 200_000 + "."), (4, 9, "assistant", "r."),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df = df.withColumns({"block": df.turn, "tie": df.turn, "plan": df.turn, "cost": df.turn})
+    found = reported(C.repair_report(df))
+    blank = lambda v: " " if v is None else v
+    for conv_id in (None, 1, 3, 4):
+        mine = [(t, blank(r), blank(x)) for c, t, r, x in rows if c == conv_id]
+        assert found[conv_id] == plain_report(in_order(mine))
+    # Equal turns: copies follow each other, whichever text comes first.
+    assert found[2]["duplicate"] == 1 and found[2]["gaps"] == 0
+    assert found[4]["audit"] == "KK" and found[4]["gaps"] == 13
+    repaired = C.repair(df).orderBy("conv_id", "position").collect()
+    edits = {(r["conv_id"], r["position"], r["role"], r["edit"]) for r in repaired if r["conv_id"] in (3, 4)}
+    assert edits == {(4, 0, "user", "keep"), (4, 1, "assistant", "keep")}
+    assert C.repair_report(df.limit(0)).collect() == []
+
+
+def test_conversations_without_rows(spark):
+    schema = "conv_id long, turn long, role string, text string"
+    listed = spark.createDataFrame([(1, 0, "user", "a."), (2, 0, "user", "b.")], schema)
+    found = reported(C.repair_report(listed.where("conv_id = 1"), listed))
+    assert found[2] == {
+        **dict.fromkeys(("gaps", "blank", "duplicate", "truncated", "illegal", "cost"), 0),
+        "audit": "", "repaired_sha256": hashlib.sha256(b"").hexdigest(),
+    }

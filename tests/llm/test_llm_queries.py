@@ -22,6 +22,6 @@ def test_same_rows_as_duckdb(spark, con, name):
 
 def test_every_operator_has_a_query():
     numbers = sorted(int(name[2:].split("_")[0]) for name in QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(SQL) <= set(QUERIES)
     assert 4 <= len(corpus_pipeline.STAGES) <= 5

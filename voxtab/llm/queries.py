@@ -5,10 +5,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxtab.llm import mixing, ngram_join, packing, quality_classifier, quality_rules, secret_scan, suffix_dedup, topk, toxicity, url_filter
-from voxtab.llm.common import table
+from voxtab.llm import (
+    conversation_repair,
+    mixing,
+    ngram_join,
+    packing,
+    periodic_runs,
+    quality_classifier,
+    quality_rules,
+    secret_scan,
+    suffix_dedup,
+    topk,
+    toxicity,
+    url_filter,
+    warc,
+)
+from voxtab.llm.common import cut, table
 from voxtab.llm.labelled import fold
 from voxtab.llm.oracles import SQL  # noqa: F401
+from voxtab.session import run_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -105,3 +120,40 @@ def op10_topk(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     rows = vectors.select("vec_id", topk.quantised(F.col("embedding")).alias("weights"))
     return topk.top_k(rows, rows.where(F.col("vec_id") % 100 == 0))
+
+
+@query
+def op11_warc(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    folder = run_folder(spark, "warc")
+    warc.write_archives(pages, folder)
+    # Once behind a checkpoint, so that the archives are read and put together a single time.
+    found = cut(warc.read_pages(spark, folder, payloads=False).drop("payload", "url"))
+    return warc.resolved(found).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "fault"
+    )
+
+
+@query
+def op12_periodic_runs(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periodic_runs.periodic_runs(periodic_runs.with_planted_period(docs))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(
+        r.length.alias("length"), (-r.start).alias("start"), (-r.period).alias("period")
+    )))
+    found = found.withColumn("best", longest)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"),
+        F.expr("(1000 * best.length) div -best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query
+def op13_conversation_repair(spark, sf_dir):
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    damaged = conversation_repair.with_damage(conversations)
+    return conversation_repair.repair_report(damaged, conversations)
