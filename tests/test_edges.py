@@ -161,13 +161,52 @@ def test_streams_over_folders(spark, tmp_path, name):
     assert rows[0] == rows[1] and rows[0]
 
 
-def plain_phrases(text):
-    """The rule as it stands: from the start, again and again."""
-    from voxtab.functions.text import REPEATED_PHRASE_PY
+def said_again_at(text, p):
+    """The span of a copy of the phrase that begins at p: five words, four, three, two, the last one
+    cut short if the copy is glued to it."""
+    ends, q = [], p
+    for _ in range(5):
+        stop = q
+        while stop < len(text) and (text[stop].isalnum() or text[stop] == "_"):
+            stop += 1
+        if stop == q:
+            break
+        ends.append((q, stop))
+        q = stop
+        while q < len(text) and text[q].isspace():
+            q += 1
+        if q == stop:
+            break
+    for k in range(len(ends), 1, -1):
+        first, last = ends[k - 1]
+        for stop in range(last, first, -1):
+            q = stop
+            while q < len(text) and (text[q].isspace() or text[q] in ".,;!?"):
+                q += 1
+            end = q + stop - p
+            word = lambda i: i < len(text) and (text[i].isalnum() or text[i] == "_")
+            if text[q:end].lower() == text[p:stop].lower() and not word(end):
+                return q, end
+    return None
+
 
-    while match := REPEATED_PHRASE_PY.search(text):
-        start, end = match.span(3)
-        text = text[:start] + text[end:]
+def plain_phrases(text):
+    """The rule, letter by letter: from the leftmost word on, again and again. A text without
+    letters beyond Latin ones is meant here."""
+    p = 0
+    while p < len(text):
+        begins = (text[p].isalnum() or text[p] == "_") and (p == 0 or not (text[p - 1].isalnum() or text[p - 1] == "_"))
+        if begins and (span := said_again_at(text, p)):
+            text = text[: span[0]] + text[span[1] :]
+            # Eleven words back, or the start: no match from before there reaches the cut.
+            p = span[0]
+            for _ in range(12):
+                while p > 0 and not text[p - 1].isalnum() and text[p - 1] != "_":
+                    p -= 1
+                while p > 0 and (text[p - 1].isalnum() or text[p - 1] == "_"):
+                    p -= 1
+        else:
+            p += 1
     return text
 
 
@@ -175,7 +214,7 @@ def test_text_rules_over_whole_documents(spark):
     """SQL has no back-references: the three text queries against the plain rules."""
     import re
 
-    folder = "/root/testdata/sf0.001"
+    folder = "/root/testdata/sf0.01"
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
     said = re.compile(r"(?<!\w)(\w+)\s+\1\s+\1\s+(?:\1)+")
     squashed = {r.doc_id: r.text for r in QUERIES["squash_repeated_words"](spark, folder).collect()}

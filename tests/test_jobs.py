@@ -1,6 +1,7 @@
 """Whole jobs: the retry path, missing audio, failing recogniser, gate, user recogniser."""
 
 import datetime as dt
+import os
 import sys
 
 import pandas as pd
@@ -9,7 +10,14 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from voxtab.plans.batch import process_jobs
-from voxtab.plans.transcribe import segments_of, transcribe_batch, words_of
+from voxtab.plans.transcribe import (
+    failed_of,
+    finished_requests,
+    segments_of,
+    transcribe_batch,
+    transcribe_resumable,
+    words_of,
+)
 from voxtab.schemas import RECOGNISED
 from voxtab.sources.jobs import conform_jobs
 
@@ -104,3 +112,63 @@ def test_recogniser_sees_every_pass(spark, world):
     passes = world["segments"].groupBy("guid").agg(F.sort_array(F.collect_set("pass_index")).alias("p"))
     assert {r.guid: r.p for r in passes.collect()} == {g: [0, 1, 2, 3] for g in ("good", "again", "talk", "bad")}
     assert world["words"].where("guid = 'bad'").count() == 4
+
+
+def counting(folder, stop_at=None):
+    """A recogniser that notes each request it is asked, and at one of them ends its process."""
+
+    def make():
+        def run(batch: pd.DataFrame) -> pd.DataFrame:
+            for r in batch.itertuples():
+                name = f"{r.guid}-{r.pass_index}"
+                if name == stop_at:
+                    os._exit(1)
+                with open(f"{folder}/{name}", "a") as f:
+                    f.write("x")
+                if r.guid == "boom":
+                    raise ValueError("cannot hear it")
+            return recogniser()(batch)
+
+        return run
+
+    return make
+
+
+def asked(folder) -> dict[str, int]:
+    return {name: os.path.getsize(f"{folder}/{name}") for name in os.listdir(folder)}
+
+
+def test_a_run_cut_short_goes_on_where_it_was(spark, world, tmp_path):
+    notes, ledger = tmp_path / "notes", str(tmp_path / "ledger")
+    notes.mkdir()
+    guids = ["good", "again", "talk", "bad", "worse", "gone"]
+    audio = spark.createDataFrame([(g, f"{g}.mp3") for g in guids], "guid string, audio_path string")
+    with pytest.raises(Exception):  # noqa: B017  Spark's own for a lost worker
+        transcribe_resumable(audio, counting(notes, "talk-3"), ledger, tasks=2, save_seconds=0)
+    first = asked(notes)
+    assert 0 < len(first) < 30 and "talk-3" not in first
+    kept = finished_requests(spark, ledger).count()
+    assert kept == len(first)
+    said = transcribe_resumable(audio, counting(notes), ledger, tasks=2, save_seconds=0)
+    assert asked(notes) == {f"{g}-{p}": 1 for g in guids for p in range(5)}
+    whole = transcribe_batch(audio, recogniser)
+    assert sorted(map(str, said.collect())) == sorted(map(str, whole.collect()))
+    assert words_of(said).count() == words_of(whole).count()
+    # Once more: nothing is asked, and fewer recordings give fewer rows.
+    again = transcribe_resumable(audio.where("guid = 'good'"), counting(notes), ledger)
+    assert asked(notes) == {f"{g}-{p}": 1 for g in guids for p in range(5)}
+    assert {r.guid for r in again.collect()} == {"good"}
+
+
+def test_failed_requests_can_be_asked_again(spark, tmp_path):
+    notes, ledger = tmp_path / "notes", str(tmp_path / "ledger")
+    notes.mkdir()
+    audio = spark.createDataFrame([("boom", "a"), ("good", "b"), ("good", "b")], "guid string, audio_path string")
+    for _ in range(2):
+        said = transcribe_resumable(audio, counting(notes), ledger, together=3)
+        assert [r.guid for r in failed_of(said).collect()] == ["boom"]
+        assert {v for k, v in asked(notes).items() if k.startswith("good")} <= {1, 2}
+    before = asked(notes)
+    said = transcribe_resumable(audio, recogniser, ledger, retry_failed=True)
+    assert failed_of(said).count() == 0 and asked(notes) == before
+    assert segments_of(said).where("guid = 'good'").count() == 4

@@ -4,9 +4,10 @@ import random
 import re
 import uuid
 
-import pytest
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from voxtab.functions import repeats
 from voxtab.functions import text as X
 
 
@@ -134,6 +135,16 @@ def test_duration_text(spark):
     assert apply(spark, X.duration_text, spans, "bigint") == want
 
 
-@pytest.mark.parametrize("text", ["a " * 20, "x" * 100])
-def test_resume_point_goes_back_far_enough(text):
-    assert X._resume_point(text, len(text)) <= max(0, len(text) - 20)
+def test_repeats_across_texts_and_chunks(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "CHUNK_CHARS", 40)
+    texts = random_texts(9, 400, ["in ", "the ", "of", "of ", ". ", "\u0130 ", "i ", "\u03a3", "\u03c3 "], 40)
+    found = repeats.drop_second_copies(pa.array([*texts, None, ""])).to_pylist()
+    assert found == [*map(phrase_rule, texts), None, ""]
+    found = repeats.squash_words(pa.array([*texts, None, ""])).to_pylist()
+    assert found == [*(FOUR_WORDS.sub(r"\1", t) for t in texts), None, ""]
+
+
+def test_one_long_text_of_repeats():
+    text = "over and over. " * 3000 + "no " * 3000
+    assert repeats.drop_second_copies(pa.array([text])).to_pylist() == [phrase_rule(text)]
+    assert repeats.squash_words(pa.array([text])).to_pylist() == [FOUR_WORDS.sub(r"\1", text)]

@@ -25,12 +25,14 @@ from voxtab.operators import scoring as S
 from voxtab.operators.ordered import collect_in_order
 from voxtab.plans import selection
 from voxtab.plans.batch import process_jobs
-from voxtab.session import configure, cut
+from voxtab.session import configure, cut, run_folder
+from voxtab.sources import job_store
 from voxtab.sources.alignment import parse_alignment
 from voxtab.sources.jobs import append_jobs, conform_jobs, evolve_schema
 from voxtab.streaming import lifecycle as stream_lifecycle
 from voxtab.streaming import monitor
 from voxtab.streaming.dedupe import dedupe_submissions
+from voxtab.streaming.guard import guard_submissions
 from voxtab.streaming.runner import run_available
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -190,6 +192,35 @@ def apply_outcomes(i):
     )
 
 
+@query
+def stored_outcomes(i):
+    """The outcomes written over a stored table in two batches, the second of them twice."""
+    jobs = full_jobs(i)
+    path = run_folder(i.spark, "jobs")
+    job_store.create_store(jobs, path, buckets=16)
+    outcomes = cut(L.fold_lifecycle(i.view("job_events"), initial=jobs))
+    late = F.col("status") == C.COMPLETED
+    for batch_id, part in ((1, outcomes.where(~late)), (2, outcomes.where(late)), (2, outcomes)):
+        job_store.store_outcomes(i.spark, path, batch_id, part)
+    return job_store.read_store(i.spark, path).select(
+        "guid", "status", "attempt_count", "completed_at", "transcription"
+    )
+
+
+@query
+def stored_admissions(i):
+    """Admitted submissions added to a stored table, then what retention leaves of it."""
+    path = run_folder(i.spark, "jobs")
+    job_store.create_store(full_jobs(i), path, buckets=16)
+    own = processing_estimate(F.col("duration_sec"))
+    new = admitted(i).withColumn("processing_time_est", own)
+    job_store.store_admitted(i.spark, path, 1, new, now())
+    job_store.store_expiry(i.spark, path, 2, NOW)
+    return job_store.read_store(i.spark, path).select(
+        "guid", "filename", "status", "created_at", "processing_time_est", "attempt_count"
+    )
+
+
 @query
 def recover_stuck(i):
     return L.recover_stuck(i.view("jobs")).select("guid", "status", "attempt_count")
@@ -453,6 +484,19 @@ def dedupe_stream(i):
     return run_available(stream.select("guid", "submitted_at"), "dedupe").select("guid")
 
 
+@query
+def guarded_stream(i):
+    """Submissions against the job table, while some of its open jobs complete."""
+    instant = lambda unit: F.timestamp_micros(F.unix_micros(now()) + F.col(unit) * F.lit(100_000).cast("bigint"))
+    asked = i.stream_view("submissions").where(is_valid_guid(F.col("guid")))
+    asked = asked.select("guid", "arrival", instant("arrival").alias("submitted_at"))
+    told = i.stream_view("jobs").where(F.col("status").isin(C.PENDING, C.PROCESSING) & (F.col("processing_time_est") % 3 == 0))
+    told = told.withColumn("wait", F.col("processing_time_est") % 1000)
+    told = told.select("guid", F.lit(C.COMPLETED).alias("status"), instant("wait").alias("at"))
+    checked = guard_submissions(asked, told, i.view("jobs"))
+    return run_available(checked, "guard").select("guid", "arrival", "reason")
+
+
 @query
 def monitor_stream(i):
     estimates = i.view("jobs").select("guid", "processing_time_est")

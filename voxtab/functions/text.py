@@ -1,8 +1,6 @@
 """Text expressions: whitespace, words, garbage, repeats, file names, durations."""
 
-import re
-
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +10,7 @@ from voxtab.constants import (
     GARBAGE_MIN_RATIO,
     GARBAGE_PREVIEW_CHARS,
 )
+from voxtab.functions.repeats import drop_second_copies, squash_words
 
 # Character classes, written out so that Java, RE2 and Python agree.
 # Whitespace is what Python's str.isspace accepts, alphanumeric what str.isalnum does.
@@ -24,23 +23,6 @@ WS_CHARS = (
 ALNUM = r"\p{L}\p{N}"
 WORD = r"\p{L}\p{N}_"
 
-# One word said four or more times in a row; the last copies may be
-# glued together and need no word end after them.
-REPEATED_WORD = (
-    rf"(?<![{WORD}])([{WORD}]+)[{WS}]+\1[{WS}]+\1[{WS}]+(?:\1)+"
-)
-
-# A phrase of two to five words that is said again at once. The first
-# form is for Java, the second for Python. Words and spaces hold no common character,
-# so a word with a space after it, and a space, need not be matched in shorter forms.
-REPEATED_PHRASE = (
-    rf"(?iu)(?<![{WORD}])([{WORD}]++[{WS}]++[{WORD}]+(?:[{WS}]++[{WORD}]+){{0,3}})"
-    rf"[.,;!?{WS}]*\1(?![{WORD}])"
-)
-REPEATED_PHRASE_PY = re.compile(
-    r"\b(\w+\s+\w+(?:\s+\w+){0,3})([.,;!?\s]*)(\1)\b", re.IGNORECASE
-)
-
 # The last dot of the last path part, leading dots not counted.
 EXTENSION = r"(?s)(?:^|/)\.*[^./][^/]*?(\.[^./]*)\z"
 
@@ -95,47 +77,22 @@ def duration_text(seconds: Column) -> Column:
     )
 
 
-def squash_repeats(text: Column) -> Column:
-    return F.regexp_replace(text, REPEATED_WORD, "$1")
-
-
-def has_repeated_phrase(text: Column) -> Column:
-    return text.rlike(REPEATED_PHRASE)
+@F.arrow_udf(T.StringType())
+def _squash_words(texts: pa.Array) -> pa.Array:
+    return squash_words(texts)
 
 
-def _resume_point(text: str, at: int, words: int = 11) -> int:
-    """A place at least eleven words before `at`. A match spans ten words at most, so
-    one that starts earlier cannot reach `at`."""
-    inside = False
-    while at > 0:
-        at -= 1
-        is_word = text[at].isalnum() or text[at] == "_"
-        if is_word and not inside:
-            words -= 1
-            if words < 0:
-                break
-        inside = is_word
-    return at
+@F.arrow_udf(T.StringType())
+def _drop_second_copies(texts: pa.Array) -> pa.Array:
+    return drop_second_copies(texts)
 
 
-def drop_repeated_phrases(text: str) -> str:
-    """Remove the second copy of the leftmost repeated phrase until none is left."""
-    at = 0
-    while match := REPEATED_PHRASE_PY.search(text, at):
-        start, end = match.span(3)
-        text = text[:start] + text[end:]
-        at = _resume_point(text, start)
-    return text
-
-
-@F.pandas_udf(T.StringType())
-def _drop_repeated_phrases(texts: pd.Series) -> pd.Series:
-    return texts.map(drop_repeated_phrases, na_action="ignore")
+def squash_repeats(text: Column) -> Column:
+    """Words said four or more times in a row are said once."""
+    return _squash_words(text)
 
 
 def remove_boundary_duplicates(text: Column) -> Column:
     """A phrase of two to five words repeated at once loses its second copy, again and
-    again from the left until nothing changes. The test for a repeat runs in the JVM;
-    only texts that hold one go to Python, the others cross over as nulls."""
-    repeated = F.when(has_repeated_phrase(text), text)
-    return F.coalesce(_drop_repeated_phrases(repeated), text)
+    again from the left until nothing changes."""
+    return _drop_second_copies(text)

@@ -237,12 +237,28 @@ oracle("evolve_job_schema", "jobs", "", """
 select guid, filename, status, created_at, cast(null as timestamp) as completed_at,
   processing_time_est, cast(0 as int) as attempt_count from jobs""")
 
+# A guid is free from the start, from its job's completion on, or never.
+oracle("guarded_stream", "submissions jobs", f"""
+asked as (select guid, arrival, arrival * 100 as at from submissions where {VALID_GUID}),
+free as (select guid, greatest(date_diff('millisecond', timestamp '{NOW}', created_at + interval 1 day), case when {FINISHED} then 0
+    when {LIVE} and processing_time_est % 3 = 0 then processing_time_est % 1000 * 100 else 1000000000000000 end) as since from jobs),
+fits as (select a.guid, min(a.at) as first from asked a left join free f on a.guid = f.guid
+  where f.guid is null or a.at >= f.since group by a.guid)""", """
+select a.guid, a.arrival, case when a.at = f.first then 'admitted' else 'GUID already exists' end as reason
+from asked a left join fits f on a.guid = f.guid""")
+
 oracle("lifecycle_fold", "job_events", fold(), "select * from folded")
 oracle("apply_outcomes", "jobs job_events", fold(
     "coalesce((select j.attempt_count from jobs j where j.guid = e.guid), 0)"), """
 select j.guid, coalesce(f.status, j.status) as status, coalesce(f.attempt_count, j.attempt_count) as attempt_count,
   f.completed_at, cast(null as varchar) as transcription
 from jobs j left join folded f on j.guid = f.guid and j.status in ('pending', 'processing')""")
+SQL["stored_outcomes"] = SQL["apply_outcomes"]
+oracle("stored_admissions", "jobs submissions", ADMITTED, f"""
+select guid, filename, status, created_at, processing_time_est, attempt_count from jobs
+where not ({FINISHED} and created_at <= timestamp '{NOW}' - interval 1 day)
+union all
+select guid, filename, 'pending', timestamp '{NOW}', processing_time_est, cast(0 as int) from admitted""")
 oracle("recover_stuck", "jobs", "", """
 select guid, case when status = 'processing' then 'pending' else status end as status, attempt_count from jobs""")
 oracle("stuck_count", "jobs", "", "select count(*) as recovered from jobs where status = 'processing'")

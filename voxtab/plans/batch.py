@@ -1,6 +1,6 @@
 """All pending jobs in one go, from audio check to the written-back job table."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxtab import constants as C
@@ -12,6 +12,7 @@ from voxtab.operators.queue import pending
 from voxtab.plans.selection import best_segments, transcripts_of
 from voxtab.schemas import TIMINGS
 from voxtab.session import cut
+from voxtab.sources.job_store import is_stored, read_store, store_outcomes
 
 
 def job_outcomes(
@@ -92,3 +93,15 @@ def process_jobs(jobs: DataFrame, *inputs: DataFrame, now, **options) -> DataFra
     outcomes = job_outcomes(jobs, *inputs, now=now, **options)
     others = jobs.where(F.col("status").isNull() | (F.col("status") != C.PENDING))
     return apply_outcomes(pending(jobs), outcomes).unionByName(others)
+
+
+def process_store(
+    spark: SparkSession, path: str, batch_id: int, *inputs: DataFrame, now, **options
+) -> bool:
+    """Process every pending job of a stored job table once and store the outcomes; arguments as in
+    `job_outcomes`. A batch that is stored already does nothing and gives False, so a batch that
+    was cut short can simply be run again."""
+    if is_stored(spark, path, batch_id):
+        return False
+    outcomes = job_outcomes(read_store(spark, path, as_of=batch_id - 1), *inputs, now=now, **options)
+    return store_outcomes(spark, path, batch_id, outcomes)
