@@ -228,13 +228,17 @@ def unpacked_rows(pack: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def suffixes(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
-    """Of each chunk and second digit, the row of the smallest document, packed by buckets of
-    the first digit."""
+    """Of each chunk, first and second digit, the row of the smallest document, packed by buckets of
+    the first digit; and, in a pack without suffixes, the marks of the chunk's other rows, whose
+    document repeats a smaller one of the chunk."""
 
     def run(batches):
         for ids, found in chunks(batches):
             digit, around, owner = keyed(found, frequent)
-            first, _ = firsts(around, ids[owner])
+            first, later = firsts(stir((digit ^ stir(around)) * K1), ids[owner])
+            marks = packed_marks(ids[owner[later]], around[later])
+            if marks is not None:
+                yield record(SUFFIX, np.array([int(ids[0]) % buckets], np.int32), [marks])
             digit, around, owner = digit[first], around[first], owner[first]
             bucket = (digit % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
@@ -248,21 +252,26 @@ def suffixes(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
     return docs.mapInArrow(run, SUFFIX)
 
 
-def repeats_in_chunks(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """The rows that `suffixes` leaves out: their chunk has them in a smaller document."""
+def packed_marks(doc: np.ndarray, around: np.ndarray) -> bytes | None:
+    """A pack of marks alone, told by the number of its suffixes, -1."""
+    if not len(doc):
+        return None
+    marks, place = np.unique(np.stack([doc, around.astype(np.int64)]), axis=1), np.array([-1, 0], "<i8")
+    return zstandard.ZstdCompressor(level=1).compress(place.tobytes() + marks.astype("<i8").tobytes())
 
-    def run(batches):
-        for ids, found in chunks(batches):
-            _, around, owner = keyed(found, frequent)
-            _, later = firsts(around, ids[owner])
-            yield record(MARK, ids[owner[later]], 2 * around[later].astype(np.int64))
 
-    return docs.mapInArrow(run, MARK)
+def unpacked_marks(pack: bytes) -> tuple[np.ndarray, np.ndarray] | None:
+    """doc_id and mark of such a pack; None for a pack of suffixes."""
+    data = zstandard.ZstdDecompressor().decompress(pack)
+    if np.frombuffer(data, "<i8", 1)[0] != -1:
+        return None
+    doc, around = np.frombuffer(data, "<i8", offset=16).reshape(2, -1)
+    return doc, 2 * around
 
 
 def sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From packs in order of their buckets: the suffixes repeated from a smaller document, and the first of each
-    neighbourhood whose anchor has several (open)."""
+    """From packs in order of their buckets: the suffixes repeated from a smaller document, and the
+    first of each neighbourhood whose anchor has several (open)."""
 
     def marks(digit, around, doc):
         if not len(digit):
@@ -282,7 +291,15 @@ def sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield from marks(digit[order], around[order], doc[order])
 
     for packs in by_bucket(batches):
-        yield from whole(packs)
+        rows = []
+        for pack in packs:
+            marked = unpacked_marks(pack)
+            if marked is None:
+                rows.append(pack)
+            else:
+                yield record(MARK, *marked)
+        if rows:
+            yield from whole(rows)
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -323,10 +340,8 @@ def neighbourhoods(texts: DataFrame, marks: DataFrame, buckets: int) -> DataFram
                 found = Anchors(expanded[a:b])
                 wanted = batch.column(2).slice(a, b - a)
                 owner = np.repeat(np.arange(b - a), wanted.value_lengths().to_numpy())
-                mark = wanted.flatten().to_numpy()
-                is_open = mark & 1 == 1
-                own = (mark >> 1).astype(np.uint64)
-                keep = np.isin(of_text(found.around, found.owner), of_text(own[is_open], owner[is_open]))
+                own = (wanted.flatten().to_numpy() >> 1).astype(np.uint64)
+                keep = np.isin(of_text(found.around, found.owner), of_text(own, owner))
                 which = np.flatnonzero(keep)
                 ids = batch.column(0).slice(a, b - a).to_numpy()
                 # One row for each neighbourhood of a document is enough.
@@ -346,8 +361,10 @@ def neighbourhoods(texts: DataFrame, marks: DataFrame, buckets: int) -> DataFram
                     data = np.array([len(rows)], "<i8").tobytes() + b"".join(c.tobytes() for c in columns)
                     yield record(SUFFIX, np.array([k], np.int32), [zstandard.ZstdCompressor(level=3).compress(data)])
 
+    # Only texts with an open anchor go on.
     joined = texts.join(marks, F.col("doc_id") == F.col("__id"))
-    return joined.select("doc_id", "text", "__marks").mapInArrow(run, SUFFIX)
+    joined = joined.select("doc_id", "text", F.expr("filter(__marks, m -> m & 1 = 1)").alias("__open"))
+    return joined.where(F.size("__open") > 0).mapInArrow(run, SUFFIX)
 
 
 def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
@@ -445,8 +462,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     frequent = frequent_digits(named)
     buckets = PACKS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = suffixes(named, frequent, buckets).repartition("bucket").sortWithinPartitions("bucket")
-    marks = ordered.mapInArrow(sorted_groups, MARK).unionByName(repeats_in_chunks(named, frequent))
-    marks = marks.groupBy(F.col("doc_id").alias("__id")).agg(
+    marks = ordered.mapInArrow(sorted_groups, MARK).groupBy(F.col("doc_id").alias("__id")).agg(
         F.collect_list("mark").alias("__marks")
     )
     # Texts and marks are shuffled once: both joins read the same exchanges.
@@ -476,11 +492,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
         for batch in batches:
             texts = unpacked(batch.column(batch.schema.names.index("text")))
             names_in = batch.schema.names
-            ids = batch.column(names_in.index("doc_id")).to_pylist()
             for a, b in in_chunks(texts, CHUNK):
-                some = [t if i is not None else b"" for t, i in zip(texts[a:b], ids[a:b], strict=True)]
-                found = Anchors(some)
-                flags = []
+                flags, flagged = [], np.zeros(b - a, bool)
                 for name, second in (("__marks", everything), ("__parts", None)):
                     lists = batch.column(names_in.index(name)).slice(a, b - a)
                     sizes = lists.value_lengths().fill_null(0).to_numpy()
@@ -492,12 +505,15 @@ def deduplicate(docs: DataFrame) -> DataFrame:
                         around, places = (rows.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
                         use = np.ones(len(rows), bool)
                     owner = np.repeat(np.arange(b - a), sizes)
+                    flagged[owner[use]] = True
                     flags.append((owner[use], around[use], places[use].astype(np.int64)))
                 owner, around, places = (np.concatenate(c) for c in zip(*flags, strict=True))
+                # Of most texts nothing goes: they need no anchors.
+                found = Anchors([t if f else b"" for t, f in zip(texts[a:b], flagged.tolist(), strict=True)])
                 gone = repeated_bytes(found, frequent, owner, around, places)
                 removed, kept = [], []
                 for i, text in enumerate(texts[a:b]):
-                    if ids[a + i] is None:
+                    if not flagged[i]:
                         removed.append([])
                         kept.append(text)
                         continue
