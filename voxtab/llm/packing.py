@@ -3,6 +3,7 @@
 import heapq
 import zlib
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +19,13 @@ PIECE = 256
 WINDOWS = 64
 # Tokens that a window is left short of, so that near-equal ones fit.
 SLACK = 16
-# Words whose ids a worker remembers, and bytes of the longest that it does.
-KNOWN_WORDS = 1 << 19
+# Words and parts of words whose ids a worker remembers (about 200 bytes each), bytes of the longest
+# word that it does, and words that are learnt together.
+KNOWN_WORDS, KNOWN_PARTS = 1 << 17, 1 << 16
 KNOWN_BYTES = 64
+NEW_WORDS = 1 << 14
 # Bytes of text that are encoded together: the more, the fewer words to look up.
-TEXT_BYTES = 12 << 20
+TEXT_BYTES = 4 << 20
 
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
@@ -40,8 +43,9 @@ class WordTokens:
 
     # The pattern by which the tokenizer's file cuts words.
     CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-    # Characters that are one code point in any normal form and have simple lower cases.
-    PLAIN = "[\\x21-\\x7e\u00a1-\u012f\u0131-\u024f]*"
+    # Characters beyond those that are one code point in any normal form and have simple lower
+    # cases, and line ends.
+    STRANGE = "[^\\n\\x21-\\x7e\u00a1-\u012f\u0131-\u024f]"
 
     def __init__(self, path: str):
         import regex
@@ -56,13 +60,15 @@ class WordTokens:
                 pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False),
             ]
         )
-        self.cut = regex.compile(self.CUT).findall
-        self.plain = regex.compile(self.PLAIN).fullmatch
+        self.cut = regex.compile(self.CUT + r"|\n").findall
+        strange = regex.compile(self.STRANGE)
+        self.strange, self.strange_in = strange.finditer, strange.search
         size = self.whole.get_vocab_size()
         names = (self.whole.id_to_token(i) or "" for i in range(size))
         self.ends = np.array([name.endswith("</w>") for name in names])
         added = self.whole.get_added_tokens_decoder().values()
         self.special = [token.content.encode() for token in added]
+        self.special_in = regex.compile("|".join(regex.escape(token.content) for token in added) or "(?!)").search
         self.parts: dict[str, bytes] = {}
         self.words: dict[bytes, bytes] = {}
 
@@ -79,31 +85,52 @@ class WordTokens:
                 (p, data[a:b]) for p, a, b in zip(some, edges[:-1], edges[1:], strict=True)
             )
 
+    def _cut(self, words: list[bytes]) -> tuple[dict[bytes, list[str]], list[tuple[bytes, str]]]:
+        """The parts of each word that can be cut here, and the other words with their texts."""
+        text = b"\n".join(words).decode(errors="replace")
+        odd = {text.count("\n", 0, m.start()) for m in self.strange(text)} if self.strange_in(text) else ()
+        if self.special_in(text):
+            odd = {*odd, *(k for k, w in enumerate(words) if any(s in w for s in self.special))}
+        parts, edges = self.cut(text.lower()), [-1]
+        edges += [k for k, part in enumerate(parts) if part == "\n"]
+        edges.append(len(parts))
+        cut, rest = {}, []
+        for k, word in enumerate(words):
+            if k in odd:
+                rest.append((word, word.decode(errors="replace")))
+            else:
+                cut[word] = parts[edges[k] + 1 : edges[k + 1]]
+        return cut, rest
+
     def ids_of(self, words: list[bytes]) -> list[bytes]:
-        new = [w for w in words if w not in self.words]
-        if new:
-            cut, rest = {}, []
-            for word in new:
-                text = word.decode(errors="replace")
-                if self.plain(text) and not any(s in word for s in self.special):
-                    cut[word] = self.cut(text.lower())
-                else:
-                    rest.append((word, text))
+        known = self.words
+        new = [w for w in words if w not in known]
+        if not new:
+            return [known[w] for w in words]
+        found: dict[bytes, bytes] = {}
+        for start in range(0, len(new), NEW_WORDS):
+            cut, rest = self._cut(new[start : start + NEW_WORDS])
             missing = {p for parts in cut.values() for p in parts if p not in self.parts}
-            if len(self.parts) + len(missing) > KNOWN_WORDS:
+            if len(self.parts) + len(missing) > KNOWN_PARTS:
                 self.parts.clear()
                 missing = {p for parts in cut.values() for p in parts}
             self._learn_parts(sorted(missing))
-            found = {w: b"".join([self.parts[p] for p in parts]) for w, parts in cut.items()}
+            ids = self.parts
+            found.update((w, b"".join([ids[p] for p in parts])) for w, parts in cut.items())
             encoded = self.whole.encode_batch_fast([t for _, t in rest], add_special_tokens=False)
             for (word, _), e in zip(rest, encoded, strict=True):
                 found[word] = np.array(e.ids, np.uint32).tobytes()
-            ids = [found[w] if w in found else self.words[w] for w in words]
-            if len(self.words) + len(found) > KNOWN_WORDS:
-                self.words.clear()
-            self.words.update((w, v) for w, v in found.items() if len(w) <= KNOWN_BYTES)
-            return ids
-        return [self.words[w] for w in words]
+        ids = [found[w] if w in found else known[w] for w in words]
+        if len(known) + len(found) > KNOWN_WORDS:
+            # Those met again now are the ones worth keeping, then the new ones, then the others.
+            again = {w: known[w] for w in words if w in known}
+            others = ((w, v) for w, v in known.items() if w not in again)
+            rest = chain(((w, v) for w, v in found.items() if len(w) <= KNOWN_BYTES), others)
+            again.update(islice(rest, max(KNOWN_WORDS - len(again), 0)))
+            self.words = again
+        else:
+            known.update((w, v) for w, v in found.items() if len(w) <= KNOWN_BYTES)
+        return ids
 
     def encode(self, texts: list[bytes], end: int) -> list[np.ndarray]:
         """The ids of each text, then `end`."""
