@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 
@@ -54,3 +55,28 @@ def test_stages_of_empty_tables(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
     for _, stage in P.STAGES:
         assert stage(spark, docs, folder).count() == 0
+
+
+CLASHING = (
+    "score toxic threshold best host path rule verdict l_key l_id secret_spans removed_lines row row_key component_id "
+    "n_shingles topic tokens weight probability sampled others_of_row __text __id __key"
+).split()
+
+
+def test_stages_keep_columns_of_any_name(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id % 7 = 1 or doc_id >= 1000")
+    for k, name in enumerate(CLASHING):
+        docs = docs.withColumn(name, F.lit(k))
+    for _, stage in P.STAGES[:-1]:
+        docs = stage(spark, docs, folder)
+        assert docs.columns[5:] == CLASHING
+        row = docs.where("doc_id = 1002").first()
+        assert [row[n] for n in CLASHING] == list(range(len(CLASHING)))
+
+
+def test_one_of_each_tells_rows_apart(spark, folder):
+    alpha, gamma = ("alpha " * 3 + " ".join(f"{w}{k}" for k in range(30)) for w in "ag")
+    rows = [(3, alpha), (5, alpha), (5, gamma), (5, gamma), (7, gamma + " x"), (None, alpha), (None, "lone words here"), (None, "lone words here"), (8, None), (9, None), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = sorted(map(tuple, P.one_of_each(spark, docs, folder).collect()), key=str)
+    assert kept == sorted([(3, alpha), (5, gamma), (None, "lone words here"), (8, None), (9, None)], key=str)

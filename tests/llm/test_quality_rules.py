@@ -45,7 +45,8 @@ def test_furniture_goes_and_depleted_texts_with_it(spark):
     rows += [(100, "h", f"{own(100, 90)}\n{menu} 7"), (101, "other", f"{own(101, 30)}\n{menu} 7")]
     rows += [(None, "h", rows[5][2]), (5, "h", rows[5][2])]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string")
-    judged = Q.judge(df)
+    # More than 20 texts: the lines of own words, alike but for their digits, are in ten and 30.
+    judged = Q.judge(df, Q.Limits(documents=21))
     found = {(r.doc_id, r.host): r for r in judged.collect()}
     assert found[0, "h"].kept and found[0, "h"].n_removed_words == 0  # the first to have the line
     assert not found[1, "h"].kept and found[1, "h"].n_removed_words == 41
@@ -61,3 +62,26 @@ def test_large_codes():
     codes = np.arange(1 << 21)
     codes[-3:] = codes[:3]
     assert Q.repeated_words(codes) == 6
+
+
+def test_limits_go_with_the_host(spark):
+    line = "one two three four five six seven"
+    letters = str.maketrans("0123456789", "abcdefghij")  # digits are all alike to the rule
+    other = lambda i, n: " ".join(f"w{i}x{j}" for j in range(n)).translate(letters)
+    small = [(i, "small", f"{other(i, 60)}\n{line}" if i < 3 else other(i, 60)) for i in range(30)]
+    large = [(100 + i, "large", f"{other(i, 60)}\n{line}" if i < 5 else other(i, 60)) for i in range(600)]
+    judged = Q.judge(spark.createDataFrame(small + large, "doc_id long, source string, text string"))
+    removed = {r.doc_id for r in judged.where("n_removed_words > 0").collect()}
+    assert removed == {1, 2}
+    limits = Q.Limits(many=4)
+    judged = Q.judge(spark.createDataFrame(large, "doc_id long, source string, text string"), limits)
+    assert {r.doc_id for r in judged.where("n_removed_words > 0").collect()} == {101, 102, 103, 104}
+
+
+def test_clean_keeps_columns_of_any_name(spark):
+    rows = [(i, "h", f"own{i}\nshared line", i) for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, removed_lines long")
+    limits = Q.Limits(words=0, documents=3, per_host=1.0, removed=100)
+    cleaned = Q.clean(df, Q.judge(df, limits)).collect()
+    assert {(r.doc_id, r.removed_lines) for r in cleaned} == {(i, i) for i in range(5)}
+    assert sum("shared line" in r.text for r in cleaned) == 1

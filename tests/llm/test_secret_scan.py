@@ -67,3 +67,11 @@ def test_plan_is_native(spark):
     df = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     plan = S.redact(S.scan(df))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_columns_of_any_name_stay(spark):
+    df = spark.createDataFrame([(1, "password=hunter22", 4)], "doc_id long, text string, l_key long")
+    df = df.withColumns({n: df.l_key for n in ("l_id", "row", "__key", "__weak", "linked")})
+    found = S.scan(df).first()
+    assert [found[n] for n in ("l_key", "l_id", "row", "__key", "__weak", "linked")] == [4] * 6
+    assert len(found.secret_spans) == 1

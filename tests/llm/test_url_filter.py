@@ -65,3 +65,12 @@ def test_plan_is_native(spark):
     df = spark.createDataFrame([(1, "http://a.com/")], "page_id long, url string")
     plan = U.filter_urls(df)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ("best", "found", "asked", "regex", "token", "rule_verdict")
+    df = spark.createDataFrame([(1, "http://a.example.com/en/x")], "page_id long, url string")
+    df = df.withColumns({n: df.page_id for n in names})
+    row = U.filter_urls(df).first()
+    assert [row[n] for n in names] == [1] * len(names)
+    assert (row.rule, row.verdict) == ("example.com/en/", "block")

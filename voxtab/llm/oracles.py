@@ -97,7 +97,7 @@ hosts as (select host, count(distinct t) as host_texts from docs group by host),
 gone as (
   select l.doc_id, sum(l.n) as n_removed_words
   from lines l join counts c on l.host = c.host and l.norm = c.norm join hosts h on h.host = l.host
-  where c.texts > 20 and 100 * c.texts > host_texts and l.t <> c.first group by l.doc_id),
+  where c.texts >= 3 and (100 * c.texts > host_texts or c.texts > 1000) and l.t <> c.first group by l.doc_id),
 stats as (
   select doc_id, cast(len(w) as bigint) as n_words,
     cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as bigint) as word_chars,

@@ -19,13 +19,14 @@ from voxtab.llm.common import cut, in_chunks, split_words, text_bytes
 
 
 class Limits(NamedTuple):
-    """A line is furniture in a host if more than `documents` of its texts, and more than
-    `per_host` of 100 of them, hold it. A text is depleted if more than `removed` of 100 of
+    """A line is furniture in a host if at least `documents` of its texts hold it and these are
+    more than `per_host` of 100 of them or, in a large host, more than `many`. A text is depleted if more than `removed` of 100 of
     its words go. A text fails with fewer than `words` words, or more than `repeated` of 100 in
     windows of three that it repeats."""
 
-    documents: int = 20
+    documents: int = 3
     per_host: float = 1.0
+    many: int = 1000
     removed: int = 50
     words: int = 50
     repeated: int = 50
@@ -140,8 +141,9 @@ def furniture(stats: DataFrame, limits: Limits) -> DataFrame:
         F.count_distinct("key").alias("texts"), F.min_by("key", "doc_id").alias("first")
     )
     hosts = stats.groupBy("host").agg(F.count_distinct("key").alias("host_texts"))
-    many = counts.where(F.col("texts") > limits.documents).join(hosts, "host")
-    return many.where(100 * F.col("texts") > limits.per_host * F.col("host_texts")).select(
+    shared = counts.where(F.col("texts") >= limits.documents).join(hosts, "host")
+    often = (100 * F.col("texts") > limits.per_host * F.col("host_texts")) | (F.col("texts") > limits.many)
+    return shared.where(often).select(
         "host", "line", "first"
     )
 
@@ -213,5 +215,6 @@ def clean(docs: DataFrame, judged: DataFrame, host: str = "source") -> DataFrame
     same = (F.col("__own") == F.col("__key")) & (
         F.coalesce(F.col(host).cast("string"), F.lit("")) == F.col("__host")
     )
-    joined = keyed.join(found, same).select(*[F.col(f"`{c}`") for c in docs.columns], "removed_lines")
+    joined = keyed.alias("asked").join(found.alias("found"), same)
+    joined = joined.select(*[F.col(f"asked.`{c}`") for c in docs.columns], F.col("found.removed_lines").alias("__gone"))
     return joined.mapInArrow(strip, schema)

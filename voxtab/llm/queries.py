@@ -76,9 +76,9 @@ def op5_suffix_dedup(spark, sf_dir):
     )
 
 
-def scored(df: DataFrame, held_out) -> DataFrame:
+def scored(df: DataFrame, held_out, *more) -> DataFrame:
     return df.select(
-        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), *more
     )
 
 
@@ -87,7 +87,10 @@ def op6_toxicity(spark, sf_dir):
     docs, labels = (table(spark, sf_dir, name) for name in ("documents", "labels"))
     held_out = fold(F.col("doc_id"), 4) == 2
     model = toxicity.fit(docs, labels, ~held_out)
-    return scored(toxicity.score(docs.select("doc_id", "text"), model), held_out)
+    found = toxicity.score(docs.select("doc_id", "text", "lang"), model)
+    # The verdict by the threshold of the language beside the one at 0.3 for all.
+    toxic = toxicity.is_toxic(model, F.col("score"), F.coalesce("lang", F.lit("")))
+    return scored(found, held_out, toxic.cast("int").alias("toxic"))
 
 
 @query

@@ -152,8 +152,11 @@ def scan(docs: DataFrame, reach: int = REACH, text: str = "text", key: str = "do
     are linked: only spans are shuffled then, and the few linked ones are joined back.
     """
     docs = docs.drop("secret_spans")
-    own = F.coalesce(F.col(text), F.lit(""))
-    named = docs.withColumns({"__text": own, "__id": F.col(key), "__key": digest(own)})
+    own = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    # The input's other columns travel as one, so that no name of theirs meets one used here.
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    named = docs.select(whole, own.alias("__text"), F.col(f"`{key}`").alias("__id"))
+    named = named.withColumn("__key", digest(F.col("__text")))
     strong = F.concat(*[spans_of("__text", k) for k in STRONG])
     weak = F.concat(*[spans_of("__text", k) for k in WEAK])
     scanned = named.withColumns({"__strong": strong, "__weak": weak})
@@ -164,7 +167,7 @@ def scan(docs: DataFrame, reach: int = REACH, text: str = "text", key: str = "do
     joined = scanned.join(linked, same, "left")
     empty = F.expr(f"cast(array() as array<{SPAN}>)")
     spans = F.array_sort(F.concat("__strong", F.coalesce("__linked", empty)))
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], spans.alias("secret_spans"))
+    return joined.select("row.*", spans.alias("secret_spans"))
 
 
 def listed(spans: Column) -> Column:

@@ -159,7 +159,10 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, default: str
     judged = matched.groupBy("host", "path").agg(
         F.min_by(F.struct("rule", "rule_verdict"), best).alias("best")
     )
-    return parts.join(judged, ["host", "path"], "left").select(
-        *[F.col(f"`{c}`") for c in kept.columns], "host", "path", F.col("best.rule").alias("rule"),
-        F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict"),
+    # Names of the pages and of what was found are told apart by their tables.
+    joined = parts.alias("asked").join(judged.alias("found"), ["host", "path"], "left")
+    best = F.col("found.best")
+    return joined.select(
+        *[F.col(f"asked.`{c}`") for c in kept.columns], "host", "path", best["rule"].alias("rule"),
+        F.coalesce(best["rule_verdict"], F.lit(default)).alias("verdict"),
     )
