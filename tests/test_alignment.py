@@ -45,6 +45,17 @@ def test_inclusive_bounds_and_file_order(spark):
     check(spark, segs, words)
 
 
+def test_nan_is_no_bound(spark):
+    nan = float("nan")
+    segs = [("g", 0, 0.0, nan, "a"), ("g", 1, nan, 2.0, "b"), ("g", 2, nan, nan, "c"), ("g", 3, 0.0, 9.0, "d")]
+    words = [("g", 1, 1.0, 2.0, "w"), ("g", 2, nan, 3.0, "w"), ("g", 3, 4.0, nan, "w"), ("g", 4, 10.0, 11.0, "w")]
+    got = {r.seg_index: r for r in AL.refine_segments(spark.createDataFrame(segs, SEG), spark.createDataFrame(words, WORD)).collect()}
+    assert [str(got[k].refined_start) for k in range(4)] == ["0.0", "nan", "nan", "1.0"]
+    assert [str(got[k].refined_end) for k in range(4)] == ["nan", "2.0", "nan", "nan"]
+    pairs = AL.align_words(spark.createDataFrame(segs, SEG), spark.createDataFrame(words, WORD)).collect()
+    assert sorted((r.seg_index, r.word_index or 0) for r in pairs) == [(0, 0), (1, 0), (2, 0), (3, 1), (3, 3)]
+
+
 @pytest.mark.parametrize("scale", [0.01, 1.0, 40.0, 3000.0])
 def test_random_intervals(spark, scale):
     rng = random.Random(int(scale * 100))

@@ -54,6 +54,25 @@ def test_confidence(spark, by):
         assert got[key] == pytest.approx(confidence_rule(words), abs=1e-9), key
 
 
+def test_odd_numbers_in_words(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [
+        ("nan", 0, 0, 0, 0.0, 4.0, 0.0, 1.0, nan), ("nan", 0, 0, 1, 0.0, 4.0, 1.0, 2.0, 0.8),
+        ("only", 0, 0, 0, 0.0, 4.0, 0.0, 1.0, nan), ("epoch", 0, 0, 0, 0.0, 4.0, 0.0, 1.7e9, 0.5),
+        ("epoch", 0, 0, 1, 0.0, 4.0, 1.0, 2.0, 1.0), ("inf", 0, 0, 0, 0.0, 4.0, 0.0, inf, 0.5), ("inf", 0, 0, 1, 0.0, 4.0, nan, 1.0, 0.5),
+    ]
+    got = {r.guid: r.confidence for r in S.weighted_confidence(spark.createDataFrame(rows, WORD)).collect()}
+    assert got == {"nan": 0.8, "only": 0.0, "epoch": pytest.approx(0.5), "inf": 0.0}
+
+
+def test_sums_do_not_depend_on_order(spark):
+    rows = [("g", 0, 0, k, 0.0, 9.0, k * 0.1, k * 0.1 + 0.05 + k / 7, 1 / (k + 1.5)) for k in range(2000)]
+    turned = [("h", *r[1:]) for r in reversed(rows)]
+    df = spark.createDataFrame(rows + turned, WORD).repartition(7)
+    found = [r.confidence for r in S.weighted_confidence(df).collect()]
+    assert found[0] == found[1]
+
+
 def test_confidence_needs_no_window(spark):
     df = spark.createDataFrame(random_words(random.Random(2), 5), WORD)
     assert "Window" not in S.weighted_confidence(df)._jdf.queryExecution().toString()

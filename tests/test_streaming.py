@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 import random
 
 from test_lifecycle import EVENTS, T0, walk
@@ -6,6 +7,7 @@ from test_lifecycle import EVENTS, T0, walk
 from voxtab.operators.lifecycle import fold_lifecycle
 from voxtab.streaming import monitor
 from voxtab.streaming.dedupe import dedupe_submissions
+from voxtab.streaming.guard import guard_submissions
 from voxtab.streaming.lifecycle import latest_states, lifecycle_stream
 from voxtab.streaming.runner import run_available
 
@@ -101,3 +103,91 @@ def test_hot_guid_is_cut_down_before_the_shuffle():
         }
     )
     assert len(decisive_rows(batch.sample(frac=1, random_state=1).reset_index(drop=True), 3)) <= 7
+
+
+def test_tiles_of_ten_thousand_batches():
+    for base in (2, 3, 32):
+        for batch in [*range(500), 9998, 9999, 10**9]:
+            upto = 0
+            for level, place in monitor.tiles(batch, base):
+                assert place * base**level == upto
+                upto = (place + 1) * base**level
+            assert upto == batch + 1
+    assert len(monitor.tiles(9999)) < 3 * monitor.BASE
+
+
+def test_totals_are_rolled_up(spark, tmp_path):
+    rng, folder, base, n = random.Random(5), str(tmp_path / "m"), 3, 29
+    deltas = [(rng.randint(-3, 5), rng.randint(-90, 200)) for _ in range(n)]
+    for k, row in enumerate(deltas):
+        df = spark.createDataFrame([row], "pending_delta bigint, wait_delta bigint")
+        for _ in range(1 + (k in (8, 17, 26))):  # a batch that is run again, its sums too
+            monitor.add_deltas(df, k, folder, base)
+    history = monitor.queue_history(spark, folder, base).orderBy("batch_id").collect()
+    for r in history:
+        done = deltas[: r.batch_id + 1]
+        assert (r.total_pending, r.total_wait_sec) == (sum(d[0] for d in done), sum(d[1] for d in done))
+    assert [r.batch_id for r in history] == [26, 27, 28]
+    files = [f for _, _, names in os.walk(f"{folder}/deltas") for f in names if f.endswith(".parquet")]
+    assert len(files) <= 2 * base * 4
+
+
+def replayed(rows, outcomes, jobs, day=86400):
+    """The guard's rule, one row after another. rows: (guid, at, name); outcomes: (guid, at, status)."""
+    held = {g: (created, status in ("completed", "error", "quarantined")) for g, status, created in jobs}
+    admitted = set()
+    events = sorted([(at, 1, name, g) for g, at, name in rows] + [(at, 0, status, g) for g, at, status in outcomes])
+    for at, kind, what, g in events:
+        if g in held and held[g][1] and held[g][0] + day <= at:
+            del held[g]
+        if kind == 0:
+            if g in held:
+                held[g] = (held[g][0], what in ("completed", "error", "quarantined"))
+        elif g not in held:
+            held[g] = (at, False)
+            admitted.add((g, at, what))
+    return admitted
+
+
+def test_guard_equals_a_replay(spark, tmp_path):
+    rng = random.Random(11)
+    at = lambda hours: T0 + dt.timedelta(hours=hours)
+    rows = [(f"g{rng.randint(0, 12)}", rng.randint(0, 240), f"n{k}") for k in range(300)]
+    told = [(f"g{rng.randint(0, 12)}", rng.randint(0, 240), rng.choice(["completed", "error", "pending", "processing"])) for _ in range(120)]
+    jobs = [("g0", "pending", -500), ("g1", "completed", -500), ("g2", "processed", -500), ("g3", "error", -1)]
+    schema, said = "guid string, submitted_at timestamp, name string", "guid string, at timestamp, status string"
+    # Three days of rows a batch, in any order within.
+    for part in range(4):
+        span = range(part * 72, part * 72 + 72)
+        for name, data, kind in (("in", rows, schema), ("out", told, said)):
+            some = [(g, at(h), x) for g, h, x in data if h in span]
+            rng.shuffle(some)
+            spark.createDataFrame(some, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+    stream = guard_submissions(
+        read_parts(spark, schema, tmp_path / "in"), read_parts(spark, said, tmp_path / "out"),
+        spark.createDataFrame([(g, s, at(h)) for g, s, h in jobs], "guid string, status string, created_at timestamp"),
+        lateness="10 days",
+    )
+    got = run_available(stream, "guard", str(tmp_path / "rows")).collect()
+    assert len(got) == len(rows)
+    want = replayed(rows, told, jobs, day=24)
+    mine = {(r.guid, int((r.submitted_at - T0).total_seconds()) // 3600, r.name) for r in got if r.reason == "admitted"}
+    assert mine == want and {g for g, _, _ in want} >= {"g1", "g3"}
+
+
+def test_an_open_job_holds_its_guid_for_ever(spark, tmp_path):
+    schema = "guid string, submitted_at timestamp"
+    jobs = spark.createDataFrame([("open", "processing", T0), ("done", "completed", T0)], "guid string, status string, created_at timestamp")
+    seen = []
+    for days in (2, 40, 41):
+        when = T0 + dt.timedelta(days=days)
+        spark.createDataFrame([("open", when), ("done", when)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        (tmp_path / "out").mkdir(exist_ok=True)
+        stream = guard_submissions(
+            spark.readStream.schema(schema).parquet(str(tmp_path / "in")),
+            spark.readStream.schema("guid string, at timestamp, status string").parquet(str(tmp_path / "out")), jobs,
+        )
+        rows = run_available(stream, "guard", str(tmp_path / "rows")).collect()
+        seen.append(sorted((r.guid, r.reason) for r in rows if r.submitted_at == when))
+    refused = "GUID already exists"
+    assert seen == [[("done", "admitted"), ("open", refused)], [("done", refused), ("open", refused)], [("done", refused), ("open", refused)]]

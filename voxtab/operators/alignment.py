@@ -30,7 +30,9 @@ def _within(segments: DataFrame, words: DataFrame) -> DataFrame:
     )
     lo = _cell(F.greatest("seg_start", "w_first"))
     hi = _cell(F.least("seg_end", "w_last"))
-    placed = segments.where(F.col("seg_start") <= F.col("seg_end")).join(spans, "guid")
+    # NaN is no bound: Spark would order it behind all numbers.
+    known = ~F.isnan("seg_start") & ~F.isnan("seg_end") & (F.col("seg_start") <= F.col("seg_end"))
+    placed = segments.where(known).join(spans, "guid")
     placed = placed.withColumn("lo", lo).withColumn("hi", hi).drop("w_first", "w_last")
     return placed.where(F.col("lo") <= F.col("hi"))
 

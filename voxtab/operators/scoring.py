@@ -57,10 +57,11 @@ def _weighted(by: list[str], words: DataFrame) -> DataFrame:
     """Per segment: sums of duration and of duration times probability.
 
     A word without both bounds lasts an equal share of its segment; the share counts
-    all words of the segment, also those without probability. Addends are decimals, so
-    that sums do not depend on their order and equal passes have equal scores.
+    all words of the segment, also those without probability. A probability that is NaN
+    is none. Addends are whole numbers, so that sums do not depend on their order and equal
+    passes have equal scores.
     """
-    p = F.when(F.col("probability") > 0, F.col("probability"))
+    p = F.when((F.col("probability") > 0) & ~F.isnan("probability"), F.col("probability"))
     length = F.col("word_end") - F.col("word_start")
     unbounded = length.isNull()
     sums = words.groupBy(*by).agg(
@@ -80,7 +81,12 @@ def _weighted(by: list[str], words: DataFrame) -> DataFrame:
 
 
 def _exact_sum(value: Column) -> Column:
-    return F.sum(value.cast("decimal(28,12)")).cast("double")
+    """Sum of whole millionths and, apart from them, of millionths of these. What is beyond 10^12
+    counts as nothing."""
+    micro = F.when(F.abs(value) < 1e12, value * 1e6)
+    whole = F.floor(micro)
+    rest = F.round((micro - whole) * 1e6).cast("bigint")
+    return F.try_sum(whole) / F.lit(1e6) + F.try_sum(rest) / F.lit(1e12)
 
 
 def _sum_of(*parts: Column) -> Column:

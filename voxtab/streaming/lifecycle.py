@@ -3,10 +3,10 @@
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from voxtab import constants as C
 from voxtab.operators.lifecycle import FINAL_OUTCOMES, GARBAGE, STARTED
@@ -49,6 +49,12 @@ UPDATES = T.StructType(
 )
 
 
+KINDS = {
+    f.name: {T.LongType(): "Int64", T.IntegerType(): "int32", T.BooleanType(): "bool"}.get(f.dataType, "object")
+    for f in UPDATES.fields
+}
+
+
 def decisive_rows(events: pd.DataFrame, cap: int) -> pd.DataFrame:
     """The rows of a batch that can matter to the state of their guid."""
     events = events.sort_values("seq", kind="stable")
@@ -64,50 +70,43 @@ def decisive_rows(events: pd.DataFrame, cap: int) -> pd.DataFrame:
     return events.loc[keep]
 
 
-class LifecycleProcessor(StatefulProcessor):
+class LifecycleFold:
+    """The state of one guid after a batch of its events. States travel with the events in Arrow
+    batches, so a guid costs no calls of its own to the state store."""
+
     def __init__(self, cap: int, retention_ms: int):
         self.cap = cap
         self.retention_ms = retention_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("job", STATE)
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues):
-        old = dict(zip(STATE.names, self.state.get() or NEW_JOB, strict=True))
+    def __call__(self, key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        old = dict(zip(STATE.names, state.get if state.exists else NEW_JOB, strict=True))
+        for name in ("garbage_seq", "garbage_us"):
+            old[name] = list(old[name])
         job = dict(old)
+        if state.hasTimedOut:
+            state.remove()
+            left = job | {"version": job["version"] + 1}
+            yield self._frame(key, job, left, self._settle(job), expired=True)
+            return
         if job["max_seq"] is None:
             # A guid may return once its job has left. The watermark is then over a
             # day further on, so versions keep growing.
-            job["version"] = max(0, timerValues.getCurrentWatermarkInMs())
-        for row in rows:
-            self._merge(job, row.seq, row.us, row.outcome)
-            job["estimate"] = max(job["estimate"], row.processing_time_est or 0)
+            job["version"] = max(0, state.getCurrentWatermarkMs())
+        for batch in batches:
+            columns = (batch[n].tolist() for n in ("seq", "us", "outcome", "processing_time_est"))
+            for seq, us, outcome, estimate in zip(*columns, strict=True):
+                self._merge(job, seq, us, outcome)
+                if estimate is not None and estimate == estimate:
+                    job["estimate"] = max(job["estimate"], int(estimate))
         out = self._settle(job)
         job["version"], job["status"] = job["version"] + 1, out["status"]
-        self.state.update(tuple(job[name] for name in STATE.names))
-        if out["completed_us"] is not None and old["status"] != out["status"]:
-            self.handle.registerTimer(self._due(job))
-        yield self._row(key, old, job, out, expired=False)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        job = self.state.get()
-        if job is None:
-            return
-        job = dict(zip(STATE.names, job, strict=True))
-        out = self._settle(job)
-        # A timer of an earlier job under this guid must not end the present one.
-        due = self._due(job)
-        if out["completed_us"] is not None and expiredTimerInfo.getExpiryTimeInMs() >= due:
-            self.state.clear()
-            left = job | {"version": job["version"] + 1}
-            yield self._row(key, job, left, out, expired=True)
-
-    def close(self) -> None:
-        pass
+        state.update(tuple(job[name] for name in STATE.names))
+        if out["completed_us"] is not None:
+            state.setTimeoutTimestamp(max(self._due(job), state.getCurrentWatermarkMs() + 1))
+        yield self._frame(key, old, job, out, expired=False)
 
     def _due(self, job: dict) -> int:
-        """Timers know milliseconds; states keep microseconds."""
+        """Timeouts know milliseconds; states keep microseconds."""
         return job["created_us"] // 1000 + self.retention_ms
 
     def _merge(self, job: dict, seq: int, us: int, outcome: str) -> None:
@@ -143,19 +142,14 @@ class LifecycleProcessor(StatefulProcessor):
             "completed_us": end_us,
         }
 
-    def _row(self, key, old: dict, job: dict, out: dict, expired: bool) -> Row:
+    def _frame(self, key, old: dict, job: dict, out: dict, expired: bool) -> pd.DataFrame:
         before, now = old["status"] == C.PENDING, job["status"] == C.PENDING
-        return Row(
-            guid=key[0],
-            version=job["version"],
-            status=out["status"],
-            attempt_count=out["attempt_count"],
-            last_seq=out["last_seq"],
-            completed_us=out["completed_us"],
-            expired=expired,
-            pending_delta=int(now) - int(before),
-            wait_delta=now * job["estimate"] - before * old["estimate"],
-        )
+        row = {
+            "guid": key[0], "version": job["version"], **out, "expired": expired,
+            "pending_delta": int(now) - int(before),
+            "wait_delta": now * job["estimate"] - before * old["estimate"],
+        }
+        return pd.DataFrame({n: pd.Series([row[n]], dtype=KINDS[n]) for n in UPDATES.names})
 
 
 def lifecycle_stream(
@@ -178,17 +172,23 @@ def lifecycle_stream(
         for batch in batches:
             yield decisive_rows(batch, cap)
 
+    fold = LifecycleFold(cap, retention_seconds * 1000)
+
+    def step(key, batches, state):
+        yield from fold(key, batches, state)
+
     events = evolve_schema(events, {"processing_time_est": (None, "bigint")})
     slim = events.select(*JOB_EVENTS.names).mapInPandas(combine, JOB_EVENTS)
     updates = (
         slim.withWatermark("ts", lateness)
         .withColumn("us", F.unix_micros("ts"))
         .groupBy("guid")
-        .transformWithState(
-            LifecycleProcessor(cap, retention_seconds * 1000),
+        .applyInPandasWithState(
+            step,
             outputStructType=UPDATES,
-            outputMode="Append",
-            timeMode="eventTime",
+            stateStructType=STATE,
+            outputMode="append",
+            timeoutConf=GroupStateTimeout.EventTimeTimeout,
         )
     )
     return updates.withColumn("completed_at", F.timestamp_micros("completed_us")).drop(
