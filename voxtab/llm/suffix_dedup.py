@@ -96,7 +96,8 @@ class Anchors:
         long = sizes >= WINDOW
         np.add.at(whole, self.begin[long], 1)
         np.add.at(whole, (self.end - WINDOW + 1)[long], -1)
-        valid = np.cumsum(whole[:-1]) > 0
+        valid = np.cumsum(whole[:-1], dtype=np.int32) > 0
+        del whole
         for a in range(0, max(n - REACH, 1), STRIP):
             parts.append(self._strip(max(a - REACH, 0), min(a + STRIP + REACH, n), a, min(a + STRIP, n), valid))
         self.places = np.concatenate([np.zeros(0, np.int64), *parts])
