@@ -107,3 +107,23 @@ def test_small_categories_have_targets_of_their_own(spark, monkeypatch):
     powers = {n: v**M.TEMPER for n, v in tokens.items()}
     for n in tokens:
         assert expected[n] / sum(expected.values()) == pytest.approx(powers[n] / sum(powers.values()), rel=1e-2)
+
+
+def test_rake_is_plain_proportional_fitting():
+    rng = np.random.default_rng(4)
+    names = [["a", "b", "c"], ["x", "y"], ["p", "q", "r", "s"]]
+    table = {(i, j, k): float(rng.integers(1, 500)) for i in range(3) for j in range(2) for k in range(4) if rng.random() < 0.9}
+    targets = [rng.dirichlet(np.ones(len(n))) for n in names]
+    weights = dict(table)
+    for _ in range(400):
+        for d, target in enumerate(targets):
+            for name, wanted in enumerate(target):
+                mine = [c for c in weights if c[d] == name]
+                total, reached = sum(weights.values()), sum(weights[c] for c in mine)
+                for c in mine:
+                    weights[c] *= wanted * total / reached
+    cells = np.array(list(table))
+    factors, _ = M.rake(cells, np.array(list(table.values())), targets)
+    raked = np.array(list(table.values())) * np.prod([f[cells[:, k]] for k, f in enumerate(factors)], axis=0)
+    plain = np.array([weights[c] for c in table])
+    assert np.allclose(raked / raked.sum(), plain / plain.sum(), atol=1e-5)

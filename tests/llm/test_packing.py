@@ -72,3 +72,38 @@ def test_whole_texts_in_gapless_sequences(spark, tokenizer):
         used += at
     assert used / (2048 * len(by_sequence)) > 0.97
     assert P.pack(df.limit(0), PATH).count() == 0
+
+
+def plain_differencing(sizes: list[int], k: int) -> list[list[int]]:
+    """Lists of (sum, members) in full, merged one with another until one is left."""
+    parts = [(i, [(s, [i]), *[(0, [])] * (k - 1)]) for i, s in enumerate(sizes)]
+    made = len(parts)
+    while len(parts) > 1:
+        parts.sort(key=lambda p: (-(p[1][0][0] - p[1][-1][0]), p[0]))
+        (_, a), (_, b), *parts = parts
+        both = [(x + y, m + n) for (x, m), (y, n) in zip(a, reversed(b), strict=True)]
+        parts.append((made, sorted(both, key=lambda w: -w[0])))
+        made += 1
+    return [sorted(members) for _, members in parts[0][1]]
+
+
+def test_differencing_is_karmarkar_and_karps():
+    rng = random.Random(9)
+    for _ in range(200):
+        sizes = [rng.randint(1, 300) for _ in range(rng.randint(1, 40))]
+        k = rng.randint(2, 6)
+        found = P.differencing(np.array(sizes), k)
+        groups = sorted(np.flatnonzero(found == w).tolist() for w in range(k))
+        assert groups == sorted(plain_differencing(sizes, k))
+
+
+def test_what_a_worker_remembers_is_bounded(tokenizer, monkeypatch):
+    monkeypatch.setattr(P, "KNOWN_WORDS", 40)
+    monkeypatch.setattr(P, "KNOWN_PARTS", 30)
+    monkeypatch.setattr(P, "NEW_WORDS", 7)
+    rng, words = random.Random(4), P.WordTokens(PATH)
+    for _ in range(30):
+        texts = [" ".join(rng.choice(["the", "It's", "naïve", "Ünï", "x", "日本"]) + str(rng.randint(0, 60)) for _ in range(50)) for _ in range(3)]
+        found = words.encode([t.encode() for t in texts], 1)
+        assert [f.tolist() for f in found] == [tokenizer.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+        assert len(words.words) <= 40

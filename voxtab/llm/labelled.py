@@ -16,6 +16,13 @@ def known_labels(labels: DataFrame, label: str, allowed: Column) -> DataFrame:
     ).where(F.col("label").isin(0, 1))
 
 
+def slice_of(text: Column, key: Column, longest: int) -> Column:
+    """The text, or `longest` characters of a longer one from a place that its key decides."""
+    over = F.greatest(F.length(text) - longest, F.lit(0))
+    start = F.pmod(F.xxhash64(key), over + 1).cast("int")
+    return F.when(over > 0, F.substr(text, start + 1, F.lit(longest))).otherwise(text)
+
+
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label: str, allowed: Column, per_class: int, longest: int
 ) -> DataFrame:
@@ -23,8 +30,9 @@ def labelled_sample(
     text.
 
     allowed: a condition on labels.doc_id. Rows are taken in the order of a hash of the id;
-    of repeated rows one counts. Texts beyond `longest` characters are not sampled, so that
-    what the driver gathers is bounded by 2 * per_class * longest; null texts are empty.
+    of rows that repeat an id that with the smallest hash of its text counts. Of texts beyond
+    `longest` characters a slice is learnt from, so that what the driver gathers is bounded by
+    2 * per_class * longest; null texts are empty.
     """
     known = known_labels(labels, label, allowed)
     ids = None
@@ -34,9 +42,18 @@ def labelled_sample(
         ids = some if ids is None else ids.unionByName(some)
     lang = F.col("lang") if "lang" in docs.columns else F.lit("")
     texts = docs.select(
-        F.col("doc_id"), F.coalesce(lang, F.lit("")).alias("lang"),
-        F.coalesce(F.col("text"), F.lit("")).alias("text"),
-    ).where(F.length("text") <= longest)
+        F.col("doc_id"), F.coalesce(lang, F.lit("")).alias("lang"), F.coalesce(F.col("text"), F.lit("")).alias("text")
+    )
     # At most 2 * per_class rows of two numbers: small by construction.
-    found = texts.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
-    return found.orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id", "label", "lang", "text")
+    found = texts.join(F.broadcast(ids), "doc_id").withColumn("text", slice_of(F.col("text"), F.col("doc_id"), longest))
+    one = F.min(F.struct(F.xxhash64("text", "lang").alias("order"), "label", "lang", "text")).alias("row")
+    found = found.groupBy("doc_id").agg(one).select("doc_id", "row.label", "row.lang", "row.text")
+    return found.orderBy(F.xxhash64("doc_id"), "doc_id")
+
+
+def binned_labels(scored: DataFrame, known: DataFrame, bins: int) -> DataFrame:
+    """label, bin, n: how many labelled documents have each score. scored: doc_id, score; known:
+    doc_id, label. Rows that repeat id and score count once."""
+    step = F.least(F.floor(F.col("score") * bins), F.lit(bins - 1)).cast("int")
+    found = scored.select("doc_id", "score").join(known, "doc_id").distinct()
+    return found.groupBy("label", step.alias("bin")).agg(F.count("*").alias("n"))

@@ -10,14 +10,19 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from voxtab.llm.common import in_chunks, split_words, text_bytes
-from voxtab.llm.labelled import labelled_sample
+from voxtab.llm.labelled import binned_labels, known_labels, labelled_sample
+from voxtab.llm.ngram_join import among, marked
 
 BUCKETS = 1 << 18
+# Rows of a label that are learnt from at most, and characters of a text.
 PER_CLASS = 3000
 LONGEST = 20_000
+# Bins of scores by which all labelled rows are counted.
+BINS = 4096
 EPOCHS = 12
 
 
@@ -119,13 +124,17 @@ def margins(model: Model, rows: list[np.ndarray], ratio_norms: np.ndarray) -> np
     )
 
 
-def calibrated(found: np.ndarray, labels: np.ndarray, rounds: int = 60) -> tuple[float, float]:
+def calibrated(
+    found: np.ndarray, labels: np.ndarray, counts: np.ndarray | None = None, rounds: int = 60
+) -> tuple[float, float]:
     """Slope and shift of a logistic curve through margins, by Newton's method with a small
-    penalty. Labels count by class, so that both weigh the same."""
-    share = np.bincount(labels, minlength=2) / max(len(labels), 1)
+    penalty. counts: how often each row is there (default: once). Labels count by class, so that
+    both weigh the same."""
+    counts = np.ones(len(labels)) if counts is None else counts
+    share = np.bincount(labels, counts, minlength=2) / max(counts.sum(), 1)
     if len(labels) == 0 or share.min() == 0:
         return 4.0, 0.0
-    weight = 0.5 / share[labels]
+    weight = 0.5 / share[labels] * counts * (len(labels) / counts.sum())
     x = np.stack([found, np.ones_like(found)], axis=1)
     beta = np.zeros(2)
     for _ in range(rounds):
@@ -141,16 +150,24 @@ class Fitted(NamedTuple):
     norms: np.ndarray
 
 
+def too_few(labels: np.ndarray) -> bool:
+    return len(labels) == 0 or min(np.bincount(labels, minlength=2)) < 10
+
+
+def kept_from_fit(n: int) -> np.ndarray:
+    return np.arange(n) % 5 == 4
+
+
 def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, cost: float = 4.0, seed: int = 7) -> Fitted:
     """Fits on four of five rows, calibrates on the fifth. Fewer than ten rows of a label: a
     model that scores the share of label 1 everywhere."""
     n = len(labels)
-    if n == 0 or min(np.bincount(labels, minlength=2)) < 10:
+    if too_few(labels):
         share = (labels.sum() + 1) / (n + 2) if n else 0.5
         flat = np.zeros(BUCKETS, np.float32)
         return Fitted(Model(flat, 0.0, 1.0, float(np.log(share / (1 - share)))), flat)
     rows = [row for a, b in in_chunks(texts) for row in indicators(texts[a:b])]
-    held = np.arange(n) % 5 == 4
+    held = kept_from_fit(n)
     mine = [rows[i] for i in np.flatnonzero(~held)]
     ratio = ratios(mine, labels[~held])
     weights, bias = descend(mine, labels[~held], ratio, epochs, cost, seed)
@@ -161,9 +178,29 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, cost: fl
 
 
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column, per_class: int = PER_CLASS) -> Fitted:
-    """Trains on at most `per_class` labelled rows of each label, on the driver."""
+    """Trains on at most `per_class` labelled rows of each label, on the driver; the curve that
+    makes scores of margins comes from all labelled rows but those learnt from, whole texts."""
     found = labelled_sample(docs, labels, "quality", allowed, per_class, LONGEST).toArrow()
-    return train(text_bytes(found["text"].combine_chunks()), found["label"].to_numpy().astype(np.int64))
+    sampled = found["label"].to_numpy().astype(np.int64)
+    fitted = train(text_bytes(found["text"].combine_chunks()), sampled)
+    if too_few(sampled):
+        return fitted
+    # At most 2 * per_class ids: small by construction.
+    learnt = found.select(["doc_id"]).filter(pa.array(~kept_from_fit(len(sampled))))
+    learnt = F.broadcast(docs.sparkSession.createDataFrame(learnt))
+    known = known_labels(labels, "quality", allowed).join(learnt, "doc_id", "left_anti")
+    wanted = marked(known.select(F.xxhash64("doc_id").alias("id")))
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.xxhash64("doc_id").alias("__key"), "doc_id", "text")
+    bare = fitted._replace(model=fitted.model._replace(slope=1.0, shift=0.0))
+    # A row for each label and bin, however many documents there are.
+    counts = binned_labels(score(among(rows, wanted, True), bare), known, BINS).toArrow()
+    if counts.num_rows == 0 or len(set(counts["label"].to_pylist())) < 2:
+        return fitted
+    middle = (counts["bin"].to_numpy() + 0.5) / BINS
+    slope, shift = calibrated(
+        np.log(middle / (1 - middle)), counts["label"].to_numpy().astype(np.int64), counts["n"].to_numpy().astype(float)
+    )
+    return fitted._replace(model=fitted.model._replace(slope=slope, shift=shift))
 
 
 def predict(fitted: Fitted, texts: list[bytes]) -> np.ndarray:

@@ -89,8 +89,9 @@ def op6_toxicity(spark, sf_dir):
     model = toxicity.fit(docs, labels, ~held_out)
     found = toxicity.score(docs.select("doc_id", "text", "lang"), model)
     # The verdict by the threshold of the language beside the one at 0.3 for all.
-    toxic = toxicity.is_toxic(model, F.col("score"), F.coalesce("lang", F.lit("")))
-    return scored(found, held_out, toxic.cast("int").alias("toxic"))
+    threshold = toxicity.threshold_of(model, F.coalesce("lang", F.lit("")))
+    toxic = (F.col("score") >= threshold).cast("int")
+    return scored(found, held_out, threshold.alias("threshold"), toxic.alias("toxic"))
 
 
 @query

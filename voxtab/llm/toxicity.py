@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from voxtab.llm.common import in_chunks, split_words, text_bytes
+from voxtab.llm.common import cut, in_chunks, split_words, text_bytes
 from voxtab.llm.labelled import known_labels, labelled_sample
 from voxtab.llm.ngram_join import among, marked
 
@@ -312,8 +312,13 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, per_class: int = PE
     learnt = found.select(["doc_id"]).filter(pa.array(~kept_from_fit(len(sampled))))
     learnt = F.broadcast(docs.sparkSession.createDataFrame(learnt))
     known = known_labels(labels, "toxic", allowed).join(learnt, "doc_id", "left_anti")
-    # A row for each language, label and bin, however many documents there are.
-    counts = binned_counts(docs, known, model).collect()
+    counts = cut(binned_counts(docs, known, model))
+    # Languages with few labelled rows have no threshold of their own, and there may be many of
+    # them: they count together. A row for each language, label and bin reaches the driver.
+    large = counts.groupBy("lang").agg(F.sum("n").alias("rows")).where(F.col("rows") >= LEAST_OF_LANGUAGE)
+    own = F.when(F.col("rows").isNotNull(), F.col("lang")).otherwise("")
+    counts = counts.join(large, "lang", "left").groupBy(own.alias("lang"), "label", "bin").agg(F.sum("n").alias("n"))
+    counts = counts.collect()
     return model._replace(thresholds=thresholds_of_counts([tuple(r) for r in counts]))
 
 
@@ -337,10 +342,12 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return kept.mapInArrow(run, schema)
 
 
+def threshold_of(model: Model, lang: Column) -> Column:
+    own = [F.lit(v) for item in sorted(model.thresholds.items()) if item[0] for v in item]
+    common = F.lit(model.thresholds[""])
+    return F.coalesce(F.try_element_at(F.create_map(*own), lang), common) if own else common
+
+
 def is_toxic(model: Model, score: Column, lang: Column) -> Column:
     """Whether a score reaches its language's threshold."""
-    limit = F.lit(model.thresholds[""])
-    for name, value in sorted(model.thresholds.items()):
-        if name:
-            limit = F.when(lang == name, F.lit(value)).otherwise(limit)
-    return score >= limit
+    return score >= threshold_of(model, lang)
