@@ -1,0 +1,107 @@
+"""Listing, named text files and long recordings, by tasks."""
+
+import os
+import wave
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from test_audio import folder, write_wav  # noqa: F401
+
+from voxtab.sources.artifacts import list_artifacts
+from voxtab.sources.audio import read_long_wav, read_wav, read_wav_ranges, wav_ranges
+from voxtab.sources.files import list_files
+from voxtab.sources.transcripts import write_transcript_files
+
+
+def rows(df):
+    return sorted(map(str, df.collect()))
+
+
+def test_listing_by_tasks(spark, tmp_path):
+    for name in ("a.mp3", "a_processed.mp3", "b.tar.gz", "b.txt", ".hidden", "_part", "c d.wav", "naïve.mp3"):
+        (tmp_path / name).write_text(name)
+    (tmp_path / "x_aligned").mkdir()
+    for k in range(3):
+        (tmp_path / "x_aligned" / f"deep{k}").mkdir()
+        (tmp_path / "x_aligned" / f"deep{k}" / "words.json").write_text("[]" * k)
+    assert rows(list_artifacts(spark, str(tmp_path), in_tasks=True)) == rows(list_artifacts(spark, str(tmp_path)))
+    flat = list_files(spark, f"file://{tmp_path}").collect()
+    assert {(r.name, r.size) for r in flat} == {(n, len(n.encode())) for n in ("a.mp3", "a_processed.mp3", "b.tar.gz", "b.txt", "c d.wav", "naïve.mp3")}
+    deep = list_files(spark, str(tmp_path), recursive=True).collect()
+    assert {r.path for r in flat if r.name == "c d.wav"} == {f"file://{tmp_path}/c%20d.wav"}
+    own = {f"{tmp_path}/{r.name}" for r in flat}
+    assert {r.path for r in deep} == own | {f"{tmp_path}/x_aligned/deep{k}/words.json" for k in range(3)}
+    assert list_files(spark, str(tmp_path / "nowhere")).collect() == []
+
+
+def test_texts_by_name(spark, tmp_path):
+    texts = {f"g{k}": f"text of {k}\nsecond line é" for k in range(50)} | {"none": None}
+    df = spark.createDataFrame(list(texts.items()), "guid string, transcription string").repartition(7)
+    (tmp_path / "g3.txt").write_text("old")
+    assert write_transcript_files(df, str(tmp_path)) == 51
+    assert {n: (tmp_path / n).read_text() for n in os.listdir(tmp_path)} == {f"{g}.txt": t or "" for g, t in texts.items()}
+    assert write_transcript_files(df.limit(0), str(tmp_path / "empty")) == 0
+
+
+@pytest.mark.parametrize("bad", ["fails", "a/b", "", ".dot"])
+def test_a_failed_task_publishes_nothing(spark, tmp_path, bad):
+    df = spark.createDataFrame([(f"g{k}", "text") for k in range(20)] + [(bad, "x")], "guid string, text string").repartition(5)
+    if bad == "fails":
+        broken = F.raise_error(F.lit("no more"))
+        df = df.withColumn("text", F.when(F.col("guid") == bad, broken.cast("string")).otherwise(F.col("text")))
+    (tmp_path / "keep.txt").write_text("here before")
+    with pytest.raises(Exception):  # noqa: B017  Spark's own around the task's
+        write_transcript_files(df, str(tmp_path))
+    assert os.listdir(tmp_path) == ["keep.txt"]
+
+
+def test_repeated_guids_are_an_error(spark, tmp_path):
+    df = spark.createDataFrame([("g", "a"), ("g", "b")], "guid string, text string")
+    with pytest.raises(ValueError, match="differ"):
+        write_transcript_files(df, str(tmp_path))
+
+
+@pytest.mark.parametrize("size", [1 << 9, 1 << 14, 64 << 20])
+def test_same_frames_as_whole_files(spark, folder, size):  # noqa: F811
+    whole = read_wav(spark, str(folder))
+    assert rows(read_long_wav(spark, str(folder), range_bytes=size)) == rows(whole)
+    halves = read_long_wav(spark, str(folder), range_bytes=size, frame_seconds=0.37)
+    assert rows(halves) == rows(read_wav(spark, str(folder), frame_seconds=0.37))
+
+
+def test_broken_files(spark, tmp_path):
+    (tmp_path / "bad.wav").write_bytes(b"RIFFxxxxnothing")
+    write_wav(tmp_path / "good.wav", np.arange(9000).astype("<i2"))
+    write_wav(tmp_path / "empty.wav", np.zeros(0, "<i2"))
+    with pytest.raises(Exception):  # noqa: B017  Spark's own around the task's
+        read_long_wav(spark, str(tmp_path)).count()
+    found = read_long_wav(spark, str(tmp_path), mode="PERMISSIVE")
+    assert rows(found.where("error is null")) == rows(read_wav(spark, str(tmp_path), mode="PERMISSIVE").where("error is null"))
+    assert [r.guid for r in found.where("error is not null").collect()] == ["bad"]
+    with pytest.raises(ValueError):
+        wav_ranges(spark, str(tmp_path), mode="LENIENT")
+
+
+def test_a_file_above_two_gigabytes(spark, tmp_path):
+    path, n = tmp_path / "long.wav", 1_100_000_000
+    with wave.open(str(path), "wb") as out:
+        out.setnchannels(1)
+        out.setsampwidth(2)
+        out.setframerate(16000)
+        out.writeframes(b"")
+    header = bytearray(path.read_bytes())
+    header[4:8] = (36 + 2 * n).to_bytes(4, "little")
+    header[40:44] = (2 * n).to_bytes(4, "little")
+    with open(path, "wb") as out:  # a hole but for the header and the last samples
+        out.write(header)
+        out.truncate(44 + 2 * n)
+        out.seek(44 + 2 * n - 8)
+        out.write(np.array([1, 2, 3, 4], "<i2").tobytes())
+    ranges = wav_ranges(spark, str(tmp_path))
+    assert ranges.count() == -(-2 * n // ((64 << 20) // 32000 * 32000)) > 30
+    last = read_wav_ranges(ranges.orderBy(F.desc("offset")).limit(1))
+    assert last.rdd.getNumPartitions() >= 1
+    frame = last.orderBy(F.desc("seq")).first()
+    assert frame.seq == (n - 1) // 16000 and list(frame.samples[-4:]) == [1, 2, 3, 4]
+    assert last.agg(F.sum(F.size("samples"))).first()[0] == n - int(ranges.agg(F.max("first_seq")).first()[0]) * 16000

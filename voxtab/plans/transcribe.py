@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +16,7 @@ from voxtab.operators.audio import unreadable
 from voxtab.operators.scoring import fan_out_passes
 from voxtab.schemas import ATTEMPTS
 from voxtab.session import cut
+from voxtab.sources.files import file_system
 
 
 Recogniser = Callable[[pd.DataFrame], pd.DataFrame]
@@ -79,17 +79,12 @@ def transcribe_batch(
     return cut(_dealt(requests, tasks).mapInPandas(run, ATTEMPTS))
 
 
-def _file_system(folder: str) -> tuple[FileSystem, str]:
-    """A folder as Spark names it, for Python in a task. Fixed value: Spark's scheme for S3."""
-    return FileSystem.from_uri(folder.replace("s3a://", "s3://", 1))
-
-
 class _Ledger:
     """Results that one task has not yet put away. A part is a file that appears whole or not at
     all; its name comes from the requests in it, so the same part again takes its place."""
 
     def __init__(self, folder: str, schema: pa.Schema, seconds: float):
-        self.files, self.folder = _file_system(folder)
+        self.files, self.folder = file_system(folder)
         self.schema, self.seconds = schema, seconds
         self.held: list[pd.DataFrame] = []
         self.since = time.monotonic()
@@ -121,7 +116,7 @@ class _Ledger:
 def _stored(spark: SparkSession, folder: str) -> DataFrame:
     """What the ledger has, one part for each request."""
     schema = T.StructType([*ATTEMPTS.fields, T.StructField("part", T.StringType())])
-    files, path = _file_system(folder)
+    files, path = file_system(folder)
     files.create_dir(path, recursive=True)
     rows = spark.read.schema(schema).parquet(folder)
     parts = rows.where("seg_index is null").groupBy(*REQUEST, "part").agg((F.count("error") > 0).alias("failed"))

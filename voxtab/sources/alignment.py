@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxtab.sources.files import own_file_name
+
 SHAPE = "tiers struct<words: struct<entries: array<array<string>>>>"
 
 
@@ -30,7 +32,7 @@ def parse_alignment(files: DataFrame, text: str = "json") -> DataFrame:
 
 def read_alignment(spark: SparkSession, path: str) -> DataFrame:
     """Word rows of all aligner files `{guid}.json` below a path or glob."""
-    guid: Column = F.regexp_extract(F.col("_metadata.file_name"), r"\A(.*)\.json\z", 1)
+    guid: Column = F.regexp_extract(own_file_name(), r"\A(.*)\.json\z", 1)
     files = (
         spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.json")

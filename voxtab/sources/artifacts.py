@@ -7,12 +7,19 @@ from pyspark.sql import functions as F
 
 from voxtab import constants as C
 from voxtab.functions.text import file_ext
+from voxtab.sources.files import list_files, own_file_name
 
 
-def list_artifacts(spark: SparkSession, folder: str) -> DataFrame:
-    """(guid, kind, path) of the files in a folder; their content is not read."""
+def list_artifacts(spark: SparkSession, folder: str, in_tasks: bool = False) -> DataFrame:
+    """(guid, kind, path) of the files in a folder; their content is not read.
+
+    Spark lists the folder on the driver and keeps what it found there. With `in_tasks` a task
+    lists it instead, for folders of millions of files; that needs a file system that pyarrow
+    knows (local, hdfs, s3, gs, abfs)."""
+    if in_tasks:
+        return classify_artifacts(list_files(spark, folder).select(F.col("name").alias("path")))
     listing = spark.read.format("binaryFile").load(folder)
-    return classify_artifacts(listing.select(F.col("_metadata.file_name").alias("path")))
+    return classify_artifacts(listing.select(own_file_name().alias("path")))
 
 
 def classify_artifacts(names: DataFrame) -> DataFrame:

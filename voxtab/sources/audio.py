@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxtab.schemas import FRAMES
+from voxtab.sources.files import file_system, list_files, own_file_name
 
 FRAME_SECONDS = 1.0
 
@@ -74,7 +75,7 @@ def read_wav(
                     row |= {"guid": guid, "error": str(problem) or type(problem).__name__}
                     yield pd.DataFrame([row], dtype=object)
 
-    guid = F.regexp_extract(F.col("_metadata.file_name"), r"(?s)\A(.*?)(?:\.[^.]*)?\z", 1)
+    guid = F.regexp_extract(own_file_name(), r"(?s)\A(.*?)(?:\.[^.]*)?\z", 1)
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*.[wW][aA][vV]")
@@ -82,3 +83,89 @@ def read_wav(
         .select(guid.alias("guid"), "content")
     )
     return files.mapInPandas(cut, FRAMES)
+
+
+# Bytes of samples that a task reads at once.
+RANGE_BYTES = 64 << 20
+RANGES = (
+    "guid string, path string, sample_rate int, channels int, width int, offset long, "
+    "n_bytes long, step_bytes long, first_seq long, error string"
+)
+
+
+def wav_ranges(
+    spark: SparkSession,
+    folder: str,
+    frame_seconds: float = FRAME_SECONDS,
+    mode: str = "FAILFAST",
+    range_bytes: int = RANGE_BYTES,
+) -> DataFrame:
+    """Where the samples of all WAV files in a folder lie, in stretches of whole frames. Tasks list
+    the folder and read the headers, and nothing else of the files."""
+    if mode not in ("FAILFAST", "PERMISSIVE"):
+        raise ValueError(f"unknown mode {mode!r}")
+    names = [part.split()[0] for part in RANGES.split(",")]
+
+    def ranges(guid: str, path: str, size: int) -> Iterator[tuple]:
+        files, inner = file_system(path)
+        with files.open_input_file(inner) as source:
+            # The header ends where the samples begin.
+            wav = wave.open(source)
+            start = source.tell()
+            rate, channels, width = wav.getframerate(), wav.getnchannels(), wav.getsampwidth()
+            there = min(wav.getnframes(), (size - start) // (channels * width)) * channels * width
+        step = max(1, int(rate * frame_seconds)) * channels * width
+        each = max(1, range_bytes // step) * step
+        for at in range(0, there, each):
+            yield guid, path, rate, channels, width, start + at, min(each, there - at), step, at // step, None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for path, name, size in zip(batch["path"], batch["name"], batch["size"], strict=True):
+                guid = name.rpartition(".")[0]
+                try:
+                    rows += ranges(guid, path, size)
+                except (wave.Error, EOFError, ValueError) as problem:
+                    if mode == "FAILFAST":
+                        raise
+                    reason = str(problem) or type(problem).__name__
+                    rows.append((guid, path, *[None] * 7, reason))
+            yield pd.DataFrame(rows, columns=names, dtype=object)
+
+    listed = list_files(spark, folder).where(F.lower("name").endswith(".wav"))
+    return listed.repartition("path").mapInPandas(run, RANGES)
+
+
+def read_wav_ranges(ranges: DataFrame) -> DataFrame:
+    """Frames of the stretches of `wav_ranges`: a task holds a few frames at a time."""
+
+    def frames(r) -> Iterator[dict]:
+        files, inner = file_system(r.path)
+        with files.open_input_file(inner) as source:
+            source.seek(int(r.offset))
+            for k in range(0, int(r.n_bytes), int(r.step_bytes)):
+                raw = source.read(min(int(r.step_bytes), int(r.n_bytes) - k))
+                yield {
+                    "guid": r.guid, "seq": int(r.first_seq) + k // int(r.step_bytes), "sample_rate": int(r.sample_rate),
+                    "channels": int(r.channels), "samples": _samples(raw, int(r.width)), "error": None,
+                }
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples():
+                if r.error is not None:
+                    row = dict.fromkeys(FRAMES.names) | {"guid": r.guid, "error": r.error}
+                    yield pd.DataFrame([row], dtype=object)
+                    continue
+                for some in batched(frames(r), 60):
+                    yield pd.DataFrame(some)
+
+    return ranges.repartition("path", "first_seq").mapInPandas(run, FRAMES)
+
+
+def read_long_wav(spark: SparkSession, folder: str, **options) -> DataFrame:
+    """The frames of `read_wav`, for the WAV files in a folder, of any length: several tasks read one
+    file, each its own stretch of it. Options as in `wav_ranges`. For a file system that pyarrow
+    knows (local, hdfs, s3, gs, abfs)."""
+    return read_wav_ranges(wav_ranges(spark, folder, **options))
