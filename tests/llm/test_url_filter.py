@@ -74,3 +74,45 @@ def test_columns_of_any_name_stay(spark):
     row = U.filter_urls(df).first()
     assert [row[n] for n in names] == [1] * len(names)
     assert (row.rule, row.verdict) == ("example.com/en/", "block")
+
+
+def test_rules_from_a_table_are_the_same(spark):
+    patterns = [
+        "||example.com/en/", "||ads-", "||*-ads.", "ads.js^", "*ads*", "/a*z^", "||a.b^c", "x(y)[z]{1}+?$|\\", "||é.net/", "/é/",
+        "||Shop.COM/A", "a b", "||", "",
+    ]
+    urls = [
+        "http://m.example.com/en/1", "http://ads-x.net/", "http://my-ads.org/", "http://a/ads.js", "http://a/Ads.js?x", "http://q/abcz/",
+        "http://a.b/c", "http://k/x(y)[z]{1}+", "http://k/x(y)[z]{1}+?$|", "http://é.net/é/", "http://shop.com/A", "http://shop.com/a", "http://z/a b",
+    ]
+    table = U.rule_table(spark.createDataFrame([(p, U.BLOCK, p, 1) for p in patterns], "pattern string, verdict string, rule string, rank int"))
+    found = {r.pattern: r for r in table.collect()}
+    assert set(found) == set(patterns)
+    for p in patterns:
+        assert sorted(found[p].tokens) == U.index_tokens(p), p
+    parts = rows(spark, urls, tuple(U.Rule(p, U.BLOCK, p, k) for k, p in enumerate(patterns)), default="none")
+    for host, path, rule, _ in parts:
+        hits = [p for p in patterns if re.search(U.expression(p), host + path)]
+        assert rule == hits[-1], (host, path)
+
+
+def test_a_hundred_thousand_rules(spark):
+    rules = spark.range(100_000).selectExpr(
+        "concat('||h', id % 40000, '.site', id % 977, '.com/p', id % 13, if(id % 3 = 0, '*', '/')) as pattern",
+        "if(id % 2 = 0, 'block', 'allow') as verdict", "cast(id as string) as rule", "id as rank",
+    )
+    wanted = list(range(0, 100_000, 331))
+    urls = [f"http://m.h{i % 40000}.site{i % 977}.com/p{i % 13}/x{i}" for i in wanted] + ["http://h1.site2.com/", "http://other.org/p1/"]
+    found = rows(spark, urls, rules)
+    assert [int(f[2]) for f in found[: len(wanted)]] == wanted
+    assert [f[2:] for f in found[len(wanted) :]] == [(None, "allow")] * 2
+    parts = spark.createDataFrame([(f[0], f[1]) for f in found], "host string, path string").distinct()
+    assert U.candidates(parts, U.rule_table(rules)).count() < 8 * len(urls)
+
+
+def test_the_patterns_decide_where_no_rule_does(spark):
+    urls = [
+        "http://ads-track.example.net/en/1", "http://www.cheap-pills.example.org/de/", "http://my-casino.example.net/en/",
+        "http://a.example.org/banner/x.html", "http://adsorb.example.org/en/", "http://example.org/roads/1", "http://ads.example.com/x",
+    ]
+    assert [f[2:] for f in rows(spark, urls)] == [(None, "block")] * 4 + [(None, "allow")] * 2 + [("com/", "allow")]

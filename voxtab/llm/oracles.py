@@ -1,6 +1,7 @@
 """SQL for DuckDB that gives the rows of the queries, where SQL can say it."""
 
 from voxtab.llm import secret_scan
+from voxtab.llm.url_filter import SHADY
 
 SQL = {
     "op1_url_filter": r"""
@@ -22,8 +23,8 @@ fits as (
     on (u.host = r.pattern or ends_with(u.host, '.' || r.pattern)) and starts_with(u.path, r.start))
 select page_id, host, path, rule,
   coalesce(verdict, case when regexp_matches(host || path,
-    '^([^/]*\.)?(spam-farm|cheap-pills|link-farm|casino|free-download)\.') then 'block' else 'allow' end) as verdict
-from fits where place = 1""",
+    '^([^/]*\.)?(WORDS)[.-]|-(WORDS)[./]|/(WORDS)[/-]') then 'block' else 'allow' end) as verdict
+from fits where place = 1""".replace("WORDS", "|".join(SHADY)),
     "op10_topk": """
 with rows as (
   select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as w

@@ -14,7 +14,7 @@ that it matches, so one of them can stand for the pattern in an index.
 import re
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -44,14 +44,18 @@ HOST_RULES = (
     host_rule(BLOCK, "net/es/"),
     host_rule(BLOCK, "net/fr/"),
 )
-# For urls that no host rule fits: hosts of link farms and drug shops.
-PATTERNS = (
-    Rule("||spam-farm.", BLOCK, None, 0),
-    Rule("||cheap-pills.", BLOCK, None, 0),
-    Rule("||link-farm.", BLOCK, None, 0),
-    Rule("||casino.", BLOCK, None, 0),
-    Rule("||free-download.", BLOCK, None, 0),
-)
+# For urls that no host rule fits. Words by which advertising, tracking, link farms,
+# gambling, drug shops, pirated files and the like name their hosts and folders.
+SHADY = """
+ad ads adserver adservice adsystem adtrack adv advert adverts banner banners click clicks clicktrack counter
+doorway track tracker trackers tracking telemetry pixel beacon popunder popup sponsor affiliate affiliates
+linkfarm link-farm spam spamfarm spam-farm seo-links buy-links cheap cheap-pills pills pharmacy viagra cialis
+replica casino casinos poker betting slots jackpot lottery roulette warez torrent torrents crack cracks keygen
+serial-keys free-download porn xxx escort webcam payday loans
+""".split()
+# As a host's name or folder, whole or with more behind or before a hyphen.
+FORMS = ("||{}.", "||{}-", "||*-{}.", "/{}/", "/{}-", "-{}/")
+PATTERNS = tuple(Rule(form.format(word), BLOCK, None, 0) for word in SHADY for form in FORMS)
 RULES = HOST_RULES + PATTERNS
 
 
@@ -89,70 +93,80 @@ def index_tokens(pattern: str) -> list[str]:
     return sorted(set(found))
 
 
-def rule_table(spark: SparkSession, rules: tuple[Rule, ...]) -> DataFrame:
-    """One row a rule and token; a rule without tokens has one row with null."""
-    rows = [
-        F.struct(
-            F.lit(r.pattern).alias("pattern"), F.lit(r.verdict).alias("rule_verdict"),
-            F.lit(r.rule).cast("string").alias("rule"), F.lit(r.rank).alias("rank"),
-            F.lit(expression(r.pattern)).alias("regex"), F.lit(token).cast("string").alias("token"),
-        )
-        for r in rules
-        for token in index_tokens(r.pattern) or [None]
-    ]
-    return spark.range(1).select(F.inline(F.array(*rows)))
+# What a pattern's signs mean in a regular expression, and the characters that have a
+# meaning of their own there.
+ANY, END_OF_NAME = ".*", "(?:[^A-Za-z0-9_.%-]|$)"
+SPECIAL = r"([\x21-\x29\x2b-\x2f\x3a-\x40\x5b-\x5d\x60\x7b-\x7e\s])"
+
+
+def rule_table(rules: DataFrame) -> DataFrame:
+    """From pattern, verdict, rule, rank: a row for each rule, with its regular expression and
+    `tokens`, which each url that it matches must have. As `expression` and `index_tokens`."""
+    anchored = F.col("pattern").startswith("||")
+    body = F.regexp_replace("pattern", r"^\|\|", "")
+    regex = F.replace(
+        F.replace(F.regexp_replace(body, SPECIAL, r"\\$1"), F.lit("^"), F.lit(END_OF_NAME)), F.lit("*"), F.lit(ANY)
+    )
+    # A word at the pattern's start is whole only where the pattern begins a name.
+    word = r"[A-Za-z0-9]+(?=[^A-Za-z0-9*])"
+    inside = F.regexp_extract_all(body, F.lit(f"(?<=[^A-Za-z0-9*]){word}"), F.lit(0))
+    first = F.regexp_extract_all(body, F.lit(f"(?<![A-Za-z0-9*]){word}"), F.lit(0))
+    tokens = F.transform(F.when(anchored, first).otherwise(inside), lower_ascii)
+    return rules.select(
+        "pattern", F.col("verdict").alias("rule_verdict"), F.col("rule").cast("string").alias("rule"),
+        F.col("rank").cast("long").alias("rank"),
+        F.concat(F.when(anchored, r"(?s)^(?:[^/]*\.)?").otherwise("(?s)"), regex).alias("regex"),
+        F.array_distinct(tokens).alias("tokens"),
+    ).where("pattern is not null and rule_verdict is not null").distinct()
+
+
+RULE = ("pattern", "rule_verdict", "rule", "rank", "regex")
+
+
+def candidates(urls: DataFrame, table: DataFrame) -> DataFrame:
+    """Distinct urls (host, path) with each rule of the table that may match them: every rule stands
+    under the one of its tokens that fewest urls have."""
+    whole = F.concat("host", "path")
+    tokens = F.array_distinct(F.split(lower_ascii(whole), "[^a-z0-9]+"))
+    keyed = urls.select("host", "path", F.explode(tokens).alias("token"))
+    listed = table.select(*RULE, F.explode("tokens").alias("token"))
+    wanted = listed.select("token").distinct()
+    counts = keyed.join(wanted, "token", "left_semi").groupBy("token").agg(F.count("*").alias("urls"))
+    rare = F.min(F.struct(F.coalesce("urls", F.lit(0)), "token"))["token"].alias("token")
+    index = listed.join(counts, "token", "left").groupBy(*RULE).agg(rare)
+    return keyed.join(index, "token").drop("token")
 
 
-def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, default: str = ALLOW) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: DataFrame | tuple[Rule, ...] = RULES, default: str = ALLOW) -> DataFrame:
     """The pages with `host`, `path`, `rule` and `verdict` of their urls.
 
-    The rule with the greatest rank decides; of equal ranks a blocking one, then the smaller
-    pattern. Urls that no pattern matches, and null urls or those without `://` (host and
-    path empty), get `default`. Repeated rows each get their verdict. Columns of the input
-    with these four names give way; all others stay. Columns needed: url.
+    rules: a table of pattern, verdict (allow or block), rule (the name to report, or null) and
+    rank, of any size, or a few in a tuple. The rule with the greatest rank decides; of equal
+    ranks a blocking one, then the smaller pattern. Urls that no pattern matches, and null urls
+    or those without `://` (host and path empty), get `default`. Repeated rows each get their
+    verdict. Columns of the input with these four names give way; all others stay. Columns
+    needed: url.
 
     Only distinct hosts and paths are judged. Their tokens meet the index, in which every rule
-    stands under the token that fewest of them have; rules without a token meet all urls, so
-    use few. The join's sides are left to Spark: the rules are broadcast while they are small
-    by its own limit. A url that half of all pages share is one row here, and the join back is
-    one that Spark splits where it is skewed.
+    stands under the token that fewest of them have; rules without a token meet all urls and
+    pass through the driver, so use few of these. The join's sides are left to Spark: the rules
+    are broadcast while they are small by its own limit. A url that half of all pages share is one
+    row here, and the join back is one that Spark splits where it is skewed.
     """
     spark = pages.sparkSession
+    if not isinstance(rules, DataFrame):
+        rules = spark.createDataFrame(list(rules), "pattern string, verdict string, rule string, rank long")
     host, path = url_parts(F.col("url").cast("string"))
     kept = pages.drop("host", "path", "rule", "verdict")
     parts = kept.withColumns({"host": host, "path": path})
-    whole = F.concat("host", "path")
-    tokens = F.array_distinct(F.split(lower_ascii(whole), "[^a-z0-9]+"))
     urls = parts.select("host", "path").distinct()
-    keyed = urls.select("host", "path", F.explode(tokens).alias("token"))
-
-    table = rule_table(spark, rules)
-    wanted = table.select("token").where(F.col("token").isNotNull()).distinct()
-    counts = keyed.join(wanted, "token", "left_semi").groupBy("token").agg(F.count("*").alias("urls"))
-    rarest = Window.partitionBy("pattern").orderBy(F.coalesce("urls", F.lit(0)), "token")
-    index = (
-        table.join(counts, "token", "left")
-        .withColumn("place", F.row_number().over(rarest))
-        .where(F.col("place") == 1)
-        .drop("urls", "place")
-    )
-    has_token = F.col("token").isNotNull()
-    candidates = keyed.join(index.where(has_token), "token")
-    if any(not index_tokens(r.pattern) for r in rules):
-        everywhere = F.array(
-            *[
-                F.struct(
-                    F.lit(r.pattern).alias("pattern"), F.lit(r.verdict).alias("rule_verdict"),
-                    F.lit(r.rule).cast("string").alias("rule"), F.lit(r.rank).alias("rank"),
-                    F.lit(expression(r.pattern)).alias("regex"),
-                )
-                for r in rules
-                if not index_tokens(r.pattern)
-            ]
-        )
-        more = urls.select("host", "path", F.inline(everywhere))
-        candidates = candidates.drop("token").unionByName(more)
-    matched = candidates.where(F.expr("concat(host, path) rlike regex"))
+    table = rule_table(rules)
+    found = candidates(urls, table.where(F.size("tokens") > 0))
+    everywhere = table.where(F.size("tokens") == 0).select(*RULE).collect()
+    if everywhere:
+        literal = [F.struct(*[F.lit(r[n]).cast(table.schema[n].dataType).alias(n) for n in RULE]) for r in everywhere]
+        found = found.unionByName(urls.select("host", "path", F.inline(F.array(*literal))))
+    matched = found.where(F.expr("concat(host, path) rlike regex"))
     best = F.struct(
         -F.col("rank"), F.col("rule_verdict") != BLOCK, F.col("pattern")
     )
