@@ -75,3 +75,14 @@ def test_columns_of_any_name_stay(spark):
     found = S.scan(df).first()
     assert [found[n] for n in ("l_key", "l_id", "row", "__key", "__weak", "linked")] == [4] * 6
     assert len(found.secret_spans) == 1
+
+
+def test_addresses_count_near_secrets_only(spark):
+    near = "write to anna.b@mail.example.org, password: hunter22"
+    rows = [
+        (1, near), (2, "write to anna.b@mail.example.org at once"), (3, "a@b.co " + "x" * (S.REACH - 2) + " token=abcdefgh"),
+        (4, "a@b.co " + "x" * (S.REACH + 1) + " token=abcdefgh"), (5, "user@host password=abcdefgh"),
+        (6, "password=abcdefgh " + "y" * (S.REACH - 2) + " a@b.co"),
+    ]
+    found = {r.doc_id: [s.kind for s in r.secret_spans] for r in S.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {1: ["email", "assign"], 2: [], 3: ["email", "assign"], 4: ["assign"], 5: ["assign"], 6: ["assign", "email"]}

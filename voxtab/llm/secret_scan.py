@@ -11,7 +11,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxtab.llm.common import digest
+from voxtab.llm.common import cut, digest
 
 IDENTITY, SECRET = "identity", "secret"
 REACH = 200
@@ -22,13 +22,15 @@ BLOCK = 256
 
 
 class Kind(NamedTuple):
-    """least: characters of group `group` that a match must have, or it is dropped."""
+    """least: characters of group `group` that a match must have, or it is dropped. holds: what each
+    match holds, a quick test for texts without any."""
 
     name: str
     pattern: str
     part: str
     group: int = 0
     least: int = 0
+    holds: str = ""
 
 
 def either_case(words: str) -> str:
@@ -44,7 +46,7 @@ STRONG = (
         "(" + either_case("password|passwd|secret|token|api_?key") + ")" + ASSIGN + "([A-Za-z0-9+/_.=-]+)",
         SECRET, 2, 6,
     ),
-    Kind("access", "AKIA[A-Z0-9]{16,}", IDENTITY),
+    Kind("access", "AKIA[A-Z0-9]{16,}", IDENTITY, holds="AKIA"),
     Kind("hex", "[0-9a-f]{24,}", SECRET),
 )
 WEAK = (
@@ -63,8 +65,10 @@ WEAK = (
     Kind(
         "endpoint",
         r"""(?:https?|ftps?|postgres|postgresql|mysql|redis|amqps?|mongodb)://[^\x20\x09-\x0D"'<>]{4,}""",
-        IDENTITY,
+        IDENTITY, holds="://",
     ),
+    # Who a password is for is often named by an address alone.
+    Kind("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", IDENTITY, holds="@"),
 )
 KINDS = STRONG + WEAK
 
@@ -97,7 +101,8 @@ def spans_of(text: str, kind: Kind) -> Column:
     # transform over one-element arrays names the steps and their sums.
     found = f"""flatten(transform(array({steps}), s ->
       flatten(flatten(transform(array({sums}), sums -> transform({blocks}, b -> {walk}))))))"""
-    return F.expr(f"if({text} rlike {p}, {found}, cast(array() as array<{SPAN}>))")
+    quick = f"contains({text}, '{kind.holds}') and " if kind.holds else ""
+    return F.expr(f"if({quick}{text} rlike {p}, {found}, cast(array() as array<{SPAN}>))")
 
 
 def of_class(spans: str, part: str) -> Column:
@@ -116,6 +121,8 @@ def linked_parts(scanned: DataFrame, reach: int) -> DataFrame:
         .where(both)
         .dropDuplicates(["__key", "__id"])
     )
+    # Few texts have parts of both classes; both sides of the join read them from here.
+    texts = cut(texts)
     identity = F.col("kind").isin([k.name for k in KINDS if k.part == IDENTITY])
     weak = (
         texts.select("__key", "__id", F.inline("__weak"))
@@ -148,8 +155,9 @@ def scan(docs: DataFrame, reach: int = REACH, text: str = "text", key: str = "do
 
     Null texts are empty and hold nothing. Repeated rows each get their spans; an input column
     named secret_spans gives way. Linking is per row's id and text, so rows that share an id do
-    not mix. The text is scanned for the row's own spans, and once more where weak candidates
-    are linked: only spans are shuffled then, and the few linked ones are joined back.
+    not mix. Texts are scanned twice: for candidates to link, of which the few texts with parts of
+    both classes are kept behind a checkpoint, and for the row's own spans, to which the linked
+    ones are joined back. Only spans are shuffled.
     """
     docs = docs.drop("secret_spans")
     own = F.coalesce(F.col(f"`{text}`"), F.lit(""))
