@@ -26,8 +26,7 @@ BUDGET = 0.8
 
 
 def word_count(text: Column) -> Column:
-    words = F.split(F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")), " ")
-    return F.when(F.regexp_like(text, F.lit(r"[^\x20\x09-\x0D]")), F.size(words)).otherwise(0).cast("long")
+    return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
 def topic_of(text: Column) -> Column:
