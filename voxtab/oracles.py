@@ -53,6 +53,47 @@ waiting as (
 
 EXTENSION = r"regexp_extract(filename, '(?s)(?:^|/)\.*[^./][^/]*?(\.[^./]*)\z', 1)"
 
+def squashed(source: str) -> str:
+    """CTEs that end in `squashed` (id, text): of `source` (id, t) with words said four or more times in
+    a row said once. Runs of equal words are cut in fours from the left; a run of three more counts if
+    the next word begins with it, of which the copies in front go. A word that gave some is no
+    run's first any more."""
+    word = r"[\p{L}\p{N}_]+"
+    return rf"""
+cut_up as materialized (
+  select id, t, regexp_extract_all(t, '{word}') as w, regexp_split_to_array(t, '{word}') as g from {source}),
+words as materialized (
+  select id, i, w[i] as word, g[i] as gap, regexp_full_match(g[i], '[{WS}]+') and i > 1 as spaced
+  from (select *, unnest(range(1, len(w) + 1)) as i from cut_up)),
+numbered as (
+  select *, sum(case when same then 0 else 1 end) over (partition by id order by i) as run
+  from (select *, coalesce(spaced and word = lag(word) over (partition by id order by i), false) as same from words)),
+runs as (
+  select r.id, r.s, r.e, r.word, case when n.spaced and starts_with(n.word, r.word)
+    then length(n.word) - length(regexp_replace(n.word, '^(?:' || r.word || ')+', '')) else 0 end as front
+  from (select id, min(i) as s, max(i) as e, any_value(word) as word from numbered group by id, run having count(*) > 2) r
+  left join words n on n.id = r.id and n.i = r.e + 1),
+listed as materialized (select *, row_number() over (partition by id order by s) as k from runs),
+walked as (
+  select id, k, s as first, e, front, (e - s + 1) % 4 = 3 and front > 0 as over from listed where k = 1
+  union all
+  select l.id, l.k, l.s + case when w.over and w.e + 1 = l.s then 1 else 0 end, l.e, l.front,
+    (l.e - l.s + 1 - case when w.over and w.e + 1 = l.s then 1 else 0 end) % 4 = 3 and l.front > 0
+  from walked w join listed l on l.id = w.id and l.k = w.k + 1),
+gone as (
+  select id, unnest(range(first, e + 1)) as i, first, e, over, 0 as front from walked where e - first > 2 or over
+  union all select id, e + 1, first, e, over, front from walked where over),
+kept as (
+  select w.id, w.i, case when d.id is null then w.gap || w.word
+      when d.front > 0 then substr(w.word, d.front + 1)
+      when (w.i - d.first) % 4 = 0 or w.i > d.e - (d.e - d.first + 1) % 4 and not d.over then w.gap || w.word
+      else '' end as piece
+  from words w left join gone d on d.id = w.id and d.i = w.i),
+joined as (select id, string_agg(piece, '' order by i) as body from kept group by id),
+squashed as (
+  select c.id, coalesce(j.body, '') || c.g[len(c.w) + 1] as text from cut_up c left join joined j on j.id = c.id)"""
+
+
 VALID_GUID = (
     "coalesce(regexp_full_match(replace(trim(replace(replace(guid, 'urn:', ''), 'uuid:', ''), '{}'), '-', ''),"
     " '[0-9A-Fa-f]{32}'), false)"
@@ -280,6 +321,15 @@ joined as (select guid, string_agg(text, ' ' order by seg_index) as transcript f
 select guid, transcript, cast({words_in('transcript')} as int) as word_count from joined""")
 SQL["garbage_flags"] = f"select doc_id, {garbage('text')} as garbage from documents"
 
+SQL["squash_repeated_words"] = (
+    f"with recursive src as (select doc_id as id, text as t from documents),{squashed('src')} "
+    "select id as doc_id, text from squashed"
+)
+oracle("alignment_text", "segments", TIDY + f""",
+src as (select guid as id, string_agg(text, ' ' order by seg_index) as t from tidy group by guid),{squashed('src')}""", """
+select id as guid, text from squashed""")
+SQL["alignment_text"] = SQL["alignment_text"].replace("with ", "with recursive ", 1)
+
 oracle("pass_fan_out", "jobs", "", """
 select j.guid, p.* from jobs j cross join (values
   (0, 2e-1, 3e0, 5, true), (1, 0e0, 2.8e0, 7, true), (2, 0e0, 2.5e0, 1, true),
