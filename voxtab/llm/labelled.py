@@ -1,8 +1,15 @@
 """Bounded samples of labelled documents, for fitting classifiers."""
 
+import pickle
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxtab.llm.common import text_bytes
+
 
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo `folds`."""
@@ -51,6 +58,32 @@ def labelled_sample(
     return found.orderBy(F.xxhash64("doc_id"), "doc_id")
 
 
+def trained_in_task(sample: DataFrame, train: Callable[[list[bytes], np.ndarray, list[str]], tuple]) -> tuple:
+    """train(texts, labels, langs) on a sample of `labelled_sample`, in one task, so that neither texts
+    nor what training needs of memory and time are the driver's: (result, ids, labels). The rows
+    come in the order of the sample; the result is a tuple of plain values and arrays."""
+    ids_type = sample.schema["doc_id"].dataType.simpleString()
+    named = sample.select(F.xxhash64("doc_id").alias("place"), "doc_id", "label", "lang", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = list(batches)
+        if not batches:
+            return
+        rows = pa.Table.from_batches(batches).sort_by([("place", "ascending"), ("doc_id", "ascending")]).combine_chunks()
+        labels = rows["label"].to_numpy().astype(np.int64)
+        made = train(text_bytes(rows["text"].combine_chunks()), labels, rows["lang"].to_pylist())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([pickle.dumps(tuple(made))]), pa.array([rows["doc_id"].to_pylist()]), pa.array([labels.tolist()])],
+            names=["made", "ids", "labels"],
+        )
+
+    found = named.repartition(1).mapInArrow(run, f"made binary, ids array<{ids_type}>, labels array<bigint>").collect()
+    if not found:
+        return tuple(train([], np.zeros(0, np.int64), [])), [], np.zeros(0, np.int64)
+    made, ids, labels = found[0]
+    return pickle.loads(made), ids, np.array(labels, np.int64)
+
+
 def binned_labels(scored: DataFrame, known: DataFrame, bins: int) -> DataFrame:
     """label, bin, n: how many labelled documents have each score. scored: doc_id, score; known:
     doc_id, label. Rows that repeat id and score count once."""

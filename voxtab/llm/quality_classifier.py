@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from voxtab.llm.common import in_chunks, split_words, text_bytes
-from voxtab.llm.labelled import binned_labels, known_labels, labelled_sample
+from voxtab.llm.labelled import binned_labels, known_labels, labelled_sample, trained_in_task
 from voxtab.llm.ngram_join import among, marked
 
 BUCKETS = 1 << 18
@@ -177,17 +177,22 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, cost: fl
     return Fitted(model._replace(slope=slope, shift=shift), norms)
 
 
+def plain(fitted: Fitted) -> tuple:
+    return tuple(fitted.model), fitted.norms
+
+
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column, per_class: int = PER_CLASS) -> Fitted:
-    """Trains on at most `per_class` labelled rows of each label, on the driver; the curve that
+    """Trains on at most `per_class` labelled rows of each label, in one task; the curve that
     makes scores of margins comes from all labelled rows but those learnt from, whole texts."""
-    found = labelled_sample(docs, labels, "quality", allowed, per_class, LONGEST).toArrow()
-    sampled = found["label"].to_numpy().astype(np.int64)
-    fitted = train(text_bytes(found["text"].combine_chunks()), sampled)
+    sample = labelled_sample(docs, labels, "quality", allowed, per_class, LONGEST)
+    made, ids, sampled = trained_in_task(sample, lambda texts, own, _: plain(train(texts, own)))
+    fitted = Fitted(Model(*made[0]), made[1])
     if too_few(sampled):
         return fitted
     # At most 2 * per_class ids: small by construction.
-    learnt = found.select(["doc_id"]).filter(pa.array(~kept_from_fit(len(sampled))))
-    learnt = F.broadcast(docs.sparkSession.createDataFrame(learnt))
+    learnt = [(i,) for i, kept in zip(ids, kept_from_fit(len(ids)), strict=True) if not kept]
+    learnt = docs.sparkSession.createDataFrame(learnt, sample.select("doc_id").schema)
+    learnt = F.broadcast(learnt)
     known = known_labels(labels, "quality", allowed).join(learnt, "doc_id", "left_anti")
     wanted = marked(known.select(F.xxhash64("doc_id").alias("id")))
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.xxhash64("doc_id").alias("__key"), "doc_id", "text")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from voxtab.llm.common import cut, in_chunks, split_words, text_bytes
-from voxtab.llm.labelled import known_labels, labelled_sample
+from voxtab.llm.labelled import known_labels, labelled_sample, trained_in_task
 from voxtab.llm.ngram_join import among, marked
 
 # Sizes of the model: tables of hashed words and their buckets, numbers a word, widths of
@@ -301,16 +301,17 @@ def thresholds_of_counts(rows: list[tuple[str, int, int, int]], least: int = LEA
 
 
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column, per_class: int = PER_CLASS) -> Model:
-    """Trains on at most `per_class` labelled rows of each label, on the driver; thresholds come
+    """Trains on at most `per_class` labelled rows of each label, in one task; thresholds come
     from all labelled rows but those learnt from."""
-    found = labelled_sample(docs, labels, "toxic", allowed, per_class, LONGEST).toArrow()
-    sampled = found["label"].to_numpy().astype(np.int64)
-    model = train(text_bytes(found["text"].combine_chunks()), sampled, found["lang"].to_pylist())
+    sample = labelled_sample(docs, labels, "toxic", allowed, per_class, LONGEST)
+    made, ids, sampled = trained_in_task(sample, train)
+    model = Model(*made)
     if too_few(sampled):
         return model
     # At most 2 * per_class ids: small by construction.
-    learnt = found.select(["doc_id"]).filter(pa.array(~kept_from_fit(len(sampled))))
-    learnt = F.broadcast(docs.sparkSession.createDataFrame(learnt))
+    learnt = [(i,) for i, kept in zip(ids, kept_from_fit(len(ids)), strict=True) if not kept]
+    learnt = docs.sparkSession.createDataFrame(learnt, sample.select("doc_id").schema)
+    learnt = F.broadcast(learnt)
     known = known_labels(labels, "toxic", allowed).join(learnt, "doc_id", "left_anti")
     counts = cut(binned_counts(docs, known, model))
     # Languages with few labelled rows have no threshold of their own, and there may be many of
