@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 import numpy as np
@@ -7,6 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from voxtab.llm import packing as P
+from voxtab.llm.common import kept_by_worker
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 ODD = [
@@ -107,3 +109,18 @@ def test_what_a_worker_remembers_is_bounded(tokenizer, monkeypatch):
         found = words.encode([t.encode() for t in texts], 1)
         assert [f.tolist() for f in found] == [tokenizer.encode(t, add_special_tokens=False).ids + [1] for t in texts]
         assert len(words.words) <= 40
+
+
+def test_workers_let_go_of_what_they_do_not_use():
+    made = []
+    make = lambda: made.append(0) or [len(made)]
+    for _ in range(3):
+        with kept_by_worker("test", make, idle=0.3) as kept:
+            assert kept == [1]
+    with kept_by_worker("test", make, idle=0.3) as kept:
+        time.sleep(0.6)  # in use: a task may take long
+        with kept_by_worker("test", make, idle=0.3) as again:
+            assert again == [1]
+    time.sleep(1.0)
+    with kept_by_worker("test", make, idle=0.3) as kept:
+        assert kept == [2]

@@ -1,8 +1,11 @@
 """What several of these operators share: table access, cut lineage, texts and their words."""
 
+import gc
 import sys
+import threading
 import types
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import NamedTuple
 
 import numpy as np
@@ -75,9 +78,22 @@ def split_words(texts: list[bytes]) -> Words:
     return Words(words.indices.to_numpy().astype(np.int64), words.dictionary.to_pylist(), bounds)
 
 
-def kept_by_worker(name: str, make: Callable[[], object]):
-    """An object that a Python worker keeps from task to task, such as a loaded tokenizer."""
+@contextmanager
+def kept_by_worker(name: str, make: Callable[[], object], idle: float = 10.0) -> Iterator[object]:
+    """An object that a Python worker keeps from task to task, such as a loaded tokenizer, and lets
+    go when it has not been used for `idle` seconds: other stages need the memory."""
     store = sys.modules.setdefault("voxtab_llm_kept", types.ModuleType("voxtab_llm_kept"))
-    if not hasattr(store, name):
-        setattr(store, name, make())
-    return getattr(store, name)
+    made, uses = getattr(store, name, None) or (make(), 0)
+    setattr(store, name, (made, uses + 1))
+
+    def let_go() -> None:
+        if getattr(store, name, (None, 0))[1] == uses + 1:
+            delattr(store, name)
+            gc.collect()
+
+    try:
+        yield made
+    finally:
+        timer = threading.Timer(idle, let_go)
+        timer.daemon = True
+        timer.start()

@@ -21,11 +21,11 @@ WINDOWS = 64
 SLACK = 16
 # Words and parts of words whose ids a worker remembers (about 200 bytes each), bytes of the longest
 # word that it does, and words that are learnt together.
-KNOWN_WORDS, KNOWN_PARTS = 1 << 17, 1 << 16
+KNOWN_WORDS, KNOWN_PARTS = 1 << 18, 1 << 18
 KNOWN_BYTES = 64
 NEW_WORDS = 1 << 14
 # Bytes of text that are encoded together: the more, the fewer words to look up.
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 12 << 20
 
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
@@ -225,7 +225,10 @@ def pack(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = kept_by_worker(f"tokens:{tokenizer}", lambda: WordTokens(tokenizer))
+        with kept_by_worker(f"tokens:{tokenizer}", lambda: WordTokens(tokenizer)) as encoder:
+            yield from packed(encoder, batches)
+
+    def packed(encoder: WordTokens, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         next_id = TaskContext.get().partitionId() << 40
         held: list[list] = []
         tokens = 0
