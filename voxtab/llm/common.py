@@ -1,5 +1,6 @@
 """What several of these operators share: table access, cut lineage, texts and their words."""
 
+import ctypes
 import gc
 import sys
 import threading
@@ -78,6 +79,22 @@ def split_words(texts: list[bytes]) -> Words:
     return Words(words.indices.to_numpy().astype(np.int64), words.dictionary.to_pylist(), bounds)
 
 
+def tidied(run: Callable) -> Callable:
+    """The function of a Python stage, after which its worker gives back to the system what memory it
+    does not use. A worker lives on for other stages, and allocators keep what was once freed."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+            if trim is not None:
+                trim(0)
+
+    return whole
+
+
 @contextmanager
 def kept_by_worker(name: str, make: Callable[[], object], idle: float = 10.0) -> Iterator[object]:
     """An object that a Python worker keeps from task to task, such as a loaded tokenizer, and lets

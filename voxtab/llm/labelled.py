@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxtab.llm.common import text_bytes
+from voxtab.llm.common import text_bytes, tidied
 
 
 def fold(doc_id: Column, folds: int) -> Column:
@@ -77,7 +77,7 @@ def trained_in_task(sample: DataFrame, train: Callable[[list[bytes], np.ndarray,
             names=["made", "ids", "labels"],
         )
 
-    found = named.repartition(1).mapInArrow(run, f"made binary, ids array<{ids_type}>, labels array<bigint>").collect()
+    found = named.repartition(1).mapInArrow(tidied(run), f"made binary, ids array<{ids_type}>, labels array<bigint>").collect()
     if not found:
         return tuple(train([], np.zeros(0, np.int64), [])), [], np.zeros(0, np.int64)
     made, ids, labels = found[0]

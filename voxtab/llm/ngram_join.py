@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxtab.llm.common import cut, in_chunks, text_bytes
+from voxtab.llm.common import cut, in_chunks, text_bytes, tidied
 from voxtab.llm.components import components
 from voxtab.llm.shingles import mixed, shingle_sets
 
@@ -104,7 +104,7 @@ def shingle_table(docs: DataFrame) -> DataFrame:
                 )
 
     named = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return named.mapInArrow(run, SETS)
+    return named.mapInArrow(tidied(run), SETS)
 
 
 def fixed_table(marks: DataFrame) -> np.ndarray:
@@ -174,7 +174,7 @@ def frequency_levels(sets: DataFrame) -> tuple[np.ndarray, int]:
                 whole = np.concatenate([np.zeros(0, np.int64), *parts])
                 yield pa.RecordBatch.from_arrays([pa.array(whole)], names=["element"])
 
-        return chosen.mapInArrow(run, "element long")
+        return chosen.mapInArrow(tidied(run), "element long")
 
     levels, start = marks_of(elements(lambda own: own[: counted(len(own))]))
 
@@ -227,7 +227,7 @@ def size_costs(sets: DataFrame, levels: np.ndarray, start: int) -> list[tuple[in
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.float64())], names=["n", "held"])
 
     small = sets.where(F.col("elements").isNotNull() & (F.col("n") <= SMALLEST_LARGE)).select("n", "elements")
-    rows = small.mapInArrow(run, "n int, held double").groupBy("n").agg(F.count("*"), F.sum("held")).collect()
+    rows = small.mapInArrow(tidied(run), "n int, held double").groupBy("n").agg(F.count("*"), F.sum("held")).collect()
     return [tuple(r) for r in rows]
 
 
@@ -292,7 +292,7 @@ def heavy_keys(sets: DataFrame, levels: np.ndarray, start: int, boundary: int) -
                 [keys, batch.column(0).take(which), batch.column(2).take(which)], names=["key", "id", "part"]
             )
 
-    rows = sets.mapInArrow(run, "key long, id long, part long")
+    rows = sets.mapInArrow(tidied(run), "key long, id long, part long")
     by_part = rows.groupBy("key", F.coalesce("part", "id").alias("part")).agg(F.count("*").alias("n"))
     found = by_part.groupBy("key").agg(
         F.sum("n").alias("total"), F.count("*").alias("parts"), F.max(F.struct("n", "part")).alias("most")
@@ -343,7 +343,7 @@ def postings(
                 names=["key", "id", "part", "n", "place", "hint"],
             )
 
-    return sets.mapInArrow(run, "key long, id long, part long, n int, place int, hint binary")
+    return sets.mapInArrow(tidied(run), "key long, id long, part long, n int, place int, hint binary")
 
 
 def sizes_fit(n, m):
@@ -491,7 +491,7 @@ def among(rows: DataFrame, marks: np.ndarray, wanted: bool) -> DataFrame:
             hit = marks[batch.column(0).to_numpy() % TABLE] > 0
             yield batch.filter(pa.array(hit if wanted else ~hit))
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows.mapInArrow(tidied(run), rows.schema)
 
 
 def exact_round(sets: DataFrame, parts: DataFrame, levels: np.ndarray, boundary: int, start: int) -> DataFrame:
@@ -508,7 +508,7 @@ def exact_round(sets: DataFrame, parts: DataFrame, levels: np.ndarray, boundary:
     long_lists = marked(heavy.select(F.col("key").alias("id")))
     rows = postings(whole, levels, boundary, long_lists, False)
     listed = rows.repartition("key").sortWithinPartitions("key")
-    found = listed.mapInArrow(list_pairs, "a long, b long")
+    found = listed.mapInArrow(tidied(list_pairs), "a long, b long")
     if long_lists.any():
         rows = in_blocks(postings(whole, levels, boundary, long_lists, True), heavy)
         found = found.unionByName(rows.groupBy("key", "i", "j").applyInArrow(block_pairs, "a long, b long"))
@@ -535,7 +535,7 @@ def alike(sets: DataFrame, pairs: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(sketches_fit(apart, both))).select(["a", "b"])
 
     sides = sides.select("a", "b", "n_a", "s_a", "n_b", "s_b")
-    close = cut(sides.mapInArrow(bounded, "a long, b long"))
+    close = cut(sides.mapInArrow(tidied(bounded), "a long, b long"))
     ids = close.select(F.col("a").alias("id")).unionByName(close.select(F.col("b").alias("id")))
     full = sets.where(F.col("elements").isNotNull()).select("id", "elements")
     full = among(full, marked(ids), True)
@@ -552,7 +552,7 @@ def alike(sets: DataFrame, pairs: DataFrame) -> DataFrame:
                 keep.append(100 * common >= PERCENT * (len(x) + len(y) - common))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    return both.select("a", "b", "e_a", "e_b").mapInArrow(compared, "a long, b long")
+    return both.select("a", "b", "e_a", "e_b").mapInArrow(tidied(compared), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxtab.llm.common import in_chunks, kept_by_worker, split_words, text_bytes
+from voxtab.llm.common import in_chunks, kept_by_worker, split_words, text_bytes, tidied
 
 # Tokens of pieces that are left for differencing. Finer pieces balance better.
 PIECE = 256
@@ -25,7 +25,7 @@ KNOWN_WORDS, KNOWN_PARTS = 1 << 18, 1 << 18
 KNOWN_BYTES = 64
 NEW_WORDS = 1 << 14
 # Bytes of text that are encoded together: the more, the fewer words to look up.
-TEXT_BYTES = 12 << 20
+TEXT_BYTES = 8 << 20
 
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
@@ -274,4 +274,4 @@ def pack(
             yield emit(close())
 
     named = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return named.mapInArrow(run, PIECES)
+    return named.mapInArrow(tidied(run), PIECES)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from voxtab.llm.common import in_chunks, split_words, text_bytes
+from voxtab.llm.common import in_chunks, split_words, text_bytes, tidied
 from voxtab.llm.labelled import binned_labels, known_labels, labelled_sample, trained_in_task
 from voxtab.llm.ngram_join import among, marked
 
@@ -231,4 +231,4 @@ def score(docs: DataFrame, fitted: Fitted, text: str = "text") -> DataFrame:
                 [*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"]
             )
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(tidied(run), schema)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from voxtab.llm.common import cut, in_chunks, split_words, text_bytes
+from voxtab.llm.common import cut, in_chunks, split_words, text_bytes, tidied
 
 
 class Limits(NamedTuple):
@@ -129,7 +129,7 @@ def text_stats(docs: DataFrame, host: str) -> DataFrame:
         F.col("doc_id").cast("long"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"),
         F.col("text").cast("string"),
     )
-    return named.mapInArrow(run, STATS)
+    return named.mapInArrow(tidied(run), STATS)
 
 
 def furniture(stats: DataFrame, limits: Limits) -> DataFrame:
@@ -211,10 +211,10 @@ def clean(docs: DataFrame, judged: DataFrame, host: str = "source") -> DataFrame
             columns[place] = pa.array(texts, columns[place].type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    keyed = docs.mapInArrow(hashed, StructType([*schema.fields, StructField("__own", LongType())]))
+    keyed = docs.mapInArrow(tidied(hashed), StructType([*schema.fields, StructField("__own", LongType())]))
     same = (F.col("__own") == F.col("__key")) & (
         F.coalesce(F.col(host).cast("string"), F.lit("")) == F.col("__host")
     )
     joined = keyed.alias("asked").join(found.alias("found"), same)
     joined = joined.select(*[F.col(f"asked.`{c}`") for c in docs.columns], F.col("found.removed_lines").alias("__gone"))
-    return joined.mapInArrow(strip, schema)
+    return joined.mapInArrow(tidied(strip), schema)

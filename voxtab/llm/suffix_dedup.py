@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from voxtab.llm.common import in_chunks, text_bytes
+from voxtab.llm.common import in_chunks, text_bytes, tidied
 from voxtab.llm.ngram_join import TABLE, fixed_table
 
 WINDOW = 50
@@ -173,7 +173,7 @@ def frequent_digits(docs: DataFrame) -> np.ndarray:
             buckets = np.unique(digits[counts >= FREQUENT] % np.uint64(TABLE)).astype(np.int64)
             yield record(schema, buckets, np.ones(len(buckets), np.int32))
 
-    return fixed_table(docs.mapInArrow(run, schema))
+    return fixed_table(docs.mapInArrow(tidied(run), schema))
 
 
 def window_mark(window: np.ndarray) -> np.ndarray:
@@ -250,7 +250,7 @@ def suffixes(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
                 pack = packed_rows(digit[which], around[which], place, ids[docs_here])
                 yield record(SUFFIX, np.array([k], np.int32), [pack])
 
-    return docs.mapInArrow(run, SUFFIX)
+    return docs.mapInArrow(tidied(run), SUFFIX)
 
 
 def packed_marks(doc: np.ndarray, around: np.ndarray) -> bytes | None:
@@ -315,7 +315,7 @@ def packed(docs: DataFrame) -> DataFrame:
             columns[place] = pa.array([squeeze(t) for t in text_bytes(batch.column(place))], pa.binary())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(run, StructType(fields))
+    return docs.mapInArrow(tidied(run), StructType(fields))
 
 
 def unpacked(column: pa.Array) -> list[bytes]:
@@ -365,7 +365,7 @@ def neighbourhoods(texts: DataFrame, marks: DataFrame, buckets: int) -> DataFram
     # Only texts with an open anchor go on.
     joined = texts.join(marks, F.col("doc_id") == F.col("__id"))
     joined = joined.select("doc_id", "text", F.expr("filter(__marks, m -> m & 1 = 1)").alias("__open"))
-    return joined.where(F.size("__open") > 0).mapInArrow(run, SUFFIX)
+    return joined.where(F.size("__open") > 0).mapInArrow(tidied(run), SUFFIX)
 
 
 def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
@@ -463,13 +463,13 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     frequent = frequent_digits(named)
     buckets = PACKS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = suffixes(named, frequent, buckets).repartition("bucket").sortWithinPartitions("bucket")
-    marks = ordered.mapInArrow(sorted_groups, MARK).groupBy(F.col("doc_id").alias("__id")).agg(
+    marks = ordered.mapInArrow(tidied(sorted_groups), MARK).groupBy(F.col("doc_id").alias("__id")).agg(
         F.collect_list("mark").alias("__marks")
     )
     # Texts and marks are shuffled once: both joins read the same exchanges.
     texts = packed(known).where(F.col("doc_id").isNotNull())
     near = neighbourhoods(texts.select("doc_id", "text") if len(docs.columns) > 2 else texts, marks, buckets)
-    parts = near.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(compare_windows, FLAGS)
+    parts = near.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidied(compare_windows), FLAGS)
     parts = parts.groupBy(F.col("doc_id").alias("__part")).agg(
         F.collect_list(F.struct("around", "places")).alias("__parts")
     )
@@ -533,4 +533,4 @@ def deduplicate(docs: DataFrame) -> DataFrame:
                     names=schema.names,
                 )
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(tidied(run), schema)

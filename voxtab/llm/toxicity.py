@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from voxtab.llm.common import cut, in_chunks, split_words, text_bytes
+from voxtab.llm.common import cut, in_chunks, split_words, text_bytes, tidied
 from voxtab.llm.labelled import known_labels, labelled_sample, trained_in_task
 from voxtab.llm.ngram_join import among, marked
 
@@ -340,7 +340,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 [*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"]
             )
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(tidied(run), schema)
 
 
 def threshold_of(model: Model, lang: Column) -> Column:
