@@ -191,3 +191,39 @@ def test_an_open_job_holds_its_guid_for_ever(spark, tmp_path):
         seen.append(sorted((r.guid, r.reason) for r in rows if r.submitted_at == when))
     refused = "GUID already exists"
     assert seen == [[("done", "admitted"), ("open", refused)], [("done", refused), ("open", refused)], [("done", refused), ("open", refused)]]
+
+
+def ended(query):
+    """What the state store held after each batch of a stream that has run to its end."""
+    query.awaitTermination()
+    return [op["numRowsTotal"] for p in query.recentProgress for op in p["stateOperators"]]
+
+
+def written(stream, folder):
+    from voxtab.session import stream_session
+
+    with stream_session(stream.sparkSession):
+        writer = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint")
+        return writer.trigger(availableNow=True).start(f"{folder}/rows")
+
+
+def test_guids_share_states(spark, tmp_path):
+    """Several batches and leaving jobs, and far fewer states than guids."""
+    n, later = 2000, T0 + dt.timedelta(days=4)
+    parts = [
+        [(f"g{k}", k, T0 + dt.timedelta(seconds=k % 50), "completed" if k % 2 else "submitted") for k in range(n)],
+        [(f"g{k}", n + k, T0 + dt.timedelta(seconds=60), "started") for k in range(0, n, 4)],
+        [("new", 2 * n, later, "submitted")],
+        [("new", 2 * n + 1, later, "submitted")],
+        [("g1", 2 * n + 2, later, "submitted")],
+    ]
+    for part in parts:
+        spark.createDataFrame(part, EVENTS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = lifecycle_stream(read_parts(spark, EVENTS, tmp_path / "in"), groups=7)
+    states = ended(written(stream, tmp_path / "out"))
+    assert states and max(states) <= 7
+    updates = spark.read.schema(stream.schema).parquet(f"{tmp_path}/out/rows")
+    got = {r.guid: r.status for r in latest_states(updates).collect()}
+    want = {f"g{k}": "processing" if k % 4 == 0 else "pending" for k in range(0, n, 2)}
+    assert got == want | {"new": "pending", "g1": "pending"}
+    assert updates.where("expired").count() == n // 2

@@ -32,6 +32,18 @@ STATE = T.StructType(
 )
 NEW_JOB = (0, None, None, None, None, [], [], None, None, 0, None)
 
+# The states of a group of guids, column by column, and when each is over.
+DUE = "due_ms"
+GROUP_STATE = T.StructType(
+    [
+        T.StructField("guid", T.ArrayType(T.StringType())),
+        *[T.StructField(f.name, T.ArrayType(f.dataType)) for f in STATE.fields],
+        T.StructField(DUE, T.ArrayType(T.LongType())),
+    ]
+)
+# Groups of guids. A stream keeps the number that it starts with.
+GROUPS = 2048
+
 UPDATES = T.StructType(
     [
         T.StructField("guid", T.StringType()),
@@ -70,47 +82,93 @@ def decisive_rows(events: pd.DataFrame, cap: int) -> pd.DataFrame:
     return events.loc[keep]
 
 
+def known(value):
+    """A number that may be unknown, as states keep it."""
+    return value if value == value else None
+
+
 class LifecycleFold:
-    """The state of one guid after a batch of its events. States travel with the events in Arrow
-    batches, so a guid costs no calls of its own to the state store."""
+    """The states of a group of guids after a batch of their events. States travel with the events
+    in Arrow batches, those of a group at once, so a guid costs no calls of its own."""
 
     def __init__(self, cap: int, retention_ms: int):
         self.cap = cap
         self.retention_ms = retention_ms
 
     def __call__(self, key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        old = dict(zip(STATE.names, state.get if state.exists else NEW_JOB, strict=True))
-        for name in ("garbage_seq", "garbage_us"):
-            old[name] = list(old[name])
-        job = dict(old)
-        if state.hasTimedOut:
-            state.remove()
+        jobs = self._load(state)
+        mark = state.getCurrentWatermarkMs()
+        before: dict = {}
+        if not state.hasTimedOut:
+            for batch in batches:
+                columns = (batch[n].tolist() for n in ("guid", "seq", "us", "outcome", "processing_time_est"))
+                for guid, seq, us, outcome, estimate in zip(*columns, strict=True):
+                    if guid not in before:
+                        before[guid], jobs[guid] = self._begin(jobs.get(guid), mark)
+                    job = jobs[guid]
+                    self._merge(job, seq, us, outcome)
+                    if estimate is not None and estimate == estimate:
+                        job["estimate"] = max(job["estimate"], int(estimate))
+        rows = []
+        for guid, old in before.items():
+            job = jobs[guid]
+            out = self._settle(job)
+            job["version"], job["status"] = job["version"] + 1, out["status"]
+            over = out["completed_us"] is not None and job["created_us"] is not None
+            job[DUE] = max(self._due(job), mark + 1) if over else None
+            rows.append(self._row(guid, old, job, out, expired=False))
+        # As with a state of its own, a guid that gets events now leaves with a later batch.
+        for guid in [g for g, job in jobs.items() if g not in before and job[DUE] is not None and job[DUE] < mark]:
+            job = jobs.pop(guid)
             left = job | {"version": job["version"] + 1}
-            yield self._frame(key, job, left, self._settle(job), expired=True)
-            return
+            rows.append(self._row(guid, job, left, self._settle(job), expired=True))
+        self._store(jobs, state)
+        if rows:
+            yield pd.DataFrame({n: pd.Series([r[n] for r in rows], dtype=KINDS[n]) for n in UPDATES.names})
+
+    def _begin(self, old: dict | None, mark: int) -> tuple[dict, dict]:
+        """A guid's state before its events, and a copy that takes them."""
+        old = old or dict(zip(STATE.names, NEW_JOB, strict=True))
+        job = dict(old)
         if job["max_seq"] is None:
             # A guid may return once its job has left. The watermark is then over a
             # day further on, so versions keep growing.
-            job["version"] = max(0, state.getCurrentWatermarkMs())
-        for batch in batches:
-            columns = (batch[n].tolist() for n in ("seq", "us", "outcome", "processing_time_est"))
-            for seq, us, outcome, estimate in zip(*columns, strict=True):
-                self._merge(job, seq, us, outcome)
-                if estimate is not None and estimate == estimate:
-                    job["estimate"] = max(job["estimate"], int(estimate))
-        out = self._settle(job)
-        job["version"], job["status"] = job["version"] + 1, out["status"]
-        state.update(tuple(job[name] for name in STATE.names))
-        if out["completed_us"] is not None:
-            state.setTimeoutTimestamp(max(self._due(job), state.getCurrentWatermarkMs() + 1))
-        yield self._frame(key, old, job, out, expired=False)
+            job["version"] = max(0, mark)
+        return old, job
+
+    def _load(self, state: GroupState) -> dict:
+        if not state.exists:
+            return {}
+        guids, *columns = state.get
+        names = GROUP_STATE.names[1:]
+        jobs = {g: dict(zip(names, v, strict=True)) for g, *v in zip(guids, *columns, strict=True)}
+        for job in jobs.values():
+            for name in ("garbage_seq", "garbage_us"):
+                job[name] = [float("nan") if v is None else v for v in job[name]]
+        return jobs
+
+    def _store(self, jobs: dict, state: GroupState) -> None:
+        if not jobs:
+            state.remove()
+            return
+        columns = [list(jobs)]
+        for name in GROUP_STATE.names[1:]:
+            values = [job[name] for job in jobs.values()]
+            if name in ("garbage_seq", "garbage_us"):
+                columns.append([[known(v) for v in some] for some in values])
+            else:
+                columns.append([known(v) for v in values])
+        state.update(tuple(columns))
+        due = [job[DUE] for job in jobs.values() if job[DUE] is not None]
+        if due:
+            state.setTimeoutTimestamp(min(due))
 
     def _due(self, job: dict) -> int:
         """Timeouts know milliseconds; states keep microseconds."""
-        return job["created_us"] // 1000 + self.retention_ms
+        return int(job["created_us"]) // 1000 + self.retention_ms
 
     def _merge(self, job: dict, seq: int, us: int, outcome: str) -> None:
-        if job["created_us"] is None or us < job["created_us"]:
+        if us == us and (job["created_us"] is None or us < job["created_us"]):
             job["created_us"] = us
         if outcome == GARBAGE:
             known = list(zip(job["garbage_seq"], job["garbage_us"], strict=True))
@@ -142,14 +200,13 @@ class LifecycleFold:
             "completed_us": end_us,
         }
 
-    def _frame(self, key, old: dict, job: dict, out: dict, expired: bool) -> pd.DataFrame:
+    def _row(self, guid, old: dict, job: dict, out: dict, expired: bool) -> dict:
         before, now = old["status"] == C.PENDING, job["status"] == C.PENDING
-        row = {
-            "guid": key[0], "version": job["version"], **out, "expired": expired,
+        return {
+            "guid": guid, "version": job["version"], **out, "expired": expired,
             "pending_delta": int(now) - int(before),
             "wait_delta": now * job["estimate"] - before * old["estimate"],
         }
-        return pd.DataFrame({n: pd.Series([row[n]], dtype=KINDS[n]) for n in UPDATES.names})
 
 
 def lifecycle_stream(
@@ -157,6 +214,7 @@ def lifecycle_stream(
     cap: int = C.GARBAGE_CAP,
     lateness: str = "1 day",
     retention_seconds: int = C.RETENTION_SECONDS,
+    groups: int = GROUPS,
 ) -> DataFrame:
     """A stream of job events to a stream of job states, one row per guid and batch.
 
@@ -165,7 +223,10 @@ def lifecycle_stream(
     event of that guid starts a new job.
 
     Each Arrow batch is first cut down to the rows that can matter, at most cap + 4 per
-    guid, so a guid with a large part of all events sends little through the shuffle.
+    guid, so a guid with a large part of all events sends little through the shuffle. Guids
+    share `groups` states by their hash: a batch of events costs one call a group and little a
+    guid, and writes the states of the groups that it meets. The number holds for the life of
+    the stream's checkpoint.
     """
 
     def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -182,11 +243,12 @@ def lifecycle_stream(
     updates = (
         slim.withWatermark("ts", lateness)
         .withColumn("us", F.unix_micros("ts"))
-        .groupBy("guid")
+        .withColumn("group", F.pmod(F.xxhash64("guid"), F.lit(groups)))
+        .groupBy("group")
         .applyInPandasWithState(
             step,
             outputStructType=UPDATES,
-            stateStructType=STATE,
+            stateStructType=GROUP_STATE,
             outputMode="append",
             timeoutConf=GroupStateTimeout.EventTimeTimeout,
         )
