@@ -227,3 +227,28 @@ def test_guids_share_states(spark, tmp_path):
     want = {f"g{k}": "processing" if k % 4 == 0 else "pending" for k in range(0, n, 2)}
     assert got == want | {"new": "pending", "g1": "pending"}
     assert updates.where("expired").count() == n // 2
+
+
+def test_guids_share_guards(spark, tmp_path):
+    """Jobs by the thousand are a few states, whose guids are free again one by one."""
+    schema, n = "guid string, submitted_at timestamp", 2000
+    known = [(f"g{k}", "completed" if k % 2 else "pending", T0 + dt.timedelta(seconds=k)) for k in range(n)]
+    jobs = spark.createDataFrame(known, "guid string, status string, created_at timestamp")
+    (tmp_path / "out").mkdir()
+    days = [T0 + dt.timedelta(days=1, seconds=1000), T0 + dt.timedelta(days=30)]
+    for at in days:
+        rows = [(f"g{k}", at) for k in range(0, n, 5)] + [("new", at)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = guard_submissions(
+        read_parts(spark, schema, tmp_path / "in"),
+        spark.readStream.schema("guid string, at timestamp, status string").parquet(str(tmp_path / "out")),
+        jobs, lateness="1 second", groups=5,
+    )
+    # A state, a timer and the timer's index for each group.
+    states = ended(written(stream, tmp_path / "rows"))
+    assert states and max(states) <= 3 * 5
+    rows = spark.read.schema(stream.schema).parquet(f"{tmp_path}/rows/rows").collect()
+    got = {(r.guid, days.index(r.submitted_at)) for r in rows if r.reason == "admitted"}
+    first = {f"g{k}" for k in range(0, n, 5) if k % 2 and k <= 1000}
+    second = {f"g{k}" for k in range(0, n, 5) if k % 2 and k > 1000}
+    assert got == {(g, 0) for g in first | {"new"}} | {(g, 1) for g in second}
