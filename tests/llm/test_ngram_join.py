@@ -154,3 +154,23 @@ def test_long_lists_meet_in_blocks(spark, monkeypatch):
     found = sorted(str(tuple(r)) for r in N.near_duplicates(df).collect())
     assert found == brute(rows)
     assert seen[0][0] > 0 and seen[0][1] <= 8 * 8
+
+
+def test_few_edges_take_few_tasks(spark, monkeypatch):
+    """Whatever the number of shuffle partitions, and the same roots from one task and from many."""
+    from voxtab.llm import components as module
+
+    edges = spark.range(400).selectExpr("id a", "case when id % 20 = 0 then id else id - 1 end b")
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        for least, tasks in ((module.EDGES_OF_TASK, 1), (50, 8)):
+            monkeypatch.setattr(module, "EDGES_OF_TASK", least)
+            found = components(edges)
+            assert found.rdd.getNumPartitions() <= tasks
+            assert dict(map(tuple, found.collect())) == {k: k - k % 20 for k in range(400) if k % 20}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
