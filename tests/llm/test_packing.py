@@ -1,8 +1,10 @@
 import random
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -124,3 +126,28 @@ def test_workers_let_go_of_what_they_do_not_use():
     time.sleep(1.0)
     with kept_by_worker("test", make, idle=0.3) as kept:
         assert kept == [2]
+
+
+def test_encoding_takes_little_memory_beside_the_texts(tokenizer):
+    words, text = P.WordTokens(PATH), "It's one of the ten words that come again, naïve. "
+    texts = [(text * 500).encode()] * 300
+    size = sum(map(len, texts))
+    tracemalloc.start()
+    try:
+        n = sum(len(own) for own in words.encode(texts, 1))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n == 300 * (len(tokenizer.encode(text * 500, add_special_tokens=False).ids) + 1)
+    assert peak < 6 * size
+
+
+def test_chunks_hold_all_texts_in_order():
+    column = pa.array(["", None, "é" * 30, "a" * 100, "", "b", None, "c" * 9, ""])
+    for size in (1, 10, 60, 1000):
+        found = list(P.text_chunks(column, size))
+        assert [t for _, texts in found for t in texts] == [(v or "").encode() for v in column.to_pylist()]
+        assert [first for first, _ in found] == np.cumsum([0, *(len(t) for _, t in found)])[:-1].tolist()
+        assert all(sum(map(len, texts[:-1])) <= size for _, texts in found)
+    assert list(P.text_chunks(column[:0], 10)) == []
+    assert [t for _, texts in P.text_chunks(column.slice(2, 3), 10) for t in texts] == ["é".encode() * 30, b"a" * 100, b""]

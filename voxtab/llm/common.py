@@ -57,14 +57,15 @@ class Words(NamedTuple):
     bounds: np.ndarray
 
 
-def split_words(texts: list[bytes]) -> Words:
-    """Runs of bytes that are not ASCII white space."""
+def cut_words(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """Runs of bytes that are not ASCII white space, all texts after each other, and their bounds as
+    in `Words`."""
     data = np.frombuffer(b" ".join([b"", *texts]), np.uint8)
     is_space = np.zeros(256, bool)
     is_space[list(SPACES)] = True
     gap = is_space[data]
     if not len(data):
-        return Words(np.zeros(0, np.int64), [], np.zeros(len(texts) + 1, np.int64))
+        return pa.array([], pa.large_binary()), np.zeros(len(texts) + 1, np.int64)
     first = np.flatnonzero(gap[:-1] & ~gap[1:])
     stops = np.flatnonzero(~gap[:-1] & gap[1:])
     if not gap[-1]:
@@ -73,12 +74,26 @@ def split_words(texts: list[bytes]) -> Words:
     letters = data[~gap]
     words = pa.Array.from_buffers(
         pa.large_binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]
-    ).dictionary_encode()
+    )
     begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    bounds = np.searchsorted(first, begins)
+    return words, np.searchsorted(first, begins)
+
+
+def split_words(texts: list[bytes]) -> Words:
+    """The runs of bytes that are not ASCII white space, as codes."""
+    cut, bounds = cut_words(texts)
+    words = cut.dictionary_encode()
     return Words(words.indices.to_numpy().astype(np.int64), words.dictionary.to_pylist(), bounds)
 
 
+def give_back() -> None:
+    """Gives memory that allocators keep after it was freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def tidied(run: Callable) -> Callable:
     """The function of a Python stage, after which its worker gives back to the system what memory it
     does not use. A worker lives on for other stages, and allocators keep what was once freed."""
@@ -87,10 +102,7 @@ def tidied(run: Callable) -> Callable:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
-            if trim is not None:
-                trim(0)
+            give_back()
 
     return whole
 

@@ -1,17 +1,19 @@
 """Packing: token sequences of a fixed length, filled by multiway differencing."""
 
 import heapq
+import os
 import zlib
-from collections.abc import Iterator
-from itertools import chain, islice
+from collections.abc import Iterable, Iterator
+from itertools import chain, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxtab.llm.common import in_chunks, kept_by_worker, split_words, text_bytes, tidied
+from voxtab.llm.common import cut_words, give_back, in_chunks, kept_by_worker, text_bytes, tidied
 
 # Tokens of pieces that are left for differencing. Finer pieces balance better.
 PIECE = 256
@@ -21,11 +23,15 @@ WINDOWS = 64
 SLACK = 16
 # Words and parts of words whose ids a worker remembers (about 200 bytes each), bytes of the longest
 # word that it does, and words that are learnt together.
-KNOWN_WORDS, KNOWN_PARTS = 1 << 18, 1 << 18
+KNOWN_WORDS, KNOWN_PARTS = 1 << 17, 1 << 16
 KNOWN_BYTES = 64
-NEW_WORDS = 1 << 14
-# Bytes of text that are encoded together: the more, the fewer words to look up.
-TEXT_BYTES = 12 << 20
+NEW_WORDS = 1 << 13
+# Of those, words that go to the library as they are at a time: it gives about 1 KB for each.
+WHOLE_WORDS = 1 << 10
+# Bytes of text whose words are looked up together: the more, the fewer lookups. Bytes of text that
+# are cut into words together, with about 15 bytes of tables a byte.
+TEXT_BYTES = 8 << 20
+CUT_BYTES = 1 << 20
 
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
@@ -33,6 +39,19 @@ PIECES = (
 )
 
 
+def text_chunks(column: pa.Array, size: int) -> Iterator[tuple[int, list[bytes]]]:
+    """Texts of about so many bytes together, and the place of their first; only they are taken
+    from the column at a time."""
+    lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(lengths, dtype=np.int64)
+    first = 0
+    while first < len(column):
+        held = ends[first - 1] if first else 0
+        last = min(int(np.searchsorted(ends, held + size)) + 1, len(column))
+        yield first, text_bytes(column.slice(first, last - first))
+        first = last
+
+
 class WordTokens:
     """Ids of whole texts by a word-level tokenizer, from those of their words.
 
@@ -49,41 +68,28 @@ class WordTokens:
 
     def __init__(self, path: str):
         import regex
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        # A task has one core, and each thread would keep memory of its own.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
-        self.model = Tokenizer.from_file(path)
-        self.model.normalizer = normalizers.Sequence([])
-        self.model.pre_tokenizer = pre_tokenizers.Sequence(
-            [
-                pre_tokenizers.WhitespaceSplit(),
-                pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False),
-            ]
-        )
+        self.model = self.whole.model
+        self.byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.cut = regex.compile(self.CUT + r"|\n").findall
         strange = regex.compile(self.STRANGE)
         self.strange, self.strange_in = strange.finditer, strange.search
-        size = self.whole.get_vocab_size()
-        names = (self.whole.id_to_token(i) or "" for i in range(size))
-        self.ends = np.array([name.endswith("</w>") for name in names])
         added = self.whole.get_added_tokens_decoder().values()
         self.special = [token.content.encode() for token in added]
         self.special_in = regex.compile("|".join(regex.escape(token.content) for token in added) or "(?!)").search
         self.parts: dict[str, bytes] = {}
         self.words: dict[bytes, bytes] = {}
 
-    def _learn_parts(self, parts: list[str]) -> None:
-        """The model's ids of each part; the last id of a part marks a word's end."""
-        for start in range(0, len(parts), 4096):
-            some = parts[start : start + 4096]
-            found = self.model.encode_batch_fast([" ".join(some)], add_special_tokens=False)
-            ids = np.array(found[0].ids, np.uint32)
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            data = ids.tobytes()
-            edges = [0, *(4 * stops).tolist()]
-            self.parts.update(
-                (p, data[a:b]) for p, a, b in zip(some, edges[:-1], edges[1:], strict=True)
-            )
+    def _learn_parts(self, parts: Iterable[str]) -> None:
+        """The model's ids of each part, whose bytes it knows by letters of its own."""
+        tokenize, letters = self.model.tokenize, self.byte_level.pre_tokenize_str
+        for part in parts:
+            found = tokenize(part if part.isascii() else letters(part)[0][0])
+            self.parts[part] = np.array([token.id for token in found], np.uint32).tobytes()
 
     def _cut(self, words: list[bytes]) -> tuple[dict[bytes, list[str]], list[tuple[bytes, str]]]:
         """The parts of each word that can be cut here, and the other words with their texts."""
@@ -102,57 +108,69 @@ class WordTokens:
                 cut[word] = parts[edges[k] + 1 : edges[k + 1]]
         return cut, rest
 
+    def _learn(self, words: list[bytes]) -> list[bytes]:
+        """The ids of words that are not remembered."""
+        cut, rest = self._cut(words)
+        missing = {p for parts in cut.values() for p in parts if p not in self.parts}
+        if len(self.parts) + len(missing) > KNOWN_PARTS:
+            self.parts.clear()
+            missing = {p for parts in cut.values() for p in parts}
+        self._learn_parts(missing)
+        ids = self.parts
+        found = {w: b"".join([ids[p] for p in parts]) for w, parts in cut.items()}
+        for start in range(0, len(rest), WHOLE_WORDS):
+            some = rest[start : start + WHOLE_WORDS]
+            encoded = self.whole.encode_batch_fast([t for _, t in some], add_special_tokens=False)
+            found.update((w, np.array(e.ids, np.uint32).tobytes()) for (w, _), e in zip(some, encoded, strict=True))
+        return [found[w] for w in words]
+
     def ids_of(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word; no word twice."""
         known = self.words
-        new = [w for w in words if w not in known]
-        if not new:
-            return [known[w] for w in words]
-        found: dict[bytes, bytes] = {}
+        ids = list(map(known.get, words))
+        new = [k for k, v in enumerate(ids) if v is None]
         for start in range(0, len(new), NEW_WORDS):
-            cut, rest = self._cut(new[start : start + NEW_WORDS])
-            missing = {p for parts in cut.values() for p in parts if p not in self.parts}
-            if len(self.parts) + len(missing) > KNOWN_PARTS:
-                self.parts.clear()
-                missing = {p for parts in cut.values() for p in parts}
-            self._learn_parts(sorted(missing))
-            ids = self.parts
-            found.update((w, b"".join([ids[p] for p in parts])) for w, parts in cut.items())
-            encoded = self.whole.encode_batch_fast([t for _, t in rest], add_special_tokens=False)
-            for (word, _), e in zip(rest, encoded, strict=True):
-                found[word] = np.array(e.ids, np.uint32).tobytes()
-        ids = [found[w] if w in found else known[w] for w in words]
-        if len(known) + len(found) > KNOWN_WORDS:
+            some = new[start : start + NEW_WORDS]
+            for k, own in zip(some, self._learn([words[k] for k in some]), strict=True):
+                ids[k] = own
+        fresh = ((words[k], ids[k]) for k in new if len(words[k]) <= KNOWN_BYTES)
+        if len(known) + len(new) > KNOWN_WORDS:
             # Those met again now are the ones worth keeping, then the new ones, then the others.
-            again = {w: known[w] for w in words if w in known}
+            again = {w: v for w, v in zip(words, ids, strict=True) if w in known}
             others = ((w, v) for w, v in known.items() if w not in again)
-            rest = chain(((w, v) for w, v in found.items() if len(w) <= KNOWN_BYTES), others)
-            again.update(islice(rest, max(KNOWN_WORDS - len(again), 0)))
+            again.update(islice(chain(fresh, others), max(KNOWN_WORDS - len(again), 0)))
             self.words = again
         else:
-            known.update((w, v) for w, v in found.items() if len(w) <= KNOWN_BYTES)
+            known.update(fresh)
         return ids
 
-    def encode(self, texts: list[bytes], end: int) -> list[np.ndarray]:
-        """The ids of each text, then `end`."""
+    def encode(self, texts: list[bytes], end: int) -> Iterator[np.ndarray]:
+        """The ids of each text, then `end`. Words are cut, and ids put together, for some texts at
+        a time; each word of all texts is looked up once."""
         special = [name.lower() for name in self.special]
-        small = (text.lower() for text in texts)  # but names of special tokens must stay
-        codes, unique, bounds = split_words(
-            [t if any(s in b for s in special) else b for t, b in zip(texts, small, strict=True)]
-        )
-        ids = self.ids_of(unique)
-        sizes = np.array([len(v) // 4 for v in ids], np.int64)
+        cut, bounds = [], []
+        for first, last in in_chunks(texts, CUT_BYTES):
+            # Lower case, but names of special tokens must stay.
+            small = (t if any(s in b for s in special) else b for t, b in ((t, t.lower()) for t in texts[first:last]))
+            words, edges = cut_words(list(small))
+            cut.append(words)
+            bounds.append(edges)
+        coded = pa.chunked_array(cut, pa.large_binary()).dictionary_encode()
+        del cut
+        ids = self.ids_of(coded.chunk(0).dictionary.to_pylist() if bounds else [])
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         flat = np.frombuffer(b"".join(ids), np.uint32)
+        del ids
         begins = np.cumsum(sizes) - sizes
-        lengths = sizes[codes]
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        places = np.arange(ends[-1]) + np.repeat(begins[codes] - ends[:-1], lengths)
-        tokens = flat[places]
         stop = np.array([end], np.uint32)
-        edges = ends[bounds]
-        return [
-            np.concatenate([tokens[a:b], stop])
-            for a, b in zip(edges[:-1], edges[1:], strict=True)
-        ]
+        for words, edges in zip(coded.iterchunks(), bounds, strict=True):
+            codes = words.indices.to_numpy()
+            lengths = sizes[codes]
+            ends = np.concatenate([[0], np.cumsum(lengths)])
+            places = np.arange(ends[-1]) + np.repeat(begins[codes] - ends[:-1], lengths)
+            tokens = flat[places]
+            for a, b in pairwise(ends[edges].tolist()):
+                yield np.concatenate([tokens[a:b], stop])
 
 
 def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
@@ -252,10 +270,10 @@ def pack(
             return rows
 
         for batch in batches:
-            texts, ids = text_bytes(batch.column(1)), batch.column(0).to_pylist()
-            for first, last in in_chunks(texts, TEXT_BYTES):
+            ids = batch.column(0).to_pylist()
+            for first, texts in text_chunks(batch.column(1), TEXT_BYTES):
                 rows = []
-                for doc_id, own in zip(ids[first:last], encoder.encode(texts[first:last], end), strict=True):
+                for doc_id, own in zip(ids[first : first + len(texts)], encoder.encode(texts, end), strict=True):
                     data = own.astype("<u4").tobytes()
                     for start, length in pieces_of(len(own), capacity, piece):
                         crc = zlib.crc32(data[4 * start : 4 * (start + length)])
@@ -268,6 +286,8 @@ def pack(
                         tokens += length
                         if tokens >= together * (capacity - SLACK) - piece:
                             rows += close()
+                del texts
+                give_back()
                 if rows:
                     yield emit(rows)
         if held:
