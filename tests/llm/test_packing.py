@@ -151,3 +151,52 @@ def test_chunks_hold_all_texts_in_order():
         assert all(sum(map(len, texts[:-1])) <= size for _, texts in found)
     assert list(P.text_chunks(column[:0], 10)) == []
     assert [t for _, texts in P.text_chunks(column.slice(2, 3), 10) for t in texts] == ["é".encode() * 30, b"a" * 100, b""]
+
+
+def test_every_character_that_is_cut_here(tokenizer):
+    words = P.WordTokens(PATH)
+    texts = [" ".join(f"a{chr(c)}b {chr(c)}{chr(c)} x{chr(c).upper()}" for c in range(k, k + 50)) for k in range(0x21, 0x260, 50)]
+    for _ in range(2):
+        found = words.encode([t.encode() for t in texts], 1)
+        for text, ids in zip(texts, found, strict=True):
+            assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids + [1]
+
+
+def test_odd_words_among_others_keep_their_places(tokenizer):
+    texts = ["日本 plain été", "été 語", "plain <|endoftext|>x", "", "plain"]
+    found = P.WordTokens(PATH).encode([t.encode() for t in texts], 1)
+    for text, ids in zip(texts, found, strict=True):
+        assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids + [1]
+
+
+def test_parts_do_not_call_the_library_for_letters(monkeypatch):
+    from tokenizers import pre_tokenizers
+
+    class Counting:
+        calls = 0
+
+        def __init__(self, **options):
+            self.own = own(**options)
+
+        def pre_tokenize_str(self, text):
+            Counting.calls += 1
+            return self.own.pre_tokenize_str(text)
+
+    own = pre_tokenizers.ByteLevel
+    monkeypatch.setattr(pre_tokenizers, "ByteLevel", Counting)
+    words = P.WordTokens(PATH)
+    before = Counting.calls
+    some = " ".join(f"é{a}{b}{c}" for a in "abcdefghij" for b in "klmnopqrst" for c in "uvwxyzabcd")
+    list(words.encode([some.encode()], 1))
+    assert Counting.calls == before
+
+
+def test_ids_are_put_together_without_tables_of_places():
+    words = P.WordTokens(PATH)
+    texts = [b"word of many words " * 20_000]
+    list(words.encode(texts, 1))
+    tracemalloc.start()
+    found = next(words.encode(texts, 1))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 * len(found)

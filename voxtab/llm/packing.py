@@ -3,8 +3,9 @@
 import heapq
 import os
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain, islice, pairwise
+from itertools import accumulate, chain, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +53,15 @@ def text_chunks(column: pa.Array, size: int) -> Iterator[tuple[int, list[bytes]]
         first = last
 
 
+def binaries(column: pa.Array) -> list[bytes]:
+    """The values of a large binary column without nulls, which is no slice of another."""
+    if not len(column):
+        return []
+    _, places, data = column.buffers()
+    ends, data = np.frombuffer(places, np.int64, len(column) + 1).tolist(), memoryview(data or b"").tobytes()
+    return [data[a:b] for a, b in pairwise(ends)]
+
+
 class WordTokens:
     """Ids of whole texts by a word-level tokenizer, from those of their words.
 
@@ -74,7 +84,7 @@ class WordTokens:
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
-        self.byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = self._letters(pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False))
         self.cut = regex.compile(self.CUT + r"|\n").findall
         strange = regex.compile(self.STRANGE)
         self.strange, self.strange_in = strange.finditer, strange.search
@@ -84,46 +94,58 @@ class WordTokens:
         self.parts: dict[str, bytes] = {}
         self.words: dict[bytes, bytes] = {}
 
+    @staticmethod
+    def _letters(byte_level) -> dict[int, str]:
+        """The letter by which the model knows each byte that a part can hold."""
+        small = {chr(c).lower() for c in range(0x21, 0x250)}
+        return {b: x for t in small for b, x in zip(t.encode(), byte_level.pre_tokenize_str(t)[0][0], strict=True)}
+
     def _learn_parts(self, parts: Iterable[str]) -> None:
         """The model's ids of each part, whose bytes it knows by letters of its own."""
-        tokenize, letters = self.model.tokenize, self.byte_level.pre_tokenize_str
+        tokenize, letters, known = self.model.tokenize, self.letters, self.parts
         for part in parts:
-            found = tokenize(part if part.isascii() else letters(part)[0][0])
-            self.parts[part] = np.array([token.id for token in found], np.uint32).tobytes()
+            found = tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(letters))
+            known[part] = array("I", [token.id for token in found]).tobytes()
 
-    def _cut(self, words: list[bytes]) -> tuple[dict[bytes, list[str]], list[tuple[bytes, str]]]:
-        """The parts of each word that can be cut here, and the other words with their texts."""
-        text = b"\n".join(words).decode(errors="replace")
-        odd = {text.count("\n", 0, m.start()) for m in self.strange(text)} if self.strange_in(text) else ()
+    def _odd(self, words: list[bytes], text: str) -> set[int]:
+        """Places of words that cannot be cut here. text: the words, a line each."""
+        odd = {text.count("\n", 0, m.start()) for m in self.strange(text)} if self.strange_in(text) else set()
         if self.special_in(text):
-            odd = {*odd, *(k for k, w in enumerate(words) if any(s in w for s in self.special))}
-        parts, edges = self.cut(text.lower()), [-1]
-        edges += [k for k, part in enumerate(parts) if part == "\n"]
-        edges.append(len(parts))
-        cut, rest = {}, []
-        for k, word in enumerate(words):
-            if k in odd:
-                rest.append((word, word.decode(errors="replace")))
-            else:
-                cut[word] = parts[edges[k] + 1 : edges[k + 1]]
-        return cut, rest
+            odd.update(k for k, w in enumerate(words) if any(s in w for s in self.special))
+        return odd
 
     def _learn(self, words: list[bytes]) -> list[bytes]:
         """The ids of words that are not remembered."""
-        cut, rest = self._cut(words)
-        missing = {p for parts in cut.values() for p in parts if p not in self.parts}
-        if len(self.parts) + len(missing) > KNOWN_PARTS:
-            self.parts.clear()
-            missing = {p for parts in cut.values() for p in parts}
-        self._learn_parts(missing)
-        ids = self.parts
-        found = {w: b"".join([ids[p] for p in parts]) for w, parts in cut.items()}
+        text = b"\n".join(words).decode(errors="replace")
+        odd = self._odd(words, text)
+        if not odd:
+            return self._cut_ids(text)
+        plain = [w for k, w in enumerate(words) if k not in odd]
+        found = dict(zip(plain, self._cut_ids(b"\n".join(plain).decode()) if plain else [], strict=True))
+        rest = [words[k] for k in sorted(odd)]
         for start in range(0, len(rest), WHOLE_WORDS):
             some = rest[start : start + WHOLE_WORDS]
-            encoded = self.whole.encode_batch_fast([t for _, t in some], add_special_tokens=False)
-            found.update((w, np.array(e.ids, np.uint32).tobytes()) for (w, _), e in zip(some, encoded, strict=True))
+            encoded = self.whole.encode_batch_fast([w.decode(errors="replace") for w in some], add_special_tokens=False)
+            found.update((w, array("I", e.ids).tobytes()) for w, e in zip(some, encoded, strict=True))
         return [found[w] for w in words]
 
+    def _cut_ids(self, text: str) -> list[bytes]:
+        """The ids of each line of a text, which is a word that can be cut here."""
+        parts = self.cut(text.lower())
+        unique = {*parts, "\n"}
+        missing = unique - self.parts.keys()
+        if len(self.parts) + len(missing) > KNOWN_PARTS:
+            self.parts.clear()
+            missing = unique
+        missing.discard("\n")
+        self._learn_parts(missing)
+        self.parts["\n"] = b""
+        ids = list(map(self.parts.__getitem__, parts))
+        ends = list(accumulate(map(len, ids), initial=0))
+        lines = [ends[k] for k, part in enumerate(parts) if part == "\n"]
+        data = b"".join(ids)
+        return [data[a:b] for a, b in zip([0, *lines], [*lines, len(data)], strict=True)]
+
     def ids_of(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word; no word twice."""
         known = self.words
@@ -147,29 +169,24 @@ class WordTokens:
     def encode(self, texts: list[bytes], end: int) -> Iterator[np.ndarray]:
         """The ids of each text, then `end`. Words are cut, and ids put together, for some texts at
         a time; each word of all texts is looked up once."""
-        special = [name.lower() for name in self.special]
+        special = [*(name.lower() for name in self.special), b"\xcc", b"\xcd"]
         cut, bounds = [], []
         for first, last in in_chunks(texts, CUT_BYTES):
-            # Lower case, but names of special tokens must stay.
+            # Lower case, but names of special tokens must stay, and letters that may join the marks after
+            # them (U+0300 to U+037F): some do in lower case only.
             small = (t if any(s in b for s in special) else b for t, b in ((t, t.lower()) for t in texts[first:last]))
             words, edges = cut_words(list(small))
             cut.append(words)
             bounds.append(edges)
         coded = pa.chunked_array(cut, pa.large_binary()).dictionary_encode()
         del cut
-        ids = self.ids_of(coded.chunk(0).dictionary.to_pylist() if bounds else [])
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat = np.frombuffer(b"".join(ids), np.uint32)
-        del ids
-        begins = np.cumsum(sizes) - sizes
+        table = pa.array(self.ids_of(binaries(coded.chunk(0).dictionary) if bounds else []), pa.large_binary())
         stop = np.array([end], np.uint32)
         for words, edges in zip(coded.iterchunks(), bounds, strict=True):
-            codes = words.indices.to_numpy()
-            lengths = sizes[codes]
-            ends = np.concatenate([[0], np.cumsum(lengths)])
-            places = np.arange(ends[-1]) + np.repeat(begins[codes] - ends[:-1], lengths)
-            tokens = flat[places]
-            for a, b in pairwise(ends[edges].tolist()):
+            _, places, data = table.take(words.indices).buffers()
+            ends = np.frombuffer(places, np.int64)[edges] // 4 if len(words) else np.zeros(len(edges), np.int64)
+            tokens = np.frombuffer(data or b"", np.uint32)
+            for a, b in pairwise(ends.tolist()):
                 yield np.concatenate([tokens[a:b], stop])
 
 
