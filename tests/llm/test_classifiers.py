@@ -1,3 +1,4 @@
+import pickle
 import random
 
 import numpy as np
@@ -5,7 +6,7 @@ from pyspark.sql import functions as F
 
 from voxtab.llm import quality_classifier as C
 from voxtab.llm import toxicity as T
-from voxtab.llm.labelled import fold, labelled_sample
+from voxtab.llm.labelled import fold, labelled_sample, trained_in_task
 
 
 def prose(rng, n):
@@ -206,3 +207,29 @@ def test_languages_without_labels_of_their_own(spark):
     assert set(model.thresholds) == {"", "en"}
     row = spark.range(1).select(*(T.threshold_of(model, F.lit(x)).alias(x) for x in ("en", "rare0"))).first()
     assert (row.en, row.rare0) == (model.thresholds["en"], model.thresholds[""])
+
+
+def test_models_reach_the_driver_in_small_rows(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "some text", "en") for i in range(60)], "doc_id long, text string, lang string")
+    known = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    sample = labelled_sample(docs, known, "toxic", F.lit(True), 30, 100)
+    seen, real = [], type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda df: (seen.extend(rows := real(df)), rows)[1])
+    table = np.arange(400_000)
+    made, ids, labels = trained_in_task(sample, lambda texts, labels, langs: (table, len(texts), langs))
+    assert np.array_equal(made[0], table) and made[1:] == (60, ["en"] * 60)
+    assert sorted(ids) == list(range(60)) and [i % 2 for i in ids] == labels.tolist()
+    assert len(seen) > 1 and max(len(r.made) for r in seen) <= 1 << 18
+
+
+def test_a_model_is_sent_once(spark, monkeypatch):
+    texts, labels = corpus(300, 9)
+    docs = spark.createDataFrame([(i, t.decode(), "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    known = spark.createDataFrame([(i, int(y)) for i, y in enumerate(labels)], "doc_id long, toxic int")
+    seen, real = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda context, value: (seen.append(value), real(context, value))[1])
+    model = T.fit(docs, known, F.lit(True), per_class=100)
+    scores = T.score(docs, model).collect()
+    large = [v for v in seen if len(pickle.dumps(v)) > model.embedding.nbytes]
+    assert len(large) == 1
+    assert np.allclose([r.score for r in sorted(scores)], T.predict(model, texts))

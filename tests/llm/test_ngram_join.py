@@ -174,3 +174,13 @@ def test_few_edges_take_few_tasks(spark, monkeypatch):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_tables_are_sent_once(spark, monkeypatch):
+    """Tables that several functions use do not travel within each of them."""
+    rows = [(i, " ".join(f"w{(i // 2) * 40 + k}" for k in range(40)) + (" end" if i % 2 else "")) for i in range(40)]
+    seen, real = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda context, value: (seen.append(value), real(context, value))[1])
+    found = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in found} == {(i, i - i % 2) for i in range(40)}
+    assert sum(isinstance(v, bytes) and len(v) > N.TABLE for v in seen) <= 1

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 
 from voxtab.llm.common import text_bytes, tidied
 
+# Bytes of a trained model that a row takes to the driver: a JVM holds several copies of each row
+# meanwhile, and those of large ones in regions of its heap that hold nothing else.
+SLICE_BYTES = 1 << 18
+
 
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo `folds`."""
@@ -72,16 +76,25 @@ def trained_in_task(sample: DataFrame, train: Callable[[list[bytes], np.ndarray,
         rows = pa.Table.from_batches(batches).sort_by([("place", "ascending"), ("doc_id", "ascending")]).combine_chunks()
         labels = rows["label"].to_numpy().astype(np.int64)
         made = train(text_bytes(rows["text"].combine_chunks()), labels, rows["lang"].to_pylist())
+        data = pickle.dumps(tuple(made))
+        slices = [data[a : a + SLICE_BYTES] for a in range(0, len(data), SLICE_BYTES)]
+        others = [None] * (len(slices) - 1)
+        own_ids = pa.array([rows["doc_id"].to_pylist(), *others], pa.list_(rows.schema.field("doc_id").type))
         yield pa.RecordBatch.from_arrays(
-            [pa.array([pickle.dumps(tuple(made))]), pa.array([rows["doc_id"].to_pylist()]), pa.array([labels.tolist()])],
-            names=["made", "ids", "labels"],
+            [pa.array(range(len(slices)), pa.int32()), pa.array(slices), own_ids, pa.array([labels.tolist(), *others])],
+            names=["part", "made", "ids", "labels"],
         )
 
-    found = named.repartition(1).mapInArrow(tidied(run), f"made binary, ids array<{ids_type}>, labels array<bigint>").collect()
+    columns = f"part int, made binary, ids array<{ids_type}>, labels array<bigint>"
+    found = sorted(named.repartition(1).mapInArrow(tidied(run), columns).collect(), key=lambda row: row.part)
     if not found:
         return tuple(train([], np.zeros(0, np.int64), [])), [], np.zeros(0, np.int64)
-    made, ids, labels = found[0]
-    return pickle.loads(made), ids, np.array(labels, np.int64)
+    return pickle.loads(b"".join(row.made for row in found)), found[0].ids, np.array(found[0].labels, np.int64)
+
+
+def shared_by(model, docs: DataFrame):
+    """The model, which is sent to the executors once for all tables that it scores."""
+    return model._replace(shared=docs.sparkSession.sparkContext.broadcast(model))
 
 
 def binned_labels(scored: DataFrame, known: DataFrame, bins: int) -> DataFrame:

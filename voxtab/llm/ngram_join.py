@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -215,13 +216,13 @@ def choose_boundary(sizes: list[tuple[int, int, float]]) -> int:
     return min(cost, key=lambda b: (cost[b], b))
 
 
-def size_costs(sets: DataFrame, levels: np.ndarray, start: int) -> list[tuple[int, int, float]]:
+def size_costs(sets: DataFrame, levels: Broadcast, start: int) -> list[tuple[int, int, float]]:
     typical = level_counts(start)
 
     def run(batches):
         for batch in batches:
             held = [
-                float(typical[levels[first_elements(unpack_elements(d), levels, 0) % TABLE]].sum())
+                float(typical[levels.value[first_elements(unpack_elements(d), levels.value, 0) % TABLE]].sum())
                 for d in batch.column(1).to_pylist()
             ]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.float64())], names=["n", "held"])
@@ -231,16 +232,16 @@ def size_costs(sets: DataFrame, levels: np.ndarray, start: int) -> list[tuple[in
     return [tuple(r) for r in rows]
 
 
-def keys_and_hints(levels: np.ndarray, boundary: int):
+def keys_and_hints(levels: Broadcast, boundary: int):
     """Functions for `postings`: the keys of a set's elements, with places, levels and the first
     elements; and the hints of keys."""
     bits = 8 * ELEMENT_BYTES
     mask = np.uint64((1 << bits) - 1)
 
     def keys_of(elements: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        n = len(elements)
-        first = first_elements(elements, levels, 1).astype(np.uint64)
-        level = levels[(first % np.uint64(TABLE)).astype(np.int64)]
+        n, table = len(elements), levels.value
+        first = first_elements(elements, table, 1).astype(np.uint64)
+        level = table[(first % np.uint64(TABLE)).astype(np.int64)]
         keys, places, frequent = [], [], []
         if n <= boundary:
             i, j = np.triu_indices(len(first), 1) if n > 1 else (np.zeros(1, int), np.zeros(1, int))
@@ -275,7 +276,7 @@ def keys_and_hints(levels: np.ndarray, boundary: int):
     return keys_of, hints_of
 
 
-def heavy_keys(sets: DataFrame, levels: np.ndarray, start: int, boundary: int) -> DataFrame:
+def heavy_keys(sets: DataFrame, levels: Broadcast, start: int, boundary: int) -> DataFrame:
     """Keys with more than BLOCK entries: key, parts (how many components), top (the largest of
     them), n_top and n_rest. Counted are the keys that may have so many by the levels of their
     elements."""
@@ -304,7 +305,7 @@ def heavy_keys(sets: DataFrame, levels: np.ndarray, start: int, boundary: int) -
 
 
 def postings(
-    sets: DataFrame, levels: np.ndarray, boundary: int, marks: np.ndarray | None = None, wanted: bool = False
+    sets: DataFrame, levels: Broadcast, boundary: int, marks: Broadcast | None = None, wanted: bool = False
 ) -> DataFrame:
     """Keys under which sets (id, n, part, elements, sketch) are listed: key, id, part, n, place,
     hint. Pairs of first elements for small sets; single ones for large sets and those small
@@ -323,7 +324,7 @@ def postings(
         for batch in parts(batches):
             found = [keys_of(unpack_elements(d)) for d in batch.column(3).to_pylist()]
             if marks is not None:
-                kept = [(marks[f[0] % TABLE] > 0) == wanted for f in found]
+                kept = [(marks.value[f[0] % TABLE] > 0) == wanted for f in found]
             else:
                 kept = [np.ones(len(f[0]), bool) for f in found]
             hints = []
@@ -478,23 +479,28 @@ def in_blocks(rows: DataFrame, heavy: DataFrame) -> DataFrame:
     )
 
 
-def marked(ids: DataFrame) -> np.ndarray:
+def sent(table: np.ndarray, df: DataFrame) -> Broadcast:
+    """A table that executors get, and the driver holds for them, once for all functions that use it."""
+    return df.sparkSession.sparkContext.broadcast(table)
+
+
+def marked(ids: DataFrame) -> Broadcast:
     """A table of fixed size that marks the buckets of ids."""
-    return fixed_table(ids.select(F.pmod("id", F.lit(TABLE)).alias("bucket"), F.lit(1).alias("value")))
+    return sent(fixed_table(ids.select(F.pmod("id", F.lit(TABLE)).alias("bucket"), F.lit(1).alias("value"))), ids)
 
 
-def among(rows: DataFrame, marks: np.ndarray, wanted: bool) -> DataFrame:
+def among(rows: DataFrame, marks: Broadcast, wanted: bool) -> DataFrame:
     """Rows (id first) whose bucket is marked, or those whose is not, before any shuffle."""
 
     def run(batches):
         for batch in batches:
-            hit = marks[batch.column(0).to_numpy() % TABLE] > 0
+            hit = marks.value[batch.column(0).to_numpy() % TABLE] > 0
             yield batch.filter(pa.array(hit if wanted else ~hit))
 
     return rows.mapInArrow(tidied(run), rows.schema)
 
 
-def exact_round(sets: DataFrame, parts: DataFrame, levels: np.ndarray, boundary: int, start: int) -> DataFrame:
+def exact_round(sets: DataFrame, parts: DataFrame, levels: Broadcast, boundary: int, start: int) -> DataFrame:
     """Pairs (a, b) that share a key, may be alike and are not connected yet. parts: the component
     (root) of sets that have one; a set without is its own, and is not shuffled to learn that."""
     known = parts.select(F.col("node").alias("id"), F.col("root").alias("part"))
@@ -509,7 +515,7 @@ def exact_round(sets: DataFrame, parts: DataFrame, levels: np.ndarray, boundary:
     rows = postings(whole, levels, boundary, long_lists, False)
     listed = rows.repartition("key").sortWithinPartitions("key")
     found = listed.mapInArrow(tidied(list_pairs), "a long, b long")
-    if long_lists.any():
+    if long_lists.value.any():
         rows = in_blocks(postings(whole, levels, boundary, long_lists, True), heavy)
         found = found.unionByName(rows.groupBy("key", "i", "j").applyInArrow(block_pairs, "a long, b long"))
     return found.distinct()
@@ -569,6 +575,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     sets = cut(shingle_table(docs))
     levels, start = frequency_levels(sets)
+    levels = sent(levels, sets)
     boundary = choose_boundary(size_costs(sets, levels, start))
     first = cut(alike(sets, first_round(sets)))
     roots = components(first)

@@ -10,12 +10,13 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from voxtab.llm.common import cut, in_chunks, split_words, text_bytes, tidied
-from voxtab.llm.labelled import known_labels, labelled_sample, trained_in_task
+from voxtab.llm.labelled import known_labels, labelled_sample, shared_by, trained_in_task
 from voxtab.llm.ngram_join import among, marked
 
 # Sizes of the model: tables of hashed words and their buckets, numbers a word, widths of
@@ -42,7 +43,8 @@ CLEAN_WEIGHT = 3.0
 
 class Model(NamedTuple):
     """A word's embedding is the sum of its rows in all tables: two by hashes of the word, so
-    that words which share a bucket of one differ, the last by its beginning. thresholds: by language; "" holds for all others."""
+    that words which share a bucket of one differ, the last by its beginning. thresholds: by language; "" holds for all others.
+    shared: what executors have of it."""
 
     embedding: np.ndarray
     filters: tuple[np.ndarray, ...]
@@ -50,6 +52,7 @@ class Model(NamedTuple):
     weights: np.ndarray
     bias: float
     thresholds: dict[str, float]
+    shared: Broadcast | None = None
 
 
 class Sequences(NamedTuple):
@@ -305,7 +308,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, per_class: int = PE
     from all labelled rows but those learnt from."""
     sample = labelled_sample(docs, labels, "toxic", allowed, per_class, LONGEST)
     made, ids, sampled = trained_in_task(sample, train)
-    model = Model(*made)
+    model = shared_by(Model(*made), docs)
     if too_few(sampled):
         return model
     # At most 2 * per_class ids: small by construction.
@@ -330,11 +333,12 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     kept = docs.drop("score")
     schema = StructType([*kept.schema.fields, StructField("score", DoubleType())])
     place = kept.columns.index(text)
+    held = model.shared or shared_by(model, docs).shared
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = text_bytes(batch.column(place))
-            parts = [predict(model, texts[a:b]) for a, b in in_chunks(texts)]
+            parts = [predict(held.value, texts[a:b]) for a, b in in_chunks(texts)]
             scores = np.concatenate([np.zeros(0), *parts])
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"]
