@@ -2,6 +2,7 @@ import pickle
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from voxtab.llm import quality_classifier as C
@@ -233,3 +234,17 @@ def test_a_model_is_sent_once(spark, monkeypatch):
     large = [v for v in seen if len(pickle.dumps(v)) > model.embedding.nbytes]
     assert len(large) == 1
     assert np.allclose([r.score for r in sorted(scores)], T.predict(model, texts))
+
+
+def test_texts_are_scored_some_at_a_time(spark, monkeypatch):
+    """Rows come in batches of many MB, of which a worker makes tables for a part at a time."""
+    model = T.constant(0.5)
+    table = pa.table({"doc_id": range(60), "text": [None, *(f"word{i} " * 10_000 for i in range(59))]})
+    monkeypatch.setattr(T, "predict", lambda model, texts: np.array([sum(map(len, texts))] * len(texts), float))
+    made = []
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda df, run, schema: made.append(run))
+    T.score(spark.createDataFrame([(1, "a")], "doc_id long, text string"), model)
+    found = pa.Table.from_batches(made[0](iter(table.to_batches())))
+    sizes = found["score"].to_numpy()
+    assert len(sizes) == 60 and found["doc_id"].to_pylist() == list(range(60))
+    assert 1 << 20 <= sizes.max() < (1 << 20) + 100_000

@@ -9,12 +9,11 @@ from itertools import accumulate, chain, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxtab.llm.common import cut_words, give_back, in_chunks, kept_by_worker, text_bytes, tidied
+from voxtab.llm.common import cut_words, give_back, in_chunks, kept_by_worker, text_chunks, tidied
 
 # Tokens of pieces that are left for differencing. Finer pieces balance better.
 PIECE = 256
@@ -40,19 +39,6 @@ PIECES = (
 )
 
 
-def text_chunks(column: pa.Array, size: int) -> Iterator[tuple[int, list[bytes]]]:
-    """Texts of about so many bytes together, and the place of their first; only they are taken
-    from the column at a time."""
-    lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
-    ends = np.cumsum(lengths, dtype=np.int64)
-    first = 0
-    while first < len(column):
-        held = ends[first - 1] if first else 0
-        last = min(int(np.searchsorted(ends, held + size)) + 1, len(column))
-        yield first, text_bytes(column.slice(first, last - first))
-        first = last
-
-
 def binaries(column: pa.Array) -> list[bytes]:
     """The values of a large binary column without nulls, which is no slice of another."""
     if not len(column):

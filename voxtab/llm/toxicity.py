@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from voxtab.llm.common import cut, in_chunks, split_words, text_bytes, tidied
+from voxtab.llm.common import cut, in_chunks, split_words, text_chunks, tidied
 from voxtab.llm.labelled import known_labels, labelled_sample, shared_by, trained_in_task
 from voxtab.llm.ngram_join import among, marked
 
@@ -32,6 +32,8 @@ FILTERS = 8
 PER_CLASS = 3000
 LONGEST = 20_000
 EPOCHS = 6
+# Bytes of text that are scored together, with about 30 bytes of tables a byte.
+SCORED_BYTES = 1 << 20
 # Rows of a class, below which nothing is learnt; rows of a language, from which it has a
 # threshold of its own.
 LEAST_ROWS, LEAST_OF_LANGUAGE = 10, 40
@@ -245,7 +247,7 @@ def train(texts: list[bytes], labels: np.ndarray, langs: list[str], epochs: int
     model = Model(embedding, tuple(filters), tuple(biases), weights, float(bias[0]), {})
     mine = np.flatnonzero(held)
     tested = [texts[i] for i in mine]
-    parts = [predict(model, tested[a:b]) for a, b in in_chunks(tested)]
+    parts = [predict(model, tested[a:b]) for a, b in in_chunks(tested, SCORED_BYTES)]
     scores = np.concatenate([np.zeros(0), *parts])
     return model._replace(thresholds=thresholds(scores, labels[held], [langs[i] for i in mine]))
 
@@ -337,8 +339,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = text_bytes(batch.column(place))
-            parts = [predict(held.value, texts[a:b]) for a, b in in_chunks(texts)]
+            parts = [predict(held.value, texts) for _, texts in text_chunks(batch.column(place), SCORED_BYTES)]
             scores = np.concatenate([np.zeros(0), *parts])
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"]
