@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from voxtab.llm import suffix_dedup as S
 
@@ -83,3 +84,63 @@ def test_anchors_in_every_window():
     for i, text in enumerate(texts):
         own = set((a.places[a.owner == i] - a.begin[i]).tolist())
         assert all(any(s <= p <= s + S.REACH for p in own) for s in range(len(text) - 49))
+
+
+class Batches:
+    """Stands for a table, to run a stage on its batches here."""
+
+    def __init__(self, rows):
+        ids, texts = zip(*rows, strict=True)
+        self.rows = pa.record_batch([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    def mapInArrow(self, run, schema):  # noqa: N802
+        return list(run(iter([self.rows])))
+
+
+def packs_of(rows, buckets):
+    made = S.suffixes(Batches(rows), np.zeros(S.TABLE, np.uint8), buckets)
+    table = pa.Table.from_batches(made).sort_by("bucket")
+    return table.to_batches()
+
+
+def random_text(rng, n):
+    return "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+
+
+def test_packs_hold_suffixes_of_several_chunks(monkeypatch):
+    monkeypatch.setattr(S, "CHUNK", 1 << 16)
+    rng, buckets = random.Random(11), 200
+    rows = [(i, random_text(rng, 2000)) for i in range(600)]
+    packs = [p for b in packs_of(rows, buckets) for p in b.column(1).to_pylist()]
+    assert len(packs) <= buckets
+    keys, arounds, sides, docs = (np.concatenate(c) for c in zip(*map(S.unpacked_rows, packs), strict=True))
+    found = S.Anchors([t.encode() for _, t in rows])
+    assert sorted(zip(docs.tolist(), arounds.tolist(), sides.tolist(), strict=True)) == sorted(
+        zip(found.owner.tolist(), found.around.tolist(), found.sides(np.arange(len(found.owner))).tolist(), strict=True)
+    )
+    assert sorted(keys.tolist()) == sorted(S.range_key(found.digit).tolist())
+    assert sum(map(len, packs)) < 14 * len(keys)
+
+
+def test_anchors_that_share_no_window_stay_closed():
+    rng = random.Random(12)
+    phrases = [random_text(rng, 30) for _ in range(100)]
+    rows = [(i, random_text(rng, 60) + phrases[i % 100] + random_text(rng, 60)) for i in range(200)]
+    packs = packs_of(rows, 4)
+    keys, docs = (np.concatenate(c) for c in zip(*((k, d) for b in packs for p in b.column(1).to_pylist()
+                                                   for k, _, _, d in [S.unpacked_rows(p)]), strict=True))
+    assert len(keys) - len(np.unique(keys)) > 50
+    marks = sum(b.num_rows for b in S.sorted_groups(iter(packs)))
+    assert marks < 10
+
+
+def test_shared_runs_of_each_length_at_each_place(spark):
+    rng = random.Random(13)
+    rows = []
+    for n in range(46, 90, 2):
+        run = random_text(rng, n)
+        for before, behind in ((0, 0), (0, 40), (40, 0), (7, 9), (18, 16), (60, 60)):
+            rows.append((len(rows), random_text(rng, before) + run + random_text(rng, behind)))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert found(df) == brute(rows)

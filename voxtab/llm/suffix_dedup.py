@@ -9,18 +9,19 @@ holds nothing else:
    anchor go together; only anchors are shuffled, about one for every 18 bytes.
 2. The anchor's neighbourhood, as far as windows around it reach. Equal neighbourhoods are
    equal windows throughout; of each, only the first document goes on.
-3. The windows themselves, where an anchor has several neighbourhoods.
+3. The windows themselves, where an anchor has several neighbourhoods that agree on half of their
+   left or of their right side, as those that share a window do.
 
 Anchors that are very frequent, as in a line that many texts share, skip the second digit, so
 that no anchor gathers many rows: their windows are rows of their own.
 """
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from numpy.lib.stride_tricks import as_strided
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
@@ -33,17 +34,22 @@ DIGIT = 16
 REACH = WINDOW - DIGIT
 PLACES = REACH + 1
 AROUND = DIGIT + 2 * REACH
+SIDE = REACH // 2
 # Bytes handled at once, so that working arrays stay in the processor's caches.
 STRIP = 1 << 18
-# Bytes of text within which equal suffixes are summed up before the shuffle, and documents of
-# one such chunk that an anchor is in when it is frequent.
+# Bytes of text whose anchors are looked for at once, and documents of one such chunk that an anchor
+# is in when it is frequent.
 CHUNK = 4 << 20
 FREQUENT = 8
 
-# Bits of the first and second digits' hashes that are dropped. Rows are shuffled in packs by
-# the first digit; there are so many packs for each partition of a shuffle.
-DIGIT_SHIFT, AROUND_SHIFT = np.uint64(24), np.uint64(16)
-PACKS = 4
+# Bits of the first and second digits' hashes that are kept. Rows are shuffled in packs by ranges
+# of the first digit; there are so many ranges for each partition of a shuffle.
+DIGIT_BITS, AROUND_BITS = 40, 48
+DIGIT_SHIFT, AROUND_SHIFT = np.uint64(64 - DIGIT_BITS), np.uint64(64 - AROUND_BITS)
+PACKS = 2
+# Suffixes and neighbourhoods of a task that are put into packs together: packs of few rows
+# compress badly, and the more partitions the fewer rows a pack has. Marks in a pack of marks.
+HELD, HELD_NEAR, HELD_MARKS = 1 << 20, 1 << 17, 1 << 15
 
 K1, K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -54,9 +60,8 @@ def stir(x: np.ndarray) -> np.ndarray:
 
 
 def words_at(data: np.ndarray) -> np.ndarray:
-    """The eight bytes from each place on, as one number."""
-    n = len(data) - 7
-    return as_strided(data, shape=(n, 8), strides=(1, 1)).copy().view("<u8").ravel()
+    """The eight bytes from each place on, as one number. A view: copied they take eight times as much."""
+    return np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
 
 
 def run_hash(words: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
@@ -103,11 +108,33 @@ class Anchors:
         self.places = np.concatenate([np.zeros(0, np.int64), *parts])
         self.owner = np.searchsorted(self.begin, self.places, side="right") - 1
         self.digit = run_hash(self.words, self.places, DIGIT)
-        self.left = np.minimum(self.places - self.begin[self.owner], REACH)
-        self.right = np.minimum(self.end[self.owner] - DIGIT - self.places, REACH)
+
+    @cached_property
+    def left(self) -> np.ndarray:
+        return np.minimum(self.places - self.begin[self.owner], REACH)
+
+    @cached_property
+    def right(self) -> np.ndarray:
+        return np.minimum(self.end[self.owner] - DIGIT - self.places, REACH)
+
+    @cached_property
+    def around(self) -> np.ndarray:
         around = run_hash(self.words, self.places - REACH, AROUND)
         edges = (self.left * (REACH + 1) + self.right).astype(np.uint64)
-        self.around = stir((around + edges) * K1) >> AROUND_SHIFT
+        return stir((around + edges) * K1) >> AROUND_SHIFT
+
+    def sides(self, which: np.ndarray) -> np.ndarray:
+        """Of some anchors: a byte each for what stands from SIDE bytes before the anchor to its end
+        (the low one), and from its start to SIDE bytes behind it; 0 where the text ends before.
+
+        A window holds SIDE bytes before its anchor or SIDE behind it, so neighbourhoods that
+        share one have one of these bytes in common."""
+        found = np.zeros(len(which), np.uint16)
+        for shift, reach, back in ((0, self.left, SIDE), (8, self.right, 0)):
+            far = reach[which] >= SIDE
+            hashes = run_hash(self.words, self.places[which[far]] - back, DIGIT + SIDE)
+            found[far] |= (hashes % np.uint64(255) + np.uint64(1)).astype(np.uint16) << np.uint16(shift)
+        return found
 
     def _strip(self, low: int, high: int, a: int, b: int, valid: np.ndarray) -> np.ndarray:
         """Anchors from a to b. Of each window the places with the smallest hash count."""
@@ -135,17 +162,6 @@ class Anchors:
         return starts[fits], which[row]
 
 
-def firsts(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the first row of each key, smallest doc first, and of rows with a greater doc
-    than that."""
-    order = np.lexsort((doc, key))
-    key, doc = key[order], doc[order]
-    new = np.append(True, key[1:] != key[:-1]) if len(key) else np.zeros(0, bool)
-    low = doc[new][np.cumsum(new) - 1] if len(key) else doc
-    later = (doc > low) & ~(np.append(False, (key[1:] == key[:-1]) & (doc[1:] == doc[:-1])) if len(key) else new)
-    return order[new], order[later]
-
-
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, Anchors]]:
     """Ids and anchors of the documents that have an id, by chunks."""
     for batch in batches:
@@ -181,18 +197,29 @@ def window_mark(window: np.ndarray) -> np.ndarray:
     return stir(window * K1) >> AROUND_SHIFT
 
 
-def keyed(found: Anchors, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First digit, second digit and text of the suffixes of a chunk. The windows of frequent
-    anchors have one digit in place of two."""
+def range_key(digit: np.ndarray) -> np.ndarray:
+    """The bits of a first digit by which suffixes are sorted. Anchors have small hashes, so these
+    are stirred again, for ranges to have like numbers of rows."""
+    return stir(digit * K1) >> DIGIT_SHIFT
+
+
+def range_of(key: np.ndarray, buckets: int) -> np.ndarray:
+    return (key * np.uint64(buckets) >> np.uint64(DIGIT_BITS)).astype(np.int64)
+
+
+def keyed(found: Anchors, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First digit's key, second digit, sides and text of the suffixes of a chunk. The windows of
+    frequent anchors have one digit in place of two."""
     hot = frequent[(found.digit % np.uint64(TABLE)).astype(np.int64)] > 0
     cold = np.flatnonzero(~hot)
     starts, anchor = found.windows(np.flatnonzero(hot))
     starts, place = np.unique(starts, return_index=True)
     window = run_hash(found.words, starts, WINDOW)
     return (
-        np.concatenate([found.digit[cold], window]),
+        range_key(np.concatenate([found.digit[cold], window])),
         np.concatenate([found.around[cold], window_mark(window)]),
-        np.concatenate([found.owner[cold], found.owner[anchor[place]]]),
+        np.concatenate([found.sides(cold), np.zeros(len(starts), np.uint16)]),
+        np.concatenate([found.owner[cold], found.owner[anchor[place]]]).astype(np.int32),
     )
 
 
@@ -201,95 +228,165 @@ SUFFIX = "bucket int, pack binary"
 MARK = "doc_id long, mark long"
 
 
-def packed_rows(digit: np.ndarray, around: np.ndarray, owner: np.ndarray, ids: np.ndarray) -> bytes:
-    """Suffixes of one chunk and bucket, by digit: the bytes of each column together, for they
-    compress better so."""
-    order = np.argsort(digit, kind="stable")
-    columns = [
-        (values[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].T, size)
-        for values, size in ((digit >> DIGIT_SHIFT, 5), (around, 6), (owner, 4))
-    ]
-    data = b"".join(np.ascontiguousarray(c).tobytes() for c, _ in columns)
-    sizes = np.array([len(digit), len(ids)], "<i8").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(sizes + ids.astype("<i8").tobytes() + data)
-
-
-def unpacked_rows(pack: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Digit, around and doc_id of a pack."""
-    data = zstandard.ZstdDecompressor().decompress(pack)
-    n, m = np.frombuffer(data, "<i8", 2).tolist()
-    ids = np.frombuffer(data, "<i8", m, 16)
-    at, columns = 16 + 8 * m, []
-    for size in (5, 6, 4):
-        wide = np.zeros((n, 8), np.uint8)
-        wide[:, :size] = np.frombuffer(data, np.uint8, n * size, at).reshape(size, n).T
-        columns.append(wide.view("<i8").ravel())
-        at += n * size
-    return columns[0], columns[1], ids[columns[2]]
+def bytes_of(values: np.ndarray, low: int, high: int) -> bytes:
+    """The bytes from low to high of each number, those of one place together."""
+    wide = values.astype("<u8").view(np.uint8).reshape(-1, 8)
+    return np.ascontiguousarray(wide[:, low:high].T).tobytes()
 
 
-def suffixes(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
-    """Of each chunk, first and second digit, the row of the smallest document, packed by buckets of
-    the first digit; and, in a pack without suffixes, the marks of the chunk's other rows, whose
-    document repeats a smaller one of the chunk."""
+def from_bytes(*parts: np.ndarray) -> np.ndarray:
+    """Numbers from their bytes, a row for each place, lowest first."""
+    rows = np.concatenate(parts)
+    wide = np.zeros((rows.shape[1], 8), np.uint8)
+    wide[:, : len(rows)] = rows.T
+    return wide.view("<i8").ravel()
 
-    def run(batches):
-        for ids, found in chunks(batches):
-            digit, around, owner = keyed(found, frequent)
-            first, later = firsts(stir((digit ^ stir(around)) * K1), ids[owner])
-            marks = packed_marks(ids[owner[later]], around[later])
-            if marks is not None:
-                yield record(SUFFIX, np.array([int(ids[0]) % buckets], np.int32), [marks])
-            digit, around, owner = digit[first], around[first], owner[first]
-            bucket = (digit % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            for k in np.flatnonzero(np.diff(edges)).tolist():
-                which = order[edges[k] : edges[k + 1]]
-                docs_here, place = np.unique(owner[which], return_inverse=True)
-                pack = packed_rows(digit[which], around[which], place, ids[docs_here])
-                yield record(SUFFIX, np.array([k], np.int32), [pack])
 
-    return docs.mapInArrow(tidied(run), SUFFIX)
+def table_pack(n: int, plain: list[tuple], dense: list[tuple], owner: np.ndarray, ids: np.ndarray, level: int = 1) -> bytes:
+    """A pack of n rows. plain, dense: (values, low, high) as for bytes_of, the former like random
+    bytes and so not compressed; owner: the places of their documents in ids, which ascend."""
+    docs, place = np.unique(owner, return_inverse=True)
+    steps = np.diff(ids[docs], prepend=np.int64(0))
+    raw = b"".join(bytes_of(*c) for c in [*plain, (place, 0, 1)])
+    rest = b"".join(bytes_of(*c) for c in [*dense, (place, 1, 4), (steps, 0, 8)])
+    head = np.array([n, len(docs)], "<i8").tobytes()
+    return head + raw + zstandard.ZstdCompressor(level=level).compress(rest)
 
 
-def packed_marks(doc: np.ndarray, around: np.ndarray) -> bytes | None:
-    """A pack of marks alone, told by the number of its suffixes, -1."""
-    if not len(doc):
-        return None
-    marks, place = np.unique(np.stack([doc, around.astype(np.int64)]), axis=1), np.array([-1, 0], "<i8")
-    return zstandard.ZstdCompressor(level=1).compress(place.tobytes() + marks.astype("<i8").tobytes())
+def table_of(pack: bytes, n: int, plain: list[int], dense: list[int]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Of such a pack: the bytes of each column, a row for each place, and the documents' ids."""
+    m = int(np.frombuffer(pack, "<i8", 1, 8)[0])
+    size = n * (sum(plain) + 1)
+    raw = np.frombuffer(pack, np.uint8, size, 16).reshape(-1, n)
+    rest = np.frombuffer(zstandard.ZstdDecompressor().decompress(pack[16 + size :]), np.uint8)
+    packed, steps = rest[: len(rest) - 8 * m].reshape(-1, n), rest[len(rest) - 8 * m :].reshape(8, m)
+    *first, low = np.split(raw, np.cumsum(plain))
+    *second, high = np.split(packed, np.cumsum(dense))
+    return first, second, np.cumsum(from_bytes(steps))[from_bytes(low, high)]
+
+
+def packed_rows(key: np.ndarray, around: np.ndarray, sides: np.ndarray, owner: np.ndarray, ids: np.ndarray) -> bytes:
+    """Suffixes of one bucket, in order of their keys, of which only the steps are kept."""
+    steps = np.diff(key, prepend=np.uint64(0))
+    plain = [(steps, 0, 2), (around, 0, 6), (sides, 0, 2)]
+    return table_pack(len(key), plain, [(steps, 2, 5)], owner, ids)
+
+
+def unpacked_rows(pack: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Key, around, sides and doc_id of a pack."""
+    n = int(np.frombuffer(pack, "<i8", 1)[0])
+    (low, around, sides), (high,), doc = table_of(pack, n, [2, 6, 2], [3])
+    return np.cumsum(from_bytes(low, high)), from_bytes(around), from_bytes(sides), doc
+
+
+def packed_marks(around: np.ndarray, owner: np.ndarray, ids: np.ndarray) -> bytes:
+    """A pack of marks alone, told by the number of its rows, which is below 0."""
+    return table_pack(-len(around), [(around, 0, 6)], [], owner, ids)
 
 
 def unpacked_marks(pack: bytes) -> tuple[np.ndarray, np.ndarray] | None:
     """doc_id and mark of such a pack; None for a pack of suffixes."""
-    data = zstandard.ZstdDecompressor().decompress(pack)
-    if np.frombuffer(data, "<i8", 1)[0] != -1:
+    n = int(np.frombuffer(pack, "<i8", 1)[0])
+    if n >= 0:
         return None
-    doc, around = np.frombuffer(data, "<i8", offset=16).reshape(2, -1)
-    return doc, 2 * around
+    (around,), _, doc = table_of(pack, -n, [6], [])
+    return doc, 2 * from_bytes(around)
+
+
+def held(parts: Iterator[tuple], most: int) -> Iterator[list[np.ndarray]]:
+    """Columns of several chunks after each other, at least `most` rows each time but the last. The
+    first of a part are the ids of its documents, the last the documents' places in them, which
+    become places in all ids in ascending order."""
+    some, rows = [], 0
+
+    def together() -> list[np.ndarray]:
+        ids = np.unique(np.concatenate([p[0] for p in some]))
+        owner = np.concatenate([np.searchsorted(ids, p[0]).astype(np.int32)[p[-1]] for p in some])
+        columns = [np.concatenate(c) for c in zip(*(p[1:-1] for p in some), strict=True)]
+        return [ids, *columns, owner]
+
+    for part in parts:
+        some.append(part)
+        rows += len(part[-1])
+        if rows >= most:
+            yield together()
+            some, rows = [], 0
+    if some:
+        yield together()
+
+
+def by_range(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Buckets in ascending order and the rows that each has."""
+    edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        yield int(bucket[a]), a, b
+
+
+def suffixes(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
+    """Of the chunks that a task holds together, first and second digit, the row of the smallest
+    document, packed by ranges of the first digit; and, in a pack without suffixes, the marks of
+    the other rows, whose document repeats a smaller one of them."""
+
+    def run(batches):
+        parts = ((ids, *keyed(found, frequent)) for ids, found in chunks(batches))
+        for ids, key, around, sides, owner in held(parts, HELD):
+            if len(owner) and (np.diff(owner) < 0).any():
+                order = np.argsort(owner, kind="stable")
+                key, around, sides, owner = key[order], around[order], sides[order], owner[order]
+            # Neighbourhoods that tie in these bits may lie mixed: what then passes for new is
+            # told apart after the shuffle.
+            digits = key << np.uint64(64 - DIGIT_BITS) | around >> np.uint64(AROUND_BITS + DIGIT_BITS - 64)
+            order = np.argsort(digits, kind="stable")
+            key, around, sides, owner = key[order], around[order], sides[order], owner[order]
+            del digits, order
+            same = (key[1:] == key[:-1]) & (around[1:] == around[:-1])
+            new = np.append(True, ~same) if len(key) else np.zeros(0, bool)
+            later = owner > owner[new][np.cumsum(new) - 1] if len(key) else new
+            later[1:] &= ~(same & (owner[1:] == owner[:-1]))
+            again = np.flatnonzero(later)
+            again = again[np.argsort(owner[again], kind="stable")]
+            for a in range(0, len(again), HELD_MARKS):
+                some = again[a : a + HELD_MARKS]
+                # Any bucket will do, but each task and piece should take another.
+                bucket = stir(ids[owner[some[:1]]].astype(np.uint64) * K1 + around[some[:1]]) % np.uint64(buckets)
+                yield record(SUFFIX, bucket.astype(np.int32), [packed_marks(around[some], owner[some], ids)])
+            key, around, sides, owner = key[new], around[new], sides[new], owner[new]
+            for k, a, b in by_range(range_of(key, buckets)):
+                pack = packed_rows(key[a:b], around[a:b], sides[a:b], owner[a:b], ids)
+                yield record(SUFFIX, np.array([k], np.int32), [pack])
+
+    return docs.mapInArrow(tidied(run), SUFFIX)
+
+
+def alike(group: np.ndarray, sides: np.ndarray) -> np.ndarray:
+    """Which neighbourhoods agree with another of their anchor's (group) on a side."""
+    found = np.zeros(len(group), bool)
+    for side in (sides & 255, sides >> 8):
+        rows = np.flatnonzero(side)
+        _, which, counts = np.unique(group[rows] << 8 | side[rows], return_inverse=True, return_counts=True)
+        found[rows[counts[which] > 1]] = True
+    return found
 
 
 def sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From packs in order of their buckets: the suffixes repeated from a smaller document, and the
-    first of each neighbourhood whose anchor has several (open)."""
+    first of each neighbourhood that agrees with another of its anchor on a side (open)."""
 
-    def marks(digit, around, doc):
-        if not len(digit):
-            return
-        new_digit = np.append(True, digit[1:] != digit[:-1])
-        new = new_digit | np.append(True, around[1:] != around[:-1])
+    def marks(key, around, sides, doc):
+        new_key = np.append(True, key[1:] != key[:-1])
+        new = new_key | np.append(True, around[1:] != around[:-1])
         again = (doc > doc[new][np.cumsum(new) - 1]) & ~np.append(False, ~new[1:] & (doc[1:] == doc[:-1]))
-        group = np.cumsum(new_digit) - 1
-        several = np.bincount(group[new]) > 1
-        is_open = new & several[group]
+        group = np.cumsum(new_key) - 1
+        several = np.flatnonzero(new & (np.bincount(group[new]) > 1)[group])
+        is_open = np.zeros(len(key), bool)
+        is_open[several[alike(group[several], sides[several])]] = True
         which = np.flatnonzero(again | is_open)
         yield record(MARK, doc[which], 2 * around[which] + is_open[which])
 
     def whole(packs):
-        digit, around, doc = (np.concatenate(c) for c in zip(*map(unpacked_rows, packs), strict=True))
-        order = np.lexsort((doc, around, digit))
-        yield from marks(digit[order], around[order], doc[order])
+        key, around, sides, doc = (np.concatenate(c) for c in zip(*map(unpacked_rows, packs), strict=True))
+        order = np.lexsort((doc, around, key))
+        yield from marks(key[order], around[order], sides[order], doc[order])
 
     for packs in by_bucket(batches):
         rows = []
@@ -332,9 +429,9 @@ def of_text(around: np.ndarray, owner: np.ndarray) -> np.ndarray:
 
 
 def neighbourhoods(texts: DataFrame, marks: DataFrame, buckets: int) -> DataFrame:
-    """The bytes around the open anchors of each document, packed by buckets of the first digit."""
+    """The bytes around the open anchors of each document, packed by ranges of the first digit."""
 
-    def run(batches):
+    def opened(batches):
         for batch in batches:
             expanded = unpacked(batch.column(1))
             for a, b in in_chunks(expanded, CHUNK):
@@ -349,18 +446,24 @@ def neighbourhoods(texts: DataFrame, marks: DataFrame, buckets: int) -> DataFram
                 _, one = np.unique(of_text(found.around[which], found.owner[which]), return_index=True)
                 which = which[one]
                 near = found.data[found.places[which, None] + np.arange(-REACH, DIGIT + REACH)]
-                bucket = (found.digit[which] % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                for k in np.flatnonzero(np.diff(edges)).tolist():
-                    rows = order[edges[k] : edges[k + 1]]
-                    pick = which[rows]
-                    columns = [
-                        found.around[pick].astype("<i8"), ids[found.owner[pick]].astype("<i8"),
-                        found.left[pick].astype(np.int8), found.right[pick].astype(np.int8), near[rows],
-                    ]
-                    data = np.array([len(rows)], "<i8").tobytes() + b"".join(c.tobytes() for c in columns)
-                    yield record(SUFFIX, np.array([k], np.int32), [zstandard.ZstdCompressor(level=3).compress(data)])
+                yield (
+                    ids, range_of(range_key(found.digit[which]), buckets), found.around[which],
+                    found.left[which].astype(np.uint8), found.right[which].astype(np.uint8), near,
+                    found.owner[which].astype(np.int32),
+                )
+
+    def run(batches):
+        for ids, bucket, around, left, right, near, owner in held(opened(batches), HELD_NEAR):
+            order = np.argsort(bucket, kind="stable")
+            for k, a, b in by_range(bucket[order]):
+                rows = order[a:b]
+                texts = near[rows].tobytes()
+                pack = table_pack(
+                    len(rows), [(around[rows], 0, 6)], [(left[rows], 0, 1), (right[rows], 0, 1)], owner[rows], ids
+                )
+                size = np.array([len(pack)], "<i8").tobytes()
+                pack = size + pack + zstandard.ZstdCompressor(level=3).compress(texts)
+                yield record(SUFFIX, np.array([k], np.int32), [pack])
 
     # Only texts with an open anchor go on.
     joined = texts.join(marks, F.col("doc_id") == F.col("__id"))
@@ -387,11 +490,10 @@ def compare_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     document has too, as bits by the anchor's distance from the window's start."""
 
     def columns(pack: bytes):
-        data = zstandard.ZstdDecompressor().decompress(pack)
-        (n,) = np.frombuffer(data, "<i8", 1).tolist()
-        around, doc = np.frombuffer(data, "<i8", 2 * n, 8).reshape(2, n)
-        left, right = np.frombuffer(data, np.int8, 2 * n, 8 + 16 * n).reshape(2, n)
-        return around, doc, left, right, np.frombuffer(data, np.uint8, n * AROUND, 8 + 18 * n)
+        size, n = np.frombuffer(pack, "<i8", 2).tolist()
+        (around,), (left, right), doc = table_of(pack[8 : 8 + size], n, [6], [1, 1])
+        data = np.frombuffer(zstandard.ZstdDecompressor().decompress(pack[8 + size :]), np.uint8)
+        return from_bytes(around), doc, left[0].astype(np.int8), right[0].astype(np.int8), data
 
     for packs in by_bucket(batches):
         around, doc, left, right, data = (np.concatenate(c) for c in zip(*map(columns, packs), strict=True))
@@ -463,9 +565,10 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     frequent = frequent_digits(named)
     buckets = PACKS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = suffixes(named, frequent, buckets).repartition("bucket").sortWithinPartitions("bucket")
-    marks = ordered.mapInArrow(tidied(sorted_groups), MARK).groupBy(F.col("doc_id").alias("__id")).agg(
-        F.collect_list("mark").alias("__marks")
-    )
+    marks = ordered.mapInArrow(tidied(sorted_groups), MARK)
+    # A task has few marks of any one document: collected before the shuffle they would only grow.
+    marks = marks.withColumnRenamed("doc_id", "__id").repartition("__id")
+    marks = marks.groupBy("__id").agg(F.collect_list("mark").alias("__marks"))
     # Texts and marks are shuffled once: both joins read the same exchanges.
     texts = packed(known).where(F.col("doc_id").isNotNull())
     near = neighbourhoods(texts.select("doc_id", "text") if len(docs.columns) > 2 else texts, marks, buckets)
